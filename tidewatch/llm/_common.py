@@ -61,6 +61,18 @@ def attach_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total
     )
 
 
+#: Ids up to this many (16 MB) are broadcast, more are shuffled with the rows.
+BROADCAST_IDS = 2_000_000
+
+
+def drop_ids(rows: DataFrame, id_col: str, gone: DataFrame) -> DataFrame:
+    """The rows whose id is not in gone (one column), with their own columns."""
+    gone = materialize(gone.select(F.col(gone.columns[0]).alias("_gone")).distinct(), "gone")
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    boxed = rows.select(F.struct(*rows.columns).alias("_row"), F.col(id_col).alias("_id"))
+    return boxed.join(gone, F.col("_id") == F.col("_gone"), "left_anti").select("_row.*")
+
+
 def id_bounds(df: DataFrame, column: str, buckets: int) -> list[int]:
     """At most buckets - 1 ascending cut points of a long column, about as many rows between each two."""
     if buckets < 2:

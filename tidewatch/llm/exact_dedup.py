@@ -71,9 +71,10 @@ def exact_dedup_decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", filter_bits: int = FILTER_BITS) -> DataFrame:
     """The rows of docs that stay, with the columns of docs. Rows the filter clears are not shuffled."""
     decided, bitmaps = _decide(docs, id_col, text_col, filter_bits)
-    gone = decided.filter(~F.col("_id").eqNullSafe(F.col("keep_id"))).select(F.col("_id").alias("_gone")).distinct()
+    gone = decided.filter("_id <> keep_id or (_id is null and keep_id is not null)").select("_id")
+    gone_null = not gone.filter("_id is null").isEmpty()
     # the filter's own columns stand beside docs as one struct, so that no name can clash
     rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col(id_col).alias("_id"), F.unhex(F.sha2(lower_ascii(F.col(text_col)), 256)).alias("_sha"))
     seen = _flagged(rows, bitmaps, filter_bits)
-    stay = seen.filter("_maybe").join(gone, F.col("_id").eqNullSafe(F.col("_gone")), "left_anti")
+    stay = drop_ids(seen.filter("_maybe"), "_id", gone)
     return seen.filter("not _maybe").select("_row.*").unionByName(stay.select("_row.*"))

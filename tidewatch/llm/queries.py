@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ._common import table
 from .chat import chat_format, chat_parse
 from .exact_dedup import exact_dedup_decisions
+from .minhash_dedup import near_dedup_decisions
 from .mixing import mix_decisions
 
 CHAT_EXTRA = "<|im_end|><|im_start|>assistant ok"
@@ -59,6 +60,10 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM g
 """
 
 
+def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup_decisions(table(spark, sf_dir, "documents"))
+
+
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mix_decisions(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "source_size", "target", "taken", "source")
@@ -97,6 +102,7 @@ FROM r
 QUERIES = {
     "op2_chat_format": op2_chat_format,
     "op5_exact_dedup": op5_exact_dedup,
+    "op8_minhash_dedup": op8_minhash_dedup,
     "op10_mix_sources": op10_mix_sources,
 }
 SQL = {"op2_chat_format": OP2_SQL, "op5_exact_dedup": OP5_SQL, "op10_mix_sources": OP10_SQL}
