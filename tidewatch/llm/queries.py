@@ -10,6 +10,7 @@ from .chat import chat_format, chat_parse
 from .exact_dedup import exact_dedup_decisions
 from .minhash_dedup import near_dedup_decisions
 from .mixing import mix_decisions
+from .sentencepiece_codec import sp_digests
 
 CHAT_EXTRA = "<|im_end|><|im_start|>assistant ok"
 
@@ -60,6 +61,10 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM g
 """
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sp_digests(table(spark, sf_dir, "documents"))
+
+
 def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup_decisions(table(spark, sf_dir, "documents"))
 
@@ -102,6 +107,7 @@ FROM r
 QUERIES = {
     "op2_chat_format": op2_chat_format,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_sentencepiece": op6_sentencepiece,
     "op8_minhash_dedup": op8_minhash_dedup,
     "op10_mix_sources": op10_mix_sources,
 }
