@@ -11,10 +11,15 @@ from .exact_dedup import exact_dedup_decisions
 from .minhash_dedup import near_dedup_decisions
 from .mixing import mix_decisions
 from .sentencepiece_codec import sp_digests
+from .wavelet import tokens_round_trip
 
 CHAT_EXTRA = "<|im_end|><|im_start|>assistant ok"
 
 
+def op1_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens_round_trip(table(spark, sf_dir, "documents"))
+
+
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and one made of control strings, formatted and read back."""
     extra = spark.range(2).select(
@@ -105,6 +110,7 @@ FROM r
 """
 
 QUERIES = {
+    "op1_wavelet_tokens": op1_wavelet_tokens,
     "op2_chat_format": op2_chat_format,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_sentencepiece": op6_sentencepiece,
