@@ -11,6 +11,7 @@ from .exact_dedup import exact_dedup_decisions
 from .minhash_dedup import near_dedup_decisions
 from .mixing import mix_decisions
 from .sentencepiece_codec import sp_digests
+from .warc import archive_round_trip
 from .wavelet import tokens_round_trip
 
 CHAT_EXTRA = "<|im_end|><|im_start|>assistant ok"
@@ -70,6 +71,21 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sp_digests(table(spark, sf_dir, "documents"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_round_trip(table(spark, sf_dir, "pages"))
+
+
+OP7_SQL = """
+WITH p AS (
+  SELECT page_id, coalesce(url, '') AS url, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha1(encode(coalesce(html, ''))) AS payload_digest FROM pages
+), g AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS keep FROM p)
+SELECT page_id, url, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 1000 AND page_id <> keep THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 1000 AND page_id <> keep THEN keep END AS refers_to
+FROM g
+"""
+
+
 def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup_decisions(table(spark, sf_dir, "documents"))
 
@@ -114,7 +130,8 @@ QUERIES = {
     "op2_chat_format": op2_chat_format,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_sentencepiece": op6_sentencepiece,
+    "op7_warc": op7_warc,
     "op8_minhash_dedup": op8_minhash_dedup,
     "op10_mix_sources": op10_mix_sources,
 }
-SQL = {"op2_chat_format": OP2_SQL, "op5_exact_dedup": OP5_SQL, "op10_mix_sources": OP10_SQL}
+SQL = {"op2_chat_format": OP2_SQL, "op5_exact_dedup": OP5_SQL, "op7_warc": OP7_SQL, "op10_mix_sources": OP10_SQL}
