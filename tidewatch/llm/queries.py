@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 
 from ._common import table
 from .chat import chat_format, chat_parse
+from .dual_tree import top_k
 from .exact_dedup import exact_dedup_decisions
+from .language_id import predict_languages
 from .minhash_dedup import near_dedup_decisions
 from .mixing import mix_decisions
 from .sentencepiece_codec import sp_digests
+from .url_rules import judge_urls
 from .warc import archive_round_trip
 from .wavelet import tokens_round_trip
 
@@ -55,6 +58,32 @@ FROM u GROUP BY conv_id
 """
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return predict_languages(table(spark, sf_dir, "documents"))
+
+
+#: host, path, verdict
+URL_RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
+
+
+def op4_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = ", ".join(str(r) for r in URL_RULES)
+    return judge_urls(table(spark, sf_dir, "pages"), spark.sql(f"SELECT * FROM VALUES {rows} AS t(host, path, verdict)"))
+
+
+OP4_SQL = r"""
+WITH r(host, path, verdict) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
+a AS (SELECT page_id, CASE WHEN strpos(coalesce(url, ''), '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM a),
+m AS (
+  SELECT p.*, r.host || r.path AS rule, r.verdict,
+    row_number() OVER (PARTITION BY page_id ORDER BY length(r.host || r.path) DESC NULLS LAST, length(r.host) DESC) AS k
+  FROM p LEFT JOIN r ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path)
+)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM m WHERE k = 1
+"""
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup_decisions(table(spark, sf_dir, "documents"))
 
@@ -90,6 +119,21 @@ def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup_decisions(table(spark, sf_dir, "documents"))
 
 
+def op9_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+OP9_SQL = """
+WITH e AS (
+  SELECT vec_id, [floor(256 * x::DOUBLE) for x in embedding] AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score FROM e q JOIN e c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id
+), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mix_decisions(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "source_size", "target", "taken", "source")
@@ -128,10 +172,13 @@ FROM r
 QUERIES = {
     "op1_wavelet_tokens": op1_wavelet_tokens,
     "op2_chat_format": op2_chat_format,
+    "op3_language_id": op3_language_id,
+    "op4_url_rules": op4_url_rules,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_sentencepiece": op6_sentencepiece,
     "op7_warc": op7_warc,
     "op8_minhash_dedup": op8_minhash_dedup,
+    "op9_cover_tree": op9_cover_tree,
     "op10_mix_sources": op10_mix_sources,
 }
-SQL = {"op2_chat_format": OP2_SQL, "op5_exact_dedup": OP5_SQL, "op7_warc": OP7_SQL, "op10_mix_sources": OP10_SQL}
+SQL = {"op2_chat_format": OP2_SQL, "op5_exact_dedup": OP5_SQL, "op4_url_rules": OP4_SQL, "op7_warc": OP7_SQL, "op9_cover_tree": OP9_SQL, "op10_mix_sources": OP10_SQL}
