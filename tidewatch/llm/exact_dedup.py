@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import attach_groups, lower_ascii, materialize
+from ._common import attach_groups, drop_ids, lower_ascii, materialize
 
 #: Bits of each of the two bitmaps: 8 MB each at most, however many rows there are.
 FILTER_BITS = 1 << 26
@@ -41,7 +41,7 @@ def _flagged(rows: DataFrame, bitmaps: DataFrame, bits: int) -> DataFrame:
     out = rows
     for name, at in zip(("_b1", "_b2"), _positions(F.col("_sha"), bits), strict=True):
         at = at + F.lit(0 if name == "_b1" else bits)
-        side = bitmaps.select(F.col("bucket").alias(f"{name}k"), F.col("bits").alias(name))
+        side = bitmaps.filter(f"bucket {'<' if name == '_b1' else '>='} {bits >> _BUCKET_BITS}").select(F.col("bucket").alias(f"{name}k"), F.col("bits").alias(name))
         out = out.withColumn(f"{name}p", at)
         out = out.join(F.broadcast(side), F.expr(f"shiftright({name}p, {_BUCKET_BITS}) = {name}k"), "left")
     bit = lambda b: f"coalesce(shiftright(cast(conv(hex(substring({b}, cast(({b}p & 32767) div 8 as int) + 1, 1)), 16, 10) as int), cast({b}p & 7 as int)) & 1, 0) = 1"
@@ -71,10 +71,11 @@ def exact_dedup_decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", filter_bits: int = FILTER_BITS) -> DataFrame:
     """The rows of docs that stay, with the columns of docs. Rows the filter clears are not shuffled."""
     decided, bitmaps = _decide(docs, id_col, text_col, filter_bits)
-    gone = decided.filter("_id <> keep_id or (_id is null and keep_id is not null)").select("_id")
-    gone_null = not gone.filter("_id is null").isEmpty()
+    gone = decided.filter("_id <> keep_id").select("_id")
+    gone_null = decided.filter("_id is null and keep_id is not null").select("_sha").distinct()
     # the filter's own columns stand beside docs as one struct, so that no name can clash
     rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col(id_col).alias("_id"), F.unhex(F.sha2(lower_ascii(F.col(text_col)), 256)).alias("_sha"))
     seen = _flagged(rows, bitmaps, filter_bits)
-    stay = drop_ids(seen.filter("_maybe"), "_id", gone)
+    stay = drop_ids(seen.filter("_maybe and _id is not null"), "_id", gone)
+    stay = stay.unionByName(seen.filter("_maybe and _id is null").join(gone_null, "_sha", "left_anti").select(stay.columns))
     return seen.filter("not _maybe").select("_row.*").unionByName(stay.select("_row.*"))
