@@ -5,9 +5,10 @@
 2. Representatives that share a band key are candidates. Signatures are compared 32 values at a time; a pair is
    pruned once the posterior probability (uniform prior) that its similarity reaches the threshold falls below
    ``miss``. Survivors are confirmed on their full sets.
-3. A bucket's members are not paired with each other. Star rounds compare each with the bucket's smallest member
-   and contract what is linked; only pairs of different components are still open, and a last pass compares those
-   in blocks of bounded size inside the tasks, so that no link between candidates is lost.
+3. A bucket's members are not paired with each other. Star rounds compare each with one member drawn by hash and
+   contract what is linked; only pairs of different components are still open, and a last pass compares those in
+   blocks of bounded size inside the tasks, where each link merges two labels, so that no link between components
+   is lost and no task emits more links than rows.
 4. Components come from repeated contraction over the links, on Spark, each step in a written table.
 
 Defined cases: null or blank text has an empty set, which links with nothing; texts of fewer words than a shingle
@@ -33,7 +34,8 @@ from ._common import attach_groups, drop_ids, materialize, shuffle_parts
 PERMS, ROWS, BANDS, STEP = 128, 5, 25, 32
 #: Bands of the star rounds; later rounds pair only what earlier ones left unlinked.
 ROUNDS = ((0, 2), (2, 8), (8, BANDS))
-BLOCK_ROWS = 1024
+#: A block of a bucket holds about this many rows and set members at most.
+BLOCK_ROWS, BLOCK_HASHES = 1024, 1 << 20
 PIVOT_ROWS = 4096
 
 _rng = np.random.Generator(np.random.PCG64(8))
@@ -159,46 +161,58 @@ def _stream_exact(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iter
         yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["a", "b"])
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], least: tuple[int, ...], num: int, den: int) -> Iterator[pa.RecordBatch]:
-    """Rows (h, i, j, own, id, label, n, sig) sorted by (h, i, j): in each block pair, the pairs of different
-    labels, of sizes that allow the threshold, that no step prunes. A block pair has a bounded number of rows."""
-    carry: pa.Table | None = None
+def _both(u: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of a sorted set with others."""
+    every = np.concatenate(sets)
+    at = np.searchsorted(u, every)
+    hit = np.append(u, 0)[at] == every
+    hit &= at < len(u)
+    return np.add.reduceat(hit, np.cumsum([0, *map(len, sets[:-1])]), dtype=np.int64)
+
+
+def _link_block(t: pa.Table, least: tuple[int, ...], num: int, den: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links that one block pair adds to the labels its rows come with."""
+    i, j, band, own, ids, label, n = (t.column(c).to_numpy() for c in ("i", "j", "band", "own", "id", "label", "n"))
+    label, out = label.copy(), []
+    if (label == label[0]).all():
+        return out
+    m = _matrix(t.column("sig").combine_chunks())
+    keys = np.array(t.column("keys").to_pylist(), np.int64)[:, : band[0]]
+    sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("payload")]
+    for r in range(len(ids) - 1):
+        q = np.arange(r + 1, len(ids))
+        q = q[(label[q] != label[r]) & (den * np.minimum(n[q], n[r]) >= num * np.maximum(n[q], n[r]))]
+        if i[0] != j[0]:
+            q = q[own[q] != own[r]]
+        if len(q):
+            q = q[_alive(np.broadcast_to(m[r], (len(q), PERMS)), m[q], least)]
+        if len(q):
+            q = q[~(keys[q] == keys[r]).any(axis=1)]  # a pair is compared in the first band that it shares
+        if len(q):
+            both = _both(sets[r], [sets[k] for k in q.tolist()])
+            for k in q[den * both >= num * (n[q] + n[r] - both)].tolist():
+                if label[k] != label[r]:
+                    label[label == label[k]] = label[r]
+                    out.append((min(ids[r], ids[k]), max(ids[r], ids[k])))
+    return out
 
-    def work(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        h, i, j, own, ids, label, n = (t.column(c).to_numpy() for c in ("h", "i", "j", "own", "id", "label", "n"))
-        m = _matrix(t.column("sig").combine_chunks())
-        new = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]))
-        a, b = [], []
-        for s, e in zip(new.tolist(), [*new[1:].tolist(), len(h)], strict=True):
-            for r in range(s, e - 1):
-                q = np.arange(r + 1, e)
-                q = q[(label[q] != label[r]) & (den * np.minimum(n[q], n[r]) >= num * np.maximum(n[q], n[r]))]
-                if i[s] != j[s]:
-                    q = q[own[q] != own[r]]
-                if len(q):
-                    q = q[_alive(np.broadcast_to(m[r], (len(q), PERMS)), m[q], least)]
-                    a.append(np.full(len(q), ids[r]))
-                    b.append(ids[q])
-        z = np.zeros(0, np.int64)
-        a, b = np.concatenate([z, *a]), np.concatenate([z, *b])
-        return np.minimum(a, b), np.maximum(a, b)
-
-    def out(t: pa.Table) -> pa.RecordBatch:
-        a, b = work(t)
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    for batch in batches:
-        t = pa.Table.from_batches([batch])
-        t = pa.concat_tables([carry, t]) if carry is not None else t
-        if not len(t):
-            continue
-        h, i, j = (t.column(c).to_numpy() for c in ("h", "i", "j"))
-        cut = int(np.flatnonzero((h != h[-1]) | (i != i[-1]) | (j != j[-1]))[-1]) + 1 if ((h != h[-1]) | (i != i[-1]) | (j != j[-1])).any() else 0
-        carry = t.slice(cut)
-        if cut:
-            yield out(t.slice(0, cut))
-    if carry is not None and len(carry):
-        yield out(carry)
+def _blocks(batches: Iterator[pa.RecordBatch], least: tuple[int, ...], num: int, den: int) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (h, i, j), a block pair of bounded size each -> its links."""
+    carry: pa.Table | None = None
+    for last in (False, True):
+        for batch in batches if not last else [None]:
+            t = carry if last else pa.Table.from_batches([batch])
+            if t is None or not len(t):
+                continue
+            if carry is not None and not last:
+                t = pa.concat_tables([carry, t])
+            h, i, j = (t.column(c).to_numpy() for c in ("h", "i", "j"))
+            new = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])).tolist()
+            ends = [*new[1:], len(t)]
+            out = [x for s, e in list(zip(new, ends, strict=True))[: None if last else -1] for x in _link_block(t.slice(s, e - s), least, num, den)]
+            carry = t.slice(new[-1])
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["a", "b"])
 
 
 def _with_pivot(pairs: DataFrame, payload: DataFrame, fn: Callable) -> DataFrame:
@@ -256,7 +270,7 @@ def near_dedup_decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str
     shared = keys.groupBy("h").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     buckets = materialize(keys.join(shared, "h"), "near-buckets")
     wanted = materialize(buckets.select("id").distinct(), "near-wanted")
-    sigs = materialize(sketch.join(wanted, "id", "left_semi").select("id", F.col("sig").alias("payload")).dropDuplicates(["id"]), "near-sigs")
+    sigs = materialize(sketch.join(wanted, "id", "left_semi").select("id", F.col("sig").alias("payload"), "bands").dropDuplicates(["id"]), "near-sigs")
     texts = fields.join(wanted, "id", "left_semi")
     sets = materialize(texts.mapInArrow(partial(_sets, k=words), "id long, payload binary").dropDuplicates(["id"]), "near-sets")
 
@@ -271,22 +285,25 @@ def near_dedup_decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     for low, high in ROUNDS:
         rows = labelled(buckets.filter((F.col("band") >= low) & (F.col("band") < high)))
-        pivots = rows.groupBy("h").agg(F.min(F.struct("id", "label", "n")).alias("p"), F.max("label").alias("most"), F.min("label").alias("fewest"))
+        pivots = rows.groupBy("h").agg(F.min_by(F.struct("id", "label", "n"), F.xxhash64("id", "h")).alias("p"), F.max("label").alias("most"), F.min("label").alias("fewest"))
         pivots = pivots.filter("most <> fewest").select("h", F.col("p.id").alias("a"), F.col("p.label").alias("pl"), F.col("p.n").alias("pn"))
         pairs = rows.join(pivots, "h").filter(fits & (F.col("label") != F.col("pl"))).select("a", F.col("id").alias("b")).distinct()
-        pairs = _with_pivot(materialize(pairs, "near-pairs"), sigs, partial(_stream_bayes, least=least))
+        pairs = _with_pivot(materialize(pairs, "near-pairs"), sigs.drop("bands"), partial(_stream_bayes, least=least))
         found = materialize(_with_pivot(materialize(pairs, "near-pairs"), sets, exact), "near-links")
         links = found if links is None else links.unionByName(found)
         if not links.isEmpty():
             labels = components(links, rounds=2)
 
+    # what is still open: pairs of different labels in a bucket, compared in blocks of bounded rows and bytes
     rows = labelled(buckets)
-    span = rows.groupBy("h").agg(F.min("label").alias("fewest"), F.max("label").alias("most"), F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("blocks")).filter("most <> fewest")
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum("n") / BLOCK_HASHES)).cast("int")
+    span = rows.groupBy("h").agg(F.min("label").alias("fewest"), F.max("label").alias("most"), blocks.alias("blocks")).filter("most <> fewest")
     rows = rows.join(span.select("h", "blocks"), "h").withColumn("own", F.expr("cast(pmod(xxhash64(id), blocks) as int)"))
-    rows = rows.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select("h", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "label", "n")
-    rows = rows.join(sigs.withColumnRenamed("payload", "sig"), "id").repartition(shuffle_parts(docs.sparkSession), "h", "i", "j").sortWithinPartitions("h", "i", "j", "id")
-    pairs = rows.select("h", "i", "j", "own", "id", "label", "n", "sig").mapInArrow(partial(_blocks, least=least, num=percent, den=100), "a long, b long").distinct()
-    links = links.unionByName(materialize(_with_pivot(materialize(pairs, "near-pairs"), sets, exact), "near-links"))
+    rows = rows.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select("h", "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "label", "n")
+    rows = rows.join(sigs.select("id", F.col("payload").alias("sig"), F.col("bands").alias("keys")), "id").join(sets, "id")
+    rows = rows.repartition(shuffle_parts(docs.sparkSession), "h", "i", "j").sortWithinPartitions("h", "i", "j", "id")
+    rows = rows.select("h", "band", "i", "j", "own", "id", "label", "n", "sig", "keys", "payload")
+    links = links.unionByName(materialize(rows.mapInArrow(partial(_blocks, least=least, num=percent, den=100), "a long, b long").distinct(), "near-links"))
 
     out = classes.withColumn("component", F.col("rep"))
     if not links.isEmpty():
