@@ -12,6 +12,8 @@ from . import _bytes as tb
 
 #: Distinct pieces kept between batches; when there are more, the cache starts anew.
 CACHE = 400_000
+_MARK = np.zeros(256, bool)
+_MARK[list(b".,;:!?")] = True
 
 
 def _before(buf: np.ndarray, back: int) -> np.ndarray:
@@ -21,11 +23,16 @@ def _before(buf: np.ndarray, back: int) -> np.ndarray:
 
 
 def cuts_at_white_space(buf: np.ndarray) -> np.ndarray:
-    """Where ASCII white space begins a run: the byte before is ASCII other than white space and controls, or ends
-    a character that is surely no white space."""
+    """Where a token begins whatever stands before and after: where ASCII white space begins a run (the byte before is ASCII other than white space and controls, or ends
+    a character that is surely no white space), at a mark after a letter, and after a lone line feed."""
     p1, p2, p3 = (_before(buf, k) for k in (1, 2, 3))
     unsure = ((p2 == 0xC2) & ((p1 == 0x85) | (p1 == 0xA0))) | ((p3 >= 0xE1) & (p3 <= 0xE3) & (p1 >= 0x80))
-    return tb.WS[buf] & (p1 > 0x20) & ~unsure
+    cut = tb.WS[buf] & (p1 > 0x20) & ~unsure
+    # a mark after a letter (ASCII or U+00C0 to U+00FF), and a character after a lone line feed, begin a token too
+    letter = ((p1 | 0x20) >= 0x61) & ((p1 | 0x20) <= 0x7A) | (p2 == 0xC3) & (p1 >= 0x80) & (p1 != 0x97) & (p1 != 0xB7)
+    lone = np.zeros(len(buf), bool)
+    lone[1:] = cut[:-1] & (p1[1:] == 0x0A) & (buf[1:] > 0x20) & (buf[1:] < 0x7F)
+    return cut | (_MARK[buf] & letter) | lone
 
 
 def cuts_at_spaces(buf: np.ndarray) -> np.ndarray:
@@ -37,8 +44,8 @@ def cuts_at_spaces(buf: np.ndarray) -> np.ndarray:
 class PieceCache:
     """encode: distinct pieces -> ids of each; extra: (piece, ids) -> an object kept beside them."""
 
-    def __init__(self, encode: Callable[[list[bytes]], list[list[int]]], cuts: Callable[[np.ndarray], np.ndarray], lead: bytes = b"", extra: Callable | None = None):
-        self.encode, self.cuts, self.lead, self.extra = encode, cuts, lead, extra
+    def __init__(self, encode: Callable[[list[bytes]], list[list[int]]], cuts: Callable[[np.ndarray], np.ndarray], lead: bytes = b"", extra: Callable | None = None, limit: int = CACHE):
+        self.encode, self.cuts, self.lead, self.extra, self.limit = encode, cuts, lead, extra, limit
         self.clear()
 
     def clear(self) -> None:
@@ -70,7 +77,7 @@ class PieceCache:
                 n = len(self.lead)
                 buf = np.insert(buf, np.repeat(own[:-1], n), np.tile(np.frombuffer(self.lead, np.uint8), j - i))
                 own = own + n * np.arange(j - i + 1)
-            if len(self.at) > CACHE:
+            if len(self.at) > self.limit:
                 self.clear()
             if not len(buf):
                 yield np.zeros(0, np.int64), np.zeros(j - i + 1, np.int64)

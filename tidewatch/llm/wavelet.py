@@ -34,6 +34,8 @@ END_ID = 0
 #: A file is closed once it has this many tokens (its last document is kept whole).
 SHARD_TOKENS = 1 << 21
 RANK_STEP = 512
+#: Distinct pieces of text whose ids a worker keeps: some 200 MB.
+CACHE = 1_000_000
 MAGIC = b"WVM1"
 
 
@@ -141,7 +143,7 @@ def _cache(path: str) -> PieceCache:
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    return PieceCache(lambda pieces: [x.ids for x in tokenizer.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)], cuts_at_white_space)
+    return PieceCache(lambda pieces: [x.ids for x in tokenizer.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)], cuts_at_white_space, limit=CACHE)
 
 
 def _save(root: str, name: str, data: bytes) -> str:
