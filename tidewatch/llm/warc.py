@@ -17,6 +17,7 @@ import base64
 import gzip
 import hashlib
 import uuid
+import zlib
 from collections.abc import Iterator
 from functools import partial
 
@@ -29,6 +30,7 @@ from ._common import attach_groups, id_bounds, id_bucket, materialize, new_path,
 
 LEAST_BYTES = 1000
 ROLL_BYTES = 16 << 20
+PIECE = 1 << 15
 #: Written into every record, so that a second run gives the same files.
 DATE = "2024-01-01T00:00:00Z"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -57,21 +59,32 @@ def _record(page: int | None, url: str | None, payload: bytes, sha1: str, refers
     return gzip.compress(text.encode() + block + b"\r\n\r\n", compresslevel=6, mtime=0)
 
 
-def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers and block of each record; the lengths and block digests are checked."""
-    data, at = gzip.decompress(data), 0
+def members(data: bytes) -> Iterator[bytes]:
+    """The contents of each gzip member; input goes in by pieces, so that a member's end is found without copying
+    what follows it."""
+    at = 0
     while at < len(data):
-        stop = data.index(b"\r\n\r\n", at)
-        lines = data[at:stop].decode().split("\r\n")
+        d, out = zlib.decompressobj(31), []
+        while not d.eof:
+            piece = data[at : at + PIECE]
+            if not piece:
+                raise ValueError("the last gzip member is cut off")
+            out.append(d.decompress(piece))
+            at += len(piece) - len(d.unused_data)
+        yield b"".join(out)
+
+
+def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Headers and block of each record, one to a member; the lengths and block digests are checked."""
+    for record in members(data):
+        lines, _, rest = record.partition(b"\r\n\r\n")
+        lines = lines.decode().split("\r\n")
         if lines[0] != "WARC/1.1":
             raise ValueError("not a WARC record")
         head = dict(x.split(": ", 1) if ": " in x else (x.rstrip(":"), "") for x in lines[1:])
-        at = stop + 4
-        block = data[at : at + int(head["Content-Length"])]
-        at += len(block)
-        if data[at : at + 4] != b"\r\n\r\n" or head["WARC-Block-Digest"] != "sha1:" + base64.b32encode(hashlib.sha1(block).digest()).decode():
+        block = rest[: int(head["Content-Length"])]
+        if rest[len(block) :] != b"\r\n\r\n" or head["WARC-Block-Digest"] != "sha1:" + base64.b32encode(hashlib.sha1(block).digest()).decode():
             raise ValueError(f"broken record {head['WARC-Record-ID']}")
-        at += 4
         yield head, block
 
 
@@ -96,10 +109,17 @@ class _Roll:
 
 
 def _write(batches: Iterator[pa.RecordBatch], root: str, roll_bytes: int) -> Iterator[pa.RecordBatch]:
-    """Rows (bucket, id, url, html, sha1, refers) in order -> one row per file."""
+    """Rows (bucket, id, url, html, sha1, refers) in order -> one row per file. A row with refers only tells that
+    the pages of its id and digest, which follow it, revisit that page."""
     bucket, seq, roll = None, 0, None
+    at, told = None, {}
     for batch in batches:
         for b, page, url, html, sha1, refers in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if page != at:
+                at, told = page, {}
+            if refers is not None:
+                told[sha1] = refers
+                continue
             if roll and (b != bucket or roll.bytes >= roll_bytes):
                 yield roll.commit()
                 roll = None
@@ -108,7 +128,7 @@ def _write(batches: Iterator[pa.RecordBatch], root: str, roll_bytes: int) -> Ite
             if roll is None:
                 roll = _Roll(root, f"pages-{b:06d}-{seq:06d}.warc.gz")
                 seq += 1
-            roll.add(_record(page, url, (html or "").encode(), sha1, refers))
+            roll.add(_record(page, url, (html or "").encode(), sha1, told.get(sha1)))
     if roll:
         yield roll.commit()
 
@@ -119,10 +139,13 @@ def write_archives(pages: DataFrame, root: str, id_col: str = "page_id", url_col
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), F.sha1(body).alias("sha1"), F.octet_length(body).alias("n"))
     digests = materialize(rows.select("id", "sha1", "n").filter(f"n >= {least_bytes}"), "warc-digests")
     groups = materialize(digests.groupBy("sha1").agg(F.max("id").alias("keep"), F.count(F.lit(1)).alias("size")).filter("size > 1"), "warc-groups")
-    revisits = attach_groups(digests.select("id", "sha1"), groups, "sha1", "size", digests.count()).filter("not id <=> keep").select(F.col("id").alias("_r"), F.col("keep").alias("refers"), F.col("sha1").alias("_s")).distinct()
+    revisits = attach_groups(digests.select("id", "sha1"), groups, "sha1", "size", digests.count()).filter("not id <=> keep").select("id", "sha1", F.col("keep").alias("refers")).distinct()
     bounds = id_bounds(pages, id_col, shuffle_parts(pages.sparkSession))
-    rows = rows.join(revisits, F.col("id").eqNullSafe(F.col("_r")) & (F.col("sha1") == F.col("_s")), "left").withColumn("bucket", id_bucket(F.col("id"), bounds).cast("long"))
-    rows = rows.repartitionById(len(bounds) + 1, F.col("bucket").cast("int")).sortWithinPartitions("bucket", F.col("id").asc_nulls_first(), "sha1", "url")
+    # what revisits what travels beside the pages to their buckets: the payloads are shuffled once
+    none = F.lit(None).cast("string")
+    rows = rows.select("id", "url", "html", "sha1", F.lit(None).cast("long").alias("refers")).unionByName(revisits.select("id", none.alias("url"), none.alias("html"), "sha1", "refers"))
+    rows = rows.withColumn("bucket", id_bucket(F.col("id"), bounds).cast("long"))
+    rows = rows.repartitionById(len(bounds) + 1, F.col("bucket").cast("int")).sortWithinPartitions("bucket", F.col("id").asc_nulls_first(), F.col("refers").asc_nulls_last(), "sha1", "url")
     job = partial(_write, root=root, roll_bytes=roll_bytes)
     return materialize(rows.select("bucket", "id", "url", "html", "sha1", "refers").mapInArrow(job, "name string, records long, bytes long, sha1 string"), "warc-manifest")
 
