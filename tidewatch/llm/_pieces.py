@@ -4,6 +4,7 @@ each distinct piece between them, and the pieces' results are put together by ar
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +13,8 @@ from . import _bytes as tb
 
 #: Distinct pieces kept between batches; when there are more, the cache starts anew.
 CACHE = 400_000
+#: Bytes of text whose distinct pieces are looked up at once.
+SLICE = 8 << 20
 _MARK = np.zeros(256, bool)
 _MARK[list(b".,;:!?")] = True
 
@@ -41,10 +44,25 @@ def cuts_at_spaces(buf: np.ndarray) -> np.ndarray:
     return (buf == 0x20) & (p1 != 0x20) & (p3 != 0xE2)
 
 
+def joined(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    lens = np.fromiter(map(len, ids), np.int64, len(ids))
+    return np.fromiter(chain.from_iterable(ids), np.uint32, int(lens.sum())), lens
+
+
+def distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A place of each distinct value, and the number of each row's value."""
+    order = h.argsort()
+    new = np.ones(len(h), bool)
+    new[1:] = h[order[1:]] != h[order[:-1]]
+    inverse = np.empty(len(h), np.int64)
+    inverse[order] = np.cumsum(new) - 1
+    return np.compress(new, order), inverse
+
+
 class PieceCache:
-    """encode: distinct pieces -> ids of each; extra: (piece, ids) -> an object kept beside them."""
+    """encode: distinct pieces -> all their ids, and how many each has; extra: (piece, ids) -> an object kept beside."""
 
-    def __init__(self, encode: Callable[[list[bytes]], list[list[int]]], cuts: Callable[[np.ndarray], np.ndarray], lead: bytes = b"", extra: Callable | None = None, limit: int = CACHE):
+    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], cuts: Callable[[np.ndarray], np.ndarray], lead: bytes = b"", extra: Callable | None = None, limit: int = CACHE):
         self.encode, self.cuts, self.lead, self.extra, self.limit = encode, cuts, lead, extra, limit
         self.clear()
 
@@ -55,23 +73,26 @@ class PieceCache:
         self.extras: list = []
 
     def _add(self, pieces: list[bytes]) -> None:
-        for piece, ids in zip(pieces, self.encode(pieces), strict=True):
-            k, n = len(self.at), len(ids)
-            while self.used + n > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            if k == len(self.offs):
-                self.offs, self.lens = (np.concatenate([x, np.zeros_like(x)]) for x in (self.offs, self.lens))
-            self.flat[self.used : self.used + n] = ids
-            self.offs[k], self.lens[k] = self.used, n
-            self.used += n
-            self.at[piece] = k
-            if self.extra:
-                self.extras.append(self.extra(piece, ids))
+        ids, lens = self.encode(pieces)
+        k, n, total = len(self.at), len(pieces), len(ids)
+        while self.used + total > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while k + n > len(self.offs):
+            self.offs, self.lens = (np.concatenate([x, np.zeros_like(x)]) for x in (self.offs, self.lens))
+        self.flat[self.used : self.used + total] = ids
+        self.lens[k : k + n] = lens
+        self.offs[k : k + n] = self.used + np.cumsum(lens) - lens
+        self.used += total
+        self.at.update(zip(pieces, range(k, k + n), strict=True))
+        if self.extra:
+            ends = np.cumsum(lens).tolist()
+            ids = ids.tolist()
+            self.extras += [self.extra(p, ids[e - w : e]) for p, e, w in zip(pieces, ends, lens.tolist(), strict=True)]
 
     def batches(self, column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For each slice of rows: the numbers of their pieces, and where each row's pieces begin (and the end)."""
         data, off = tb.text_buffer(column)
-        for i, j in tb.slices(off):
+        for i, j in tb.slices(off, SLICE):
             buf, own = data[off[i] : off[j]], off[i : j + 1] - off[i]
             if self.lead:
                 n = len(self.lead)
@@ -86,11 +107,14 @@ class PieceCache:
             cut[own[:-1][own[:-1] < len(buf)]] = True
             starts = np.flatnonzero(cut)
             ends = np.append(starts[1:], len(buf))
-            _, first, inverse = np.unique(tb.segment_hash(buf, starts, ends), return_index=True, return_inverse=True)
+            first, inverse = distinct(tb.segment_hash(buf, starts, ends))
             raw = buf.tobytes()
             pieces = [raw[s:e] for s, e in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
-            self._add([p for p in dict.fromkeys(pieces) if p not in self.at])
-            number = np.fromiter((self.at[p] for p in pieces), np.int64, len(pieces))
+            number = np.fromiter((self.at.get(p, -1) for p in pieces), np.int64, len(pieces))
+            if len(new := np.flatnonzero(number < 0)):
+                missing = [pieces[k] for k in new.tolist()]
+                self._add(list(dict.fromkeys(missing)))
+                number[new] = [self.at[p] for p in missing]
             yield number[inverse], np.searchsorted(starts, own)
 
     def ids(self, column: pa.Array) -> Iterator[np.ndarray]:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._pieces import PieceCache, cuts_at_spaces
+from ._pieces import PieceCache, cuts_at_spaces, joined
 
 MARK = "▁"
 MODEL = "piece_bpe_32k.model"
@@ -107,7 +107,7 @@ class Agenda:
 @lru_cache(1)
 def _codec(path: str) -> tuple[Agenda, PieceCache]:
     agenda = Agenda(path)
-    return agenda, PieceCache(agenda.words, cuts_at_spaces, b" ", lambda _, ids: (b"".join(b" %d" % i for i in ids), agenda.decode(ids)))
+    return agenda, PieceCache(lambda pieces: joined(agenda.words(pieces)), cuts_at_spaces, b" ", lambda _, ids: (b"".join(b" %d" % i for i in ids), agenda.decode(ids)))
 
 
 def _digests(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:

@@ -12,6 +12,7 @@ other in the order of their text; an empty table writes no file and reads back n
 from __future__ import annotations
 
 import json
+import re
 import struct
 import uuid
 import zlib
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._common import id_bounds, id_bucket, materialize, new_path, shuffle_parts
-from ._pieces import PieceCache, cuts_at_white_space
+from ._pieces import PieceCache, cuts_at_white_space, joined
 
 VOCAB = "byte_bpe_50k.json"
 END_ID = 0
@@ -36,6 +37,8 @@ SHARD_TOKENS = 1 << 21
 RANK_STEP = 512
 #: Distinct pieces of text whose ids a worker keeps: some 200 MB.
 CACHE = 1_000_000
+#: A word of ASCII letters and letters of U+00C0 to U+00FF, perhaps after a space.
+WORD = re.compile(rb" ?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
 MAGIC = b"WVM1"
 
 
@@ -51,11 +54,11 @@ class WaveletMatrix:
         levels = max(1, int(ids.max()).bit_length()) if len(ids) else 1
         seq, planes, zeros = ids.astype(np.uint16 if levels <= 16 else np.uint32), [], []
         for level in range(levels - 1, -1, -1):
-            bit = (seq >> level & 1).astype(bool)
+            bit = (seq & seq.dtype.type(1 << level)) != 0
             planes.append(np.packbits(bit, bitorder="little"))
-            low = seq[~bit]
+            low = np.compress(~bit, seq)  # far faster than indexing by bit
             zeros.append(len(low))
-            seq = np.concatenate([low, seq[bit]])
+            seq = np.concatenate([low, np.compress(bit, seq)])
         return cls(len(ids), planes, zeros)
 
     def decode(self) -> np.ndarray:
@@ -64,8 +67,8 @@ class WaveletMatrix:
         for level, (plane, z) in enumerate(zip(reversed(self.planes), reversed(self.zeros), strict=True)):
             bit = np.unpackbits(plane, count=self.length, bitorder="little").view(bool)
             up = np.empty_like(seq)
-            up[~bit] = seq[:z]
-            up[bit] = seq[z:] | seq.dtype.type(1 << level)
+            up[np.flatnonzero(~bit)] = seq[:z]
+            up[np.flatnonzero(bit)] = seq[z:] | seq.dtype.type(1 << level)
             seq = up
         return seq
 
@@ -135,6 +138,13 @@ class WaveletMatrix:
         return cls(head["length"], planes, head["zeros"]), [x if k else None for x, k in zip(ids, known, strict=True)], np.frombuffer(parts[1], np.int64, n, 9 * n)
 
 
+def byte_marks() -> dict[int, str]:
+    """Byte-level vocabularies write printable Latin-1 bytes as themselves, the others as U+0100 and on, in order."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    other = [b for b in range(256) if b not in plain]
+    return {b: chr(b) if b in plain else chr(256 + other.index(b)) for b in range(256)}
+
+
 @lru_cache(1)
 def _cache(path: str) -> PieceCache:
     import os
@@ -143,7 +153,16 @@ def _cache(path: str) -> PieceCache:
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    return PieceCache(lambda pieces: [x.ids for x in tokenizer.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)], cuts_at_white_space, limit=CACHE)
+    model, mark = tokenizer.model, byte_marks()
+
+    def encode(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """A piece of letters, with a space before them or without, is one pre-token whatever stands around it: it
+        goes to the library's model at once, all others through the whole tokenizer."""
+        rest = [p.decode() for p in pieces if not WORD.fullmatch(p)]
+        others = iter(tokenizer.encode_batch_fast(rest, add_special_tokens=False))
+        return joined([[t.id for t in model.tokenize(p.decode("latin-1").translate(mark))] if WORD.fullmatch(p) else next(others).ids for p in pieces])
+
+    return PieceCache(encode, cuts_at_white_space, limit=CACHE)
 
 
 def _save(root: str, name: str, data: bytes) -> str:
