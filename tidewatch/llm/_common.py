@@ -73,13 +73,21 @@ def drop_ids(rows: DataFrame, id_col: str, gone: DataFrame) -> DataFrame:
     return boxed.join(gone, F.col("_id") == F.col("_gone"), "left_anti").select("_row.*")
 
 
+#: Ids per bucket in the sample that cuts the buckets.
+SAMPLE = 32
+
+
 def id_bounds(df: DataFrame, column: str, buckets: int) -> list[int]:
-    """At most buckets - 1 ascending cut points of a long column, about as many rows between each two."""
+    """At most buckets - 1 ascending cut points of a long column, about as many rows between each two.
+
+    They come from the SAMPLE * buckets ids of smallest hash, so they depend on the rows alone, not on their
+    partitions; the driver gets no more than that sample.
+    """
     if buckets < 2:
         return []
-    at = [i / buckets for i in range(1, buckets)]
-    found = df.agg(F.percentile_approx(column, at, 20 * buckets).alias("at")).first()["at"]
-    return sorted(set(found or []))
+    ids = df.select(F.col(column).cast("long").alias("id")).filter("id is not null").select("id", F.xxhash64("id").alias("h"))
+    sample = sorted(r["id"] for r in ids.orderBy("h", "id").limit(SAMPLE * buckets).collect())
+    return sorted({sample[len(sample) * k // buckets] for k in range(1, buckets)}) if sample else []
 
 
 def id_bucket(column: Column, bounds: list[int]) -> Column:
