@@ -11,7 +11,7 @@ results; each source's taken words differ from its target by less than its bound
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import materialize
@@ -46,41 +46,52 @@ def _targets(rows: DataFrame, weights: tuple[int, ...], cap: int) -> DataFrame:
     return c.select("_source", "source_size", "target", F.col("copies").cast("long").alias("copies"), F.expr("case when source_size = 0 or is_capped then 0 else (w * rest) div rest_w - copies * source_size end").cast("long").alias("budget"))
 
 
-def mix_decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
-    """One row per row of docs: id, source, size, source_size, target, copies, taken (= copies * size)."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    h = F.conv(F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), 1, _BITS // 4), 16, 10).cast("long")
-    rows = materialize(docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("_size"), h.alias("_h")), "mix-rows")
-    targets = materialize(_targets(rows, weights, cap), "mix-targets")
-    few = targets.count() <= BROADCAST_SOURCES
-    side = lambda df: F.broadcast(df) if few else df
+def _hash(id_col: str) -> Column:
+    return F.conv(F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), 1, _BITS // 4), 16, 10).cast("long")
+
 
-    def beside(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
-        right = right.withColumnRenamed("_source", "_s")
-        return left.join(side(right), F.col("_source").eqNullSafe(F.col("_s")), how).drop("_s")
+def _beside(left: DataFrame, right: DataFrame, few: bool, how: str = "inner") -> DataFrame:
+    right = right.withColumnRenamed("_source", "_s")
+    return left.join(F.broadcast(right) if few else right, F.col("_source").eqNullSafe(F.col("_s")), how).drop("_s")
 
+
+def _plan(rows: DataFrame, weights: tuple[int, ...], cap: int) -> tuple[DataFrame, bool]:
+    """Per source: source_size, target, full copies, and the hash below which a document is taken once more; and
+    whether the sources are few enough to broadcast."""
+    targets = materialize(_targets(rows, weights, cap), "mix-targets")
+    few = targets.count() <= BROADCAST_SOURCES
     at = targets.filter("source_size > 0").select("_source", F.lit(0).cast("long").alias("prefix"), F.col("budget").alias("left"))
     for shift in range(_BITS - _STEP, -1, -_STEP):
-        inside = beside(rows, at).filter(F.expr(f"shiftright(_h, {shift + _STEP}) = prefix"))
+        inside = _beside(rows, at, few).filter(F.expr(f"shiftright(_h, {shift + _STEP}) = prefix"))
         sums = inside.groupBy("_source", F.expr(f"shiftright(_h, {shift})").alias("bucket")).agg(F.sum("_size").alias("n"), F.max("left").alias("left"))
         run = Window.partitionBy("_source").orderBy("bucket")  # 4096 buckets of a source at most
         sums = sums.withColumn("upto", F.sum("n").over(run)).filter("upto > left and upto - n <= left")
         at = materialize(sums.select("_source", F.col("bucket").alias("prefix"), (F.col("left") - F.col("upto") + F.col("n")).alias("left"), "n"), "mix-bounds")
     # the boundary document goes in if that brings the sum nearer the budget
     bounds = at.select("_source", F.expr("prefix + if(n - left < left, 1, 0)").alias("below"))
-    out = beside(beside(rows, targets), bounds, "left")
-    copies = F.col("copies") + F.when(F.col("budget") > 0, (F.col("_h") < F.coalesce(F.col("below"), F.lit(0))).cast("long")).otherwise(F.lit(0))
-    return out.select(F.col("_id").alias(id_col), F.col("_source").alias(source_col), F.col("_size").alias("size"), "source_size", "target", copies.alias("copies"), (copies * F.col("_size")).alias("taken"))
+    below = F.when(F.col("budget") > 0, F.coalesce("below", F.lit(0))).otherwise(F.lit(0))
+    return materialize(_beside(targets, bounds, few, "left").select("_source", "source_size", "target", "copies", below.alias("below")), "mix-plan"), few
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
-    """The mixed corpus: each row of docs as many times as the mix takes it, with the columns of docs.
+def _rows(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    size = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long")
+    return materialize(docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), size.alias("_size"), _hash(id_col).alias("_h")), "mix-rows")
 
-    Documents are matched to their number of copies by id; a repeated id keeps one number, as its rows hash alike
-    (within a source).
-    """
-    decided = mix_decisions(docs, id_col, text_col, source_col, weights, cap)
-    chosen = decided.filter("copies > 0").select(F.col(id_col).alias("_id"), F.col(source_col).alias("_src"), F.col("copies").cast("int").alias("_copies")).distinct()
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col(id_col).alias("_i"), F.col(source_col).alias("_s"))
-    taken = rows.join(chosen, F.col("_i").eqNullSafe(F.col("_id")) & F.col("_s").eqNullSafe(F.col("_src")))
-    return taken.select("_row", F.explode(F.expr("sequence(1, _copies)")).alias("_k")).select("_row.*")
+
+_COPIES = "copies + cast(_h < below as bigint)"
+
+
+def mix_decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
+    """One row per row of docs: id, source, size, source_size, target, copies, taken (= copies * size)."""
+    rows = _rows(docs, id_col, text_col, source_col)
+    out = _beside(rows, *_plan(rows, weights, cap)).withColumn("copies", F.expr(_COPIES))
+    return out.select(F.col("_id").alias(id_col), F.col("_source").alias(source_col), F.col("_size").alias("size"), "source_size", "target", "copies", (F.col("copies") * F.col("_size")).alias("taken"))
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
+    """The mixed corpus: each row of docs as many times as the mix takes it, with the columns of docs. The plan of
+    the sources goes to the rows; with few sources the rows aren't shuffled at all."""
+    plan, few = _plan(_rows(docs, id_col, text_col, source_col), weights, cap)
+    boxed = docs.select(F.struct(*docs.columns).alias("_row"), F.col(source_col).alias("_source"), _hash(id_col).alias("_h"))
+    taken = _beside(boxed, plan, few).withColumn("n", F.expr(_COPIES).cast("int")).filter("n > 0")
+    return taken.select("_row", F.explode(F.expr("sequence(1, n)")).alias("_k")).select("_row.*")
