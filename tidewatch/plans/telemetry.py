@@ -302,10 +302,10 @@ def _(spark, d):
     return c.agg(F.count(F.lit(1)).alias("distinct_scores"), F.sum(F.when(F.col("c") > 1, F.col("c")).otherwise(0)).alias("tied"), F.max("c").alias("largest_tie"))
 
 
-@query("a28_row_statistics", "WITH t AS (SELECT l_orderkey, l_linenumber, [l_quantity, l_extendedprice / 1000, l_discount * 100, l_tax * 100, CASE WHEN l_linenumber = 1 THEN NULL ELSE l_linenumber::DOUBLE END] AS a FROM lineitem), u AS (SELECT *, list_sort([x for x in a if x IS NOT NULL]) AS v FROM t) SELECT l_orderkey, l_linenumber, round(list_avg(v), 4) AS mean, round(list_median(v), 4) AS median, round(list_avg(v[2:len(v) - 1]), 4) AS trimmed, round(list_stddev_pop(v), 4) AS std, len([x for x in v if x >= 5])::BIGINT AS at_least_5 FROM u")
+@query("a28_row_statistics", "WITH t AS (SELECT l_orderkey, l_linenumber, [l_quantity, l_extendedprice / 1000, l_discount * 100, l_tax * 100, CASE WHEN l_linenumber = 1 THEN NULL ELSE l_linenumber::DOUBLE END] AS a FROM lineitem), u AS (SELECT *, list_sort([x for x in a if x IS NOT NULL]) AS v FROM t) SELECT l_orderkey, l_linenumber, round(list_avg(v), 9) AS mean, round(list_median(v), 9) AS median, round(list_avg(v[2:len(v) - 1]), 9) AS trimmed, round(list_stddev_pop(v), 9) AS std, len([x for x in v if x >= 5])::BIGINT AS at_least_5 FROM u")
 def _(spark, d):
     c = [F.col("l_quantity"), F.col("l_extendedprice") / 1000, F.col("l_discount") * 100, F.col("l_tax") * 100, F.when(F.col("l_linenumber") != 1, F.col("l_linenumber").cast("double"))]
-    return read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(S.row_mean(c), 4).alias("mean"), F.round(S.row_median(c), 4).alias("median"), F.round(S.row_trimmed_mean(c), 4).alias("trimmed"), F.round(S.row_std(c), 4).alias("std"), S.row_count_at_least(c, 5.0).alias("at_least_5"))
+    return read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(S.row_mean(c), 9).alias("mean"), F.round(S.row_median(c), 9).alias("median"), F.round(S.row_trimmed_mean(c), 9).alias("trimmed"), F.round(S.row_std(c), 9).alias("std"), S.row_count_at_least(c, 5.0).alias("at_least_5"))
 
 
 @query("a29_cohens_d", f"WITH {Q.RULES}, l AS (SELECT review_order <= 50 AS g, unnest(['zero_rate', 'gap_med', 'viewer_median']) AS measure, unnest([zero_rate, gap_med, viewer_median]) AS x FROM rules), s AS (SELECT measure, count(x) FILTER (g) AS n0, count(x) FILTER (NOT g) AS n1, avg(x) FILTER (g) AS m0, avg(x) FILTER (NOT g) AS m1, var_samp(x) FILTER (g) AS v0, var_samp(x) FILTER (NOT g) AS v1 FROM l GROUP BY 1) SELECT measure, round((m0 - m1) / sqrt(((n0 - 1) * v0 + (n1 - 1) * v1) / (n0 + n1 - 2)), 6) AS d FROM s")
