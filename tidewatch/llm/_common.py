@@ -42,6 +42,19 @@ def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Rows in an Arrow batch of texts at most: a worker holds one batch and what it makes of it.
+BATCH_ROWS = 2000
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, with the session's Arrow batches held to BATCH_ROWS rows; long texts are bounded by bytes as well."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(conf.get(name))
+    if now <= 0 or now > BATCH_ROWS:
+        conf.set(name, BATCH_ROWS)
+    return df
+
+
 def lower_ascii(text: Column) -> Column:
     """Lower-cases A-Z only; null counts as empty."""
     return F.translate(F.coalesce(text, F.lit("")), UPPER, UPPER.lower())

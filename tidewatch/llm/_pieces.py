@@ -14,7 +14,7 @@ from . import _bytes as tb
 #: Distinct pieces kept between batches; when there are more, the cache starts anew.
 CACHE = 400_000
 #: Bytes of text whose distinct pieces are looked up at once.
-SLICE = 8 << 20
+SLICE = 4 << 20
 _MARK = np.zeros(256, bool)
 _MARK[list(b".,;:!?")] = True
 
@@ -70,6 +70,7 @@ class PieceCache:
         self.at: dict[bytes, int] = {}
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
         self.offs, self.lens = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.names: list[bytes] = []  # with extra only: the pieces by number, the same objects as the keys
         self.extras: list = []
 
     def _add(self, pieces: list[bytes]) -> None:
@@ -85,6 +86,7 @@ class PieceCache:
         self.used += total
         self.at.update(zip(pieces, range(k, k + n), strict=True))
         if self.extra:
+            self.names += pieces
             ends = np.cumsum(lens).tolist()
             ids = ids.tolist()
             self.extras += [self.extra(p, ids[e - w : e]) for p, e, w in zip(pieces, ends, lens.tolist(), strict=True)]

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _bytes as tb
+from ._common import small_batches
 
 UND = "und"
 WINDOW, WIDTHS, FILTERS, EMBED = 256, (2, 3, 4), 16, 8
@@ -198,7 +199,7 @@ def predict_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     if model is None:
         return docs.select(id_col, held, F.lit(UND).alias("lang_pred"), F.lit(0.0).alias("score"))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), has_letter(text_col).alias("letter"), held)
-    out = rows.mapInArrow(partial(_predict, model=model), "id long, held_out boolean, lang_pred string, score double")
+    out = small_batches(rows).mapInArrow(partial(_predict, model=model), "id long, held_out boolean, lang_pred string, score double")
     return out.withColumnRenamed("id", id_col)
 
 
@@ -208,4 +209,4 @@ def keep_known_language(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     if model is None:
         return docs.limit(0)
     rows = docs.filter(has_letter(text_col))
-    return rows.mapInArrow(partial(_keep, model=model, at=docs.columns.index(text_col), least=least_score), docs.schema)
+    return small_batches(rows).mapInArrow(partial(_keep, model=model, at=docs.columns.index(text_col), least=least_score), docs.schema)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _bytes as tb
-from ._common import attach_groups, drop_ids, materialize, shuffle_parts
+from ._common import attach_groups, drop_ids, materialize, shuffle_parts, small_batches
 
 PERMS, ROWS, BANDS, STEP = 128, 5, 25, 32
 #: Bands of the star rounds; later rounds pair only what earlier ones left unlinked.
@@ -222,7 +222,7 @@ def _with_pivot(pairs: DataFrame, payload: DataFrame, fn: Callable) -> DataFrame
     rows = pairs.join(salts, "a").join(payload.withColumnRenamed("id", "b"), "b").select("a", F.expr("pmod(xxhash64(b), salts)").cast("int").alias("salt"), "b", "payload")
     own = salts.join(payload.withColumnRenamed("id", "a"), "a").select("a", F.explode(F.expr("sequence(0, salts - 1)")).alias("salt"), F.lit(None).cast("long").alias("b"), "payload")
     both = own.unionByName(rows).repartition(parts, "a", "salt").sortWithinPartitions(F.col("a"), F.col("salt"), F.col("b").asc_nulls_first())
-    return both.mapInArrow(fn, "a long, b long")
+    return small_batches(both).mapInArrow(fn, "a long, b long")
 
 
 def components(links: DataFrame, rounds: int | None = None) -> DataFrame:
@@ -260,7 +260,7 @@ def near_dedup_decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """
     least = least_matches(percent / 100, miss)
     fields = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sketch = materialize(fields.mapInArrow(partial(_sketch, k=words), "id long, n long, fp binary, sig binary, bands array<long>"), "near-sketch")
+    sketch = materialize(small_batches(fields).mapInArrow(partial(_sketch, k=words), "id long, n long, fp binary, sig binary, bands array<long>"), "near-sketch")
     total = sketch.count()
     full = sketch.filter("n > 0 and id is not null")
     classes = materialize(full.groupBy("fp").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("members")), "near-classes")

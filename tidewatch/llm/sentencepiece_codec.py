@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._common import small_batches
 from ._pieces import PieceCache, cuts_at_spaces, joined
 
 MARK = "▁"
@@ -107,7 +108,13 @@ class Agenda:
 @lru_cache(1)
 def _codec(path: str) -> tuple[Agenda, PieceCache]:
     agenda = Agenda(path)
-    return agenda, PieceCache(lambda pieces: joined(agenda.words(pieces)), cuts_at_spaces, b" ", lambda _, ids: (b"".join(b" %d" % i for i in ids), agenda.decode(ids)))
+    return agenda, PieceCache(lambda pieces: joined(agenda.words(pieces)), cuts_at_spaces, b" ", partial(_extra, agenda))
+
+
+def _extra(agenda: Agenda, piece: bytes, ids: list[int]) -> bytes | tuple[bytes, bytes]:
+    """What a piece adds to the ids' text, and to the decoded text if that differs from the piece."""
+    written, text = b"".join(b" %d" % i for i in ids), agenda.decode(ids)
+    return written if text == piece else (written, text)
 
 
 def _digests(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
@@ -116,17 +123,18 @@ def _digests(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.Record
     for batch in batches:
         n, ids, text = [], [], []
         for number, rows in cache.batches(batch.column(1)):
-            lens, extras = cache.lens[number], cache.extras
+            lens, extras, names = cache.lens[number], cache.extras, cache.names
             number, rows = number.tolist(), rows.tolist()
             for a, b in zip(rows, rows[1:], strict=False):
-                mine = [extras[i] for i in number[a:b]]
-                if b == a + 1 and mine[0][1] == b" ":  # nothing but the leading space: no text
-                    mine, count = [], 0
-                else:
-                    count = int(lens[a:b].sum())
-                n.append(count + 1)
-                ids.append(hashlib.sha256(b"".join(x[0] for x in mine)[1:] + b" " * bool(mine) + empty).hexdigest())
-                text.append(hashlib.sha256(b"".join(x[1] for x in mine)[1:].decode("utf-8", "replace").encode()).hexdigest())
+                own = number[a:b]
+                if len(own) == 1 and names[own[0]] == b" ":  # nothing but the leading space: no text
+                    own = []
+                n.append(int(lens[a:b].sum()) + 1 if own else 1)
+                mine = [extras[i] for i in own]
+                decoded = [names[i] if type(x) is bytes else x[1] for i, x in zip(own, mine, strict=True)]
+                written = [x if type(x) is bytes else x[0] for x in mine]
+                ids.append(hashlib.sha256(b"".join(written)[1:] + b" " * bool(own) + empty).hexdigest())
+                text.append(hashlib.sha256(b"".join(decoded)[1:].decode("utf-8", "replace").encode()).hexdigest())
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(text, pa.string())], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
 
@@ -147,16 +155,16 @@ def _decode(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordB
 def sp_encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
     """(id, ids array<int>) of every row, the end id last."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(partial(_encode, path=path or public_tokenizers.path(MODEL)), "id long, ids array<int>").withColumnRenamed("id", id_col)
+    return small_batches(rows).mapInArrow(partial(_encode, path=path or public_tokenizers.path(MODEL)), "id long, ids array<int>").withColumnRenamed("id", id_col)
 
 
 def sp_decode(encoded: DataFrame, id_col: str = "doc_id", path: str | None = None) -> DataFrame:
     """(id, text) of ``sp_encode``'s rows."""
     rows = encoded.select(F.col(id_col).cast("long").alias("id"), "ids")
-    return rows.mapInArrow(partial(_decode, path=path or public_tokenizers.path(MODEL)), "id long, text string").withColumnRenamed("id", id_col)
+    return small_batches(rows).mapInArrow(partial(_decode, path=path or public_tokenizers.path(MODEL)), "id long, text string").withColumnRenamed("id", id_col)
 
 
 def sp_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded_sha256) of every row, encoded and decoded in one pass."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(partial(_digests, path=path or public_tokenizers.path(MODEL)), "id long, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)
+    return small_batches(rows).mapInArrow(partial(_digests, path=path or public_tokenizers.path(MODEL)), "id long, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)

@@ -26,7 +26,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import attach_groups, id_bounds, id_bucket, materialize, new_path, shuffle_parts
+from ._common import attach_groups, id_bounds, id_bucket, materialize, new_path, shuffle_parts, small_batches
 
 LEAST_BYTES = 1000
 ROLL_BYTES = 16 << 20
@@ -147,7 +147,7 @@ def write_archives(pages: DataFrame, root: str, id_col: str = "page_id", url_col
     rows = rows.withColumn("bucket", id_bucket(F.col("id"), bounds).cast("long"))
     rows = rows.repartitionById(len(bounds) + 1, F.col("bucket").cast("int")).sortWithinPartitions("bucket", F.col("id").asc_nulls_first(), F.col("refers").asc_nulls_last(), "sha1", "url")
     job = partial(_write, root=root, roll_bytes=roll_bytes)
-    return materialize(rows.select("bucket", "id", "url", "html", "sha1", "refers").mapInArrow(job, "name string, records long, bytes long, sha1 string"), "warc-manifest")
+    return materialize(small_batches(rows.select("bucket", "id", "url", "html", "sha1", "refers")).mapInArrow(job, "name string, records long, bytes long, sha1 string"), "warc-manifest")
 
 
 def _read(batches: Iterator[pa.RecordBatch], root: str) -> Iterator[pa.RecordBatch]:

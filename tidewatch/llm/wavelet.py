@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import id_bounds, id_bucket, materialize, new_path, shuffle_parts
+from ._common import id_bounds, id_bucket, materialize, new_path, shuffle_parts, small_batches
 from ._pieces import PieceCache, cuts_at_white_space, joined
 
 VOCAB = "byte_bpe_50k.json"
@@ -211,7 +211,7 @@ def write_shards(docs: DataFrame, root: str, id_col: str = "doc_id", text_col: s
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).withColumn("bucket", id_bucket(F.col("id"), bounds).cast("long"))
     rows = rows.repartitionById(len(bounds) + 1, F.col("bucket").cast("int")).sortWithinPartitions("bucket", F.col("id").asc_nulls_first(), "text")
     job = partial(_write, root=root, path=path or public_tokenizers.path(VOCAB), end_id=end_id, most=shard_tokens)
-    return materialize(rows.select("bucket", "id", "text").mapInArrow(job, "bucket long, seq long, name string, docs long, tokens long, bytes long"), "wavelet-manifest")
+    return materialize(small_batches(rows.select("bucket", "id", "text")).mapInArrow(job, "bucket long, seq long, name string, docs long, tokens long, bytes long"), "wavelet-manifest")
 
 
 def open_shard(root: str, name: str) -> tuple[WaveletMatrix, list[int | None], np.ndarray]:
