@@ -10,8 +10,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text handled at once; a longer document makes a slice of its own.
-SLICE = 4 << 20
-BLOCK = 1 << 20
+SLICE = 2 << 20
+BLOCK = 1 << 19
 WS = np.zeros(256, bool)
 WS[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)

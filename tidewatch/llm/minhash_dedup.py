@@ -117,6 +117,7 @@ def _sketch(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatc
         m = np.array(sigs, np.uint32).reshape(-1, PERMS)
         keys = pa.FixedSizeListArray.from_arrays(pa.array(band_keys(m).ravel()), BANDS).cast(pa.list_(pa.int64()))
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), _binary(fp), _binary([r.tobytes() for r in m.astype(np.uint8)]), keys], ["id", "n", "fp", "sig", "bands"])
+    pa.default_memory_pool().release_unused()
 
 
 def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:

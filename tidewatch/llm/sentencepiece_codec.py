@@ -136,6 +136,8 @@ def _digests(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.Record
                 ids.append(hashlib.sha256(b"".join(written)[1:] + b" " * bool(own) + empty).hexdigest())
                 text.append(hashlib.sha256(b"".join(decoded)[1:].decode("utf-8", "replace").encode()).hexdigest())
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(text, pa.string())], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+    cache.clear()  # a worker outlives its task; what it keeps would add to the memory of later stages
+    pa.default_memory_pool().release_unused()
 
 
 def _encode(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
