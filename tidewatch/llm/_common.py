@@ -43,15 +43,19 @@ def shuffle_parts(spark: SparkSession) -> int:
 
 
 #: Rows in an Arrow batch of texts at most: a worker holds one batch and what it makes of it.
-BATCH_ROWS = 2000
+BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
 
 
 def small_batches(df: DataFrame) -> DataFrame:
-    """df, with the session's Arrow batches held to BATCH_ROWS rows; long texts are bounded by bytes as well."""
+    """df, with the session's Arrow batches held to BATCH_ROWS rows and BATCH_BYTES bytes (or one row)."""
     conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
     now = int(conf.get(name))
     if now <= 0 or now > BATCH_ROWS:
         conf.set(name, BATCH_ROWS)
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = str(conf.get(name)).lower().removesuffix("b")
+    if not now.isdigit() or int(now) > BATCH_BYTES:
+        conf.set(name, BATCH_BYTES)
     return df
 
 
