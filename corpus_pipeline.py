@@ -27,8 +27,8 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked at a similarity of 0.85 or more, the one with the smallest doc_id stays."""
-    return near_dedup(docs)
+    """Of documents linked at a similarity of 0.8 or more, the one with the smallest doc_id stays."""
+    return near_dedup(docs, percent=80)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -277,6 +277,23 @@ def test_link_blocks_lose_nothing(monkeypatch):
     assert links and parts(links) == parts(every)
 
 
+def test_pipeline_links_from_080(spark):
+    """Pairs and a chain at Jaccard 131/161 = 0.81, which the pipeline's stage links and op 8's threshold doesn't."""
+    import corpus_pipeline
+    from tidewatch.llm import minhash_dedup as m
+
+    texts = []
+    for k in range(40):
+        base = [f"w{k}x{i}" for i in range(150)]
+        edited = [w + "y" if i in (30, 60, 90) else w for i, w in enumerate(base)]
+        texts += [" ".join(base), " ".join(edited)]
+    texts.append(" ".join(w + "y" if i in (45, 75, 105) else w for i, w in enumerate(edited)))
+    d = docs_of(spark, texts)
+    assert {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, d, "").collect()} == set(range(0, 80, 2))
+    assert m.near_dedup_decisions(d).filter("kept").count() == 81
+    assert all((1 - (p / 100) ** w) ** b < 5e-7 and w * b <= m.PERMS for p in (80, 85) for w, b in [m.band_shape(p)])
+
+
 def test_dual_tree(spark):
     from tidewatch.llm.dual_tree import DualSearch, top_k
 

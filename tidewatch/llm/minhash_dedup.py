@@ -1,7 +1,8 @@
 """Near-duplicate linking: MinHash bands, sequential Bayesian verification, exact verification, components.
 
-1. Every text becomes its set of word-shingle hashes, a 128-value MinHash signature and 25 band keys. Equal sets
-   are one class, represented by its smallest id; only representatives go on.
+1. Every text becomes its set of word-shingle hashes, a 128-value MinHash signature and its band keys (25 bands of
+   5 values; 32 of 4 for thresholds under 0.85). Equal sets are one class, represented by its smallest id; only
+   representatives go on.
 2. Representatives that share a band key are candidates. Signatures are compared 32 values at a time; a pair is
    pruned once the posterior probability (uniform prior) that its similarity reaches the threshold falls below
    ``miss``. Survivors are confirmed on their full sets.
@@ -32,8 +33,8 @@ from . import _bytes as tb
 from ._common import attach_groups, drop_ids, materialize, shuffle_parts, small_batches
 
 PERMS, ROWS, BANDS, STEP = 128, 5, 25, 32
-#: Bands of the star rounds; later rounds pair only what earlier ones left unlinked.
-ROUNDS = ((0, 2), (2, 8), (8, BANDS))
+#: Where the star rounds' bands begin; later rounds pair only what earlier ones left unlinked.
+ROUNDS = (0, 2, 8)
 #: A block of a bucket holds about this many rows and set members at most.
 BLOCK_ROWS, BLOCK_HASHES = 1024, 1 << 20
 PIVOT_ROWS = 4096
@@ -72,11 +73,16 @@ def signature(u: np.ndarray) -> np.ndarray:
     return out
 
 
-def band_keys(sigs: np.ndarray) -> np.ndarray:
-    """rows x BANDS keys; the band's number is part of its key."""
-    x = sigs[:, : BANDS * ROWS].reshape(-1, BANDS, ROWS).astype(np.uint64)
-    h = np.repeat(np.arange(BANDS, dtype=np.uint64)[None, :], len(x), axis=0)
-    for r in range(ROWS):
+def band_shape(percent: int) -> tuple[int, int]:
+    """(values in a band, bands) that miss a pair at the threshold with a chance of 5e-7 at most, from 80 on."""
+    return (ROWS, BANDS) if percent >= 85 else (4, 32)
+
+
+def band_keys(sigs: np.ndarray, width: int = ROWS, bands: int = BANDS) -> np.ndarray:
+    """rows x bands keys; the band's number is part of its key."""
+    x = sigs[:, : bands * width].reshape(-1, bands, width).astype(np.uint64)
+    h = np.repeat(np.arange(bands, dtype=np.uint64)[None, :], len(x), axis=0)
+    for r in range(width):
         h = tb.mix64((h ^ x[:, :, r]) + np.uint64(0x9E3779B97F4A7C15))
     return h.view(np.int64)
 
@@ -107,7 +113,7 @@ def _binary(rows: list[bytes]) -> pa.Array:
     return pa.array(rows, pa.binary())
 
 
-def _sketch(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+def _sketch(batches: Iterator[pa.RecordBatch], k: int, width: int, bands: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         n, fp, sigs = [], [], []
         for u in shingle_sets(batch.column(1), k):
@@ -115,7 +121,7 @@ def _sketch(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatc
             fp.append(hashlib.blake2b(u.tobytes(), digest_size=16).digest())
             sigs.append(signature(u))
         m = np.array(sigs, np.uint32).reshape(-1, PERMS)
-        keys = pa.FixedSizeListArray.from_arrays(pa.array(band_keys(m).ravel()), BANDS).cast(pa.list_(pa.int64()))
+        keys = pa.FixedSizeListArray.from_arrays(pa.array(band_keys(m, width, bands).ravel()), bands).cast(pa.list_(pa.int64()))
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), _binary(fp), _binary([r.tobytes() for r in m.astype(np.uint8)]), keys], ["id", "n", "fp", "sig", "bands"])
     pa.default_memory_pool().release_unused()
 
@@ -257,11 +263,13 @@ def near_dedup_decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """One row per row of docs: id, n_shingles, component_id (smallest id reachable over links), kept.
 
     Two documents are linked if 100 * intersection >= percent * union of their sets. percent should be at least
-    80: the bands find a pair at 0.85 but for 4 in 10 million.
+    80: the bands find a pair at 0.85 but for 4 in 10 million, and one at 0.8, if percent is under 85, but for 5 in
+    100 million.
     """
+    width, bands = band_shape(percent)
     least = least_matches(percent / 100, miss)
     fields = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sketch = materialize(small_batches(fields).mapInArrow(partial(_sketch, k=words), "id long, n long, fp binary, sig binary, bands array<long>"), "near-sketch")
+    sketch = materialize(small_batches(fields).mapInArrow(partial(_sketch, k=words, width=width, bands=bands), "id long, n long, fp binary, sig binary, bands array<long>"), "near-sketch")
     total = sketch.count()
     full = sketch.filter("n > 0 and id is not null")
     classes = materialize(full.groupBy("fp").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("members")), "near-classes")
@@ -284,7 +292,7 @@ def near_dedup_decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str
             return rows.withColumn("label", F.col("id"))
         return rows.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
 
-    for low, high in ROUNDS:
+    for low, high in zip(ROUNDS, (*ROUNDS[1:], bands), strict=True):
         rows = labelled(buckets.filter((F.col("band") >= low) & (F.col("band") < high)))
         pivots = rows.groupBy("h").agg(F.min_by(F.struct("id", "label", "n"), F.xxhash64("id", "h")).alias("p"), F.max("label").alias("most"), F.min("label").alias("fewest"))
         pivots = pivots.filter("most <> fewest").select("h", F.col("p.id").alias("a"), F.col("p.label").alias("pl"), F.col("p.n").alias("pn"))
