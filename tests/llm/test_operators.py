@@ -319,6 +319,26 @@ def test_dual_tree(spark):
     assert DualSearch(np.full((1, 8), 2.0**26), np.array([-1]), np.full((2, 8), 2.0**26), np.array([1, 2]), 5).run()[2].tolist() == [2**55, 2**55]
 
 
+def test_dual_tree_large_vectors(spark):
+    """Unnormalised vectors take part with exact scores; scores that leave a long count as its ends."""
+    from tidewatch.llm.dual_tree import top_k
+
+    r = np.random.default_rng(6)
+    rows = [(i, (r.normal(0, 1, 8) * 10.0 ** int(r.integers(0, 8) if i % 3 == 0 else 0)).tolist()) for i in range(400)]
+    rows += [(1000 + i, [s * 10.0**e] * 8) for i, (s, e) in enumerate([(1, 6), (-1, 6), (1, 12), (-1, 12), (1, 15), (-1, 15), (-1, 15)])] + [(2000, [1e6] + [0.0] * 7), (2050, [-1e15] * 8), (2100, [2.0**55] * 8), (2150, [1e307] * 8)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    vec = {i: [math.floor(256 * x) for x in v] for i, v in rows if i < 2100}
+    most, want = 2**63 - 1, []
+    for q in (i for i in vec if i % 50 == 0):
+        best = sorted((-max(-most, min(most, sum(a * b for a, b in zip(vec[q], vec[i], strict=True)))), i) for i in vec if i != q)[:5]
+        want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
+    assert any(s == most for *_, s in want) and any(1000 <= i for _, _, i, _ in want) and any(q == 2000 for q, *_ in want)
+    for shard, block in ((4096, 2048), (50, 3)):
+        assert sorted(map(tuple, top_k(df, F.col("vec_id") % 50 == 0, shard_rows=shard, block_rows=block).collect())) == sorted(want)
+    only = df.filter("vec_id in (1005, 1006, 1004) or vec_id = 1000")
+    assert sorted(tuple(g) for g in top_k(only, F.col("vec_id") == 1004).collect())[-2:] == [(1004, 2, 1005, -most), (1004, 3, 1006, -most)]
+
+
 def test_mixing(spark, odd, empty):
     from tidewatch.llm.mixing import mix, mix_decisions
 

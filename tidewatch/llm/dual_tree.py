@@ -5,9 +5,10 @@ task's group. Both sides get a cover tree (children are farthest-first centres,
 level's covering radius). A pair of nodes is pruned when the largest inner product that its centres and covering
 radii allow is below the worst k-th score of the query node's group; what is left meets leaf by leaf.
 
-Defined cases: vectors that are null, or hold null or non-finite components or components beyond 2**27 after
-scaling (their products would leave a long), take no part; shorter vectors count as ending in zeros; equal scores
-rank by smaller id; repeated rows of an id count once per row, and a query is never matched with its own id.
+Defined cases: vectors that are null, or hold null or non-finite components or components that leave a long after
+scaling, take no part; scores are exact, and those beyond +-(2**63 - 1) count as these; shorter vectors count as
+ending in zeros; equal scores rank by smaller id; repeated rows of an id count once per row, and a query is never
+matched with its own id.
 """
 
 from __future__ import annotations
@@ -24,7 +25,8 @@ from ._common import shuffle_parts
 
 SHARD_ROWS, BLOCK_ROWS = 4096, 2048
 LEAF, FANOUT = 64, 12
-SCALE, LIMIT = 256, 1 << 27
+SCALE, LIMIT = 256, 2.0**63
+LOW, MOST = np.iinfo(np.int64).min, np.iinfo(np.int64).max
 
 
 def quantize(column: pa.Array, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -33,8 +35,9 @@ def quantize(column: pa.Array, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     for i, v in zip(ids.tolist(), column.to_pylist(), strict=True):
         if i is None or v is None or None in v:
             continue
-        x = np.floor(SCALE * np.array(v, np.float64))
-        if np.isfinite(x).all() and (np.abs(x) <= LIMIT).all():
+        with np.errstate(over="ignore"):
+            x = np.floor(SCALE * np.array(v, np.float64))
+        if (np.abs(x) < LIMIT).all():
             rows.append(x)
             keep.append(i)
     width = max((len(x) for x in rows), default=0)
@@ -91,33 +94,42 @@ class DualSearch:
         pad = lambda x: np.pad(x, ((0, 0), (0, width - x.shape[1])))
         self.q, self.p, self.k = CoverTree(pad(queries)), CoverTree(pad(points)), k
         self.qid, self.pid = query_ids, ids
-        self.score = np.full((len(query_ids), k), -np.inf)
-        self.found = np.full((len(query_ids), k), np.iinfo(np.int64).max)
-        self.exact = not len(ids) or not len(query_ids) or np.sqrt((self.q.points**2).sum(1).max() * (self.p.points**2).sum(1).max()) < 2**52
-        if not self.exact:  # beyond float64's integers: sums in long
-            self.score = np.full((len(query_ids), k), np.iinfo(np.int64).min)
+        self.score = np.full((len(query_ids), k), LOW)
+        self.found = np.full((len(query_ids), k), MOST)
+        self.qn, self.pn = (np.sqrt((t.points**2).sum(axis=1)) for t in (self.q, self.p))
         self.pairs = self.pruned = 0
 
     def bound(self, a: int, nodes: np.ndarray) -> np.ndarray:
         q, p = self.q, self.p
         dot = p.at[nodes] @ q.at[a]
         b = dot + q.r[a] * p.norm[nodes] + p.r[nodes] * q.norm[a] + q.r[a] * p.r[nodes]
-        return b + np.abs(b) * 1e-9 + 1
+        slack = (q.norm[a] + q.r[a]) * (p.norm[nodes] + p.r[nodes]) * 1e-9 + 1  # sums are off by a share of the norms
+        return np.maximum(b + slack, -(2.0**63))
+
+    def _scores(self, rows: np.ndarray, members: np.ndarray) -> np.ndarray:
+        """Exact inner products: in float64 while norms keep them in its integers, else in long, else in Python's."""
+        x, y = self.q.points[rows], self.p.points[members]
+        s, most = x @ y.T, self.qn[rows][:, None] * self.pn[members]
+        if most.max() < 2**52:
+            return s.astype(np.int64)
+        out = np.where(most < 2**52, s, 0).astype(np.int64)
+        for at, form in (((most >= 2**52) & (most < 2**62), np.int64), (most >= 2**62, object)):
+            i, j = np.flatnonzero(at.any(axis=1)), np.flatnonzero(at.any(axis=0))
+            if len(i):
+                whole = x[i].astype(np.int64).astype(form) @ y[j].astype(np.int64).astype(form).T
+                mine = at[np.ix_(i, j)]
+                out[np.ix_(i, j)] = np.where(mine, np.clip(whole, -MOST, MOST), out[np.ix_(i, j)]).astype(np.int64)
+        return out
 
     def _base(self, rows: np.ndarray, members: np.ndarray) -> None:
-        if self.exact:
-            s = self.q.points[rows] @ self.p.points[members].T
-            low = -np.inf
-        else:
-            s = self.q.points[rows].astype(np.int64) @ self.p.points[members].T.astype(np.int64)
-            low = np.iinfo(np.int64).min
+        s = self._scores(rows, members)
         ids = np.broadcast_to(self.pid[members], s.shape)
-        s = np.where(ids == self.qid[rows][:, None], low, s)
+        s = np.where(ids == self.qid[rows][:, None], LOW, s)
         if not (s.max(axis=1) >= self.score[rows, -1]).any():
             return
         s, ids = np.concatenate([self.score[rows], s], axis=1), np.concatenate([self.found[rows], ids], axis=1)
-        ids = np.where(s == low, np.iinfo(np.int64).max, ids)
-        order = np.lexsort((ids, -s if self.exact else ~s), axis=-1)[:, : self.k]
+        ids = np.where(s == LOW, MOST, ids)
+        order = np.lexsort((ids, ~s), axis=-1)[:, : self.k]
         self.score[rows], self.found[rows] = np.take_along_axis(s, order, 1), np.take_along_axis(ids, order, 1)
 
     def _visit(self, a: int, frontier: np.ndarray) -> None:
@@ -146,9 +158,9 @@ class DualSearch:
     def run(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         if len(self.qid) and len(self.pid):
             self._visit(0, np.array([0]))
-        ok = self.found != np.iinfo(np.int64).max
+        ok = self.found != MOST
         row = np.repeat(np.arange(len(self.qid)), ok.sum(axis=1))
-        return self.qid[row], self.found[ok], self.score[ok].astype(np.int64)
+        return self.qid[row], self.found[ok], self.score[ok]
 
 
 def _search(key: tuple, points: pa.Table, queries: pa.Table, k: int) -> pa.Table:
