@@ -117,6 +117,34 @@ def test_consensus_counts_missing_ranks_as_zero(spark):
     assert out["s1"]["consensus"] == 0.375 and out["s2"]["consensus"] == 0.625 and out["s2"]["review_order"] == 1
 
 
+def test_recovery_scans_the_injected_rows(spark, tmp_path):
+    import random
+
+    from tidewatch.operators import state, synthetic
+
+    r, rows = random.Random(3), []
+    for b in range(30):
+        for i in range(40):
+            chat = r.randint(10, 30)
+            rows.append((1, b, f"1_{b}", T0 + dt.timedelta(minutes=i), r.randint(80, 120), chat, chat // 2))
+    df = spark.createDataFrame(rows, "run_id int, broad_no long, session_key string, minute_ts timestamp_ntz, viewer_count_last long, chat_count long, unique_chatters long")
+
+    def kept(df, name):
+        df.write.parquet(f"{tmp_path}/{name}")
+        return spark.read.parquet(f"{tmp_path}/{name}")
+
+    real = kept(state.minute_state(df, 1.1), "state")
+    scores = kept(state.mismatch_scores(real), "scores")
+    injected = kept(synthetic.inject(real), "injected")
+    rescored = kept(state.injected_scores(kept(state.injected_state(injected, real, 1.1), "changed"), scores), "rescored")
+    rescored = kept(state.injected_ranks(rescored, scores), "ranked")
+    hit, miss = (injected.join(rescored.select("session_key", "minute_idx", "minute_mismatch_rank"), ["session_key", "minute_idx"]).filter(x).agg(F.avg("minute_mismatch_rank")).first()[0] for x in ("injected", "not injected"))
+    assert rescored.count() == 1200 and hit > 0.9 > 0.6 > miss
+    z = lambda s: s.withColumn("z", F.expr(S.rank_z_sql("minute_mismatch_rank")))
+    rate = lambda s: synthetic.recovery(injected, scan.best_intervals(z(s), 1.1), ["run_id", "broad_no"]).agg(F.avg(F.col("at_30").cast("double"))).first()[0]
+    assert rate(rescored) > 0.9 and rate(scores) < 0.5
+
+
 def test_metrics(spark):
     df = spark.createDataFrame([(0.9, 1), (0.8, 0), (0.8, 1), (0.1, 0)], "s double, y int")
     r = models.binary_metrics(df, "s", "y").collect()[0]

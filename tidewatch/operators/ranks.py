@@ -99,6 +99,21 @@ def average_percentile(df: DataFrame, column: str, reference: DataFrame, ref_col
     return df.join(ranks, F.col(column).cast("double") == F.col("_hist_x"), "left").drop("_hist_x")
 
 
+def average_percentiles(df: DataFrame, reference: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """average_percentile of several columns that both tables have, new name -> column; each histogram is taken from
+    the tables themselves, so that plans don't nest."""
+    names = list(columns.values())
+    both = df.select(*names, F.lit(0).cast("long").alias("_w")).unionByName(reference.select(*names, F.lit(1).cast("long").alias("_w")))
+    bounds, total = value_bounds(both, names), reference.agg(*[F.count(c).alias(f"_n{i}") for i, c in enumerate(names)])
+    out = df
+    for i, (name, c) in enumerate(columns.items()):
+        hist = both.filter(F.col(c).isNotNull()).groupBy(F.col(c).alias("_hist_x")).agg(F.sum("_w").alias("_r"))
+        hist = cumulative(hist, "_hist_x", {"_upto": "_r"}, bounds[c]).join(F.broadcast(total.select(f"_n{i}")))
+        rank = hist.select("_hist_x", ((2 * F.col("_upto") - F.col("_r")) / (2 * F.col(f"_n{i}"))).alias(name))
+        out = out.join(rank, F.col(c) == F.col("_hist_x"), "left").drop("_hist_x")
+    return out
+
+
 def bh_q(df: DataFrame, p: str, name: str) -> DataFrame:
     """Benjamini-Hochberg step-up q values over summary rows; null p stays null."""
     n = F.count(p).over(Window.partitionBy())

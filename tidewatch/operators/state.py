@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import arg_max, row_mean
-from .ranks import pct_rank, pct_ranks, qcut, qcut_edges
+from .ranks import average_percentiles, pct_rank, pct_ranks, qcut, qcut_edges
 from .windows import interpolate, rolling, run_length, session_window
 
 SIGNALS = ("chat_deficit", "unique_deficit", "rolling_chat_deficit_5m", "rolling_unique_deficit_5m", "rolling_zero_rate_5m", "zero_run_len")
@@ -23,13 +23,22 @@ def minute_state(minute: DataFrame, gap_minutes: float, bins: int = 10) -> DataF
     """All state columns. Bins and medians come from sessions that chat at all; the edges are a few numbers."""
     w = session_window()
     out = clean_viewers(minute).withColumn("minute_idx", F.row_number().over(w))
-    out = out.select("*", F.log1p("viewer").alias("log_viewer"), F.log1p("chat_count").alias("log_chat"), F.log1p("unique_chatters").alias("log_unique"), (F.col("chat_count") == 0).alias("zero_chat"))
-    out = run_length(out, "zero_chat", "zero_run_len", w, gap_minutes)
+    out = _logs(out, gap_minutes)
     out = out.withColumn("all_zero", F.max("chat_count").over(Window.partitionBy("run_id", "broad_no")) == 0)
     model = out.filter("not all_zero")
     edges = qcut_edges(model, "viewer", bins)
     out = out.withColumn("viewer_bin", qcut(F.col("viewer"), edges))
-    model = out.filter("not all_zero")
+    return _deficits(out, out.filter("not all_zero"))
+
+
+def _logs(out: DataFrame, gap_minutes: float) -> DataFrame:
+    out = out.select("*", F.log1p("viewer").alias("log_viewer"), F.log1p("chat_count").alias("log_chat"), F.log1p("unique_chatters").alias("log_unique"), (F.col("chat_count") == 0).alias("zero_chat"))
+    return run_length(out, "zero_chat", "zero_run_len", session_window(), gap_minutes)
+
+
+def _deficits(out: DataFrame, model: DataFrame) -> DataFrame:
+    """Deficits against the medians that the model's rows have in each bin, and what rolls over them."""
+    w = session_window()
     per_bin = model.groupBy("viewer_bin").agg(F.percentile("log_chat", F.lit(0.5)).alias("_bc"), F.percentile("log_unique", F.lit(0.5)).alias("_bu"))
     overall = model.agg(F.percentile("log_chat", F.lit(0.5)).alias("_gc"), F.percentile("log_unique", F.lit(0.5)).alias("_gu"))
     out = out.join(F.broadcast(per_bin), "viewer_bin", "left").join(F.broadcast(overall))  # ten bins, one row
@@ -51,6 +60,26 @@ def mismatch_scores(state: DataFrame, signals: tuple[str, ...] = SIGNALS) -> Dat
     return pct_rank(out, "minute_mismatch_score", "minute_mismatch_rank")
 
 
+def injected_state(injected: DataFrame, real: DataFrame, gap_minutes: float, bins: int = 10) -> DataFrame:
+    """State columns of changed rows, anew from their counts; bins and medians are those of the real rows' state."""
+    model = real.filter("not all_zero")
+    out = _logs(injected.select("run_id", "broad_no", "session_key", "minute_ts", "minute_idx", "viewer", "chat_count", "unique_chatters"), gap_minutes)
+    return _deficits(out.withColumn("viewer_bin", qcut(F.col("viewer"), qcut_edges(model, "viewer", bins))), model)
+
+
+def injected_scores(state: DataFrame, real: DataFrame, signals: tuple[str, ...] = SIGNALS) -> DataFrame:
+    """Mismatch score of changed rows by their place among the real rows' signals; injected_ranks ranks the score."""
+    nine = lambda df: df.withColumns({f"_s_{s}": F.round(F.col(s).cast("double"), 9) for s in signals})
+    out, ref = nine(state), nine(real)
+    out = average_percentiles(out, ref, {f"r_{s}": f"_s_{s}" for s in signals})
+    out = out.withColumn("minute_mismatch_score", F.round(row_mean([F.col(f"r_{s}") for s in signals]), 12)).drop(*[f"_s_{s}" for s in signals])
+    return out
+
+
+def injected_ranks(scores: DataFrame, real: DataFrame) -> DataFrame:
+    return average_percentiles(scores, real, {"minute_mismatch_rank": "minute_mismatch_score"})
+
+
 def session_summary(state: DataFrame, min_n: int = 10) -> DataFrame:
     """One row per session with eligibility; sessions without chat or with too few ticks are not eligible."""
     med = lambda c: F.percentile(c, F.lit(0.5))

@@ -30,7 +30,8 @@ def inject(state: DataFrame, least: int = 8) -> DataFrame:
     factor = lambda k: F.coalesce(*[F.when(F.col("injection_type") == name, F.lit(f[k])) for name, f in KINDS.items()])
     viewers = F.when(F.col("injected"), F.col("viewer") * factor(0)).otherwise(F.col("viewer"))
     chat = F.when(F.col("injected"), F.floor(F.col("chat_count") * factor(1))).otherwise(F.col("chat_count"))
-    return out.withColumns({"viewer": viewers, "chat_count": chat.cast("long")}).drop("_n", "_h", "_len")
+    unique = F.when(F.col("injected"), F.floor(F.col("unique_chatters") * factor(1))).otherwise(F.col("unique_chatters"))
+    return out.withColumns({"viewer": viewers, "chat_count": chat.cast("long"), "unique_chatters": unique.cast("long")}).drop("_n", "_h", "_len")
 
 
 def recovery(injected: DataFrame, detected: DataFrame, keys: list[str]) -> DataFrame:

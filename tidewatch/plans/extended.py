@@ -6,8 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
-from ..operators import learn, models, ranks, scan, synthetic, windows
+from ..operators import learn, models, ranks, scan, state, synthetic, windows
 from ..sources import telemetry as source
+from ..sources.steps import step
 from . import sql as Q
 from .telemetry import _RS, GRID_D, GRID_Q, ID, query, r6, read, ruled, scored, sessions, stated, zed
 
@@ -78,6 +79,34 @@ def _(spark, d):
     return synthetic.recovery_summary(found)
 
 
+@step
+def _injected(spark, d):
+    return synthetic.inject(stated(spark, d))
+
+
+@step
+def _injected_state(spark, d):
+    return state.injected_state(_injected(spark, d), stated(spark, d), source.GAP_MINUTES)
+
+
+@step
+def _injected_scores(spark, d):
+    return state.injected_scores(_injected_state(spark, d), scored(spark, d))
+
+
+@step
+def _injected_zed(spark, d):
+    out = state.injected_ranks(_injected_scores(spark, d), scored(spark, d))
+    return out.withColumn("z", F.round(F.expr(S.rank_z_sql("minute_mismatch_rank")), 9))
+
+
+@query("j7_recovery_rescored")
+def _(spark, d):
+    """Planted places against the intervals that a scan of the changed and rescored rows finds."""
+    found = synthetic.recovery(_injected(spark, d), scan.best_intervals(_injected_zed(spark, d), source.GAP_MINUTES), ID)
+    return synthetic.recovery_summary(found)
+
+
 @query("r19_persistence_null")
 def _(spark, d):
     return synthetic.persistence_null(scored(spark, d).withColumn("flag", F.col("minute_mismatch_rank") >= 0.9))
