@@ -552,6 +552,15 @@ def _(spark, d):
     return models.calinski_davies(e, "label", _X)
 
 
+@query("m15_cluster_metrics_whole")
+def _(spark, d):
+    """The same over all components; the SQL of m15_cluster_metrics holds that one to the first four."""
+    e = read(spark, d, "embeddings")
+    width = e.agg(F.max(F.size("embedding"))).first()[0] or 0
+    x = [f"x{i}" for i in range(max(width, 1))]
+    return models.calinski_davies(models.embedding_columns(e, "embedding", len(x)).select("label", *x), "label", x)
+
+
 @query("m15_adjusted_rand", "WITH e AS (SELECT label AS a, (vec_id % 4)::INT AS b FROM embeddings), c AS (SELECT a, b, count(*) AS n FROM e GROUP BY ALL), i AS (SELECT sum(n * (n - 1) / 2) AS i, sum(n) AS t FROM c), p AS (SELECT sum(n * (n - 1) / 2) AS p FROM (SELECT a, sum(n) AS n FROM c GROUP BY 1)), q AS (SELECT sum(n * (n - 1) / 2) AS q FROM (SELECT b, sum(n) AS n FROM c GROUP BY 1)) SELECT round((i - p * q / (t * (t - 1) / 2)) / ((p + q) / 2 - p * q / (t * (t - 1) / 2)), 6) AS ari FROM i, p, q")
 def _(spark, d):
     e = read(spark, d, "embeddings").select(F.col("label").alias("a"), (F.col("vec_id") % 4).cast("int").alias("b"))
