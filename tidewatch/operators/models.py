@@ -1,4 +1,4 @@
-"""Estimators and metrics: exact scaling, ECOD, LOF on summary rows, cluster metrics, classification metrics, KMeans."""
+"""Estimators and metrics: exact scaling, ECOD, cluster metrics, classification metrics, KMeans."""
 
 from __future__ import annotations
 
