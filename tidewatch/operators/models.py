@@ -8,23 +8,22 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranks import cumulative
+from ..functions.scalar import finite
+from .ranks import by_value, cumulative, quantile_row, value_bounds
 
 
 def median_impute(df: DataFrame, columns: list[str]) -> DataFrame:
     """Null, NaN and infinite values take the column's exact median, or 0 where all are missing."""
-    clean = df.select("*", *[F.when(~F.isnan(F.col(c).cast("double")) & (F.abs(c) != float("inf")), F.col(c).cast("double")).alias(f"_{c}") for c in columns])
-    med = clean.agg(*[F.percentile(f"_{c}", F.lit(0.5)).alias(f"_m_{c}") for c in columns])
-    out = clean.join(F.broadcast(med))
-    return out.select(*[c for c in df.columns if c not in columns], *[F.coalesce(f"_{c}", f"_m_{c}", F.lit(0.0)).alias(c) for c in columns])
+    clean = df.select(*[c for c in df.columns if c not in columns], *[finite(F.col(c).cast("double")).alias(c) for c in columns])
+    med = quantile_row(clean, columns, (0.5,))
+    return clean.select(*[c for c in df.columns if c not in columns], *[F.coalesce(F.col(c), F.lit(med[c][0]), F.lit(0.0)).alias(c) for c in columns])
 
 
 def robust_scale(df: DataFrame, columns: list[str]) -> DataFrame:
     """(x - median) / IQR with exact quartiles; an IQR of 0 divides by 1."""
-    q = df.agg(*[F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"_q_{c}") for c in columns])
-    out = df.join(F.broadcast(q))
-    iqr = lambda c: F.get(f"_q_{c}", F.lit(2)) - F.get(f"_q_{c}", F.lit(0))
-    return out.select(*[c for c in df.columns if c not in columns], *[((F.col(c) - F.get(f"_q_{c}", F.lit(1))) / F.when(iqr(c) == 0, 1.0).otherwise(iqr(c))).alias(c) for c in columns])
+    q = quantile_row(df, columns, (0.25, 0.5, 0.75))
+    scale = lambda c: F.lit(None).cast("double") if q[c][1] is None else (F.col(c) - q[c][1]) / ((q[c][2] - q[c][0]) or 1.0)
+    return df.select(*[c for c in df.columns if c not in columns], *[scale(c).alias(c) for c in columns])
 
 
 def min_max(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -38,14 +37,14 @@ def min_max(df: DataFrame, columns: list[str]) -> DataFrame:
 def ecod(df: DataFrame, columns: list[str], name: str = "ecod") -> DataFrame:
     """Empirical-CDF outlier score: per feature -log of the left and right tails, the skewed side chosen by the
     feature's skewness; the largest of the three sums. Tails come from one histogram per feature."""
-    skew = df.agg(*[F.skewness(c).alias(f"_s_{c}") for c in columns], F.count(F.lit(1)).alias("_n"))
-    out = df.join(F.broadcast(skew))
+    skew = df.agg(F.count(F.lit(1)), *[F.skewness(c) for c in columns]).first()
+    n, bounds, out = skew[0], value_bounds(df, columns), df
     for c in columns:
-        hist = cumulative(df.groupBy(F.col(c).alias("_x")).agg(F.count(F.lit(1)).alias("_c")), "_x", {"_upto": "_c"})
-        out = out.join(hist.select("_x", F.col("_c").alias(f"_c_{c}"), F.col("_upto").alias(f"_u_{c}")), F.col(c) == F.col("_x"), "left").drop("_x")
-    left = {c: -F.log(F.col(f"_u_{c}") / F.col("_n")) for c in columns}
-    right = {c: -F.log((F.col("_n") - F.col(f"_u_{c}") + F.col(f"_c_{c}")) / F.col("_n")) for c in columns}
-    auto = [F.when(F.col(f"_s_{c}") < 0, left[c]).otherwise(right[c]) for c in columns]
+        hist = cumulative(df.groupBy(F.col(c).alias("_x")).agg(F.count(F.lit(1)).alias("_c")), "_x", {"_upto": "_c"}, bounds[c])
+        out = by_value(out, c, hist.select("_x", "_c", F.col("_c").alias(f"_c_{c}"), F.col("_upto").alias(f"_u_{c}")), "_x", "_c", n, [f"_c_{c}", f"_u_{c}"])
+    left = {c: -F.log(F.col(f"_u_{c}") / n) for c in columns}
+    right = {c: -F.log((n - F.col(f"_u_{c}") + F.col(f"_c_{c}")) / n) for c in columns}
+    auto = [left[c] if (s or 0) < 0 else right[c] for c, s in zip(columns, skew[1:], strict=True)]
     total = lambda xs: sum(list(xs)[1:], list(xs)[0])
     return out.select(*df.columns, F.greatest(total(left.values()), total(right.values()), total(auto)).alias(name))
 

@@ -1,11 +1,15 @@
 """Ranks over whole tables and groups.
 
 A rank over a whole table is taken on the histogram of distinct values, dealt to ranges of values: each range sums
-its own counts, and only one total per range meets in one place. No operator here sorts all rows in one task.
+its own counts, and only one total per range meets in one place. Quantiles are exact and come from brackets that are
+narrowed by aggregation until few values are left in them. No operator here sorts all rows in one task.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from math import ceil, floor
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,21 +41,109 @@ def cumulative(df: DataFrame, order: str, values: dict[str, str], bounds: list[f
     return out.drop("_range", *[f"_o{i}" for i in range(len(values))])
 
 
+#: A bracket with more rows than this is narrowed; the values of one with fewer are sorted by one task.
+BRACKET_ROWS = 1_000_000
+#: Share of a bracket's rows on either side that the next one keeps; percentile_approx is off by 1 in 10,000 at most.
+MARGIN = 0.001
+
+
+@dataclass
+class _Bracket:
+    group: object
+    column: int
+    at: float
+    low: float | None = None
+    high: float | None = None
+    below: int = 0
+    inside: int = 0
+
+
+def quantiles(df: DataFrame, columns: list[str], at: tuple[float, ...], group: str | None = None, most: int = BRACKET_ROWS) -> dict:
+    """Exact quantiles with linear interpolation: {(group, column): [value per at]}, None without values.
+
+    group: a column of few values (bins, flags). Only aggregates and the brackets' last few values leave the tasks.
+    """
+    g = F.col(group) if group else F.lit(0)
+    values = F.array(*[F.struct(F.lit(i).alias("c"), F.col(c).cast("double").alias("v")) for i, c in enumerate(columns)])
+    long = df.select(g.alias("g"), F.explode(values).alias("x")).select("g", "x.c", "x.v").filter("v is not null")
+    counts = {(r["g"], r["c"]): r["n"] for r in long.groupBy("g", "c").agg(F.count(F.lit(1)).alias("n")).collect()}
+    brackets = [_Bracket(g, c, (n - 1) * q, inside=n) for (g, c), n in counts.items() for q in at]
+    if not brackets:
+        return {}
+    spark, kind = df.sparkSession, long.schema["g"].dataType.simpleString()
+
+    def inside(low: bool = False) -> DataFrame:
+        """The values in each bracket (or below it)."""
+        rows = [(i, b.group, b.column, b.low, b.high) for i, b in enumerate(brackets)]
+        table = spark.createDataFrame(rows, f"b int, g2 {kind}, c2 int, low double, high double")
+        same = F.col("g").eqNullSafe(F.col("g2")) & (F.col("c") == F.col("c2"))
+        return long.join(F.broadcast(table), same & ((F.col("v") < F.col("low")) if low else (F.col("low").isNull() | F.col("v").between(F.col("low"), F.col("high")))))
+
+    wide = [i for i, b in enumerate(brackets) if b.inside > most]
+    while wide:
+        share = [(b.at - b.below) / max(1, b.inside - 1) for b in brackets]
+        sketch = {r["b"]: r["e"] for r in inside().groupBy("b").agg(F.percentile_approx("v", [i / 1000 for i in range(1001)], 10_000).alias("e")).collect()}
+        for i in wide:
+            brackets[i].low, brackets[i].high = sketch[i][max(0, floor((share[i] - MARGIN) * 1000))], sketch[i][min(1000, ceil((share[i] + MARGIN) * 1000))]
+        before = [b.inside for b in brackets]
+        below, within = ({r["b"]: r["n"] for r in inside(low).groupBy("b").agg(F.count(F.lit(1)).alias("n")).collect()} for low in (True, False))
+        for i, b in enumerate(brackets):
+            b.below, b.inside = below.get(i, 0), within[i]
+        wide = [i for i in wide if most < brackets[i].inside < before[i] and brackets[i].low != brackets[i].high]
+    run = Window.partitionBy("b").orderBy("v")
+    hist = inside().groupBy("b", "v").agg(F.count(F.lit(1)).alias("n")).withColumn("upto", F.sum("n").over(run))
+    want = F.array(*[F.struct(F.lit(floor(b.at) - b.below).alias("a"), F.lit(ceil(b.at) - b.below).alias("z")) for b in brackets])
+    hist = hist.withColumn("w", F.get(want, F.col("b")))
+    has = lambda f: F.max(F.when((F.col(f"w.{f}") < F.col("upto")) & (F.col(f"w.{f}") >= F.col("upto") - F.col("n")), F.col("v"))).alias(f)
+    found = {r["b"]: (r["a"], r["z"]) for r in hist.groupBy("b").agg(has("a"), has("z")).collect()}
+    out: dict = {}
+    for i, b in enumerate(brackets):
+        (low, high), part = found[i], b.at - floor(b.at)
+        out.setdefault((b.group if group else None, columns[b.column]), []).append(low if low == high else low + (high - low) * part)
+    return out
+
+
+def quantile_row(df: DataFrame, columns: list[str], at: tuple[float, ...]) -> dict[str, list[float | None]]:
+    """quantiles of the whole table by column, None for a column without values."""
+    found = quantiles(df, columns, at)
+    return {c: found.get((None, c), [None] * len(at)) for c in columns}
+
+
+#: A value is hot if more than 1 in HOT_PARTS of the rows have it: there are at most HOT_PARTS of them.
+HOT_PARTS = 1024
+
+
+def by_value(df: DataFrame, key: str, hist: DataFrame, value: str, count: str, total: int, names: list[str]) -> DataFrame:
+    """Left join of rows with their value's row of a histogram. Hot values are broadcast, and neither their rows nor
+    those without a value meet in one task."""
+    hot = hist.filter(F.col(count) > max(1000, total // HOT_PARTS)).select(F.col(value).alias("_hot"), *[F.col(n).alias(f"_h_{n}") for n in names])
+    cold = hist.filter(F.col(count) <= max(1000, total // HOT_PARTS)).select(F.col(value).alias("_cold"), *names, F.lit(0).alias("_cs"))
+    out = df.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left")
+    out = out.withColumn("_s", F.when(F.col("_hot").isNull() & F.col(key).isNotNull(), 0).otherwise(1 + F.pmod(F.monotonically_increasing_id(), F.lit(HOT_PARTS))).cast("int"))
+    out = out.join(cold, (F.col(key) == F.col("_cold")) & (F.col("_s") == F.col("_cs")), "left")
+    return out.select(*df.columns, *[F.coalesce(f"_h_{n}", n).alias(n) for n in names])
+
+
 def pct_ranks(df: DataFrame, columns: dict[str, str], digits: int | None = None) -> DataFrame:
     """Average percentile ranks over the whole table: (smallest + largest place of the value) / 2 / non-null count;
     new name -> column. Null stays null. With digits, values are compared after rounding.
 
-    One action reads the bounds of all columns: persist what is costly to compute twice.
+    One action reads the bounds and counts of all columns: persist what is costly to compute twice.
     """
     keys = {name: f"_v_{name}" for name in columns}
     out = df.select("*", *[(F.col(c) if digits is None else F.round(F.col(c).cast("double"), digits)).alias(keys[name]) for name, c in columns.items()])
-    base, bounds = out, value_bounds(out, list(keys.values()))
-    total = base.agg(*[F.count(k).alias(f"_n{i}") for i, k in enumerate(keys.values())])
+    at = [i / RANGES for i in range(1, RANGES)]
+    row = out.agg(*[f(k) for k in keys.values() for f in (F.count, lambda c: F.percentile_approx(c, at, 2000))]).first()
+    base = out
     for i, (name, k) in enumerate(keys.items()):
+        total, bounds = row[2 * i], sorted(set(row[2 * i + 1] or []))
+        if not total:
+            out = out.withColumn(name, F.lit(None).cast("double"))
+            continue
         hist = base.filter(F.col(k).isNotNull()).groupBy(F.col(k).alias("_hist_x")).agg(F.count(F.lit(1)).alias("_hist_c"))
-        hist = cumulative(hist, "_hist_x", {"_hist_u": "_hist_c"}, bounds[k]).join(F.broadcast(total.select(f"_n{i}")))
-        rank = hist.select("_hist_x", ((2 * F.col("_hist_u") - F.col("_hist_c") + 1) / 2 / F.col(f"_n{i}")).alias(name))
-        out = out.join(rank, F.col(k) == F.col("_hist_x"), "left").drop("_hist_x")
+        hist = cumulative(hist, "_hist_x", {"_hist_u": "_hist_c"}, bounds)
+        hist = hist.select("_hist_x", "_hist_c", ((2 * F.col("_hist_u") - F.col("_hist_c") + 1) / 2 / F.lit(total)).alias(name))
+        out = by_value(out, k, hist, "_hist_x", "_hist_c", total, [name])
     return out.drop(*keys.values())
 
 
@@ -60,12 +152,36 @@ def pct_rank(df: DataFrame, column: str, name: str) -> DataFrame:
 
 
 def group_pct_rank(column: Column, keys: list[str]) -> Column:
-    """The same rank inside groups of bounded size, as a window expression."""
+    """The same rank inside groups of bounded size, as a window expression; ``group_pct_ranks`` bounds no group."""
     place = F.rank().over(Window.partitionBy(*keys).orderBy(column.asc_nulls_last()))
     same = F.count(F.lit(1)).over(Window.partitionBy(*keys, column))
     return F.when(column.isNotNull(), (place + (same - 1) / 2) / F.count(column).over(Window.partitionBy(*keys)))
 
 
+def group_pct_ranks(df: DataFrame, keys: list[str], column: str, name: str, count: str | None = None) -> DataFrame:
+    """The same rank inside groups of any size, from one histogram by group and value that is dealt to ranges of
+    values, so that no group meets in one task. count: adds the group's rows under this name."""
+    bounds = value_bounds(df, [column])[column]
+    hist = df.groupBy(*keys, F.col(column).alias("_x")).agg(F.count(F.lit(1)).alias("_c")).withColumn("_range", value_range(F.col("_x"), bounds))
+    sums = hist.groupBy(*keys, "_range").agg(F.sum(F.when(F.col("_x").isNotNull(), F.col("_c"))).alias("_t"), F.sum("_c").alias("_all"))
+    every = Window.partitionBy(*keys)  # RANGES rows of a group at most
+    sums = sums.select(*keys, "_range", F.coalesce(F.sum("_t").over(every.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_o"), F.sum("_t").over(every).alias("_n"), F.sum("_all").over(every).alias("_rows"))
+    key = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in [*keys, "_range"]]
+    renamed = sums.select(*[F.col(k).alias(f"_k_{k}") for k in [*keys, "_range"]], "_o", "_n", "_rows")
+    joined = hist
+    cond = key[0]
+    for k in key[1:]:
+        cond = cond & k
+    upto = F.sum("_c").over(Window.partitionBy(*keys, "_range").orderBy(F.col("_x").asc_nulls_last()))
+    joined = joined.withColumn("_u", upto).join(renamed, cond).drop(*[f"_k_{k}" for k in [*keys, "_range"]])
+    rank = F.when(F.col("_x").isNotNull(), (F.col("_o") + F.col("_u") - (F.col("_c") - 1) / 2) / F.col("_n"))
+    ranks = joined.select(*[F.col(k).alias(f"_k_{k}") for k in keys], "_x", rank.alias(name), *([F.col("_rows").alias(count)] if count else []))
+    cond = F.col(column).eqNullSafe(F.col("_x"))
+    for k in keys:
+        cond = cond & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    return df.join(ranks, cond, "left").drop("_x", *[f"_k_{k}" for k in keys])
+
+
 def row_order(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     """Dense places 1..n of summary rows (one per session or fewer) in a total order."""
     return df.withColumn(name, F.row_number().over(Window.orderBy(*order)))
@@ -73,12 +189,11 @@ def row_order(df: DataFrame, order: list[Column], name: str) -> DataFrame:
 
 def qcut_edges(df: DataFrame, column: str, bins: int) -> list[float]:
     """Linear quantile edges without repeats, bins lowered to the number of distinct values."""
-    n = df.agg(F.count_distinct(column)).first()[0]
-    if n < 2:
+    few = df.filter(F.col(column).isNotNull()).select(column).distinct().limit(bins).count()  # bins rows at most
+    if few < 2:
         return []
-    q = min(bins, n)
-    edges = df.agg(F.percentile(column, F.array(*[F.lit(i / q) for i in range(q + 1)])).alias("e")).first()["e"]
-    return sorted(set(edges))
+    q = min(bins, few)
+    return sorted(set(quantile_row(df, [column], tuple(i / q for i in range(q + 1)))[column]))
 
 
 def qcut(column: Column, edges: list[float]) -> Column:

@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import quantile_row
 from .windows import KEYS, gap_minutes, island, session_window
 
 
@@ -77,9 +78,8 @@ def interval_metrics(intervals: DataFrame, state: DataFrame) -> DataFrame:
 
 def episode_grid(scores: DataFrame, quantiles: tuple[float, ...], durations: tuple[int, ...], merge_gap: int = 1, rank: str = "minute_mismatch_rank") -> DataFrame:
     """Episodes of minutes at or above each quantile, lasting at least each duration; the grid is a few rows."""
-    cut = scores.agg(F.percentile(rank, F.array(*[F.lit(q) for q in quantiles])).alias("c")).select(F.posexplode("c").alias("k", "cutoff"))
-    cut = cut.withColumn("q", F.get(F.array(*[F.lit(q) for q in quantiles]), F.col("k")))
-    hot = scores.select(*KEYS, "minute_idx", rank).join(F.broadcast(cut), F.col(rank) >= F.col("cutoff"))
+    cuts = F.array(*[F.struct(F.lit(q).alias("q"), F.lit(c).cast("double").alias("cutoff")) for q, c in zip(quantiles, quantile_row(scores, [rank], quantiles)[rank], strict=True)])
+    hot = scores.select(*KEYS, "minute_idx", rank, F.explode(cuts).alias("_c")).select(*KEYS, "minute_idx", rank, "_c.*").filter(F.col(rank) >= F.col("cutoff"))
     w = Window.partitionBy(*KEYS, "q").orderBy("minute_idx")
     hot = island(hot, (F.col("minute_idx") - F.lag("minute_idx").over(w)) > merge_gap + 1, "episode", w)
     eps = hot.groupBy(*KEYS, "q", "episode").agg(F.min("minute_idx").alias("start_idx"), F.max("minute_idx").alias("end_idx"), F.count(F.lit(1)).alias("hot_minutes"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import arg_max, row_mean
-from .ranks import average_percentiles, pct_rank, pct_ranks, qcut, qcut_edges
+from .ranks import average_percentiles, pct_rank, pct_ranks, qcut, qcut_edges, quantiles
 from .windows import interpolate, rolling, run_length, session_window
 
 SIGNALS = ("chat_deficit", "unique_deficit", "rolling_chat_deficit_5m", "rolling_unique_deficit_5m", "rolling_zero_rate_5m", "zero_run_len")
@@ -38,12 +38,19 @@ def _logs(out: DataFrame, gap_minutes: float) -> DataFrame:
 
 def _deficits(out: DataFrame, model: DataFrame) -> DataFrame:
     """Deficits against the medians that the model's rows have in each bin, and what rolls over them."""
-    w = session_window()
-    per_bin = model.groupBy("viewer_bin").agg(F.percentile("log_chat", F.lit(0.5)).alias("_bc"), F.percentile("log_unique", F.lit(0.5)).alias("_bu"))
-    overall = model.agg(F.percentile("log_chat", F.lit(0.5)).alias("_gc"), F.percentile("log_unique", F.lit(0.5)).alias("_gu"))
-    out = out.join(F.broadcast(per_bin), "viewer_bin", "left").join(F.broadcast(overall))  # ten bins, one row
-    out = out.select("*", (F.coalesce("_bc", "_gc") - F.col("log_chat")).alias("chat_deficit"), (F.coalesce("_bu", "_gu") - F.col("log_unique")).alias("unique_deficit"))
-    out = out.drop("_bc", "_bu", "_gc", "_gu").withColumn("_z", F.col("zero_chat").cast("double"))
+    w, logs = session_window(), {"chat": "log_chat", "unique": "log_unique"}
+    per_bin, overall = quantiles(model, list(logs.values()), (0.5,), "viewer_bin"), quantiles(model, list(logs.values()), (0.5,))
+    bins = sorted({b for b, _ in per_bin if b is not None})  # ten at most
+
+    def expected(column: str):
+        mid = lambda b: F.lit((per_bin.get((b, column)) or [None])[0]).cast("double")
+        out = F.when(F.col("viewer_bin").isNull(), mid(None))
+        for b in bins:
+            out = out.when(F.col("viewer_bin") == b, mid(b))
+        return F.coalesce(out, F.lit((overall.get((None, column)) or [None])[0]).cast("double"))
+
+    out = out.select("*", *[(expected(c) - F.col(c)).alias(f"{name}_deficit") for name, c in logs.items()])
+    out = out.withColumn("_z", F.col("zero_chat").cast("double"))
     for k in (5, 10):
         out = out.select(
             "*", rolling("chat_deficit", k, w).alias(f"rolling_chat_deficit_{k}m"), rolling("unique_deficit", k, w).alias(f"rolling_unique_deficit_{k}m"),

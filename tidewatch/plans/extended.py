@@ -33,10 +33,9 @@ def _(spark, d):
 
 @query("w21_local_rank", f"WITH r AS (SELECT o_orderkey, {Q.pct('o_totalprice')} AS g, {Q.pct('o_totalprice', 'o_orderpriority, o_orderstatus')} AS l, count(*) OVER (PARTITION BY o_orderpriority, o_orderstatus) AS n FROM orders) SELECT o_orderkey, round(CASE WHEN n < 100 THEN g ELSE l END, 9) AS pct FROM r")
 def _(spark, d):
-    o = ranks.pct_rank(read(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_orderpriority", "o_orderstatus"), "o_totalprice", "g")
     keys = ["o_orderpriority", "o_orderstatus"]
-    n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
-    o = o.select("o_orderkey", "g", ranks.group_pct_rank(F.col("o_totalprice"), keys).alias("l"), n.alias("n"))
+    o = ranks.pct_rank(read(spark, d, "orders").select("o_orderkey", "o_totalprice", *keys), "o_totalprice", "g")
+    o = ranks.group_pct_ranks(o, keys, "o_totalprice", "l", "n")
     return o.select("o_orderkey", F.round(F.when(F.col("n") < 100, F.col("g")).otherwise(F.col("l")), 9).alias("pct"))
 
 
@@ -51,17 +50,18 @@ def _(spark, d):
 @query("r31_quantile_review", f"WITH {Q.RULES}, q AS (SELECT quantile_cont(rule_score, 0.9) AS q90, quantile_cont(rule_score, 0.95) AS q95 FROM rules) SELECT session_key, CASE WHEN rule_score >= q95 THEN 'confirmed' WHEN rule_score >= q90 THEN 'candidate' ELSE 'normal' END AS review_group FROM rules, q")
 def _(spark, d):
     s = ruled(spark, d)
-    q = s.agg(F.percentile("rule_score", F.lit(0.9)).alias("q90"), F.percentile("rule_score", F.lit(0.95)).alias("q95"))
-    group = F.when(F.col("rule_score") >= F.col("q95"), "confirmed").when(F.col("rule_score") >= F.col("q90"), "candidate").otherwise("normal")
-    return s.join(F.broadcast(q)).select("session_key", group.alias("review_group"))
+    q90, q95 = ranks.quantile_row(s, ["rule_score"], (0.9, 0.95))["rule_score"]
+    group = F.when(F.col("rule_score") >= F.lit(q95), "confirmed").when(F.col("rule_score") >= F.lit(q90), "candidate").otherwise("normal")
+    return s.select("session_key", group.alias("review_group"))
 
 
 @query("r33_normal_seed", f"WITH {Q.RULES}, q AS (SELECT quantile_cont(zero_rate, 0.5) AS a, quantile_cont(gap_med, 0.5) AS b, quantile_cont(zrun_max, 0.5) AS c, quantile_cont(chat_mean, 0.5) AS e FROM rules) SELECT session_key FROM rules, q WHERE zero_rate <= a AND gap_med <= b AND zrun_max <= c AND chat_mean >= e")
 def _(spark, d):
     s = ruled(spark, d)
-    med = {"a": "zero_rate", "b": "gap_med", "c": "zrun_max", "e": "chat_mean"}
-    q = s.agg(*[F.percentile(c, F.lit(0.5)).alias(n) for n, c in med.items()])
-    return s.join(F.broadcast(q)).filter("zero_rate <= a and gap_med <= b and zrun_max <= c and chat_mean >= e").select("session_key")
+    names = ["zero_rate", "gap_med", "zrun_max", "chat_mean"]
+    mid = {c: F.lit(q[0]) for c, q in ranks.quantile_row(s, names, (0.5,)).items()}
+    low = (F.col("zero_rate") <= mid["zero_rate"]) & (F.col("gap_med") <= mid["gap_med"]) & (F.col("zrun_max") <= mid["zrun_max"])
+    return s.filter(low & (F.col("chat_mean") >= mid["chat_mean"])).select("session_key")
 
 
 _INJ = f"{Q.SCAN}, inj0 AS (SELECT *, ('0x' || substr(md5(session_key), 1, 8))::BIGINT AS h, count(*) OVER (PARTITION BY session_key) AS n FROM state), inj1 AS (SELECT *, ['hi_view_low_chat', 'silent_run', 'view_spike_no_chat'][(h % 3 + 1)::INT] AS injection_type, 3 + h % 3 AS len FROM inj0 WHERE n >= 8), inj2 AS (SELECT *, 1 + (h // 7) % (n - len + 1) AS si FROM inj1), inj AS (SELECT *, si + len - 1 AS ei, minute_idx BETWEEN si AND si + len - 1 AS injected FROM inj2)"
@@ -141,8 +141,7 @@ def _(spark, d):
 
 def _session_matrix(spark, d):
     s = models.robust_scale(models.median_impute(ruled(spark, d).select("session_key", "rule_score", *_RS), list(_RS)), list(_RS))
-    q = s.agg(F.percentile("rule_score", F.lit(0.9)).alias("_q"))
-    return s.join(F.broadcast(q)).withColumn("y", (F.col("rule_score") >= F.col("_q")).cast("int")).drop("_q")
+    return s.withColumn("y", (F.col("rule_score") >= F.lit(ranks.quantile_row(s, ["rule_score"], (0.9,))["rule_score"][0])).cast("int"))
 
 
 @query("r6_expected_response")
@@ -174,9 +173,8 @@ def _(spark, d):
 @query("x12_metric_quartiles", f"WITH {Q.SESSIONS} SELECT unnest(['zero_rate', 'gap_med', 'viewer_median']) AS metric, unnest([round(quantile_cont(zero_rate, 0.25), 6), round(quantile_cont(gap_med, 0.25), 6), round(quantile_cont(viewer_median, 0.25), 6)]) AS p25, unnest([round(quantile_cont(zero_rate, 0.75), 6), round(quantile_cont(gap_med, 0.75), 6), round(quantile_cont(viewer_median, 0.75), 6)]) AS p75 FROM sess")
 def _(spark, d):
     names = ("zero_rate", "gap_med", "viewer_median")
-    p = lambda c, q: F.round(F.percentile(c, F.lit(q)), 6)
-    row = sessions(spark, d).agg(*[p(c, q).alias(f"{c}_{n}") for c in names for n, q in (("a", 0.25), ("b", 0.75))])
-    return row.select(F.expr("stack(3, " + ", ".join(f"'{c}', {c}_a, {c}_b" for c in names) + ") as (metric, p25, p75)"))
+    q = ranks.quantile_row(sessions(spark, d), list(names), (0.25, 0.75))
+    return spark.createDataFrame([(c, *q[c]) for c in names], "metric string, p25 double, p75 double").select("metric", *r6("p25", "p75"))
 
 
 @query("x22_gap_changes", f"WITH {Q.STATE} SELECT session_key, max(zero_run_plain)::BIGINT AS plain, max(zero_run_len)::BIGINT AS with_gaps FROM state GROUP BY 1 HAVING max(zero_run_plain) <> max(zero_run_len)")

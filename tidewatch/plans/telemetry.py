@@ -99,8 +99,8 @@ def _(spark, d):
 @query("src3_chat_of_run", f"WITH {Q.EVENTS} SELECT event_id, broad_no, user_id, message FROM click WHERE run_id = (SELECT max(run_id) FROM ev)")
 def _(spark, d):
     e = read(spark, d, "events")
-    last = telemetry.telemetry(e).agg(F.max("run_id")).first()[0]
-    return telemetry.chat_events(e).filter(F.col("run_id") == F.lit(last)).select("event_id", "broad_no", "user_id", "message")
+    last = telemetry.telemetry(e).agg(F.max("run_id").alias("_last"))  # one row
+    return telemetry.chat_events(e).join(F.broadcast(last), F.col("run_id") == F.col("_last")).select("event_id", "broad_no", "user_id", "message")
 
 
 @query("src5_run_scalars", f"WITH {Q.EVENTS} SELECT max(run_id) AS latest_run, count(*) AS events, count(*) FILTER (event_type = 'click') AS chats, count(DISTINCT broad_no) AS broads FROM ev")
@@ -240,7 +240,9 @@ def _(spark, d):
 @query("a8_quantiles", "SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.25), 4) AS p25, round(quantile_cont(l_extendedprice, 0.5), 4) AS p50, round(quantile_cont(l_extendedprice, 0.95), 4) AS p95, round(quantile_cont(l_extendedprice, 0.99), 4) AS p99 FROM lineitem GROUP BY 1")
 def _(spark, d):
     at = {"p25": 0.25, "p50": 0.5, "p95": 0.95, "p99": 0.99}
-    return read(spark, d, "lineitem").groupBy("l_returnflag").agg(*[F.round(F.percentile("l_extendedprice", F.lit(q)), 4).alias(n) for n, q in at.items()])
+    found = ranks.quantiles(read(spark, d, "lineitem"), ["l_extendedprice"], tuple(at.values()), "l_returnflag")
+    rows = spark.createDataFrame([(g, *q) for (g, _), q in found.items()], "l_returnflag string, " + ", ".join(f"{n} double" for n in at))  # one row per flag
+    return rows.select("l_returnflag", *[F.round(n, 4).alias(n) for n in at])
 
 
 @query("a11_state_dwell", f"WITH {Q.STATE}, r AS (SELECT session_key, isl_plain, bool_and(zero_chat) AS z, count(*) AS len FROM state GROUP BY ALL) SELECT session_key, sum(len)::BIGINT AS minutes, coalesce(sum(len) FILTER (z), 0)::BIGINT AS zero_minutes, count(*) FILTER (z) AS zero_runs, coalesce(max(len) FILTER (z), 0)::BIGINT AS zero_max_run, count(*) - 1 AS transitions FROM r GROUP BY 1")
@@ -355,7 +357,7 @@ def _(spark, d):
 @query("w8_pct_rank", f"SELECT o_orderkey, round({Q.pct('o_totalprice')}, 9) AS pct, round({Q.pct('x')}, 9) AS tied FROM (SELECT *, CASE WHEN o_orderkey % 9 <> 0 THEN floor(o_totalprice / 5000) END AS x FROM orders)")
 def _(spark, d):
     o = read(spark, d, "orders").select("o_orderkey", "o_totalprice", F.when(F.col("o_orderkey") % 9 != 0, F.floor(F.col("o_totalprice") / 5000).cast("double")).alias("x"))
-    o = ranks.pct_rank(ranks.pct_rank(o, "o_totalprice", "pct"), "x", "tied")
+    o = ranks.pct_ranks(o, {"pct": "o_totalprice", "tied": "x"})
     return o.select("o_orderkey", F.round("pct", 9).alias("pct"), F.round("tied", 9).alias("tied"))
 
 
