@@ -14,7 +14,7 @@ from . import _bytes as tb
 #: Distinct pieces kept between batches; when there are more, the cache starts anew.
 CACHE = 400_000
 #: Bytes of text whose distinct pieces are looked up at once.
-SLICE = 4 << 20
+SLICE = 1 << 20
 _MARK = np.zeros(256, bool)
 _MARK[list(b".,;:!?")] = True
 
@@ -60,18 +60,16 @@ def distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class PieceCache:
-    """encode: distinct pieces -> all their ids, and how many each has; extra: (piece, ids) -> an object kept beside."""
+    """encode: distinct pieces -> all their ids, and how many each has."""
 
-    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], cuts: Callable[[np.ndarray], np.ndarray], lead: bytes = b"", extra: Callable | None = None, limit: int = CACHE):
-        self.encode, self.cuts, self.lead, self.extra, self.limit = encode, cuts, lead, extra, limit
+    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], cuts: Callable[[np.ndarray], np.ndarray], lead: bytes = b"", limit: int = CACHE):
+        self.encode, self.cuts, self.lead, self.limit = encode, cuts, lead, limit
         self.clear()
 
     def clear(self) -> None:
         self.at: dict[bytes, int] = {}
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
         self.offs, self.lens = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
-        self.names: list[bytes] = []  # with extra only: the pieces by number, the same objects as the keys
-        self.extras: list = []
 
     def _add(self, pieces: list[bytes]) -> None:
         ids, lens = self.encode(pieces)
@@ -85,11 +83,6 @@ class PieceCache:
         self.offs[k : k + n] = self.used + np.cumsum(lens) - lens
         self.used += total
         self.at.update(zip(pieces, range(k, k + n), strict=True))
-        if self.extra:
-            self.names += pieces
-            ends = np.cumsum(lens).tolist()
-            ids = ids.tolist()
-            self.extras += [self.extra(p, ids[e - w : e]) for p, e, w in zip(pieces, ends, lens.tolist(), strict=True)]
 
     def batches(self, column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For each slice of rows: the numbers of their pieces, and where each row's pieces begin (and the end)."""
@@ -119,11 +112,14 @@ class PieceCache:
                 number[new] = [self.at[p] for p in missing]
             yield number[inverse], np.searchsorted(starts, own)
 
-    def ids(self, column: pa.Array) -> Iterator[np.ndarray]:
-        """The ids of each row."""
+    def slices(self, column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each slice of rows: all their ids, and where each row's ids begin (and the end)."""
         for number, rows in self.batches(column):
             lens = self.lens[number]
-            flat = self.flat[tb.ragged(self.offs[number], lens)]
-            ends = np.concatenate([[0], np.cumsum(lens)])[rows]
+            yield self.flat[tb.ragged(self.offs[number], lens)], np.concatenate([[0], np.cumsum(lens)])[rows]
+
+    def ids(self, column: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each row."""
+        for flat, ends in self.slices(column):
             for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
                 yield flat[a:b]
