@@ -132,13 +132,12 @@ def ppf_sql(p: str) -> str:
     return f"(CASE WHEN {p} < 0.02425e0 THEN {tail(low)} WHEN {p} <= 0.97575e0 THEN {_poly(PPF_A, r)} * {q} / ({_poly(PPF_B, r)} * {r} + 1e0) ELSE -{tail(high)} END)"
 
 
-def rank_z(rank: Column | str, n: Column | str = "n") -> Column:
-    """z of a percentile rank: the quantile of rank, clipped away from 0 and 1; rank 0 scores 0."""
-    return F.expr(rank_z_sql(rank if isinstance(rank, str) else "rank"))
-
-
-def rank_z_sql(rank: str) -> str:
-    return f"(CASE WHEN {rank} <= 1e-9 THEN 0e0 ELSE {ppf_sql(f'least({rank}, 1e0 - 1e-9)')} END)"
+def rank_z_sql(rank: str, rows: str) -> str:
+    """z of a percentile rank among so many rows: the normal quantile of the rank, which stays 1 / (rows + 1) away
+    from 1; a rank within that of 0, or no rank, scores 0."""
+    eps = f"(1e0 / ({rows} + 1))"
+    u = f"(1e0 - greatest(least(1e0 - coalesce({rank}, 0e0) + {eps}, 1e0), {eps}))"
+    return f"(CASE WHEN {u} <= 0e0 THEN 0e0 ELSE {ppf_sql(u)} END)"
 
 
 def rra_p(ranks: list[Column]) -> Column:
@@ -153,6 +152,17 @@ def rra_p(ranks: list[Column]) -> Column:
     return clip(F.lit(float(m)) * (F.least(*tails) if m > 1 else tails[0]), 0.0, 1.0)
 
 
+def clock_minutes(start: Column, end: Column) -> Column:
+    """Minutes from the start of the first minute to the end of the last."""
+    return (F.unix_seconds(end.cast("timestamp")) - F.unix_seconds(start.cast("timestamp"))) / 60 + 1
+
+
+def time_iou(start_a: Column, end_a: Column, start_b: Column, end_b: Column) -> Column:
+    """Overlap over union hull of two inclusive minute intervals given by their first and last minutes."""
+    inter = F.greatest(clock_minutes(F.greatest(start_a, start_b), F.least(end_a, end_b)), F.lit(0.0))
+    return inter / clock_minutes(F.least(start_a, start_b), F.greatest(end_a, end_b))
+
+
 def overlap_hull(start_a: Column, end_a: Column, start_b: Column, end_b: Column) -> Column:
     """Overlap over hull of two inclusive index intervals."""
     inter = F.greatest(F.least(end_a, end_b) - F.greatest(start_a, start_b) + 1, F.lit(0))

@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import finite
-from .ranks import by_value, cumulative, quantile_row, value_bounds
+from .ranks import by_value, cumulative, group_pct_ranks, quantile_row, value_bounds
 
 
 def median_impute(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -131,9 +130,19 @@ def kmeans_labels(df: DataFrame, columns: list[str], k: int, order: str, seeds:
     return out.join(F.broadcast(names), "_raw").drop("_raw")
 
 
-def embedding_columns(df: DataFrame, column: str, n: int) -> DataFrame:
-    return df.select("*", *[F.get(column, F.lit(i)).cast("double").alias(f"x{i}") for i in range(n)])
+def sturges_histogram(df: DataFrame, column: str) -> DataFrame:
+    """(bucket, n): equal widths between the extremes, as many as Sturges' rule asks for."""
+    b = df.agg(F.min(column).alias("_lo"), F.max(column).alias("_hi"), F.ceil(F.log2(F.count(column).cast("double")) + 1).alias("_k"))  # one row
+    at = F.least(F.floor((F.col(column) - F.col("_lo")) / ((F.col("_hi") - F.col("_lo")) / F.col("_k"))), F.col("_k") - 1)
+    return df.filter(F.col(column).isNotNull()).join(F.broadcast(b)).groupBy(at.cast("long").alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+
 
+def spearman_by(df: DataFrame, key: str, a: str, b: str) -> DataFrame:
+    """Rank correlation of two columns per key, average ranks for ties: key, n, r. No key's rows meet in one task."""
+    x = df.select(key, F.round(F.col(a).cast("double"), 9).alias("_a"), F.round(F.col(b).cast("double"), 9).alias("_b")).filter("_a is not null and _b is not null")
+    x = group_pct_ranks(group_pct_ranks(x, [key], "_a", "_ra"), [key], "_b", "_rb")
+    return x.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.corr("_ra", "_rb").alias("r"))
 
-def vector_values(column: str) -> Column:
-    return vector_to_array(column)
+
+def embedding_columns(df: DataFrame, column: str, n: int) -> DataFrame:
+    return df.select("*", *[F.get(column, F.lit(i)).cast("double").alias(f"x{i}") for i in range(n)])

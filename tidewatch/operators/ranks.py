@@ -10,9 +10,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 from math import ceil, floor
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from ..sources.steps import written
+
 RANGES = 32
 
 
@@ -103,9 +105,9 @@ def quantiles(df: DataFrame, columns: list[str], at: tuple[float, ...], group: s
     return out
 
 
-def quantile_row(df: DataFrame, columns: list[str], at: tuple[float, ...]) -> dict[str, list[float | None]]:
+def quantile_row(df: DataFrame, columns: list[str], at: tuple[float, ...], most: int = BRACKET_ROWS) -> dict[str, list[float | None]]:
     """quantiles of the whole table by column, None for a column without values."""
-    found = quantiles(df, columns, at)
+    found = quantiles(df, columns, at, most=most)
     return {c: found.get((None, c), [None] * len(at)) for c in columns}
 
 
@@ -182,9 +184,25 @@ def group_pct_ranks(df: DataFrame, keys: list[str], column: str, name: str, coun
     return df.join(ranks, cond, "left").drop("_x", *[f"_k_{k}" for k in keys])
 
 
-def row_order(df: DataFrame, order: list[Column], name: str) -> DataFrame:
-    """Dense places 1..n of summary rows (one per session or fewer) in a total order."""
-    return df.withColumn(name, F.row_number().over(Window.orderBy(*order)))
+def _ranged(df: DataFrame, order: list[Column]) -> tuple[DataFrame, list[int]]:
+    """df dealt to ranges of a total order and written, with _p, the range; and the ranges that have rows."""
+    out = written(df.repartitionByRange(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *order).withColumn("_p", F.spark_partition_id()), "ranged")
+    return out, sorted(r["_p"] for r in out.select("_p").distinct().collect())
+
+
+def _by_range(values: dict[int, object]) -> Column:
+    """A small number of values by range as one expression."""
+    return F.create_map(*[F.lit(x) for p, v in values.items() for x in (p, v)])[F.col("_p")]
+
+
+def places(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """Adds places 1..n in a total order. Each range of the order is numbered by itself; only the ranges' counts meet."""
+    out, parts = _ranged(df, order)
+    if not parts:
+        return out.drop("_p").withColumn(name, F.lit(None).cast("long"))
+    counts = {r["_p"]: r["n"] for r in out.groupBy("_p").agg(F.count(F.lit(1)).alias("n")).collect()}
+    before = {p: sum(counts[q] for q in parts if q < p) for p in parts}
+    return out.withColumn(name, F.row_number().over(Window.partitionBy("_p").orderBy(*order)) + _by_range(before)).withColumn(name, F.col(name).cast("long")).drop("_p")
 
 
 def qcut_edges(df: DataFrame, column: str, bins: int) -> list[float]:
@@ -203,6 +221,23 @@ def qcut(column: Column, edges: list[float]) -> Column:
     return F.when(column.isNotNull(), bin_)
 
 
+def cut_or_nearest(column: Column, edges: list[float], w: WindowSpec) -> Column:
+    """Bins by given edges for values that need not lie between them: one outside takes the bin before it in the
+    window, else the one after it, else 0."""
+    if len(edges) < 2:
+        return F.lit(0)
+    inside = F.when(column.between(edges[0], edges[-1]), qcut(column, edges))
+    before, after = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    return F.coalesce(F.last(inside, True).over(before), F.first(inside, True).over(after), F.lit(0))
+
+
+def top_share(df: DataFrame, order: list[Column], share: float) -> DataFrame:
+    """The first ceil(share * n) rows in a total order."""
+    out = places(df, order, "_place")
+    n = out.count()
+    return out.filter(F.col("_place") <= ceil(n * share)).drop("_place")
+
+
 def average_percentile(df: DataFrame, column: str, reference: DataFrame, ref_column: str, name: str) -> DataFrame:
     """Share of reference values below the value, and half of those equal to it: values and reference are counted
     in one histogram."""
@@ -230,9 +265,18 @@ def average_percentiles(df: DataFrame, reference: DataFrame, columns: dict[str,
 
 
 def bh_q(df: DataFrame, p: str, name: str) -> DataFrame:
-    """Benjamini-Hochberg step-up q values over summary rows; null p stays null."""
-    n = F.count(p).over(Window.partitionBy())
-    k = F.row_number().over(Window.orderBy(F.col(p).asc_nulls_last()))
-    out = df.withColumn("_k", k).withColumn("_raw", F.col(p) * n / F.col("_k"))
-    q = F.min("_raw").over(Window.orderBy(F.desc("_k")).rowsBetween(Window.unboundedPreceding, 0))
-    return out.withColumn(name, F.when(F.col(p).isNotNull(), F.least(q, F.lit(1.0)))).drop("_k", "_raw")
+    """Benjamini-Hochberg step-up q values; null p stays null. Ranges of p are numbered and scanned each by itself;
+    their counts and least values meet on the driver."""
+    out, parts = _ranged(df.filter(F.col(p).isNotNull()), [F.asc(p)])
+    if not parts:
+        return df.withColumn(name, F.lit(None).cast("double"))
+    counts = {r["_p"]: r["n"] for r in out.groupBy("_p").agg(F.count(F.lit(1)).alias("n")).collect()}
+    n, before = sum(counts.values()), {q: sum(counts[x] for x in parts if x < q) for q in parts}
+    w = Window.partitionBy("_p").orderBy(p)
+    # equal p share the last of their places
+    out = out.withColumn("_raw", F.col(p) * n / (F.count(F.lit(1)).over(w.rangeBetween(Window.unboundedPreceding, 0)) + _by_range(before)))
+    least = {r["_p"]: r["m"] for r in out.groupBy("_p").agg(F.min("_raw").alias("m")).collect()}
+    after = {q: min([least[x] for x in parts if x > q], default=float("inf")) for q in parts}
+    q = F.min("_raw").over(Window.partitionBy("_p").orderBy(F.desc(p)))
+    out = out.withColumn(name, F.least(q, _by_range(after), F.lit(1.0))).drop("_p", "_raw")
+    return out.unionByName(df.filter(F.col(p).isNull()).withColumn(name, F.lit(None).cast("double")))

@@ -1,43 +1,18 @@
-"""Evidence ranks, consensus, robust rank aggregation and the review order of sessions.
-
-Inputs are one row per session; windows without partitions below run over sessions, not over ticks.
-"""
+"""Comparisons of rankings, ablations, variants and reasons. Inputs are one row per session."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import clip, row_mean, row_median, row_trimmed_mean, rra_p
-from .ranks import bh_q, group_pct_rank, pct_ranks
-
-
-def rank_from_sort(df: DataFrame, order: list[Column], metrics: list[str], name: str) -> DataFrame:
-    """Places 1..n in order; rows whose metrics are all null have no place (and stand behind the others)."""
-    known = F.coalesce(*[F.col(m) for m in metrics]).isNotNull()
-    place = F.row_number().over(Window.orderBy(F.when(known, 0).otherwise(1), *order))
-    return df.withColumn(name, F.when(known, place))
+from ..functions.scalar import clip, row_mean, row_median, row_trimmed_mean
+from .ranks import group_pct_ranks, places
 
 
 def strength(rank: Column, n: Column) -> Column:
     return clip(1 - rank / (n + 1), 0.0, 1.0)
 
 
-def families(df: DataFrame, names: list[str]) -> DataFrame:
-    """From <name>_rank columns over n sessions: strengths, consensus, RRA p, BH q and the review order.
-
-    Consensus counts a missing rank as 0; p counts it as 1.
-    """
-    n = F.count(F.lit(1)).over(Window.partitionBy())
-    out = df.withColumn("_n", n)
-    out = out.select("*", *[strength(F.col(f"{x}_rank"), F.col("_n")).alias(f"{x}_strength") for x in names])
-    out = out.withColumn("consensus", F.round(row_mean([F.coalesce(F.col(f"{x}_strength"), F.lit(0.0)) for x in names]), 9))
-    out = out.withColumn("rra_p", F.round(rra_p([clip(F.col(f"{x}_rank") / (F.col("_n") + 1), None, 1.0) for x in names]), 12)).drop("_n")
-    out = bh_q(out, "rra_p", "rra_q").withColumn("rra_q", F.round("rra_q", 12))
-    order = [F.desc("consensus"), F.asc_nulls_last("rra_q"), F.asc_nulls_last("rra_p"), *[F.asc_nulls_last(f"{x}_rank") for x in names], F.asc("session_key")]
-    return out.withColumn("review_order", F.row_number().over(Window.orderBy(*order)))
-
-
 def variants(df: DataFrame, names: list[str]) -> DataFrame:
     """Other aggregations of the same strengths: mean, median and trimmed mean of what is known."""
     s = [F.col(f"{x}_strength") for x in names]
@@ -49,7 +24,7 @@ def ablation(df: DataFrame, names: list[str], k: int) -> DataFrame:
     out = None
     for left in names:
         score = F.round(row_mean([F.col(f"{x}_strength") for x in names if x != left]), 9)
-        place = df.select("session_key", "review_order", F.row_number().over(Window.orderBy(F.desc_nulls_last(score), "session_key")).alias("other"))
+        place = places(df.select("session_key", "review_order", score.alias("_s")), [F.desc_nulls_last("_s"), F.asc("session_key")], "other")
         row = place.agg(F.count_if((F.col("review_order") <= k) & (F.col("other") <= k)).alias("overlap"), F.round(F.corr("review_order", "other"), 6).alias("spearman")).select(F.lit(left).alias("family"), "overlap", "spearman")
         out = row if out is None else out.unionByName(row)
     return out
@@ -58,7 +33,7 @@ def ablation(df: DataFrame, names: list[str], k: int) -> DataFrame:
 def reasons(df: DataFrame, measures: list[str], top: int = 3) -> DataFrame:
     """The top measures of each session by percentile rank over sessions, nulls aside."""
     long = df.select("session_key", F.expr("stack({}, {}) as (reason, value)".format(len(measures), ", ".join(f"'{m}', cast({m} as double)" for m in measures))))
-    ranked = long.filter("value is not null").withColumn("pct", group_pct_rank(F.round("value", 9), ["reason"]))
+    ranked = group_pct_ranks(long.filter("value is not null").withColumn("value", F.round("value", 9)), ["reason"], "value", "pct")
     w = Window.partitionBy("session_key").orderBy(F.desc("pct"), "reason")
     return ranked.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= top)
 
@@ -66,7 +41,11 @@ def reasons(df: DataFrame, measures: list[str], top: int = 3) -> DataFrame:
 def reason_patterns(top: DataFrame) -> DataFrame:
     """How many sessions share each set of top reasons, with up to five examples."""
     sets = top.groupBy("session_key").agg(F.concat_ws(";", F.array_sort(F.collect_set("reason"))).alias("pattern"))
-    out = sets.groupBy("pattern").agg(F.count(F.lit(1)).alias("sessions"), F.concat_ws(";", F.slice(F.array_sort(F.collect_list("session_key")), 1, 5)).alias("examples"))
+    # the first five keys of each salted part, then of the pattern: no task holds a pattern's sessions
+    first = sets.withColumn("_s", F.pmod(F.xxhash64("session_key"), F.lit(64)))
+    first = first.withColumn("_k", F.row_number().over(Window.partitionBy("pattern", "_s").orderBy("session_key"))).filter("_k <= 5")
+    examples = first.groupBy("pattern").agg(F.concat_ws(";", F.slice(F.array_sort(F.collect_list("session_key")), 1, 5)).alias("examples"))  # 320 keys at most
+    out = sets.groupBy("pattern").agg(F.count(F.lit(1)).alias("sessions")).join(examples, "pattern")
     return out.withColumn("rate", F.round(F.col("sessions") / F.sum("sessions").over(Window.partitionBy()), 6))
 
 
@@ -85,6 +64,10 @@ def rank_gap(a: DataFrame, b: DataFrame) -> DataFrame:
     return j.agg(F.count(F.lit(1)).alias("n"), F.round(F.corr("pa", "pb"), 6).alias("spearman"), F.round(F.avg(gap), 6).alias("mean_gap"), F.percentile(gap, F.lit(0.5)).alias("median_gap"))
 
 
-def rank_columns(df: DataFrame, measures: dict[str, str]) -> DataFrame:
-    """Percentile ranks of several measures over the whole table; measures: new name -> column."""
-    return pct_ranks(df, measures, 9)
+def widen(meta: DataFrame, frames: dict[str, DataFrame], k: int) -> DataFrame:
+    """Rankings (session_key, place) side by side, and how many of them have a session among their first k."""
+    out = meta
+    for name, f in frames.items():
+        out = out.join(f.select("session_key", F.col("place").alias(f"{name}_place")), "session_key", "left")
+    flags = [F.coalesce((F.col(f"{n}_place") <= k).cast("int"), F.lit(0)) for n in frames]
+    return out.withColumn("flags", sum(flags[1:], flags[0]))

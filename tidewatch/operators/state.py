@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import arg_max, row_mean
 from .ranks import average_percentiles, pct_rank, pct_ranks, qcut, qcut_edges, quantiles
-from .windows import interpolate, rolling, run_length, session_window
+from .windows import gap_minutes, interpolate, rolling, run_length, session_window
 
 SIGNALS = ("chat_deficit", "unique_deficit", "rolling_chat_deficit_5m", "rolling_unique_deficit_5m", "rolling_zero_rate_5m", "zero_run_len")
 
@@ -107,3 +107,31 @@ def rule_scores(sessions: DataFrame) -> DataFrame:
     e = pct_ranks(e, parts, 9).drop("_nc", "_nu")
     e = e.withColumn("rule_score", F.round(row_mean([F.col(p) for p in parts]), 9))
     return e.withColumn("review_order", F.row_number().over(Window.orderBy(F.desc("rule_score"), "session_key")))
+
+
+def eligibility(sessions: DataFrame, min_n: int = 10) -> DataFrame:
+    """Adds ok and the reason: enough ticks, no audience fault (v_qc) and not silent throughout."""
+    reasons = F.concat_ws(";", F.when(F.col("n").isNull(), "missing_n").when(F.col("n") < min_n, f"n_below_min_n_{min_n}"), F.when(F.col("v_qc"), "v_qc_nonzero"), F.when(F.col("all_zero"), "all_zero_session"))
+    return sessions.withColumn("ok", reasons == "").withColumn("reason", F.when(reasons == "", "eligible").otherwise(reasons))
+
+
+def row_qc(state: DataFrame, gap: float) -> DataFrame:
+    """Rows with any of five faults, and which."""
+    w = session_window()
+    tests = {"v_miss": F.col("v_miss"), "chat_below_unique": F.col("chat_count") < F.col("unique_chatters"), "v_edge": (F.col("minute_idx") == 1) & F.col("v_miss"), "clock_gap": gap_minutes("minute_ts", w) > gap, "negative": F.col("chat_count") < 0}
+    return state.withColumn("flags", F.concat_ws(";", *[F.when(t, name) for name, t in tests.items()])).filter("flags <> ''")
+
+
+def qc_zero_sessions(state: DataFrame) -> DataFrame:
+    """One row per session without any chat."""
+    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("minute_ts"))).alias(c)
+    return state.filter("all_zero").groupBy("run_id", "broad_no", "session_key").agg(
+        F.count(F.lit(1)).alias("n"), F.min("minute_ts").alias("start_ts"), F.max("minute_ts").alias("end_ts"), F.percentile("viewer", F.lit(0.5)).alias("viewer_median"), F.max("viewer").alias("viewer_max"),
+        F.avg(F.col("v_miss").cast("double")).alias("v_miss_rate"), F.sum("chat_count").alias("total_chat"), F.sum("unique_chatters").alias("total_unique"), F.bool_and("zero_chat").alias("all_zero_chat"), first("category_id"),
+    )
+
+
+def case_features(state: DataFrame) -> DataFrame:
+    """Per session: the audience's range, the share of ticks with chat, and the longest silence whatever the clock."""
+    s = run_length(state.select("run_id", "broad_no", "session_key", "minute_ts", "viewer", "chat_count", "zero_chat"), "zero_chat", "_z", session_window())
+    return s.groupBy("session_key").agg((F.max("viewer") - F.min("viewer")).alias("viewer_range"), F.avg((F.col("chat_count") > 0).cast("double")).alias("chat_positive"), F.max("_z").alias("longest_zero"))

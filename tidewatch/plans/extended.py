@@ -10,7 +10,7 @@ from ..operators import learn, models, ranks, scan, state, synthetic, windows
 from ..sources import telemetry as source
 from ..sources.steps import step
 from . import sql as Q
-from .telemetry import _RS, GRID_D, GRID_Q, ID, query, r6, read, ruled, scored, sessions, stated, zed
+from .telemetry import _RS, GRID_D, GRID_Q, ID, query, r6, read, ruled, scored, sessions, stated, with_z, zed
 
 _GRID = f"{Q.SCORES}, cut AS (SELECT unnest([0.90, 0.95, 0.97, 0.99])::DOUBLE AS q, unnest(quantile_cont(minute_mismatch_rank, [0.90, 0.95, 0.97, 0.99])) AS cutoff FROM scores), h AS (SELECT run_id, broad_no, q, minute_idx, lag(minute_idx) OVER (PARTITION BY run_id, broad_no, q ORDER BY minute_idx) AS p FROM scores JOIN cut ON minute_mismatch_rank >= cutoff), g AS (SELECT *, sum(CASE WHEN coalesce(minute_idx - p > 2, true) THEN 1 ELSE 0 END) OVER (PARTITION BY run_id, broad_no, q ORDER BY minute_idx) AS e FROM h), ep AS (SELECT run_id, broad_no, q, e, max(minute_idx) - min(minute_idx) + 1 AS duration FROM g GROUP BY ALL), d(d) AS (VALUES (1), (2), (3), (5), (10)), k AS (SELECT q, d.d FROM cut, d), epd AS (SELECT ep.*, d.d FROM ep, d WHERE duration >= d.d)"
 
@@ -97,7 +97,7 @@ def _injected_scores(spark, d):
 @step
 def _injected_zed(spark, d):
     out = state.injected_ranks(_injected_scores(spark, d), scored(spark, d))
-    return out.withColumn("z", F.round(F.expr(S.rank_z_sql("minute_mismatch_rank")), 9))
+    return with_z(out, scored(spark, d).count())
 
 
 @query("j7_recovery_rescored")

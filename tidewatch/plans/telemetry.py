@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
-from ..operators import models, ranks, review, scan, state, windows
+from ..operators import evidence, models, ranks, review, scan, state, windows
 from ..sources import sinks, telemetry
 from ..sources.steps import step
 from . import sql as Q
@@ -17,7 +17,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 GRID_Q, GRID_D = (0.90, 0.95, 0.97, 0.99), (1, 2, 3, 5, 10)
-FAMILIES = ["zero", "gap", "run", "chat", "unique"]
+FAMILIES = list(evidence.FAMILIES)
 
 
 def query(name: str, text: str | None = None) -> Callable[[Query], Query]:
@@ -64,9 +64,67 @@ def flagship(spark: SparkSession, sf_dir: str, min_n: int = 10) -> DataFrame:
     return state.rule_scores(state.session_summary(stated(spark, sf_dir), min_n)).orderBy("review_order")
 
 
+def with_z(scores: DataFrame, rows: int) -> DataFrame:
+    """z of the mismatch rank among so many rows, in whole billionths."""
+    return scores.withColumn("z", F.round(F.expr(S.rank_z_sql("minute_mismatch_rank", str(rows))) * scan.UNIT).cast("long"))
+
+
 @step
 def zed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scored(spark, sf_dir).withColumn("z", F.round(F.expr(S.rank_z_sql("minute_mismatch_rank")), 9))
+    s = scored(spark, sf_dir)
+    return with_z(s, s.count())
+
+
+@step
+def marked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Minute rows with their cluster (audience half by silence), its mismatch rank and state, and the expected response."""
+    cluster = 2 * F.coalesce(F.col("viewer_bin") >= 5, F.lit(False)).cast("int") + F.col("zero_chat").cast("int")
+    s = evidence.expected_by_cell(zed(spark, sf_dir), F.col("viewer_bin") * 4 + F.floor(F.hour("minute_ts") / 6).cast("int"), F.col("run_id") % 5, 5, 40)
+    s = s.withColumn("minute_cluster", cluster)
+    return evidence.mark_mismatch(s, evidence.cluster_profiles(s))
+
+
+@step
+def found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each session's best interval by empirical p."""
+    return scan.best_intervals(zed(spark, sf_dir), telemetry.GAP_MINUTES, Q.N_PERM)
+
+
+@step
+def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chosen interval's scan result and metrics, with its anomaly; one row per session."""
+    f = found(spark, sf_dir)
+    m = f.select(*ID, "session_key", "duration", "scan_z", "empirical_p").join(scan.interval_metrics(f, marked(spark, sf_dir), telemetry.GAP_MINUTES), ID)
+    return evidence.interval_anomaly(m)
+
+
+@step
+def dwelt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evidence.dwell(marked(spark, sf_dir))
+
+
+@step
+def supported(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evidence.reason_support(metrics(spark, sf_dir))
+
+
+@step
+def ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Family ranks of all scanned sessions, with eligibility."""
+    r = supported(spark, sf_dir).groupBy("session_key").agg(F.max("support").alias("reason_rank_max"), F.max("value").alias("reason_value_max"))
+    s = metrics(spark, sf_dir).join(dwelt(spark, sf_dir).select("session_key", "mismatch_max_run", "mismatch_total_run", "mismatch_rate", "transitions"), "session_key").join(r, "session_key", "left")
+    return evidence.family_ranks(s.join(sessions(spark, sf_dir).select("session_key", "eligible"), "session_key", "left").fillna(False, ["eligible"]))
+
+
+@step
+def reviewed_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = ranked(spark, sf_dir)
+    return evidence.review(s, s.count())
+
+
+def reviewed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The eligible sessions in review order."""
+    return reviewed_all(spark, sf_dir).filter("eligible")
 
 
 def text(c: str) -> Column:
@@ -218,11 +276,9 @@ def _(spark, d):
     return a.unionByName(b).groupBy("k").agg(F.bool_or(F.col("s") == 0).alias("in_orders"), F.bool_or(F.col("s") == 1).alias("in_building"))
 
 
-@query("j6_interval_metrics", f"WITH {Q.SCAN} SELECT run_id, broad_no, count(*) AS minutes, round(avg(minute_mismatch_rank), 6) AS rank_mean, round(quantile_cont(minute_mismatch_rank, 0.95), 6) AS rank_p95, round(avg(chat_deficit), 6) AS chat_deficit_mean, round(avg(unique_deficit), 6) AS unique_deficit_mean, round(avg(zero_chat::INT), 6) AS zero_rate, max(zero_run_len) AS max_zero_run FROM scores JOIN scan USING (run_id, broad_no) WHERE minute_idx BETWEEN start_idx AND end_idx GROUP BY ALL")
+@query("j6_interval_metrics", f"WITH {Q.METRICS} SELECT session_key, duration, minutes, {r6s('rank_mean', 'rank_p95', 'chat_deficit_mean', 'unique_deficit_mean', 'zero_rate')}, max_zero_run FROM metrics")
 def _(spark, d):
-    z = zed(spark, d)
-    out = scan.interval_metrics(scan.best_intervals(z, telemetry.GAP_MINUTES), z)
-    return out.select(*ID, "minutes", *r6("rank_mean", "rank_p95", "chat_deficit_mean", "unique_deficit_mean", "zero_rate"), F.col("max_zero_run").cast("long").alias("max_zero_run"))
+    return metrics(spark, d).select("session_key", "duration", "minutes", *r6("rank_mean", "rank_p95", "chat_deficit_mean", "unique_deficit_mean", "zero_rate"), F.col("max_zero_run").cast("long").alias("max_zero_run"))
 
 
 # --- aggregations ---
@@ -411,15 +467,27 @@ def _(spark, d):
     return scored(spark, d).select(*ID, F.col("minute_idx").cast("long").alias("minute_idx"), *r6("minute_mismatch_score", "minute_mismatch_rank"), "reason")
 
 
-@query("r3_scan", f"WITH {Q.SCAN} SELECT run_id, broad_no, block::BIGINT AS block, start_idx, end_idx, scan_z, end_idx - start_idx + 1 AS duration FROM scan")
+@query("r3_scan", f"WITH {Q.SCAN} SELECT run_id, broad_no, block::BIGINT AS block, start_idx, end_idx, round(scan_z, 6) AS scan_z, end_idx - start_idx + 1 AS duration FROM scan")
 def _(spark, d):
     out = scan.best_intervals(zed(spark, d), telemetry.GAP_MINUTES)
-    return out.select(*ID, "block", F.col("start_idx").cast("long").alias("start_idx"), F.col("end_idx").cast("long").alias("end_idx"), "scan_z", F.col("duration").cast("long").alias("duration"))
+    return out.select(*ID, "block", F.col("start_idx").cast("long").alias("start_idx"), F.col("end_idx").cast("long").alias("end_idx"), *r6("scan_z"), "duration")
 
 
-@query("r3_scan_null")
+@query("r3_scan_null", f"WITH {Q.BEST} SELECT run_id, broad_no, block::BIGINT AS block, n_rows AS n, round(scan_z, 6) AS scan_z, round(null_mean, 6) AS null_mean, round(null_p95, 6) AS null_p95, round(CASE WHEN n_rows > 1 THEN p0 END, 6) AS empirical_p FROM (SELECT * REPLACE (CASE WHEN n_rows > 1 THEN null_mean END AS null_mean, CASE WHEN n_rows > 1 THEN null_p95 END AS null_p95) FROM pm4)")
 def _(spark, d):
-    return scan.scan_null(zed(spark, d), telemetry.GAP_MINUTES)
+    return scan.scan_blocks(zed(spark, d), telemetry.GAP_MINUTES, Q.N_PERM).select(*ID, "block", "n", *r6("scan_z", "null_mean", "null_p95", "empirical_p"))
+
+
+@query("t7_best_block", f"WITH {Q.BEST} SELECT session_key, block::BIGINT AS block, start_idx, end_idx, duration, {r6s('scan_z', 'empirical_p')}, ((epoch(end_ts) - epoch(start_ts)) / 60 + 1)::DOUBLE AS clock_minutes FROM bestscan")
+def _(spark, d):
+    i = lambda c: F.col(c).cast("long").alias(c)
+    return found(spark, d).select("session_key", "block", i("start_idx"), i("end_idx"), "duration", *r6("scan_z", "empirical_p"), F.col("clock_minutes").cast("double").alias("clock_minutes"))
+
+
+@query("r3_scan_null_200")
+def _(spark, d):
+    """The method's 200 permutations; the SQL repeats 19 of them."""
+    return scan.best_intervals(zed(spark, d), telemetry.GAP_MINUTES, 200)
 
 
 @query("r18_episode_grid", f"WITH {Q.SCORES}, cut AS (SELECT unnest([0.90, 0.95, 0.97, 0.99])::DOUBLE AS q, unnest(quantile_cont(minute_mismatch_rank, [0.90, 0.95, 0.97, 0.99])) AS cutoff FROM scores), h AS (SELECT run_id, broad_no, q, minute_idx, lag(minute_idx) OVER (PARTITION BY run_id, broad_no, q ORDER BY minute_idx) AS p FROM scores JOIN cut ON minute_mismatch_rank >= cutoff), g AS (SELECT *, sum(CASE WHEN coalesce(minute_idx - p > 2, true) THEN 1 ELSE 0 END) OVER (PARTITION BY run_id, broad_no, q ORDER BY minute_idx) AS e FROM h), ep AS (SELECT run_id, broad_no, q, e, max(minute_idx) - min(minute_idx) + 1 AS duration FROM g GROUP BY ALL) SELECT q, d.d::BIGINT AS min_duration, count(*) AS episodes, count(DISTINCT (run_id, broad_no)) AS sessions, max(duration)::BIGINT AS longest FROM ep, (VALUES (1), (2), (3), (5), (10)) d(d) WHERE duration >= d.d GROUP BY ALL")
@@ -433,36 +501,9 @@ def _(spark, d):
     return ruled(spark, d).select("session_key", *r6("rule_score"), F.col("review_order").cast("long").alias("review_order"))
 
 
-_FAM = {"zero": "zero_rate", "gap": "gap_med", "run": "zrun_max", "chat": "nc", "unique": "nu"}
-
-
-@step
-def _families(spark: SparkSession, d: str) -> DataFrame:
-    s = ruled(spark, d).withColumns({"nc": -F.col("chat_mean"), "nu": -F.col("unique_sum") / F.col("n")})
-    for name, c in _FAM.items():
-        s = s.withColumn("_x", F.round(F.col(c).cast("double"), 9))
-        s = review.rank_from_sort(s, [F.desc("_x"), F.asc("session_key")], ["_x"], f"{name}_rank").drop("_x")
-    return review.families(s.drop("review_order"), FAMILIES)
-
-
-def _rra_sql(ranks: list[str]) -> str:
-    import math
-
-    m = len(ranks)
-    tails = ["(" + " + ".join(f"{math.comb(m, j)} * pow(v[{i}], {j}) * pow(1 - v[{i}], {m - j})" for j in range(i, m + 1)) + ")" for i in range(1, m + 1)]
-    return f"greatest(0, least(1, {m} * least({', '.join(tails)})))"
-
-
-_REVIEW = (
-    Q.RULES
-    + f""",
-fa0 AS (SELECT session_key, count(*) OVER () AS n, {", ".join(f"row_number() OVER (ORDER BY round({c}::DOUBLE, 9) DESC, session_key) AS {f}_rank" for f, c in _FAM.items())} FROM rules),
-fa1 AS (SELECT *, {", ".join(f"greatest(0, least(1, 1 - {f}_rank / (n + 1))) AS {f}_strength" for f in _FAM)}, list_sort([{", ".join(f"least(1, {f}_rank / (n + 1))" for f in _FAM)}]) AS v FROM fa0),
-fa2 AS (SELECT *, round(({" + ".join(f"{f}_strength" for f in _FAM)}) / 5, 9) AS consensus, round({_rra_sql(list(_FAM))}, 12) AS rra_p FROM fa1),
-fa3 AS (SELECT *, row_number() OVER (ORDER BY rra_p) AS k FROM fa2),
-fa4 AS (SELECT *, round(least(1, min(rra_p * n / k) OVER (ORDER BY k DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)), 12) AS rra_q FROM fa3),
-review AS (SELECT *, row_number() OVER (ORDER BY consensus DESC, rra_q, rra_p, {", ".join(f"{f}_rank" for f in _FAM)}, session_key) AS review_order FROM fa4)"""
-)
+_FAM = FAMILIES
+_REVIEW = Q.REVIEW
+_families = reviewed
 
 
 @query("r15_review_order", f"WITH {_REVIEW} SELECT session_key, {r6s('consensus')}, round(rra_p, 9) AS rra_p, round(rra_q, 9) AS rra_q, review_order FROM review")
@@ -470,7 +511,7 @@ def _(spark, d):
     return _families(spark, d).select("session_key", *r6("consensus"), F.round("rra_p", 9).alias("rra_p"), F.round("rra_q", 9).alias("rra_q"), F.col("review_order").cast("long").alias("review_order"))
 
 
-@query("r24_aggregation_variants", f"WITH {_REVIEW}, s AS (SELECT session_key, list_sort([{', '.join(f'{f}_strength' for f in _FAM)}]) AS s FROM review) SELECT session_key, round(list_avg(s), 6) AS v_mean, round(list_median(s), 6) AS v_median, round(list_avg(s[2:4]), 6) AS v_trimmed FROM s")
+@query("r24_aggregation_variants", f"WITH {_REVIEW}, s AS (SELECT session_key, list_sort([x for x in [{', '.join(f'{f}_strength' for f in _FAM)}] if x IS NOT NULL]) AS s FROM review) SELECT session_key, round(round(list_avg(s), 9), 6) AS v_mean, round(round(list_median(s), 9), 6) AS v_median, round(round(list_sum(s[2:len(s) - 1]) / (len(s) - 2), 9), 6) AS v_trimmed FROM s")
 def _(spark, d):
     return review.variants(_families(spark, d), FAMILIES).select("session_key", *r6("v_mean", "v_median", "v_trimmed"))
 

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .telemetry import conform
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
@@ -12,6 +15,12 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return old.join(new.select(keys), keys, "left_anti").unionByName(new)
 
 
+def write_conformed(df: DataFrame, schema: T.StructType, path: str) -> str:
+    """Writes the schema's columns, missing ones null, and returns the path."""
+    conform(df, schema).write.mode("overwrite").parquet(path)
+    return path
+
+
 def activate(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """All known targets; active are those of the new list."""
     known, listed = old.select(F.col(key)).distinct().withColumn("_o", F.lit(1)), new.select(F.col(key)).distinct().withColumn("_n", F.lit(1))

@@ -6,10 +6,14 @@ the day is the run, user_id modulo 20 the broadcast, and an hour the tick.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.scalar import id_str
+
 TICK_MINUTES = 60
 #: A clock gap over 1.1 ticks breaks a run or a block.
 GAP_MINUTES = 1.1 * TICK_MINUTES
@@ -43,8 +47,62 @@ def chat_events(events: DataFrame) -> DataFrame:
     return telemetry(events).filter("event_type = 'click'").withColumnRenamed("props", "message")
 
 
-def snapshots(events: DataFrame) -> DataFrame:
-    return telemetry(events).filter("event_type <> 'click'")
+def snapshots(events: DataFrame, run_id: int | None = None) -> DataFrame:
+    """Audience snapshots, of one run if given."""
+    out = telemetry(events).filter("event_type <> 'click'")
+    return out if run_id is None else out.filter(F.col("run_id") == run_id)
+
+
+def run_status(rows: DataFrame) -> DataFrame:
+    """One row per run: started, ended, n, and failed if its last event is an error, else success."""
+    last = F.max_by("event_type", F.struct("ts", "event_id"))
+    return rows.groupBy("run_id").agg(F.min("ts").alias("started"), F.max("ts").alias("ended"), F.count(F.lit(1)).alias("n"), F.when(last == "error", "failed").otherwise("success").alias("status"))
+
+
+def scan_files(spark: SparkSession, paths: list[str], rename: Callable[[str], str] = str.strip) -> DataFrame:
+    """Parquet files or folders as one table: headers renamed (trimmed), columns united by name, those that a file
+    lacks null, and source_file, the table that a row came from."""
+    out = None
+    for path in paths:
+        df = spark.read.parquet(path)
+        df = df.select(*[F.col(c).alias(rename(c)) for c in df.columns], F.regexp_extract("_metadata.file_path", r"/([^/.]+)\.parquet(?:/[^/]*)?$", 1).alias("source_file"))
+        out = df if out is None else out.unionByName(df, allowMissingColumns=True)
+    return out
+
+
+def with_run_id(df: DataFrame, file: Column, column: str = "run_id") -> DataFrame:
+    """run_id from the file's name wherever a file has none of its own in any row."""
+    if column not in df.columns:
+        return df.withColumn(column, run_id_from_name(file))
+    known = F.count(column).over(Window.partitionBy(file))
+    return df.withColumn(column, F.when(known == 0, run_id_from_name(file)).otherwise(F.col(column)))
+
+
+def targets_of_lines(lines: DataFrame) -> DataFrame:
+    """Targets from lines of a list by position: user_id, name, channel; lines of fewer columns are dropped."""
+    parts = lines.select(F.split("value", ",").alias("p")).filter(F.size("p") >= 3)
+    return parts.select(*[F.trim(F.get("p", F.lit(i))).alias(c) for i, c in enumerate(("user_id", "name", "channel"))])
+
+
+def normalise_minute(saved: DataFrame) -> DataFrame:
+    """A saved minute table taken in again: canonical ids, coerced numbers and times, no rows without a key, the first
+    of equal keys, and negative counts as null."""
+    ids = {c: id_str(F.col(c)).try_cast("bigint") for c in KEY[:2]}
+    counts = {c: F.trim(c).try_cast("double") for c in ("chat_count", "unique_chatters", "viewer_count_last") if c in saved.columns}
+    out = saved.withColumns(ids | {c: F.when(v >= 0, v) for c, v in counts.items()} | {"minute_ts": F.trim("minute_ts").try_cast("timestamp_ntz")}).na.drop(subset=KEY)
+    out = conform(out, MINUTE_SCHEMA).dropDuplicates(KEY)
+    return out.withColumn("session_key", F.concat_ws("_", "run_id", "broad_no"))
+
+
+def join_by_ids(left: DataFrame, right: DataFrame, ids: list[str], keys: list[str]) -> DataFrame:
+    """Left join on ids compared as canonical text and on plain keys."""
+    other = right.select(*[id_str(F.col(c)).alias(f"_id_{c}") for c in ids], *[F.col(c).alias(f"_key_{c}") for c in keys], *[c for c in right.columns if c not in (*ids, *keys)])
+    same = F.lit(True)
+    for c in ids:
+        same = same & (id_str(F.col(c)) == F.col(f"_id_{c}"))
+    for c in keys:
+        same = same & (F.col(c) == F.col(f"_key_{c}"))
+    return left.join(other, same, "left").drop(*[f"_id_{c}" for c in ids], *[f"_key_{c}" for c in keys])
 
 
 def chat_minutes(chat: DataFrame) -> DataFrame:
@@ -90,13 +148,12 @@ def message_hash(broad: str, user: str, message: str, ts: str) -> Column:
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """CSV with a header and a known schema, malformed rows dropped; a missing path is an empty frame."""
-    try:
-        return spark.read.schema(schema).csv(path, header=True, mode="DROPMALFORMED", encoding="UTF-8")
-    except Exception as e:  # only the missing path; everything else is raised
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
+    """CSV with a header, with or without a byte order mark, read by a known schema by position; malformed rows are
+    dropped; a missing path is an empty frame."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
         return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).csv(path, header=True, mode="DROPMALFORMED", encoding="UTF-8", enforceSchema=True)
 
 
 def run_id_from_name(name: Column) -> Column:

@@ -1,20 +1,21 @@
 """Streaming minute aggregation over a folder of event files.
 
 Late rows inside the watermark change their tick's row; rows behind it are dropped, which a full recomputation would
-not do: the watermark bounds both state and lateness.
+not do: the watermark bounds both state and lateness. ``recount`` is that recomputation, for the ticks a batch touches.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..sources.sinks import upsert
 from ..sources.steps import written
+from ..sources.telemetry import message_hash
 
 
 def event_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_trigger: int = 1) -> DataFrame:
@@ -23,14 +24,34 @@ def event_stream(spark: SparkSession, path: str, schema: T.StructType, files_per
     return raw.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def chat_ticks(stream: DataFrame, tick: str = "1 hour", late: str = "2 hours") -> DataFrame:
-    """Messages and approximate distinct users per broadcast and tick, each message once."""
-    chat = stream.filter("event_type = 'click'").withColumn("broad_no", F.col("user_id") % 20).withWatermark("ts", late)
-    once = chat.dropDuplicatesWithinWatermark(["event_id"])
-    ticks = once.groupBy(F.window("ts", tick).alias("w"), "broad_no").agg(F.count(F.lit(1)).alias("chat_count"), F.approx_count_distinct("user_id").alias("users"))
+def chat_messages(events: DataFrame) -> DataFrame:
+    """Chat events with their broadcast and the hash of their content."""
+    chat = events.filter("event_type = 'click'").withColumn("broad_no", F.col("user_id") % 20)
+    return chat.withColumn("message_hash", message_hash("broad_no", "user_id", "props", "ts"))
+
+
+def of_active(stream: DataFrame, targets: DataFrame, key: str = "broad_no") -> DataFrame:
+    """Rows of the targets that are active now: a stream-static join, whose table is read anew in every batch."""
+    return stream.join(targets.filter("is_active").select(key).distinct(), key, "left_semi")
+
+
+def _ticks(chat: DataFrame, tick: str) -> DataFrame:
+    ticks = chat.groupBy(F.window("ts", tick).alias("w"), "broad_no").agg(F.count("props").alias("chat_count"), F.size(F.collect_set("user_id")).alias("users"))
     return ticks.select("broad_no", F.col("w.start").alias("minute_ts"), "chat_count", "users")
 
 
+def chat_ticks(stream: DataFrame, tick: str = "1 hour", late: str = "2 hours") -> DataFrame:
+    """Messages and distinct users per broadcast and tick. A message counts once, however often a source that
+    reconnects replays it: equal content within the watermark is one message."""
+    return _ticks(chat_messages(stream).withWatermark("ts", late).dropDuplicatesWithinWatermark(["message_hash"]), tick)
+
+
+def recount(events: DataFrame, touched: DataFrame, tick: str = "1 hour") -> DataFrame:
+    """The same from all stored events, for the (broad_no, minute_ts) in touched only: late rows of any age converge."""
+    chat = chat_messages(events).withColumn("minute_ts", F.window("ts", tick)["start"])
+    return _ticks(chat.join(touched.select("broad_no", "minute_ts").distinct(), ["broad_no", "minute_ts"], "left_semi").dropDuplicates(["message_hash"]), tick)
+
+
 def activity_sessions(stream: DataFrame, gap: str = "90 minutes", late: str = "2 hours") -> DataFrame:
     """Per broadcast, stretches of chat without a pause over gap."""
     chat = stream.filter("event_type = 'click'").withColumn("broad_no", F.col("user_id") % 20).withWatermark("ts", late)
@@ -39,19 +60,80 @@ def activity_sessions(stream: DataFrame, gap: str = "90 minutes", late: str = "2
 
 
 class UpsertTable:
-    """A keyed table as immutable versions in the shared folder; each micro-batch writes the next one."""
-
-    def __init__(self, spark: SparkSession, schema: T.StructType, keys: list[str]):
-        self.spark, self.schema, self.keys, self.path, self.batch = spark, schema, keys, None, -1
+    """A keyed table in a shared folder, parted by a column's value (the day of a time, if none is given).
+
+    A batch rewrites only the parts that it touches, under its own number, and is committed by its entry in the log,
+    which is written last. A batch that is run again, also after a restart, changes nothing; one that was lost before
+    its entry is written anew. Of rows with equal keys in a batch, the last in ``order`` stays.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, schema: T.StructType, keys: list[str], part: Column | None = None, order: list[Column] | None = None):
+        self.spark, self.root, self.schema, self.keys = spark, root.rstrip("/"), schema, keys
+        self.part = F.date_format(keys[-1], "yyyy-MM-dd") if part is None else part
+        self.order = order or [F.desc(c) for c in schema.names if c not in keys]
+
+    def _versions(self) -> dict[str, int]:
+        """The committed version of each part."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/log")
+        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        done = [s.getPath() for s in fs.listStatus(path)] if fs.exists(path) else []
+        done = [p.toString() for p in done if fs.exists(p.suffix("/_SUCCESS"))]
+        if not done:
+            return {}
+        log = self.spark.read.schema("part string, version long").parquet(*done)
+        return {r["part"]: r["version"] for r in log.groupBy("part").agg(F.max("version").alias("version")).collect()}
+
+    def _rows(self, versions: dict[str, int]) -> DataFrame:
+        paths = [f"{self.root}/data/version={v}/_part={p}" for p, v in sorted(versions.items())]
+        return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
 
     def read(self) -> DataFrame:
-        return self.spark.createDataFrame([], self.schema) if self.path is None else self.spark.read.schema(self.schema).parquet(self.path)
+        return self._rows(self._versions())
 
     def apply(self, rows: DataFrame, batch: int) -> None:
-        if batch > self.batch:  # a batch that is run again changes nothing
-            self.path, _ = written(upsert(self.read(), rows.select(self.schema.names), self.keys), "upsert")
-            self.batch = batch
-
-
-def start(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "update") -> StreamingQuery:
-    return stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(sink).start()
+        versions = self._versions()
+        if batch <= max(versions.values(), default=-1):
+            return
+        last = Window.partitionBy(*self.keys).orderBy(*self.order)
+        new = rows.select(self.schema.names).na.drop(subset=self.keys).withColumn("_k", F.row_number().over(last)).filter("_k = 1").drop("_k")
+        new = written(new.withColumn("_part", self.part), "upsert-batch")
+        touched = [r["_part"] for r in new.select("_part").distinct().collect()]  # the days of one batch
+        if not touched:
+            return
+        old = self._rows({p: versions[p] for p in touched if p in versions})
+        out = upsert(old, new.drop("_part"), self.keys).withColumn("_part", self.part)
+        out.write.mode("overwrite").partitionBy("_part").parquet(f"{self.root}/data/version={batch}")
+        self.spark.createDataFrame([(p, batch) for p in touched], "part string, version long").coalesce(1).write.mode("overwrite").parquet(f"{self.root}/log/batch={batch}")
+
+
+def append_batches(root: str) -> Callable[[DataFrame, int], None]:
+    """A sink that appends each micro-batch in a folder of its own: a batch that is run again replaces itself."""
+
+    def append(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{root.rstrip('/')}/batch={batch}")
+
+    return append
+
+
+def start(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "update", every: str | None = None) -> StreamingQuery:
+    """Flushes by size (what the source gives a trigger) and by time: every so often, or all there is and then stop."""
+    trigger = {"processingTime": every} if every else {"availableNow": True}
+    return stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(**trigger).foreachBatch(sink).start()
+
+
+def run_log(spark: SparkSession, root: str, run_id: int, work: Callable[[], int]) -> DataFrame:
+    """Runs work, and keeps a row of its life in root: running, then success with its row count, or failed with the
+    error, which is raised again. Returns each run's last row."""
+    schema = "run_id int, status string, n long, error string, at timestamp"
+
+    def note(step: int, status: str, n: int | None = None, error: str | None = None) -> None:
+        row = spark.createDataFrame([(run_id, status, n, error)], "run_id int, status string, n long, error string").withColumn("at", F.current_timestamp())
+        row.coalesce(1).write.mode("overwrite").parquet(f"{root.rstrip('/')}/run={run_id}/step={step}")
+
+    note(0, "running")
+    try:
+        note(1, "success", work())
+    except Exception as e:
+        note(1, "failed", error=str(e)[:500])
+        raise
+    return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(root).groupBy("run_id").agg(F.max_by("status", "at").alias("status"), F.max_by("n", "at").alias("n"), F.max_by("error", "at").alias("error"))
