@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,16 +21,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a temporary folder for a
+    session in one process, the warehouse on a cluster."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='tidewatch-')}"
+        local = spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local"
+        found = f"file://{tempfile.mkdtemp(prefix='tidewatch-')}" if local else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+_roots: set[str] = set()
+
+
 def new_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/tidewatch/{tag}-{uuid.uuid4().hex}"
+    """A new folder below the application's own, which goes when the application ends."""
+    root = f"{shared_dir(spark)}/tidewatch/{spark.sparkContext.applicationId}"
+    if root not in _roots:
+        path = spark._jvm.org.apache.hadoop.fs.Path(root)
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+        _roots.add(root)
+    return f"{root}/{tag}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
@@ -59,6 +75,13 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def release() -> None:
+    """Gives a worker's free memory back at a task's end: the worker lives on, and what it holds adds to later tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def lower_ascii(text: Column) -> Column:
     """Lower-cases A-Z only; null counts as empty."""
     return F.translate(F.coalesce(text, F.lit("")), UPPER, UPPER.lower())
@@ -78,16 +101,19 @@ def attach_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total
     )
 
 
-#: Ids up to this many (16 MB) are broadcast, more are shuffled with the rows.
-BROADCAST_IDS = 2_000_000
+#: Keys up to this many (some 30 MB as a hash relation) are broadcast, more are shuffled with the rows.
+BROADCAST_KEYS = 200_000
 
 
-def drop_ids(rows: DataFrame, id_col: str, gone: DataFrame) -> DataFrame:
-    """The rows whose id is not in gone (one column), with their own columns."""
-    gone = materialize(gone.select(F.col(gone.columns[0]).alias("_gone")).distinct(), "gone")
-    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-    boxed = rows.select(F.struct(*rows.columns).alias("_row"), F.col(id_col).alias("_id"))
-    return boxed.join(gone, F.col("_id") == F.col("_gone"), "left_anti").select("_row.*")
+def drop_rows(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """rows without those whose key is in gone. All of gone's columns are the key, and rows has them too; the first
+    may be null, and null equals null there."""
+    keys = gone.columns
+    gone = materialize(gone.select(*[F.col(k).alias(f"_gone_{k}") for k in keys]).distinct(), "gone")
+    same = F.col(keys[0]).eqNullSafe(F.col(f"_gone_{keys[0]}"))
+    for k in keys[1:]:
+        same = same & (F.col(k) == F.col(f"_gone_{k}"))
+    return rows.join(F.broadcast(gone) if gone.count() <= BROADCAST_KEYS else gone, same, "left_anti")
 
 
 #: Ids per bucket in the sample that cuts the buckets.

@@ -1,13 +1,15 @@
 """Exact deduplication by two-pass Bloom filtering, in DataFrame operations only.
 
 Pass 1 hashes every normalised text, counts the filter positions that two hash functions give, and keeps the
-positions hit at least twice as bitmaps. Pass 2 tests each row against both bitmaps: only rows whose two
-positions are both taken are shuffled and grouped by their full digest; all others can have no equal and pass
-straight through. False positives cost a shuffled row and change no result.
+positions hit at least twice as bitmaps. The bitmaps are sized by the number of rows, so that at any size about one
+unique row in 250 is flagged by chance. Pass 2 tests each row against both bitmaps: only rows whose two positions are
+both taken are shuffled and grouped by their full digest; all others can have no equal and pass straight through.
+False positives cost a shuffled row and change no result.
 
 Defined cases: a null text counts as empty; texts are equal when identical after lower-casing A-Z; of equal
-texts the largest doc_id stays (null ids rank lowest); rows that share a doc_id stay or go together; an empty
-table gives an empty result; further columns of any name are carried by ``exact_dedup`` unchanged.
+texts the largest doc_id stays (null ids rank lowest); rows that share doc_id and text stay or go together, rows that
+share a doc_id alone are decided each by its own text; an empty table gives an empty result; further columns of any
+name are carried by ``exact_dedup`` unchanged.
 """
 
 from __future__ import annotations
@@ -15,21 +17,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import attach_groups, drop_ids, lower_ascii, materialize
+from ._common import attach_groups, drop_rows, lower_ascii, materialize
 
-#: Bits of each of the two bitmaps: 8 MB each at most, however many rows there are.
-FILTER_BITS = 1 << 26
+#: Bits of each bitmap for a row; up to BROADCAST_BITS (32 MB a bitmap) they are broadcast, larger ones are joined by
+#: shuffling positions.
+BITS_PER_ROW, LEAST_BITS, BROADCAST_BITS = 16, 1 << 16, 1 << 28
 _BUCKET_BITS = 15  # a bitmap aggregate holds 32768 bits
 
 
+def filter_bits_for(rows: int) -> int:
+    return max(LEAST_BITS, 1 << (BITS_PER_ROW * max(rows, 1) - 1).bit_length())
+
+
 def _positions(sha: Column, bits: int) -> tuple[Column, Column]:
-    return F.pmod(F.xxhash64(sha), F.lit(bits)), F.pmod(F.xxhash64(sha, F.lit(1)), F.lit(bits))
+    """The two positions; the second bitmap lies behind the whole buckets of the first."""
+    behind = max(bits, 1 << _BUCKET_BITS)
+    return F.pmod(F.xxhash64(sha), F.lit(bits)), F.pmod(F.xxhash64(sha, F.lit(1)), F.lit(bits)) + F.lit(behind)
 
 
 def _bitmaps(keys: DataFrame, bits: int) -> DataFrame:
-    """(which, bucket, bits): the positions that two rows or more fall on."""
-    first, second = _positions(F.col("_sha"), bits)
-    at = keys.select(F.explode(F.array(first, second + F.lit(bits))).alias("at"))
+    """(bucket, bits): the positions that two rows or more fall on."""
+    at = keys.select(F.explode(F.array(*_positions(F.col("_sha"), bits))).alias("at"))
     taken = at.groupBy("at").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     return taken.groupBy(F.expr(f"shiftright(at, {_BUCKET_BITS})").alias("bucket")).agg(
         F.expr(f"bitmap_construct_agg(at & {(1 << _BUCKET_BITS) - 1})").alias("bits")
@@ -40,42 +48,42 @@ def _flagged(rows: DataFrame, bitmaps: DataFrame, bits: int) -> DataFrame:
     """Adds _maybe: whether both positions of _sha are taken. The bitmaps' size is bounded by bits."""
     out = rows
     for name, at in zip(("_b1", "_b2"), _positions(F.col("_sha"), bits), strict=True):
-        at = at + F.lit(0 if name == "_b1" else bits)
-        side = bitmaps.filter(f"bucket {'<' if name == '_b1' else '>='} {bits >> _BUCKET_BITS}").select(F.col("bucket").alias(f"{name}k"), F.col("bits").alias(name))
+        side = bitmaps.select(F.col("bucket").alias(f"{name}k"), F.col("bits").alias(name))
         out = out.withColumn(f"{name}p", at)
-        out = out.join(F.broadcast(side), F.expr(f"shiftright({name}p, {_BUCKET_BITS}) = {name}k"), "left")
+        out = out.join(F.broadcast(side) if bits <= BROADCAST_BITS else side, F.expr(f"shiftright({name}p, {_BUCKET_BITS}) = {name}k"), "left")
     bit = lambda b: f"coalesce(shiftright(cast(conv(hex(substring({b}, cast(({b}p & 32767) div 8 as int) + 1, 1)), 16, 10) as int), cast({b}p & 7 as int)) & 1, 0) = 1"
     return out.withColumn("_maybe", F.expr(bit("_b1")) & F.expr(bit("_b2"))).select(*rows.columns, "_maybe")
 
 
-def _decide(docs: DataFrame, id_col: str, text_col: str, bits: int) -> tuple[DataFrame, DataFrame]:
-    keys = materialize(
-        docs.select(F.col(id_col).alias("_id"), F.unhex(F.sha2(lower_ascii(F.col(text_col)), 256)).alias("_sha")), "dedup-keys"
-    )
+def _sha(text_col: str) -> Column:
+    return F.unhex(F.sha2(lower_ascii(F.col(text_col)), 256)).alias("_sha")
+
+
+def _decide(docs: DataFrame, id_col: str, text_col: str, bits: int | None) -> tuple[DataFrame, DataFrame, int]:
+    keys = materialize(docs.select(F.col(id_col).alias("_id"), _sha(text_col)), "dedup-keys")
+    total = keys.count()
+    bits = bits or filter_bits_for(total)
     bitmaps = materialize(_bitmaps(keys, bits), "dedup-bloom")
     seen = _flagged(keys, bitmaps, bits)
     maybe = seen.filter("_maybe").select("_id", "_sha")
     groups = materialize(maybe.groupBy("_sha").agg(F.max("_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "dedup-groups")
     alone = seen.filter("not _maybe").select("_sha", "_id", F.col("_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
-    return attach_groups(maybe, groups, "_sha", "group_size", keys.count()).unionByName(alone), bitmaps
+    return attach_groups(maybe, groups, "_sha", "group_size", total).unionByName(alone), bitmaps, bits
 
 
-def exact_dedup_decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", filter_bits: int = FILTER_BITS) -> DataFrame:
+def exact_dedup_decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", filter_bits: int | None = None) -> DataFrame:
     """One row per row of docs: id, keep_id, group_size, kept, text_sha256 (of the normalised text)."""
-    decided, _ = _decide(docs, id_col, text_col, filter_bits)
+    decided, _, _ = _decide(docs, id_col, text_col, filter_bits)
     return decided.select(
         F.col("_id").alias(id_col), "keep_id", "group_size", F.col("_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("_sha")).alias("text_sha256")
     )
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", filter_bits: int = FILTER_BITS) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", filter_bits: int | None = None) -> DataFrame:
     """The rows of docs that stay, with the columns of docs. Rows the filter clears are not shuffled."""
-    decided, bitmaps = _decide(docs, id_col, text_col, filter_bits)
-    gone = decided.filter("_id <> keep_id").select("_id")
-    gone_null = decided.filter("_id is null and keep_id is not null").select("_sha").distinct()
+    decided, bitmaps, bits = _decide(docs, id_col, text_col, filter_bits)
+    gone = decided.filter(~F.col("_id").eqNullSafe(F.col("keep_id"))).select("_id", "_sha")
     # the filter's own columns stand beside docs as one struct, so that no name can clash
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col(id_col).alias("_id"), F.unhex(F.sha2(lower_ascii(F.col(text_col)), 256)).alias("_sha"))
-    seen = _flagged(rows, bitmaps, filter_bits)
-    stay = drop_ids(seen.filter("_maybe and _id is not null"), "_id", gone)
-    stay = stay.unionByName(seen.filter("_maybe and _id is null").join(gone_null, "_sha", "left_anti").select(stay.columns))
+    seen = _flagged(docs.select(F.struct(*docs.columns).alias("_row"), F.col(id_col).alias("_id"), _sha(text_col)), bitmaps, bits)
+    stay = drop_rows(seen.filter("_maybe").drop("_maybe"), gone)
     return seen.filter("not _maybe").select("_row.*").unionByName(stay.select("_row.*"))
