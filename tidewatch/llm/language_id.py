@@ -20,13 +20,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _bytes as tb
-from ._common import small_batches
+from ._common import release, small_batches
 
 UND = "und"
 WINDOW, WIDTHS, FILTERS, EMBED = 256, (2, 3, 4), 16, 8
 STRIDE = WINDOW - max(WIDTHS) + 1
 #: Training takes about this many labelled rows, in equal parts per language, and WINDOWS windows of each.
 SAMPLE_ROWS, WINDOWS = 2400, 3
+#: Languages learned at most, those with most labelled rows: a bound of the fit, as is SAMPLE_ROWS.
+LANGUAGES = 1000
 HELD_OUT = 2
 
 
@@ -160,7 +162,8 @@ def predict_column(column: pa.Array, model: bytes) -> tuple[list[str], np.ndarra
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS) -> bytes | None:
     """The trained network, pickled; None without labelled rows. Reads the text and label of rows not held out."""
     rows = docs.filter((fold(id_col) != HELD_OUT) & F.col(lang_col).isNotNull() & has_letter(text_col))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy(F.col(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    per = rows.groupBy(F.col(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("n"))
+    counts = {r["lang"]: r["n"] for r in per.orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
     if not counts:
         return None
     langs, scale = sorted(counts), 1_000_000
@@ -168,7 +171,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     chosen = rows.filter(F.pmod(F.xxhash64(F.col(id_col), F.lit(11)), F.lit(scale)) < share[F.col(lang_col)])
     # windows at places drawn by hash over the whole text, at most WINDOW characters each
     cut = F.array(*[F.substr(F.col(text_col), (F.pmod(F.xxhash64(F.col(id_col), F.lit(k)), F.greatest(F.length(text_col) - WINDOW + 1, F.lit(1))) + 1).cast("int"), F.lit(WINDOW)) for k in range(WINDOWS)])
-    sample = chosen.select(F.col(lang_col).alias("lang"), F.xxhash64(id_col).alias("h"), F.array_distinct(cut).alias("cut")).limit(3 * sample_rows).collect()
+    sample = chosen.select(F.col(lang_col).alias("lang"), F.xxhash64(id_col).alias("h"), F.array_distinct(cut).alias("cut")).orderBy("h", "lang").limit(3 * sample_rows).collect()
     r, x, y = np.random.Generator(np.random.PCG64(2)), [], []
     for row in sorted(sample, key=lambda s: (s["h"], s["lang"], s["cut"])):
         for k, text in enumerate(row["cut"]):
@@ -185,11 +188,13 @@ def _predict(batches: Iterator[pa.RecordBatch], model: bytes) -> Iterator[pa.Rec
         pred, score = predict_column(batch.column(1), model)
         letter = np.asarray(batch.column(2))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3), pa.array([p if k else UND for p, k in zip(pred, letter, strict=True)], pa.string()), pa.array(np.where(letter, score, 0.0))], ["id", "held_out", "lang_pred", "score"])
+    release()
 
 
 def _keep(batches: Iterator[pa.RecordBatch], model: bytes, at: int, least: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         yield batch.filter(pa.array(predict_column(batch.column(at), model)[1] >= least))
+    release()
 
 
 def predict_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
@@ -203,10 +208,13 @@ def predict_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     return out.withColumnRenamed("id", id_col)
 
 
-def keep_known_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least_score: float = 0.3) -> DataFrame:
-    """The rows of docs whose text has a letter and a language predicted with at least least_score."""
+def keep_known_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least_score: float | None = None) -> DataFrame:
+    """The rows of docs whose text has a letter and a language predicted with at least least_score: if not given,
+    1.2 times what chance gives with the learned languages, 0.3 at most, so that clean texts stay however many
+    languages there are. With three languages or fewer no text with a letter falls below it."""
     model = train(docs, id_col, text_col, lang_col)
     if model is None:
         return docs.limit(0)
+    least_score = min(0.3, 1.2 / len(_loaded(model)[0].langs)) if least_score is None else least_score
     rows = docs.filter(has_letter(text_col))
     return small_batches(rows).mapInArrow(partial(_keep, model=model, at=docs.columns.index(text_col), least=least_score), docs.schema)

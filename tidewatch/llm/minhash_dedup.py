@@ -13,8 +13,9 @@
 4. Components come from repeated contraction over the links, on Spark, each step in a written table.
 
 Defined cases: null or blank text has an empty set, which links with nothing; texts of fewer words than a shingle
-are one shingle of all their words; rows that share an id are one document; a null id links with nothing and has
-component null; empty tables give empty results; no bucket, group or partner count is capped.
+are one shingle of all their words; rows that share an id are decided each by its own text, and ``near_dedup`` drops
+such a row only if its own text's component has a smaller id; a null id links with nothing and has component null;
+empty tables give empty results; no bucket, group or partner count is capped.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _bytes as tb
-from ._common import attach_groups, drop_ids, materialize, shuffle_parts, small_batches
+from ._common import attach_groups, drop_rows, materialize, release, shuffle_parts, small_batches
 
 PERMS, ROWS, BANDS, STEP = 128, 5, 25, 32
 #: Where the star rounds' bands begin; later rounds pair only what earlier ones left unlinked.
@@ -109,6 +110,10 @@ def _alive(x: np.ndarray, y: np.ndarray, least: tuple[int, ...]) -> np.ndarray:
     return at
 
 
+def _fingerprint(u: np.ndarray) -> bytes:
+    return hashlib.blake2b(u.tobytes(), digest_size=16).digest()
+
+
 def _binary(rows: list[bytes]) -> pa.Array:
     return pa.array(rows, pa.binary())
 
@@ -118,17 +123,20 @@ def _sketch(batches: Iterator[pa.RecordBatch], k: int, width: int, bands: int) -
         n, fp, sigs = [], [], []
         for u in shingle_sets(batch.column(1), k):
             n.append(len(u))
-            fp.append(hashlib.blake2b(u.tobytes(), digest_size=16).digest())
+            fp.append(_fingerprint(u))
             sigs.append(signature(u))
         m = np.array(sigs, np.uint32).reshape(-1, PERMS)
         keys = pa.FixedSizeListArray.from_arrays(pa.array(band_keys(m, width, bands).ravel()), bands).cast(pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), _binary(fp), _binary([r.tobytes() for r in m.astype(np.uint8)]), keys], ["id", "n", "fp", "sig", "bands"])
-    pa.default_memory_pool().release_unused()
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), _binary(fp), _binary([r.tobytes() for r in m.astype(np.uint8)]), keys], ["id", "th", "n", "fp", "sig", "bands"])
+    release()
 
 
 def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """(node, text, fp) -> the sets of the nodes; another text of the node's id has another fingerprint."""
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column(0), _binary([u.tobytes() for u in shingle_sets(batch.column(1), k)])], ["id", "payload"])
+        sets = list(shingle_sets(batch.column(1), k))
+        own = [i for i, (u, fp) in enumerate(zip(sets, batch.column(2).to_pylist(), strict=True)) if _fingerprint(u) == fp]
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(own, pa.int64())), _binary([sets[i].tobytes() for i in own])], ["id", "payload"])
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -259,29 +267,28 @@ def components(links: DataFrame, rounds: int | None = None) -> DataFrame:
     return labels
 
 
-def near_dedup_decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 85, miss: float = 1e-7) -> DataFrame:
-    """One row per row of docs: id, n_shingles, component_id (smallest id reachable over links), kept.
-
-    Two documents are linked if 100 * intersection >= percent * union of their sets. percent should be at least
-    80: the bands find a pair at 0.85 but for 4 in 10 million, and one at 0.8, if percent is under 85, but for 5 in
-    100 million.
-    """
+def _decisions(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int, miss: float) -> DataFrame:
+    """Per row of docs: id, th (hash of the text), n, component, kept."""
     width, bands = band_shape(percent)
     least = least_matches(percent / 100, miss)
-    fields = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sketch = materialize(small_batches(fields).mapInArrow(partial(_sketch, k=words, width=width, bands=bands), "id long, n long, fp binary, sig binary, bands array<long>"), "near-sketch")
+    fields = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("th"))
+    sketch = materialize(small_batches(fields).mapInArrow(partial(_sketch, k=words, width=width, bands=bands), "id long, th long, n long, fp binary, sig binary, bands array<long>"), "near-sketch")
     total = sketch.count()
     full = sketch.filter("n > 0 and id is not null")
-    classes = materialize(full.groupBy("fp").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("members")), "near-classes")
-    reps = sketch.join(classes.select(F.col("rep").alias("id"), "fp"), ["id", "fp"], "left_semi").dropDuplicates(["id", "fp"])
+    # a class of equal sets is a node of its own, numbered as it is written: an id may stand for several texts
+    classes = full.groupBy("fp").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("members")).withColumn("node", F.monotonically_increasing_id())
+    classes = materialize(classes, "near-classes")
+    reps = sketch.withColumnRenamed("id", "rep").join(classes.select("rep", "fp", "node"), ["rep", "fp"]).withColumnRenamed("node", "id").dropDuplicates(["id"])
 
     keys = reps.select("id", "n", F.posexplode("bands").alias("band", "h"))
     shared = keys.groupBy("h").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     buckets = materialize(keys.join(shared, "h"), "near-buckets")
-    wanted = materialize(buckets.select("id").distinct(), "near-wanted")
-    sigs = materialize(sketch.join(wanted, "id", "left_semi").select("id", F.col("sig").alias("payload"), "bands").dropDuplicates(["id"]), "near-sigs")
-    texts = fields.join(wanted, "id", "left_semi")
-    sets = materialize(texts.mapInArrow(partial(_sets, k=words), "id long, payload binary").dropDuplicates(["id"]), "near-sets")
+    wanted = buckets.select("id").distinct()
+    sigs = materialize(reps.join(wanted, "id", "left_semi").select("id", F.col("sig").alias("payload"), "bands", "rep", "th", "fp"), "near-sigs")
+    of = sigs.select(F.col("id").alias("node"), F.col("rep").alias("id"), "th", "fp")
+    texts = fields.join(of, ["id", "th"]).select("node", "text", "fp")
+    sets = materialize(small_batches(texts).mapInArrow(partial(_sets, k=words), "id long, payload binary").dropDuplicates(["id"]), "near-sets")
+    sigs = sigs.drop("rep", "th", "fp")
 
     exact = partial(_stream_exact, num=percent, den=100)
     fits = F.expr(f"100 * least(n, pn) >= {percent} * greatest(n, pn)")
@@ -312,23 +319,34 @@ def near_dedup_decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str
     rows = rows.join(sigs.select("id", F.col("payload").alias("sig"), F.col("bands").alias("keys")), "id").join(sets, "id")
     rows = rows.repartition(shuffle_parts(docs.sparkSession), "h", "i", "j").sortWithinPartitions("h", "i", "j", "id")
     rows = rows.select("h", "band", "i", "j", "own", "id", "label", "n", "sig", "keys", "payload")
-    links = links.unionByName(materialize(rows.mapInArrow(partial(_blocks, least=least, num=percent, den=100), "a long, b long").distinct(), "near-links"))
+    links = links.unionByName(materialize(small_batches(rows).mapInArrow(partial(_blocks, least=least, num=percent, den=100), "a long, b long").distinct(), "near-links"))
 
     out = classes.withColumn("component", F.col("rep"))
     if not links.isEmpty():
-        labels = components(links)
-        smallest = labels.groupBy("label").agg(F.min("id").alias("smallest"))
-        named = labels.join(smallest, "label").select(F.col("id").alias("rep"), "smallest")
-        out = classes.join(named, "rep", "left").withColumn("component", F.coalesce("smallest", "rep")).drop("smallest")
+        labels = components(links).withColumnRenamed("id", "node")
+        named = classes.select("node", "rep").join(labels, "node")
+        smallest = named.groupBy("label").agg(F.min("rep").alias("smallest"))
+        named = named.join(smallest, "label").select("node", "smallest")
+        out = classes.join(named, "node", "left").withColumn("component", F.coalesce("smallest", "rep")).drop("smallest")
     out = materialize(out.select("fp", "members", "component"), "near-components")
-    mine = attach_groups(full.select("id", "n", "fp"), out, "fp", "members", total).select("id", "n", "component")
-    rest = sketch.filter("n = 0 or id is null").select("id", "n", F.col("id").alias("component"))
-    return mine.unionByName(rest).select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.col("id").eqNullSafe(F.col("component")).alias("kept")
-    )
+    mine = attach_groups(full.select("id", "th", "n", "fp"), out, "fp", "members", total).select("id", "th", "n", "component")
+    rest = sketch.filter("n = 0 or id is null").select("id", "th", "n", F.col("id").alias("component"))
+    return mine.unionByName(rest).withColumn("kept", F.col("id").eqNullSafe(F.col("component")))
+
+
+def near_dedup_decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 85, miss: float = 1e-7) -> DataFrame:
+    """One row per row of docs: id, n_shingles, component_id (smallest id reachable over links), kept.
+
+    Two documents are linked if 100 * intersection >= percent * union of their sets. percent should be at least
+    80: the bands find a pair at 0.85 but for 4 in 10 million, and one at 0.8, if percent is under 85, but for 5 in
+    100 million.
+    """
+    out = _decisions(docs, id_col, text_col, words, percent, miss)
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), "kept")
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 85) -> DataFrame:
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, miss: float = 1e-7) -> DataFrame:
     """The rows of docs that stay, one document of each component, with the columns of docs."""
-    decided = near_dedup_decisions(docs, id_col, text_col, words, percent)
-    return drop_ids(docs, id_col, decided.filter("not kept").select(id_col))
+    gone = _decisions(docs, id_col, text_col, words, percent, miss).filter("not kept").select(F.col("id").alias("_id"), F.col("th").alias("_th"))
+    boxed = docs.select(F.struct(*docs.columns).alias("_row"), F.col(id_col).cast("long").alias("_id"), F.xxhash64(text_col).alias("_th"))
+    return drop_rows(boxed, gone).select("_row.*")

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _bytes as tb
-from ._common import small_batches
+from ._common import release, small_batches
 from ._pieces import PieceCache, cuts_at_spaces, joined
 
 MARK = "▁"
@@ -220,8 +220,8 @@ def _digests(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.Record
                 ids.append(hashlib.sha256(written[w[k] + 1 : w[k + 1]] + b" " + end if b > a else end).hexdigest())
                 text.append(hashlib.sha256(decoded[d[k] + 1 : d[k + 1]].decode("utf-8", "replace").encode() if b > a else b"").hexdigest())
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(text, pa.string())], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
-    cache.clear()  # a worker outlives its task; what it keeps would add to the memory of later stages
-    pa.default_memory_pool().release_unused()
+    cache.clear()
+    release()
 
 
 def _encode(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
