@@ -115,7 +115,8 @@ def interval_anomaly(metrics: DataFrame, scores: dict[str, str] | None = None) -
     """Adds weight (mean percentile rank of four directional metrics) and, per detector, its score's percentile rank
     times the weight; ``anomaly`` is the largest. scores: name -> column of a detector's score beside ECOD's."""
     direction = {f"_d{i}": c for i, c in enumerate(("chat_deficit_mean", "unique_deficit_mean", "zero_rate", "state_rate"))}
-    x = ecod(median_impute(metrics.select("session_key", *ANOMALY), ANOMALY), ANOMALY, "ecod").select("session_key", "ecod")
+    x = metrics.select("session_key", *[F.round(F.col(c).cast("double"), 9).alias(c) for c in ANOMALY])  # means that are equal but for the order of their sums tie
+    x = ecod(median_impute(x, ANOMALY), ANOMALY, "ecod").select("session_key", "ecod")
     out = metrics.join(x, "session_key", "left")
     every = {"ecod": "ecod"} | (scores or {})
     out = pct_ranks(out, direction | {f"_r_{n}": c for n, c in every.items()}, 9).withColumn("weight", row_mean([F.col(d) for d in direction]))
@@ -215,3 +216,16 @@ def transition_audit(stored: DataFrame, rows: DataFrame, cluster: str = "minute_
     moves = rows.select("session_key", (F.col(cluster) != F.lag(cluster).over(w)).cast("int").alias("c")).groupBy("session_key").agg(F.coalesce(F.sum("c"), F.lit(0)).alias("recount"))
     j = stored.select("session_key", F.col("transitions").alias("stored")).join(moves, "session_key", "full_outer")
     return j.select("session_key", "stored", "recount", (~F.col("stored").eqNullSafe(F.col("recount"))).alias("mismatch"))
+
+
+def sparse_cluster(sessions: DataFrame, cluster: str) -> DataFrame:
+    """(cluster, score, sparse): how silent each cluster of sessions is, as the mean of five percentile ranks over the
+    clusters; the highest, or the smaller number among equals, is the sparse one."""
+    q = quantiles(sessions, ["gap_med", "zrun_max"], (0.5,), cluster)
+    means = sessions.groupBy(cluster).agg(F.avg("zero_rate").alias("a"), (-F.avg("chat_mean")).alias("e"), (-F.avg(F.col("unique_sum") / F.col("n"))).alias("f")).collect()  # a few clusters
+    rows = [(r[0], r["a"], *[(q.get((r[0], c)) or [None])[0] for c in ("gap_med", "zrun_max")], r["e"], r["f"]) for r in means]
+    out = sessions.sparkSession.createDataFrame(rows, "cluster int, a double, b double, c double, e double, f double")
+    ranked = [pct_of_few(x) for x in "abcef"]
+    out = out.withColumn("score", sum(ranked[1:], ranked[0]) / 5)
+    best = F.row_number().over(Window.orderBy(F.desc(F.round("score", 9)), "cluster"))
+    return out.select("cluster", "score", (best == 1).alias("sparse"))

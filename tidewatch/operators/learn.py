@@ -8,13 +8,16 @@ from functools import partial
 import numpy as np
 import pandas as pd
 from pyspark.ml import Estimator
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, NaiveBayes, RandomForestClassifier
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .models import binary_metrics
+from .ranks import group_pct_ranks, places, quantile_row
+
 #: Rows that an isolation forest's trees are grown on, drawn by hash; every row is scored.
 FOREST_SAMPLE, TREES, TREE_ROWS = 4096, 100, 256
 
@@ -33,7 +36,8 @@ def out_of_fold(df: DataFrame, estimator: Estimator, folds: int, score: str) ->
     out = None
     for k in range(folds):
         fitted = estimator.fit(df.filter(F.col("fold") != k)).transform(df.filter(F.col("fold") == k))
-        value = F.get(vector_to_array("probability"), F.lit(1)) if "probability" in fitted.columns else F.col("prediction")
+        margin = F.get(vector_to_array("rawPrediction"), F.lit(1)) if "rawPrediction" in fitted.columns else None
+        value = F.get(vector_to_array("probability"), F.lit(1)) if "probability" in fitted.columns else F.col("prediction") if margin is None else 1 / (1 + F.exp(-margin))
         part = fitted.select(*df.columns, value.alias(score))
         out = part if out is None else out.unionByName(part)
     return out
@@ -41,7 +45,7 @@ def out_of_fold(df: DataFrame, estimator: Estimator, folds: int, score: str) ->
 
 def expected_response(df: DataFrame, target: str, columns: list[str], group: str, folds: int = 3) -> DataFrame:
     """Conditional median of target by boosted trees with absolute loss, out of fold by group; deficit = expected - actual."""
-    x = fold(features(df, columns), group, folds)
+    x = group_fold(features(df, columns), group, folds)
     gbt = GBTRegressor(labelCol=target, lossType="absolute", maxIter=10, maxDepth=4, seed=42, predictionCol="prediction")
     out = out_of_fold(x, gbt, folds, "expected").drop("features")
     return out.withColumn("deficit", F.col("expected") - F.col(target))
@@ -49,35 +53,99 @@ def expected_response(df: DataFrame, target: str, columns: list[str], group: str
 
 def fit_metrics(df: DataFrame, target: str) -> DataFrame:
     """MAE, pinball loss at the median, MAE of the global median, and the skill over it."""
-    mid = df.agg(F.percentile(target, F.lit(0.5)).alias("_mid"))
-    e = df.join(F.broadcast(mid)).agg(F.avg(F.abs(F.col("expected") - F.col(target))).alias("mae"), F.avg(F.abs(F.col("_mid") - F.col(target))).alias("base_mae"))
+    mid = quantile_row(df, [target], (0.5,))[target][0]
+    e = df.agg(F.avg(F.abs(F.col("expected") - F.col(target))).alias("mae"), F.avg(F.abs(F.lit(mid) - F.col(target))).alias("base_mae"))
     return e.select("mae", (F.col("mae") / 2).alias("pinball"), "base_mae", F.when(F.col("base_mae") > 0, 1 - F.col("mae") / F.col("base_mae")).alias("skill"))
 
 
-def supervised(df: DataFrame, columns: list[str], label: str, key: str, folds: int = 3) -> DataFrame:
-    """Out-of-fold probabilities of three model families, long: key, label, model, score."""
-    x = fold(features(df, columns), key, folds)
-    models = {"logistic": LogisticRegression(labelCol=label, regParam=0.01), "forest": RandomForestClassifier(labelCol=label, numTrees=20, seed=42), "boosted": GBTClassifier(labelCol=label, maxIter=10, seed=42)}
+def stratified_fold(df: DataFrame, label: str, key: str, folds: int, seed: int = 0, name: str = "fold") -> DataFrame:
+    """Folds of nearly equal size in every class, dealt by the rank of a hash inside the class; another seed, another
+    repetition."""
+    h = df.withColumn("_h", F.xxhash64(F.col(key), F.lit(seed)).cast("double"))
+    out = group_pct_ranks(h, [label], "_h", "_r")
+    return out.withColumn(name, F.least(F.floor((F.col("_r") - 1e-9) * folds), F.lit(folds - 1)).cast("int")).drop("_h", "_r")
+
+
+def group_fold(df: DataFrame, key: str, folds: int, name: str = "fold") -> DataFrame:
+    """Folds of whole groups, the largest first into the emptiest fold. The groups (runs) are few and meet on the driver."""
+    sizes = df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), key).collect()
+    load, of = [0] * folds, {}
+    for r in sizes:
+        k = load.index(min(load))
+        of[r[key]], load[k] = k, load[k] + r["n"]
+    table = df.sparkSession.createDataFrame(list(of.items()), f"_k {df.schema[key].dataType.simpleString()}, {name} int") if of else df.sparkSession.createDataFrame([], f"_k {df.schema[key].dataType.simpleString()}, {name} int")
+    return df.join(F.broadcast(table), F.col(key) == F.col("_k"), "left").drop("_k")
+
+
+def families(label: str, width: int, weight: str | None = None) -> dict[str, Estimator]:
+    """Model families by name; weighted_logistic needs a column of weights."""
+    out = {
+        "logistic": LogisticRegression(labelCol=label, regParam=0.01), "tree": DecisionTreeClassifier(labelCol=label, maxDepth=4, seed=42), "bayes": NaiveBayes(labelCol=label, modelType="gaussian"), "forest": RandomForestClassifier(labelCol=label, numTrees=20, seed=42),
+        "boosted": GBTClassifier(labelCol=label, maxIter=10, seed=42), "svm": LinearSVC(labelCol=label, maxIter=20), "perceptron": MultilayerPerceptronClassifier(labelCol=label, layers=[width, 8, 2], seed=42, maxIter=50),
+    }
+    return out | ({"weighted_logistic": LogisticRegression(labelCol=label, regParam=0.01, weightCol=weight)} if weight else {})
+
+
+def supervised(df: DataFrame, columns: list[str], label: str, key: str, folds: int = 3, models: tuple[str, ...] | None = None) -> DataFrame:
+    """Out-of-fold scores of the model families in stratified folds, long: key, label, model, score. The weighted
+    logistic model gives both classes the same weight in all; the linear SVM's score is its margin, squashed."""
+    pos, n = df.agg(F.count_if(F.col(label) == 1), F.count(F.lit(1))).first()
+    x = stratified_fold(features(df, columns), label, key, folds)
+    x = x.withColumn("_w", F.when(F.col(label) == 1, n / max(1, 2 * pos)).otherwise(n / max(1, 2 * (n - pos))))
     out = None
-    for name, m in models.items():
-        part = out_of_fold(x, m, folds, "score").select(key, label, F.lit(name).alias("model"), "score")
-        out = part if out is None else out.unionByName(part)
+    for name, m in families(label, len(columns), "_w").items():
+        if models is None or name in models:
+            part = out_of_fold(x, m, folds, "score").select(key, label, F.lit(name).alias("model"), "score")
+            out = part if out is None else out.unionByName(part)
     return out
 
 
-def pu_bagging(df: DataFrame, columns: list[str], label: str, key: str, rounds: int = 5) -> DataFrame:
-    """Positive-unlabelled bagging: each round learns positives against a hash sample of as many unlabelled rows and
-    scores the rest. Mean, spread and stability over rounds."""
+def pu_bagging(df: DataFrame, columns: list[str], label: str, key: str, rounds: int = 30, models: tuple[str, ...] = ("logistic", "tree", "forest")) -> DataFrame:
+    """Positive-unlabelled bagging: each round learns positives against a hash sample of as many unlabelled rows with
+    several models and scores the rest. Mean, spread and stability over rounds and models."""
     x = features(df, columns)
     pos, n = (x.agg(F.count_if(F.col(label) == 1), F.count(F.lit(1))).first())
     share = int(1_000_000 * min(1.0, pos / max(1, n - pos)))
-    out = None
+    out, every = None, families(label, len(columns))
     for r in range(rounds):
         drawn = (F.col(label) == 0) & (F.pmod(F.xxhash64(F.col(key), F.lit(r)), F.lit(1_000_000)) < share)
-        m = LogisticRegression(labelCol=label, regParam=0.01).fit(x.filter((F.col(label) == 1) | drawn))
-        part = m.transform(x.filter(~drawn)).select(key, F.get(vector_to_array("probability"), F.lit(1)).alias("score"))
-        out = part if out is None else out.unionByName(part)
-    return out.groupBy(key).agg(F.avg("score").alias("score_mean"), F.stddev_samp("score").alias("score_std"), F.min("score").alias("score_min"), F.max("score").alias("score_max"), F.avg((F.col("score") >= 0.5).cast("double")).alias("stability"))
+        for name in models:
+            m = every[name].fit(x.filter((F.col(label) == 1) | drawn))
+            part = m.transform(x.filter(~drawn)).select(key, F.get(vector_to_array("probability"), F.lit(1)).alias("score"))
+            out = part if out is None else out.unionByName(part)
+    return pu_summary(out, key)
+
+
+def pu_summary(scores: DataFrame, key: str) -> DataFrame:
+    """Of a row's scores: mean, sample deviation, extremes, and the share of at least a half."""
+    return scores.groupBy(key).agg(F.avg("score").alias("score_mean"), F.stddev_samp("score").alias("score_std"), F.min("score").alias("score_min"), F.max("score").alias("score_max"), F.avg((F.col("score") >= 0.5).cast("double")).alias("stability"))
+
+
+def permuted(df: DataFrame, columns: list[str], key: str, seed: int = 0) -> DataFrame:
+    """df with some columns' values dealt anew among its rows, all of them together: the row at a place by key takes
+    the values of the row at that place by a hash of the key."""
+    a = places(df.drop(*columns), [F.asc(key)], "_p")
+    b = places(df.select(key, *columns), [F.xxhash64(F.col(key), F.lit(seed)).asc(), F.asc(key)], "_p").drop(key)
+    return a.join(b, "_p").drop("_p").select(df.columns)
+
+
+def permutation_importance(df: DataFrame, columns: list[str], label: str, key: str, model: str = "logistic", folds: int = 3, groups: dict[str, list[str]] | None = None) -> DataFrame:
+    """(feature, drop_mean, drop_std): how much average precision out of fold falls when a feature, or a group of them,
+    is permuted in the rows that are scored; deviation over folds."""
+    x = stratified_fold(df, label, key, folds)
+    rows: dict[str, list[float]] = {}
+    for k in range(folds):
+        test = x.filter(F.col("fold") == k).drop("fold")
+        fitted = families(label, len(columns))[model].fit(features(x.filter(F.col("fold") != k), columns))
+
+        def quality(rows_: DataFrame, fitted=fitted) -> float:
+            s = fitted.transform(features(rows_, columns)).select(label, F.get(vector_to_array("probability"), F.lit(1)).alias("score"))
+            return binary_metrics(s, "score", label).first()["average_precision"] or 0.0
+
+        base = quality(test)
+        for name, cols in (groups or {c: [c] for c in columns}).items():
+            rows.setdefault(name, []).append(base - quality(permuted(test, cols, key, k)))
+    return df.sparkSession.createDataFrame([(n, float(np.mean(v)), float(np.std(v))) for n, v in rows.items()], "feature string, drop_mean double, drop_std double")
 
 
 def pca_error(df: DataFrame, columns: list[str], k: int, name: str = "pca_error") -> DataFrame:

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import finite
-from .ranks import by_value, cumulative, group_pct_ranks, quantile_row, value_bounds
+from ..functions.scalar import finite, row_mean
+from .ranks import by_value, cumulative, group_pct_ranks, quantile_row, quantiles, value_bounds
 
 
 def median_impute(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -130,6 +133,86 @@ def kmeans_labels(df: DataFrame, columns: list[str], k: int, order: str, seeds:
     return out.join(F.broadcast(names), "_raw").drop("_raw")
 
 
+def null_profile(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(name, known, missing, mean, std, low, high) of each column."""
+    stats = {"known": F.count, "mean": F.avg, "std": F.stddev_samp, "low": F.min, "high": F.max}
+    row = df.agg(F.count(F.lit(1)).alias("_n"), *[(f(c) if n == "known" else F.round(f(F.col(c).cast("double")), 6)).alias(f"{n}_{i}") for i, c in enumerate(columns) for n, f in stats.items()])
+    parts = ", ".join(f"'{c}', known_{i}, _n - known_{i}, mean_{i}, std_{i}, low_{i}, high_{i}" for i, c in enumerate(columns))
+    return row.select(F.expr(f"stack({len(columns)}, {parts}) as (name, known, missing, mean, std, low, high)"))
+
+
+def median_separation(df: DataFrame, label: str, columns: list[str]) -> float | None:
+    """Mean distance between the clusters' centres of medians."""
+    q = quantiles(df, columns, (0.5,), label)
+    centres = [[q[(g, c)][0] for c in columns] for g in sorted({g for g, _ in q})]
+    far = [math.dist(a, b) for i, a in enumerate(centres) for b in centres[:i]]
+    return sum(far) / len(far) if far else None
+
+
+#: Rows of a sample that a silhouette is taken over.
+SILHOUETTE_ROWS = 2000
+
+
+def silhouette(df: DataFrame, label: str, columns: list[str], key: str) -> float | None:
+    """Mean silhouette of a sample of at most SILHOUETTE_ROWS rows, drawn by hash of the key."""
+    rows = df.select(label, *columns).orderBy(F.xxhash64(F.col(key)), key).limit(SILHOUETTE_ROWS).collect()
+    x, y = np.array([[float(r[c]) for c in columns] for r in rows]).reshape(len(rows), -1), np.array([r[label] for r in rows])
+    names = np.unique(y)
+    if len(names) < 2:
+        return None
+    d = np.sqrt(np.maximum((x**2).sum(axis=1)[:, None] - 2 * x @ x.T + (x**2).sum(axis=1), 0))
+    np.fill_diagonal(d, 0)
+    sums, sizes = np.array([d[:, y == n].sum(axis=1) for n in names]).T, np.array([(y == n).sum() for n in names])
+    own = np.searchsorted(names, y)
+    mine = np.take_along_axis(sums, own[:, None], 1)[:, 0] / np.maximum(sizes[own] - 1, 1)
+    other = np.where(np.arange(len(names)) == own[:, None], np.inf, sums / sizes).min(axis=1)
+    s = np.where(sizes[own] > 1, (other - mine) / np.maximum(np.maximum(mine, other), 1e-300), 0)
+    return float(s.mean())
+
+
+def selection_score(df: DataFrame, metrics: dict[str, bool], key: str) -> DataFrame:
+    """Adds the mean percentile rank of a few candidates' metrics (column -> larger is better), and selected: the best
+    of it, the smallest key among equals."""
+    every, parts = Window.partitionBy(), []
+    for c, up in metrics.items():
+        x = F.round(F.col(c) if up else -F.col(c), 9)
+        place = F.rank().over(Window.orderBy(x.asc_nulls_last()))
+        parts.append(F.when(F.col(c).isNotNull(), (place + (F.count(F.lit(1)).over(Window.partitionBy(x)) - 1) / 2) / F.count(c).over(every)))
+    out = df.withColumn("selection_score", F.round(row_mean(parts), 6))
+    return out.withColumn("selected", F.row_number().over(Window.orderBy(F.desc_nulls_last("selection_score"), key)) == 1)
+
+
+def choose_k(df: DataFrame, columns: list[str], key: str, order: str, ks: tuple[int, ...] = (2, 3, 4, 5, 6, 7, 8), seeds: tuple[int, ...] = (42, 43, 44)) -> tuple[DataFrame, DataFrame]:
+    """KMeans over several K, judged by silhouette, Calinski-Harabasz, Davies-Bouldin, size balance and separation:
+    the table of candidates with one selected, and df with the labels of the selected K."""
+    rows, labelled = [], {}
+    for k in ks:
+        out = labelled[k] = kmeans_labels(df, columns, k, order, seeds)
+        m = calinski_davies(out, "cluster", columns).first()
+        rows.append((k, silhouette(out, "cluster", columns, key), m["calinski_harabasz"], m["davies_bouldin"], m["size_balance"], median_separation(out, "cluster", columns)))
+    table = df.sparkSession.createDataFrame(rows, "k int, silhouette double, calinski_harabasz double, davies_bouldin double, size_balance double, separation double")
+    table = selection_score(table, {"silhouette": True, "calinski_harabasz": True, "davies_bouldin": False, "size_balance": True, "separation": True}, "k")
+    return table, labelled[table.filter("selected").first()["k"]]
+
+
+def k_consistency(table: DataFrame, labels: DataFrame, label: str = "cluster") -> str:
+    """ok if exactly one K is selected and it is the number of labels there are."""
+    chosen = [r["k"] for r in table.filter("selected").select("k").collect()]
+    if len(chosen) != 1:
+        return "invalid_selected_count"
+    return "ok" if labels.select(label).distinct().count() == chosen[0] else "mismatch"
+
+
+def kmeans_stability(df: DataFrame, columns: list[str], k: int, key: str, order: str, seeds: tuple[int, ...] = tuple(range(42, 52)), share: int = 80) -> DataFrame:
+    """(seed, ari): labels learned on a hash sample of share percent of the rows, against those learned on all."""
+    whole, out = kmeans_labels(df, columns, k, order).select(key, F.col("cluster").alias("a")), None
+    for s in seeds:
+        part = kmeans_labels(df.filter(F.pmod(F.xxhash64(F.col(key), F.lit(s)), F.lit(100)) < share), columns, k, order, (s,)).select(key, F.col("cluster").alias("b"))
+        row = adjusted_rand(whole.join(part, key), "a", "b").select(F.lit(s).alias("seed"), "ari")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 def sturges_histogram(df: DataFrame, column: str) -> DataFrame:
     """(bucket, n): equal widths between the extremes, as many as Sturges' rule asks for."""
     b = df.agg(F.min(column).alias("_lo"), F.max(column).alias("_hi"), F.ceil(F.log2(F.count(column).cast("double")) + 1).alias("_k"))  # one row

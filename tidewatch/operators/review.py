@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import clip, row_mean, row_median, row_trimmed_mean
-from .ranks import group_pct_ranks, places
+from ..functions.scalar import clip, order_bucket, row_count_at_least, row_mean, row_median, row_std, row_trimmed_mean
+from .ranks import group_pct_ranks, places, quantile_row
 
 
 def strength(rank: Column, n: Column) -> Column:
@@ -71,3 +71,92 @@ def widen(meta: DataFrame, frames: dict[str, DataFrame], k: int) -> DataFrame:
         out = out.join(f.select("session_key", F.col("place").alias(f"{name}_place")), "session_key", "left")
     flags = [F.coalesce((F.col(f"{n}_place") <= k).cast("int"), F.lit(0)) for n in frames]
     return out.withColumn("flags", sum(flags[1:], flags[0]))
+
+
+def order_variants(df: DataFrame, names: list[str], k: int) -> DataFrame:
+    """Six orders of the reviewed sessions against the review order: overlap among the k first, rank correlation, and
+    the median shift of the k first."""
+    st = [F.col(f"{x}_strength") for x in names]
+    flat = df.withColumns({"_median": F.round(row_median(st), 9), "_trimmed": F.round(row_trimmed_mean(st), 9), "_rest": F.round(row_mean(st[:-1]), 9)})
+    orders = {"consensus": [F.desc("consensus")], "rra": [F.asc("rra_p")], "both": [F.asc("rra_p"), F.desc("consensus")], "median": [F.desc("_median")], "trimmed": [F.desc("_trimmed")], f"no_{names[-1]}": [F.desc("_rest")]}
+    out = None
+    for name, order in orders.items():
+        p = places(flat, [*order, F.asc("session_key")], "place").select("review_order", "place")
+        shift = F.abs(F.col("review_order") - F.col("place"))
+        row = p.agg(F.count_if((F.col("review_order") <= k) & (F.col("place") <= k)).alias("overlap"), F.round(F.corr("review_order", "place"), 6).alias("spearman"), F.percentile(F.when(F.col("review_order") <= k, shift), F.lit(0.5)).alias("median_shift"))  # k values
+        row = row.select(F.lit(name).alias("variant"), "*")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+#: Weights of the minute signals: two for what a variant's name says, one for the others.
+WEIGHTS = {"equal": (1, 1, 1, 1, 1, 1), "chat": (2, 1, 2, 1, 1, 1), "unique": (1, 2, 1, 2, 1, 1), "rolling": (1, 1, 2, 2, 2, 1), "zero": (1, 1, 1, 1, 2, 2), "point": (2, 2, 1, 1, 1, 1)}
+
+
+def weight_variants(scores: DataFrame, signals: tuple[str, ...]) -> DataFrame:
+    """Weighted means of the signals' ranks (none counts 0), each correlated with the mismatch rank."""
+    value = lambda ws: F.round(sum((w * F.coalesce(f"r_{s}", F.lit(0)) for s, w in zip(signals[1:], ws[1:], strict=True)), ws[0] * F.coalesce(f"r_{signals[0]}", F.lit(0))) / sum(ws), 9)
+    row = scores.agg(*[F.round(F.corr("minute_mismatch_rank", value(ws)), 6).alias(n) for n, ws in WEIGHTS.items()])
+    return row.select(F.expr("stack({}, {}) as (variant, r)".format(len(WEIGHTS), ", ".join(f"'{n}', {n}" for n in WEIGHTS))))
+
+
+def scan_overlap(a: DataFrame, b: DataFrame, k: int) -> DataFrame:
+    """Two scans by their largest scores: overlap of the k first sessions, and how many of these keep their interval."""
+    first = lambda s, n: s.orderBy(F.desc("scan_z"), "session_key").limit(k).select("session_key", F.struct("start_idx", "end_idx").alias(n))
+    j = first(a, "_a").join(first(b, "_b"), "session_key")
+    return j.agg(F.count(F.lit(1)).alias("overlap"), F.count_if(F.col("_a") == F.col("_b")).alias("same_interval"))
+
+
+def quantile_groups(df: DataFrame, column: str) -> DataFrame:
+    """Adds review_group: confirmed from the 95 % quantile on, candidate from the 90 % quantile on."""
+    q90, q95 = quantile_row(df, [column], (0.9, 0.95))[column]
+    return df.withColumn("review_group", F.when(F.col(column) >= F.lit(q95), "confirmed").when(F.col(column) >= F.lit(q90), "candidate").otherwise("normal"))
+
+
+def hidden_candidates(df: DataFrame, weights: dict[str, float], codes: dict[str, str], k: int) -> DataFrame:
+    """Adds the weighted hidden score, the discovery group (the best tenth of it against the first k of the rule
+    order), and the codes of the ranks from 0.9 on."""
+    parts = [F.lit(w) * F.col(c) for c, w in weights.items()]
+    out = df.withColumn("hidden", F.round(sum(parts[1:], parts[0]), 9))
+    high, known = F.col("hidden") >= F.lit(quantile_row(out, ["hidden"], (0.9,))["hidden"][0]), F.col("review_order") <= k
+    group = F.when(high & ~known, "hidden").when(high, "known").when(known, "rule_only").otherwise("other")
+    return out.withColumn("discovery_group", group).withColumn("codes", F.concat_ws("|", *[F.when(F.col(c) >= 0.9, n) for n, c in codes.items()]))
+
+
+def flagged_precision(flagged: DataFrame, order: DataFrame) -> DataFrame:
+    """Of as many first sessions as are flagged, how many are flagged."""
+    n = flagged.count()
+    top = order.filter(F.col("review_order") <= n).select("session_key")
+    both = top.join(flagged, "session_key", "left_semi").agg(F.count(F.lit(1)).alias("both_n"))
+    return both.select(F.lit(n).cast("long").alias("flagged"), "both_n", F.round(F.col("both_n") / F.lit(n), 6).alias("precision"))
+
+
+def balance(df: DataFrame, strengths: list[str]) -> DataFrame:
+    """How evenly evidence supports the sessions of each bucket of the order; buckets without any count 0."""
+    v = [F.col(c) for c in strengths]
+    s = df.select(order_bucket(F.col("review_order")).alias("bucket"), row_std(v).alias("sd"), F.greatest(*v).alias("top"), row_count_at_least(v, 0.8).alias("k"))
+    grid = df.sparkSession.range(1).select(F.explode(F.array(*[F.lit(b) for b in ("top20", "top50", "top100", "top200", "rest")])).alias("bucket"))
+    six = lambda c: F.round(F.coalesce(F.avg(c), F.lit(0.0)), 6)
+    return grid.join(s, "bucket", "left").groupBy("bucket").agg(F.count("sd").alias("n"), six("sd").alias("spread"), six("top").alias("top"), six("k").alias("strong"))
+
+
+def example_picks(df: DataFrame) -> DataFrame:
+    """Three different sessions of (session_key, longest, runs): the longest run, the most runs, the one nearest to
+    the median length."""
+    one = lambda s, order, name: s.orderBy(*order, "session_key").limit(1).select(F.lit(name).alias("pick"), "session_key")
+    mid = quantile_row(df, ["longest"], (0.5,))["longest"][0]
+    a = one(df, [F.desc("longest")], "longest")
+    rest = df.join(F.broadcast(a), "session_key", "left_anti")
+    b = one(rest, [F.desc("runs")], "most")
+    rest = rest.join(F.broadcast(b), "session_key", "left_anti")
+    return a.unionByName(b).unionByName(one(rest, [F.abs(F.col("longest") - F.lit(mid))], "typical"))
+
+
+def top_jaccard(df: DataFrame, scores: dict[str, str], k: int) -> DataFrame:
+    """Overlap and Jaccard index of the k first sessions of each two scores."""
+    out = None
+    for name, c in scores.items():
+        t = df.orderBy(F.desc(c), "session_key").limit(k).select(F.lit(name).alias("score"), "session_key")
+        out = t if out is None else out.unionByName(t)
+    a, b = out.withColumnRenamed("score", "a"), out.withColumnRenamed("score", "b")
+    return a.join(b, "session_key").groupBy("a", "b").agg(F.count(F.lit(1)).alias("overlap")).withColumn("jaccard", F.round(F.col("overlap") / (2.0 * k - F.col("overlap")), 6))

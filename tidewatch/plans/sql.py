@@ -174,7 +174,7 @@ ANOMALIES = (
     METRICS
     + _dwell_only()
     + f""",
-an0 AS (SELECT session_key, {", ".join(f"coalesce({c}::DOUBLE, (SELECT quantile_cont({c}::DOUBLE, 0.5) FROM metrics), 0) AS {c}" for c in _AN)} FROM metrics),
+an0 AS (SELECT session_key, {", ".join(f"coalesce(round({c}::DOUBLE, 9), (SELECT quantile_cont(round({c}::DOUBLE, 9), 0.5) FROM metrics), 0) AS {c}" for c in _AN)} FROM metrics),
 an1 AS (SELECT count(*) AS n, {", ".join(f"(avg(pow({c}, 3)) - 3 * avg({c}) * avg(pow({c}, 2)) + 2 * pow(avg({c}), 3)) AS s_{c}" for c in _AN)} FROM an0),
 an2 AS (SELECT session_key, an1.*, {", ".join(f"-ln(count(*) OVER (ORDER BY {c} RANGE UNBOUNDED PRECEDING) / n) AS l_{c}, -ln(count(*) OVER (ORDER BY {c} DESC RANGE UNBOUNDED PRECEDING) / n) AS r_{c}" for c in _AN)} FROM an0, an1),
 an3 AS (SELECT session_key, greatest({" + ".join(f"l_{c}" for c in _AN)}, {" + ".join(f"r_{c}" for c in _AN)}, {" + ".join(f"CASE WHEN s_{c} < 0 THEN l_{c} ELSE r_{c} END" for c in _AN)}) AS ecod FROM an2),
