@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import arg_max, clip, row_mean, rra_p
+from ..sources.steps import written
 from .models import ecod, median_impute
 from .ranks import bh_q, pct_ranks, places, quantiles
 from .review import strength
@@ -114,10 +115,11 @@ def state_transitions(rows: DataFrame) -> DataFrame:
 def interval_anomaly(metrics: DataFrame, scores: dict[str, str] | None = None) -> DataFrame:
     """Adds weight (mean percentile rank of four directional metrics) and, per detector, its score's percentile rank
     times the weight; ``anomaly`` is the largest. scores: name -> column of a detector's score beside ECOD's."""
+    metrics = written(metrics, "metrics")
     direction = {f"_d{i}": c for i, c in enumerate(("chat_deficit_mean", "unique_deficit_mean", "zero_rate", "state_rate"))}
     x = metrics.select("session_key", *[F.round(F.col(c).cast("double"), 9).alias(c) for c in ANOMALY])  # means that are equal but for the order of their sums tie
-    x = ecod(median_impute(x, ANOMALY), ANOMALY, "ecod").select("session_key", "ecod")
-    out = metrics.join(x, "session_key", "left")
+    x = written(ecod(written(median_impute(x, ANOMALY), "imputed"), ANOMALY, "ecod").select("session_key", "ecod"), "ecod")
+    out = written(metrics.join(x, "session_key", "left"), "metrics")
     every = {"ecod": "ecod"} | (scores or {})
     out = pct_ranks(out, direction | {f"_r_{n}": c for n, c in every.items()}, 9).withColumn("weight", row_mean([F.col(d) for d in direction]))
     out = out.withColumns({f"{n}_dir": F.col(f"_r_{n}") * F.col("weight") for n in every})
@@ -153,7 +155,7 @@ def family_ranks(df: DataFrame) -> DataFrame:
     """Places of the five families and of the reasons. df: empirical_p, scan_z, duration, mismatch_max_run,
     mismatch_total_run, model_chat_mean, model_unique_mean, state_rate, mismatch_rate, anomaly, reason_rank_max,
     reason_value_max."""
-    out = pct_ranks(df, {"_p0": "duration", "_p1": "mismatch_max_run", "_p2": "mismatch_total_run", "_m0": "state_rate", "_m1": "mismatch_rate"}, 9)
+    out = pct_ranks(written(df, "evidence"), {"_p0": "duration", "_p1": "mismatch_max_run", "_p2": "mismatch_total_run", "_m0": "state_rate", "_m1": "mismatch_rate"}, 9)
     out = out.withColumns({
         "persistence_metric": row_mean([F.col("_p0"), F.col("_p1"), F.col("_p2")]), "minute_state_metric": row_mean([F.col("_m0"), F.col("_m1")]),
         "expected_metric": F.greatest("model_chat_mean", "model_unique_mean"),

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import arg_max, row_mean
+from ..sources.steps import written
 from .ranks import average_percentiles, pct_rank, pct_ranks, qcut, qcut_edges, quantiles
 from .windows import gap_minutes, interpolate, rolling, run_length, session_window
 
@@ -64,6 +65,7 @@ def mismatch_scores(state: DataFrame, signals: tuple[str, ...] = SIGNALS) -> Dat
     out = pct_ranks(state, {f"r_{s}": s for s in signals}, 9)
     ranks = {s: F.col(f"r_{s}") for s in signals}
     out = out.withColumn("minute_mismatch_score", F.round(row_mean(list(ranks.values())), 12)).withColumn("reason", arg_max(ranks))
+    out = written(out, "mismatch")  # the rank reads it three times
     return pct_rank(out, "minute_mismatch_score", "minute_mismatch_rank")
 
 
