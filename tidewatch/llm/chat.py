@@ -3,7 +3,8 @@
 ``chat_segments`` validates each turn against the transition table with one window per conversation (the state
 before a turn is the role before it), renders the turn by the template and flags the segments that bear loss.
 ``chat_format`` puts a conversation's segments together; ``chat_parse`` reads turns and loss text back from the
-formatted text and its loss spans. DataFrame operations only.
+formatted text and its loss spans. Where a segment starts comes from a running sum over the turns, so that both take
+time in proportion to a conversation's length. DataFrame operations only.
 
 Defined cases: a null role or text counts as empty; equal turns are ordered by role, then text; roles outside the
 table are formatted and marked invalid; control strings inside roles and texts are escaped and restored exactly;
@@ -71,34 +72,38 @@ def chat_segments(turns: DataFrame, template: ChatTemplate = TEMPLATE) -> DataFr
 
 
 def chat_format(turns: DataFrame, template: ChatTemplate = TEMPLATE) -> DataFrame:
-    """One row per conversation: conv_id, valid (every turn), formatted, loss_spans array<struct<start, length>>.
+    """One row per conversation: conv_id, valid (every turn), formatted, and loss_spans
+    array<struct<start, length, turn, offset>>.
 
-    Spans count code points of ``formatted``. A conversation's whole text is one value, as the format asks for.
+    start and length count code points of ``formatted``; turn is the number of the turn that a span lies in (from 0)
+    and offset its place after that turn's beginning. A conversation's whole text is one value, as the format asks for.
     """
-    rows = chat_segments(turns, template).select("conv_id", "valid", F.struct("turn", "role", "text", "segments").alias("t"))
-    whole = rows.groupBy("conv_id").agg(F.bool_and("valid").alias("valid"), F.sort_array(F.collect_list("t")).alias("t"))
-    whole = whole.select("conv_id", "valid", F.flatten(F.transform("t", lambda x: x["segments"])).alias("s"))
-    spans = F.expr(
-        """filter(aggregate(s, named_struct('at', 0, 'out', cast(array() as array<struct<start:int,length:int,loss:boolean>>)),
-             (a, x) -> named_struct('at', a.at + length(x.text), 'out', concat(a.out, array(named_struct('start', a.at, 'length', length(x.text), 'loss', x.loss))))).out,
-           y -> y.loss)"""
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    rows = chat_segments(turns, template)
+    size = lambda i: F.length(F.get("segments", F.lit(i))["text"]).cast("long")
+    rows = rows.withColumn("_piece", F.array_join(F.transform("segments", lambda s: s["text"]), ""))
+    rows = rows.select("conv_id", "valid", "_piece", "segments", (F.row_number().over(order) - 1).alias("_turn"), (F.sum(F.length("_piece").cast("long")).over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.length("_piece")).alias("_at"))
+    span = lambda i, before: F.when(
+        F.get("segments", F.lit(i))["loss"], F.struct((F.col("_at") + before).alias("start"), size(i).alias("length"), F.col("_turn").alias("turn"), before.alias("offset"))
     )
-    spans = F.transform(spans, lambda y: F.struct(y["start"].alias("start"), y["length"].alias("length")))
-    return whole.select("conv_id", "valid", F.array_join(F.transform("s", lambda x: x["text"]), "").alias("formatted"), spans.alias("loss_spans"))
+    spans = F.array_compact(F.array(span(0, F.lit(0).cast("long")), span(1, size(0)), span(2, size(0) + size(1))))
+    rows = rows.select("conv_id", "valid", F.struct("_turn", F.col("_piece").alias("piece"), spans.alias("spans")).alias("t"))
+    whole = rows.groupBy("conv_id").agg(F.bool_and("valid").alias("valid"), F.sort_array(F.collect_list("t")).alias("t"))
+    return whole.select("conv_id", "valid", F.array_join(F.transform("t", lambda x: x["piece"]), "").alias("formatted"), F.flatten(F.transform("t", lambda x: x["spans"])).alias("loss_spans"))
 
 
 def chat_parse(formatted: DataFrame, template: ChatTemplate = TEMPLATE) -> DataFrame:
     """Reads ``chat_format``'s output back: turns array<struct<role, text>> and loss_text array<string>, unescaped."""
     q = lambda s: "\\Q" + s + "\\E"
     body = F.split("formatted", q(template.close))
-    body = F.slice(body, 1, F.size(body) - 1)
+    whole = formatted.select("*", F.slice(body, 1, F.size(body) - 1).alias("_body"))
     n = len(template.open)
     head = lambda x: F.substring_index(x, template.middle, 1)
     turns = F.transform(
-        body,
+        "_body",
         lambda x: F.struct(
             _unescape_role(F.substr(head(x), F.lit(n + 1))).alias("role"), unescape(F.substr(x, F.length(head(x)) + F.lit(len(template.middle) + 1))).alias("text")
         ),
     )
-    loss = F.transform("loss_spans", lambda s: unescape(F.substr(F.col("formatted"), s["start"] + 1, s["length"])))
-    return formatted.select("conv_id", "valid", "formatted", turns.alias("turns"), loss.alias("loss_text"))
+    loss = F.transform("loss_spans", lambda s: unescape(F.substr(F.get(F.col("_body"), s["turn"]), (s["offset"] + 1).cast("int"), s["length"].cast("int"))))
+    return whole.select("conv_id", "valid", "formatted", turns.alias("turns"), loss.alias("loss_text"))
