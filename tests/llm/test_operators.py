@@ -42,20 +42,25 @@ def word_list(t):
     return re.findall(r"[^\x20\x09-\x0D]+", t or "")
 
 
-def test_wavelet_matrix():
-    from tidewatch.llm.wavelet import WaveletMatrix
-
-    for n in (0, 1, 700, 5000):
-        a = np.random.default_rng(n).integers(0, 300, n).astype(np.uint32)
-        m, ids, lengths = WaveletMatrix.from_bytes(WaveletMatrix.build(a).to_bytes([None, 5], [0, n]))
-        assert (m.decode() == a).all() and ids == [None, 5] and lengths.tolist() == [0, n]
-        for k in range(0, n, 311):
-            where = np.flatnonzero(a == a[k])
-            assert m.access(k) == a[k] and m.count(int(a[k])) == len(where) and m.rank(int(a[k]), k) == (where < k).sum()
-            assert m.select(int(a[k]), len(where) - 1) == where[-1]
-        assert m.count(100_000) == 0
-        with pytest.raises(IndexError):
-            m.select(100_000, 0)
+def test_wavelet_file(tmp_path):
+    from tidewatch.llm.wavelet import BLOCK_BITS, WaveletFile, open_shard, to_bytes
+
+    for n in (0, 1, 700, 5000, 3 * BLOCK_BITS, 3 * BLOCK_BITS + 70_001):
+        a = np.random.default_rng(n).integers(0, 300 if n < 99_000 else 70_000, n).astype(np.uint32)
+        m = WaveletFile.from_bytes(to_bytes(a, [None, 5], [0, n]))
+        assert (m.decode() == a).all() and m.doc_ids == [None, 5] and m.lengths.tolist() == [0, n]
+        for k in [*range(0, n, max(311, n // 40)), *([n - 1] if n else [])]:
+            token, where = int(a[k]), np.flatnonzero(a == a[k])
+            assert m.access(k) == token and m.count(token) == len(where) and m.rank(token, k) == (where < k).sum()
+            assert m.select(token, len(where) - 1) == where[-1] and m.select(token, 0) == where[0]
+        assert m.count(1 << 17) == 0
+        for bad in (lambda: m.select(1 << 17, 0), lambda: m.access(n)):
+            with pytest.raises(IndexError):
+                bad()
+    (tmp_path / "x").write_bytes(to_bytes(a, [7], [n]))
+    shard = open_shard(f"file://{tmp_path}", "x")
+    assert shard.access(n // 2) == a[n // 2] and shard.blocks_read == shard.levels  # one block for each plane
+    shard.f.close()
 
 
 def test_token_files(spark, odd, empty, monkeypatch):
@@ -95,6 +100,19 @@ def test_chat(spark):
     assert chat_parse(chat_format(turns.limit(0))).count() == 0
 
 
+def test_chat_spans_and_long_conversations(spark):
+    """Spans point at the loss text in the formatted text, and 20,000 turns come back."""
+    from tidewatch.llm.chat import chat_format, chat_parse, escape
+
+    long = spark.range(20_000).select(F.lit(9).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("t<|é "), F.col("id").cast("string")).alias("text"))
+    got = chat_format(long).first()
+    spans = got["loss_spans"]
+    assert len(spans) == 10_000 and all(got["formatted"][s["start"] : s["start"] + s["length"]] == f"t<\\|é {2 * k + 1}" for k, s in enumerate(spans))
+    back = chat_parse(chat_format(long)).first()
+    assert [t["text"] for t in back["turns"]] == [f"t<|é {i}" for i in range(20_000)] and back["loss_text"] == [f"t<|é {i}" for i in range(1, 20_000, 2)] and back["valid"]
+    assert spark.range(1).select(escape(F.lit("<|x"))).first()[0] == "<\\|x"
+
+
 def test_language_id(spark, odd, empty):
     from tidewatch.llm.language_id import HELD_OUT, keep_known_language, predict_languages
 
@@ -153,7 +171,7 @@ def test_exact_dedup(spark, odd, empty):
     for i, t, *_ in rows:
         groups.setdefault(lower(t), []).append(i)
     keep = {k: max((x for x in v if x is not None), default=None) for k, v in groups.items()}
-    for bits in (1 << 16, 1 << 26):  # a full filter only sends more rows on
+    for bits in (1 << 8, 1 << 16, 1 << 26, None):  # a full filter only sends more rows on
         got = exact_dedup_decisions(d, filter_bits=bits).collect()
         assert len(got) == len(rows)
         want = sorted((i is None, i or 0, keep[lower(t)], len(groups[lower(t)]), i == keep[lower(t)], hashlib.sha256(lower(t).encode()).hexdigest()) for i, t, *_ in rows if i is not None)
@@ -162,6 +180,14 @@ def test_exact_dedup(spark, odd, empty):
     assert stay.columns == clashing(d).columns
     assert sorted(x[0] is not None and x[0] or -1 for x in stay.select("doc_id").collect()) == sorted(-1 if v is None else v or -1 for v in keep.values())
     assert exact_dedup(empty).count() == 0 and exact_dedup_decisions(empty).count() == 0
+    # rows that share an id are decided each by its own text: no text is lost, whatever the filter's size
+    for rows in ([(1, "A"), (2, "A"), (1, "B"), (0, "B")], [(1, "A"), (2, "A"), (1, "B")], [(None, "A"), (2, "a"), (None, "B"), (None, "b")]):
+        again = spark.createDataFrame(rows, "doc_id long, text string")
+        for bits in (1 << 8, 1 << 26):
+            left = [tuple(x) for x in exact_dedup(again, filter_bits=bits).collect()]
+            assert {lower(t) for _, t in left} == {lower(t) for _, t in rows} and (2, "A") in left or (2, "a") in left
+            best = {lower(t): max((-1 if i is None else i for i, u in rows if lower(u) == lower(t))) for _, t in rows}
+            assert all((-1 if i is None else i) == best[lower(t)] for i, t in left)
 
 
 def test_sentencepiece(spark, odd, empty):
@@ -182,6 +208,24 @@ def test_sentencepiece(spark, odd, empty):
     assert sp_digests(empty).count() == 0
 
 
+def test_sentencepiece_words():
+    """Rows of agendas, heaps and the library agree, on words of all lengths, unknown characters and marks inside."""
+    import public_tokenizers
+
+    from tidewatch.llm.sentencepiece_codec import LONG, MARK, MODEL, Agenda
+
+    agenda, r = Agenda(public_tokenizers.path(MODEL)), random.Random(9)
+    texts = [MARK + "".join(r.choice("etaoinshrdlu éßñ日本ह🙂\u0301.,'0129" + MARK if n > 3 else "ab").replace(" ", MARK) for _ in range(n)) for n in [*range(12), 63, 64, 65, 300, 3000] for _ in range(30)]
+    texts += [MARK, MARK * 5, MARK + "x" * 5000, MARK + "ab" * 2000]
+    flat, lens = agenda.symbols(texts)
+    for t, ours in zip(texts, np.split(flat, np.cumsum(lens)[:-1]), strict=True):
+        assert ours.tolist() == agenda._word(t) == agenda.word(t)
+    assert max(map(len, texts)) > LONG
+    pieces = list(dict.fromkeys(t.replace(MARK, " ").encode() for t in texts if MARK not in t[1:]))
+    ids, lens = agenda.words(pieces)  # raises where the library differs
+    assert len(lens) == len(pieces) and lens.sum() == len(ids)
+
+
 def test_warc(spark):
     from tidewatch.llm import warc
 
@@ -241,13 +285,26 @@ def test_minhash_dedup(spark, empty):
     got = {g["doc_id"]: tuple(g)[1:] for g in m.near_dedup_decisions(d).collect()}
     assert got == {i: (len(sets[i]), label[i], label[i] == i) for i in range(len(texts))}
     assert 20 < len(set(label)) < len(texts) - 60
-    stay = m.near_dedup(d)
+    stay = m.near_dedup(d, percent=85)
     assert stay.columns == d.columns and sorted(x[0] for x in stay.select("doc_id").collect()) == sorted(set(label))
     assert m.near_dedup_decisions(empty).count() == 0
     odd = spark.createDataFrame([(None, "a b c d e f", None, None, 0), (1, "a b c d e f", None, None, 0), (1, "a b c d e f", None, None, 0)], DOCS)
     assert sorted((g["doc_id"] is None, g["component_id"], g["kept"]) for g in m.near_dedup_decisions(odd).collect() if g["doc_id"]) == [(False, 1, True)] * 2
 
 
+def test_near_dedup_keeps_every_text_of_a_repeated_id(spark):
+    from tidewatch.llm import minhash_dedup as m
+
+    t, u, v = (" ".join(f"{x}{i}" for i in range(60)) for x in "tuv")
+    edited = u.replace("u59", "end")
+    rows = [(1, t), (2, t), (2, u), (3, edited), (3, v), (None, v), (None, None), (3, v)] + [(50, " ".join(f"z{i}" for i in range(60)) + f" {k}") for k in range(30)]
+    got = m.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((str(g["doc_id"]), g["text"] or "") for g in got if g["doc_id"] != 50) == sorted([("1", t), ("2", u), ("3", v), ("3", v), ("None", v), ("None", "")])
+    assert sorted(g["text"] for g in got if g["doc_id"] == 50) == sorted(x for i, x in rows if i == 50)
+    decided = m.near_dedup_decisions(spark.createDataFrame(rows, "doc_id long, text string"), percent=80).filter("doc_id < 50").collect()
+    assert sorted((g["doc_id"], g["component_id"]) for g in decided) == [(1, 1), (2, 1), (2, 2), (3, 2), (3, 3), (3, 3)]
+
+
 def test_link_blocks_lose_nothing(monkeypatch):
     """Blocks of four rows find the components that all pairs have."""
     import pyarrow as pa
