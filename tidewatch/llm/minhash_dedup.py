@@ -272,13 +272,13 @@ def _decisions(docs: DataFrame, id_col: str, text_col: str, words: int, percent:
     width, bands = band_shape(percent)
     least = least_matches(percent / 100, miss)
     fields = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("th"))
-    sketch = materialize(small_batches(fields).mapInArrow(partial(_sketch, k=words, width=width, bands=bands), "id long, th long, n long, fp binary, sig binary, bands array<long>"), "near-sketch")
+    sketch = materialize(small_batches(fields).mapInArrow(partial(_sketch, k=words, width=width, bands=bands), "id long, th long, n long, fp binary, sig binary, bands array<long>").withColumn("r", F.monotonically_increasing_id()), "near-sketch")
     total = sketch.count()
     full = sketch.filter("n > 0 and id is not null")
-    # a class of equal sets is a node of its own, numbered as it is written: an id may stand for several texts
-    classes = full.groupBy("fp").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("members")).withColumn("node", F.monotonically_increasing_id())
-    classes = materialize(classes, "near-classes")
-    reps = sketch.withColumnRenamed("id", "rep").join(classes.select("rep", "fp", "node"), ["rep", "fp"]).withColumnRenamed("node", "id").dropDuplicates(["id"])
+    # a class of equal sets is a node of its own, under its first row's number as written: an id may have several texts
+    classes = full.groupBy("fp").agg(F.min(F.struct("id", "r")).alias("m"), F.count(F.lit(1)).alias("members"))
+    classes = materialize(classes.select("fp", F.col("m.id").alias("rep"), F.col("m.r").alias("node"), "members"), "near-classes")
+    reps = sketch.withColumnRenamed("id", "rep").join(classes.select(F.col("node").alias("r")), "r", "left_semi").withColumnRenamed("r", "id")
 
     keys = reps.select("id", "n", F.posexplode("bands").alias("band", "h"))
     shared = keys.groupBy("h").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
