@@ -124,9 +124,9 @@ def pu_summary(scores: DataFrame, key: str) -> DataFrame:
 def permuted(df: DataFrame, columns: list[str], key: str, seed: int = 0) -> DataFrame:
     """df with some columns' values dealt anew among its rows, all of them together: the row at a place by key takes
     the values of the row at that place by a hash of the key."""
-    a = places(df.drop(*columns), [F.asc(key)], "_p")
-    b = places(df.select(key, *columns), [F.xxhash64(F.col(key), F.lit(seed)).asc(), F.asc(key)], "_p").drop(key)
-    return a.join(b, "_p").drop("_p").select(df.columns)
+    a = places(df.drop(*columns), [F.asc(key)], "_place")
+    b = places(df.select(key, *columns), [F.xxhash64(F.col(key), F.lit(seed)).asc(), F.asc(key)], "_place").drop(key)
+    return a.join(b, "_place").drop("_place").select(df.columns)
 
 
 def permutation_importance(df: DataFrame, columns: list[str], label: str, key: str, model: str = "logistic", folds: int = 3, groups: dict[str, list[str]] | None = None) -> DataFrame:

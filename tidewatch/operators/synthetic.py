@@ -46,24 +46,52 @@ def recovery_summary(found: DataFrame) -> DataFrame:
     return found.groupBy("injection_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.percentile("iou", F.lit(0.5)), 6).alias("iou_median"), *[F.round(F.avg(F.col(f"at_{t}").cast("double")), 6).alias(f"rate_{t}") for t in (30, 50, 70)])
 
 
-def _permuted(key: tuple, pdf: pd.DataFrame, n_perm: int, merge_gap: int) -> pd.DataFrame:
-    flags = pdf.sort_values("minute_idx")["flag"].to_numpy(bool)
-    rng = np.random.Generator(np.random.PCG64(int.from_bytes(hashlib.sha256(str(key).encode()).digest()[:8], "little")))
-
-    def longest(f: np.ndarray) -> int:
-        at = np.flatnonzero(f)
-        if not len(at):
-            return 0
-        cut = np.flatnonzero(np.diff(at) > merge_gap + 1)
-        return int((at[np.append(cut, len(at) - 1)] - at[np.concatenate([[0], cut + 1])] + 1).max())
-
-    seen, null = longest(flags), [longest(rng.permutation(flags)) for _ in range(n_perm)]
-    return pd.DataFrame({"session_key": [key[0]], "observed": [seen], "null_mean": [float(np.mean(null))], "p": [(1 + sum(x >= seen for x in null)) / (1 + n_perm)]})
-
-
-def persistence_null(flagged: DataFrame, n_perm: int = 100, merge_gap: int = 1) -> DataFrame:
-    """Longest episode of each session against its flags in random order. One session is one group."""
-    return flagged.select("session_key", "minute_idx", "flag").groupBy("session_key").applyInPandas(partial(_permuted, n_perm=n_perm, merge_gap=merge_gap), "session_key string, observed long, null_mean double, p double")
+def durations_of(flags: np.ndarray, merge_gap: int = 1) -> np.ndarray:
+    """Lengths of the episodes of a row of flags; gaps of at most merge_gap are bridged."""
+    at = np.flatnonzero(flags)
+    if not len(at):
+        return np.zeros(0, np.int64)
+    cut = np.flatnonzero(np.diff(at) > merge_gap + 1)
+    return at[np.append(cut, len(at) - 1)] - at[np.concatenate([[0], cut + 1])] + 1
+
+
+def _permuted(key: tuple, pdf: pd.DataFrame, cuts: dict[float, float], durations: tuple[int, ...], n_perm: int, merge_gap: int) -> pd.DataFrame:
+    rank = pdf.sort_values("minute_idx")["rank"].to_numpy(float)
+    rng = np.random.Generator(np.random.PCG64(int.from_bytes(hashlib.sha256(str(key[0]).encode()).digest()[:8], "little")))
+    orders, out = [rng.permutation(len(rank)) for _ in range(n_perm)], []
+    for q, cut in cuts.items():
+        flags = rank >= cut
+        seen, null = durations_of(flags, merge_gap), [durations_of(flags[o], merge_gap) for o in orders]
+        top, tops = int(seen.max(initial=0)), np.array([x.max(initial=0) for x in null])
+        for d in durations:
+            out.append((key[0], q, d, int((seen >= d).sum()), float(np.mean([(x >= d).sum() for x in null])), float((tops >= d).mean()), top, float((1 + (tops >= top).sum()) / (1 + n_perm))))
+    return pd.DataFrame(out, columns=["session_key", "q", "min_duration", "episodes", "null_episodes", "null_rate", "longest", "p"])
+
+
+def persistence_null(scores: DataFrame, cuts: dict[float, float], durations: tuple[int, ...], n_perm: int = 100, merge_gap: int = 1, rank: str = "minute_mismatch_rank") -> DataFrame:
+    """Per session, quantile (with its cut) and least duration: episodes against those of the flags in random order,
+    how often the null has any, the longest episode and its p. One session is one group."""
+    rows = scores.select("session_key", "minute_idx", F.col(rank).alias("rank"))
+    job = partial(_permuted, cuts=cuts, durations=durations, n_perm=n_perm, merge_gap=merge_gap)
+    return rows.groupBy("session_key").applyInPandas(lambda key, pdf: job(key, pdf), "session_key string, q double, min_duration long, episodes long, null_episodes double, null_rate double, longest long, p double")
+
+
+def enrichment(null: DataFrame) -> DataFrame:
+    """Per quantile and duration: episodes and sessions with any, seen and under the null, and their ratios."""
+    out = null.groupBy("q", "min_duration").agg(F.sum("episodes").alias("episodes"), F.sum("null_episodes").alias("null_episodes"), F.avg((F.col("episodes") > 0).cast("double")).alias("session_rate"), F.avg("null_rate").alias("null_session_rate"), F.avg((F.col("p") <= 0.05).cast("double")).alias("p05_rate"))
+    return out.withColumn("episode_ratio", F.try_divide("episodes", "null_episodes")).withColumn("session_ratio", F.try_divide("session_rate", "null_session_rate"))
+
+
+def sanity_summary(injected: DataFrame, detected: DataFrame, order: DataFrame, keys: list[str], k: int = 100, enabled: bool = True) -> DataFrame:
+    """One row: status, injected sessions, mean IoU, rate of IoU of a half or more, and recall among the k first of the
+    order (session_key, review_order). not_run if switched off; not_run_stale_input if no injected session is scored."""
+    scored = injected.select(*keys).distinct().join(detected.select(*keys).distinct(), keys, "left_semi").count() if enabled else 0
+    spark, schema = injected.sparkSession, "status string, n long, iou_mean double, recovered_rate double, recall_at_k double"
+    if not scored:
+        return spark.createDataFrame([("not_run_stale_input" if enabled else "not_run", 0, None, None, None)], schema)
+    r = recovery(injected, detected, keys)
+    hit = r.join(order, keys, "left").agg(F.count(F.lit(1)).alias("n"), F.avg("iou").alias("iou_mean"), F.avg(F.col("at_50").cast("double")).alias("recovered_rate"), F.avg(F.coalesce(F.col("review_order") <= k, F.lit(False)).cast("double")).alias("recall_at_k"))
+    return hit.select(F.lit("ok").alias("status"), "n", "iou_mean", "recovered_rate", "recall_at_k")
 
 
 def checks(df: DataFrame, tests: dict[str, Column]) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
-from ..operators import learn, models, ranks, scan, state, synthetic, windows
+from ..operators import learn, models, outliers, ranks, scan, state, synthetic, windows
 from ..sources import telemetry as source
 from ..sources.steps import step
 from . import sql as Q
@@ -109,7 +109,17 @@ def _(spark, d):
 
 @query("r19_persistence_null")
 def _(spark, d):
-    return synthetic.persistence_null(scored(spark, d).withColumn("flag", F.col("minute_mismatch_rank") >= 0.9))
+    s = scored(spark, d)
+    cuts = dict(zip(GRID_Q, ranks.quantile_row(s, ["minute_mismatch_rank"], GRID_Q)["minute_mismatch_rank"], strict=True))
+    return synthetic.enrichment(synthetic.persistence_null(s, cuts, GRID_D))
+
+
+@query("r29_synthetic_summary")
+def _(spark, d):
+    """Injected rows rescored and scanned, with the places of their largest scores as the order."""
+    detected = scan.best_intervals(_injected_zed(spark, d), source.GAP_MINUTES)
+    order = ranks.places(detected.select(*ID, "scan_z", "session_key"), [F.desc("scan_z"), F.asc("session_key")], "review_order").select(*ID, "review_order")
+    return synthetic.sanity_summary(_injected(spark, d), detected, order, ID)
 
 
 @query("v_integrity_checks", f"WITH {Q.SCORES} SELECT unnest(['chat_not_negative', 'chat_at_least_unique', 'rank_in_unit', 'run_only_if_silent', 'index_from_one']) AS check_name, unnest([count(*) FILTER (NOT chat_count >= 0), count(*) FILTER (NOT chat_count >= unique_chatters), count(*) FILTER (NOT (minute_mismatch_rank > 0 AND minute_mismatch_rank <= 1)), count(*) FILTER ((zero_run_len > 0) <> zero_chat), count(*) FILTER (NOT minute_idx >= 1)]) AS violations, unnest([count(*) FILTER (NOT chat_count >= 0), count(*) FILTER (NOT chat_count >= unique_chatters), count(*) FILTER (NOT (minute_mismatch_rank > 0 AND minute_mismatch_rank <= 1)), count(*) FILTER ((zero_run_len > 0) <> zero_chat), count(*) FILTER (NOT minute_idx >= 1)]) = 0 AS ok FROM scores")
@@ -167,7 +177,46 @@ def _(spark, d):
 
 @query("m12_pu_bagging")
 def _(spark, d):
-    return learn.pu_bagging(_session_matrix(spark, d), list(_RS), "y", "session_key")
+    """Four rounds of three models; pu_bagging's own default is the method's 30."""
+    return learn.pu_bagging(_session_matrix(spark, d), list(_RS), "y", "session_key", 4)
+
+
+@query("m2_k_selection")
+def _(spark, d):
+    return models.choose_k(_session_matrix(spark, d), list(_RS), "session_key", "zero_rate", (2, 3, 4), (42,))[0]
+
+
+@query("m16_stability")
+def _(spark, d):
+    return models.kmeans_stability(_session_matrix(spark, d), list(_RS), 2, "session_key", "zero_rate", (42, 43, 44))
+
+
+@query("m3_gaussian_mixtures")
+def _(spark, d):
+    return outliers.mixtures(_session_matrix(spark, d), list(_RS), (2, 3))[0]
+
+
+@query("m6_local_outlier_factor")
+def _(spark, d):
+    return outliers.local_outlier_factor(_session_matrix(spark, d).select("session_key", *_RS), list(_RS), "session_key").select("session_key", "lof")
+
+
+@query("m7_one_class_svm")
+def _(spark, d):
+    return outliers.one_class_svm(_session_matrix(spark, d).select("session_key", *_RS), list(_RS), "session_key").select("session_key", "ocsvm")
+
+
+@query("m13_stratified_folds", f"WITH {Q.RULES}, h AS (SELECT review_order <= 100 AS y FROM rules) SELECT y, f.f::INT AS fold, (n - f.f + 4) // 5 AS n FROM (SELECT y::INT AS y, count(*) AS n FROM h GROUP BY 1), (SELECT unnest(range(5)) AS f) f")
+def _(spark, d):
+    """Folds of nearly equal size in both classes: as many rows as dealing each class in turn gives."""
+    s = ruled(spark, d).withColumn("y", (F.col("review_order") <= 100).cast("int"))
+    n = learn.stratified_fold(s, "y", "session_key", 5).groupBy("y", "fold").agg(F.count(F.lit(1)).alias("_n"))
+    return n.withColumn("place", F.row_number().over(Window.partitionBy("y").orderBy(F.desc("_n"), "fold"))).select("y", (F.col("place") - 1).alias("fold"), F.col("_n").alias("n"))
+
+
+@query("m17_permutation_importance")
+def _(spark, d):
+    return learn.permutation_importance(_session_matrix(spark, d), list(_RS), "y", "session_key", folds=2, groups={"silence": ["zero_rate", "zrun_max"], "audience": ["gap_med", "v_miss_rate"]})
 
 
 @query("x12_metric_quartiles", f"WITH {Q.SESSIONS} SELECT unnest(['zero_rate', 'gap_med', 'viewer_median']) AS metric, unnest([round(quantile_cont(zero_rate, 0.25), 6), round(quantile_cont(gap_med, 0.25), 6), round(quantile_cont(viewer_median, 0.25), 6)]) AS p25, unnest([round(quantile_cont(zero_rate, 0.75), 6), round(quantile_cont(gap_med, 0.75), 6), round(quantile_cont(viewer_median, 0.75), 6)]) AS p75 FROM sess")
