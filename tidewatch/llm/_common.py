@@ -87,7 +87,7 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), UPPER, UPPER.lower())
 
 
-def attach_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
+def attach_groups(rows: DataFrame, groups: DataFrame, key: str | list[str], size: str, total: int) -> DataFrame:
     """Inner join of rows with one row per group, without sending a hot group's rows to one task.
 
     groups must be cheap to read twice (materialised). Groups over total / HOT_PARTS rows are at most

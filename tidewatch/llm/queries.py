@@ -12,6 +12,7 @@ from .exact_dedup import exact_dedup_decisions
 from .language_id import predict_languages
 from .minhash_dedup import near_dedup_decisions
 from .mixing import mix_decisions
+from .prefix_trie import prefix_trie
 from .sentencepiece_codec import sp_digests
 from .url_rules import judge_urls
 from .warc import archive_round_trip
@@ -169,6 +170,39 @@ SELECT doc_id, size, source_size, target, source,
 FROM r
 """
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+OP11_SQL = r"""
+WITH t AS MATERIALIZED (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS pos,
+    sha256(length(role) || ':' || role || text) AS f, octet_length(encode(text))::BIGINT AS bytes
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL)
+), c AS (
+  SELECT DISTINCT conv_id, xor(4294967295, list_reduce([4294967295::BIGINT] || [ascii(x)::BIGINT for x in string_split(conv_id::VARCHAR, '')],
+    lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda r, i: xor(r >> 1, 3988292384 * (r & 1))))) % 9 AS h FROM t
+), r AS (
+  SELECT c.conv_id, 0 AS seg, pos, f, bytes FROM c JOIN t ON t.conv_id = c.conv_id - c.conv_id % 5 AND pos < h
+  UNION ALL SELECT c.conv_id, 1, pos, f, bytes FROM c JOIN t ON t.conv_id = c.conv_id AND pos >= h
+), l AS MATERIALIZED (
+  SELECT c.conv_id, coalesce(list(f ORDER BY seg, pos) FILTER (f IS NOT NULL), []) AS f, coalesce(list(bytes ORDER BY seg, pos) FILTER (f IS NOT NULL), []) AS b
+  FROM c LEFT JOIN r USING (conv_id) GROUP BY 1
+), p AS MATERIALIZED (
+  SELECT conv_id, d, len(f) = d AS ends, sha256(array_to_string(f[:d], ',')) AS k, CASE WHEN d > 0 THEN sha256(array_to_string(f[:d - 1], ',')) END AS up, CASE WHEN d > 0 THEN b[d] ELSE 0 END AS bytes
+  FROM l, unnest(range(len(f) + 1)) AS u(d)
+), n AS MATERIALIZED (
+  SELECT k, min(up) AS up, min(conv_id) AS conv_id, min(d) AS depth, count(*) AS n_convs, (count(*) - 1) * min(bytes) AS own,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256 FROM p GROUP BY k
+), kids AS (SELECT up, count(*) AS n FROM n GROUP BY up
+), below AS (
+  SELECT a.k, sum(n.own) AS saved, count(*) FILTER (kids.n IS NULL) AS leaves
+  FROM n JOIN p AS a ON a.conv_id = n.conv_id AND a.d <= n.depth LEFT JOIN kids ON kids.up = n.k GROUP BY a.k
+)
+SELECT n.conv_id, n.depth, m.conv_id AS parent_conv_id, n.n_convs, coalesce(kids.n, 0)::BIGINT AS n_children, below.leaves::BIGINT AS n_leaves, below.saved::BIGINT AS saved_tokens, n.ends_sha256
+FROM n JOIN below USING (k) LEFT JOIN kids ON kids.up = n.k LEFT JOIN n AS m ON m.k = n.up
+"""
+
 QUERIES = {
     "op1_wavelet_tokens": op1_wavelet_tokens,
     "op2_chat_format": op2_chat_format,
@@ -180,5 +214,6 @@ QUERIES = {
     "op8_minhash_dedup": op8_minhash_dedup,
     "op9_cover_tree": op9_cover_tree,
     "op10_mix_sources": op10_mix_sources,
+    "op11_prefix_trie": op11_prefix_trie,
 }
-SQL = {"op2_chat_format": OP2_SQL, "op5_exact_dedup": OP5_SQL, "op4_url_rules": OP4_SQL, "op7_warc": OP7_SQL, "op9_cover_tree": OP9_SQL, "op10_mix_sources": OP10_SQL}
+SQL = {"op2_chat_format": OP2_SQL, "op5_exact_dedup": OP5_SQL, "op4_url_rules": OP4_SQL, "op7_warc": OP7_SQL, "op9_cover_tree": OP9_SQL, "op10_mix_sources": OP10_SQL, "op11_prefix_trie": OP11_SQL}
