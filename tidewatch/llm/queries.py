@@ -15,6 +15,7 @@ from .mixing import mix_decisions
 from .prefix_trie import prefix_trie
 from .sentencepiece_codec import sp_digests
 from .url_rules import judge_urls
+from .vector_codes import ENTRIES, PARTS, ROUNDS, vector_codes
 from .warc import archive_round_trip
 from .wavelet import tokens_round_trip
 
@@ -203,6 +204,34 @@ SELECT n.conv_id, n.depth, m.conv_id AS parent_conv_id, n.n_convs, coalesce(kids
 FROM n JOIN below USING (k) LEFT JOIN kids ON kids.up = n.k LEFT JOIN n AS m ON m.k = n.up
 """
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes(table(spark, sf_dir, "embeddings"))
+
+
+def _codes_sql() -> str:
+    """Every part against every entry; one pair of steps per round."""
+    steps = [f"""e AS MATERIALIZED (
+  SELECT vec_id, label, [floor(1024 * x::DOUBLE) for x in embedding] AS v, row_number() OVER (ORDER BY vec_id) - 1 AS place FROM embeddings
+  WHERE embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0
+), x AS MATERIALIZED (
+  SELECT vec_id, place, label, part, v[part * (len(v) // {PARTS}) + 1:(part + 1) * (len(v) // {PARTS})] AS v FROM e, range({PARTS}) AS p(part)
+), b0 AS MATERIALIZED (SELECT part, place AS entry, v FROM x WHERE place < {ENTRIES})"""]
+    for r in range(ROUNDS + 1):
+        near = "min({'d': list_dot_product(x.v, x.v) - 2 * list_dot_product(x.v, b.v) + list_dot_product(b.v, b.v), 'e': b.entry})"
+        steps.append(f"a{r} AS MATERIALIZED (SELECT x.place, x.part, {near} AS near FROM x JOIN b{r} AS b USING (part) GROUP BY x.place, x.part)")
+        if r < ROUNDS:
+            steps.append(f"""m{r} AS MATERIALIZED (
+  SELECT part, entry, list(c ORDER BY pos) AS v FROM (
+    SELECT a.part, a.near.e AS entry, pos, floor(sum(x.v[pos]) / count(*)) AS c FROM a{r} AS a JOIN x USING (place, part), range(1, len(x.v) + 1) AS i(pos) GROUP BY ALL) GROUP BY part, entry
+), b{r + 1} AS MATERIALIZED (SELECT b.part, b.entry, coalesce(m.v, b.v) AS v FROM b{r} AS b LEFT JOIN m{r} AS m USING (part, entry))""")
+    return f"""WITH {", ".join(steps)}, d AS (
+  SELECT e.vec_id, e.label, string_agg(printf('%02x', a.near.e), '' ORDER BY a.part) AS code, sum(a.near.d)::BIGINT AS error FROM a{ROUNDS} AS a JOIN e USING (place) GROUP BY ALL
+), h AS (SELECT sha256(string_agg(array_to_string([c::BIGINT for c in v], ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM b{ROUNDS})
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256, label FROM d, h"""
+
+
+OP12_SQL = _codes_sql()
+
 QUERIES = {
     "op1_wavelet_tokens": op1_wavelet_tokens,
     "op2_chat_format": op2_chat_format,
@@ -215,5 +244,6 @@ QUERIES = {
     "op9_cover_tree": op9_cover_tree,
     "op10_mix_sources": op10_mix_sources,
     "op11_prefix_trie": op11_prefix_trie,
+    "op12_vector_codes": op12_vector_codes,
 }
-SQL = {"op2_chat_format": OP2_SQL, "op5_exact_dedup": OP5_SQL, "op4_url_rules": OP4_SQL, "op7_warc": OP7_SQL, "op9_cover_tree": OP9_SQL, "op10_mix_sources": OP10_SQL, "op11_prefix_trie": OP11_SQL}
+SQL = {"op2_chat_format": OP2_SQL, "op5_exact_dedup": OP5_SQL, "op4_url_rules": OP4_SQL, "op7_warc": OP7_SQL, "op9_cover_tree": OP9_SQL, "op10_mix_sources": OP10_SQL, "op11_prefix_trie": OP11_SQL, "op12_vector_codes": OP12_SQL}
