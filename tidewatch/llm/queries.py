@@ -9,6 +9,7 @@ from ._common import table
 from .chat import chat_format, chat_parse
 from .dual_tree import top_k
 from .exact_dedup import exact_dedup_decisions
+from .html_text import main_text
 from .language_id import predict_languages
 from .minhash_dedup import near_dedup_decisions
 from .mixing import mix_decisions
@@ -232,6 +233,23 @@ SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS la
 
 OP12_SQL = _codes_sql()
 
+def op13_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(table(spark, sf_dir, "pages"))
+
+
+#: For pages that mark their article, and with the character references of the given tables.
+OP13_SQL = r"""
+WITH a AS (
+  SELECT page_id, url, replace(regexp_extract(coalesce(html, ''), '<article>(.*)</article>', 1, 's'), '<br>', ' ') AS body FROM pages
+), b AS (
+  SELECT page_id, url, regexp_split_to_array(regexp_replace(body, '</?(b|a)( [^>]*)?>', '', 'g'), '</?[a-z0-9]+>') AS parts FROM a
+), c AS (
+  SELECT page_id, url, [trim(regexp_replace(replace(replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', ''''), '&amp;', '&'), '\s+', ' ', 'g')) for x in parts] AS parts FROM b
+), d AS (SELECT page_id, url, array_to_string([x for x in parts if x <> ''], chr(10)) AS text FROM c)
+SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM d
+"""
+
+
 QUERIES = {
     "op1_wavelet_tokens": op1_wavelet_tokens,
     "op2_chat_format": op2_chat_format,
@@ -245,5 +263,6 @@ QUERIES = {
     "op10_mix_sources": op10_mix_sources,
     "op11_prefix_trie": op11_prefix_trie,
     "op12_vector_codes": op12_vector_codes,
+    "op13_html_text": op13_html_text,
 }
-SQL = {"op2_chat_format": OP2_SQL, "op5_exact_dedup": OP5_SQL, "op4_url_rules": OP4_SQL, "op7_warc": OP7_SQL, "op9_cover_tree": OP9_SQL, "op10_mix_sources": OP10_SQL, "op11_prefix_trie": OP11_SQL, "op12_vector_codes": OP12_SQL}
+SQL = {"op2_chat_format": OP2_SQL, "op5_exact_dedup": OP5_SQL, "op4_url_rules": OP4_SQL, "op7_warc": OP7_SQL, "op9_cover_tree": OP9_SQL, "op10_mix_sources": OP10_SQL, "op11_prefix_trie": OP11_SQL, "op12_vector_codes": OP12_SQL, "op13_html_text": OP13_SQL}
