@@ -1,7 +1,7 @@
 """Outlier detectors and mixtures over rows of features: local outlier factor, one-class SVM, Gaussian mixtures.
 
-What a detector is fitted on is a sample drawn by hash of the key and bounded by REFERENCE rows; every row is scored,
-in Arrow batches.
+The outlier factor is taken among all rows (``neighbours``). What the SVM is fitted on is a sample drawn by hash of the
+key and bounded by REFERENCE rows; every row is scored, in Arrow batches.
 """
 
 from __future__ import annotations
@@ -15,8 +15,10 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.steps import written
 from .learn import isolation_forest
 from .models import median_impute, robust_scale
+from .neighbours import local_outlier_factor
 from .ranks import pct_ranks
 
 #: Rows that a detector is fitted on at most.
@@ -42,35 +44,6 @@ def scored_by(df: DataFrame, columns: list[str], key: str, name: str, score: Cal
     return df.mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in df.dtypes) + f", {name} double")
 
 
-def _near(x: np.ndarray, own: list, ref: np.ndarray, keys: dict, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distances to and places of the k nearest reference rows, a row's own key aside."""
-    d = np.sqrt(np.maximum((x**2).sum(axis=1)[:, None] - 2 * x @ ref.T + (ref**2).sum(axis=1), 0))
-    for i, o in enumerate(own):
-        if o in keys:
-            d[i, keys[o]] = np.inf
-    at = np.argsort(d, axis=1, kind="stable")[:, :k]
-    return np.take_along_axis(d, at, 1), at
-
-
-def local_outlier_factor(df: DataFrame, columns: list[str], key: str, k: int = 20, name: str = "lof") -> DataFrame:
-    """Mean density of the k nearest neighbours over a row's own; k is lowered to the other rows there are."""
-    ref, own = reference(df, columns, key)
-    k = min(k, len(ref) - 1)
-    if k < 1:
-        return df.withColumn(name, F.lit(None).cast("double"))
-    keys = {o: i for i, o in enumerate(own)}
-    parts = [_near(ref[i : i + 512], own[i : i + 512], ref, keys, k) for i in range(0, len(ref), 512)]
-    d, at = (np.concatenate(p) for p in zip(*parts, strict=True))
-    reach = d[:, -1]
-    density = 1 / np.maximum(np.maximum(d, reach[at]).mean(axis=1), 1e-10)
-
-    def score(x: np.ndarray, mine: list) -> np.ndarray:
-        d, at = _near(x, mine, ref, keys, k)
-        return density[at].mean(axis=1) * np.maximum(np.maximum(d, reach[at]).mean(axis=1), 1e-10)
-
-    return scored_by(df, columns, key, name, score)
-
-
 def one_class_svm(df: DataFrame, columns: list[str], key: str, name: str = "ocsvm") -> DataFrame:
     """How far a row lies outside the one-class SVM of an RBF kernel, which random cosine features stand for; the
     width comes from the sample's variance."""
@@ -93,8 +66,9 @@ def one_class_svm(df: DataFrame, columns: list[str], key: str, name: str = "ocsv
 def minute_detectors(minutes: DataFrame, columns: list[str]) -> DataFrame:
     """Per minute row: each detector's percentile rank times the mean percentile rank of the deficits."""
     rows = minutes.withColumn("_key", F.concat_ws("|", "session_key", "minute_idx")).select("_key", "session_key", F.col("minute_idx").cast("long").alias("minute_idx"), *columns)
-    x = robust_scale(median_impute(rows, columns), columns)
-    x = one_class_svm(local_outlier_factor(isolation_forest(x, columns, "_key", "forest"), columns, "_key", 35), columns, "_key")
+    x = written(robust_scale(median_impute(rows, columns), columns), "detectors-scaled")
+    x = written(local_outlier_factor(isolation_forest(x, columns, "_key", "forest"), columns, "_key", 35), "detectors-near")
+    x = written(one_class_svm(x, columns, "_key"), "detectors-scored")
     x = pct_ranks(x, {f"_d_{c}": c for c in columns} | {f"_r_{n}": n for n in ("forest", "lof", "ocsvm")}, 9)
     weight = sum((F.col(f"_d_{c}") for c in columns[1:]), F.col(f"_d_{columns[0]}")) / len(columns)
     return x.select("session_key", "minute_idx", *[F.round(F.col(f"_r_{n}") * weight, 6).alias(f"{n}_score") for n in ("forest", "lof", "ocsvm")])

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import clip, order_bucket, row_count_at_least, row_mean, row_median, row_std, row_trimmed_mean
+from ..sources.steps import written
 from .ranks import group_pct_ranks, places, quantile_row
 
 
@@ -60,8 +61,9 @@ def compare_orders(a: DataFrame, b: DataFrame, ks: tuple[int, ...]) -> DataFrame
 
 def rank_gap(a: DataFrame, b: DataFrame) -> DataFrame:
     j = a.select("session_key", F.col("place").alias("pa")).join(b.select("session_key", F.col("place").alias("pb")), "session_key")
-    gap = F.abs(F.col("pa") - F.col("pb"))
-    return j.agg(F.count(F.lit(1)).alias("n"), F.round(F.corr("pa", "pb"), 6).alias("spearman"), F.round(F.avg(gap), 6).alias("mean_gap"), F.percentile(gap, F.lit(0.5)).alias("median_gap"))
+    j = written(j.withColumn("gap", F.abs(F.col("pa") - F.col("pb")).cast("double")), "rank-gap")
+    mid = quantile_row(j, ["gap"], (0.5,))["gap"][0]
+    return j.agg(F.count(F.lit(1)).alias("n"), F.round(F.corr("pa", "pb"), 6).alias("spearman"), F.round(F.avg("gap"), 6).alias("mean_gap"), F.lit(mid).cast("double").alias("median_gap"))
 
 
 def widen(meta: DataFrame, frames: dict[str, DataFrame], k: int) -> DataFrame:

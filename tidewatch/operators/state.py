@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import arg_max, row_mean
 from ..sources.steps import written
-from .ranks import average_percentiles, pct_rank, pct_ranks, qcut, qcut_edges, quantiles
+from .ranks import average_percentiles, pct_rank, pct_ranks, places, qcut, qcut_edges, quantiles
 from .windows import gap_minutes, interpolate, rolling, run_length, session_window
 
 SIGNALS = ("chat_deficit", "unique_deficit", "rolling_chat_deficit_5m", "rolling_unique_deficit_5m", "rolling_zero_rate_5m", "zero_run_len")
@@ -108,7 +108,7 @@ def rule_scores(sessions: DataFrame) -> DataFrame:
     parts = {f"p_{c.strip('_')}": c for c in ("zero_rate", "gap_med", "zrun_max", "_nc", "_nu")}
     e = pct_ranks(e, parts, 9).drop("_nc", "_nu")
     e = e.withColumn("rule_score", F.round(row_mean([F.col(p) for p in parts]), 9))
-    return e.withColumn("review_order", F.row_number().over(Window.orderBy(F.desc("rule_score"), "session_key")))
+    return places(e, [F.desc("rule_score"), F.asc("session_key")], "review_order")
 
 
 def eligibility(sessions: DataFrame, min_n: int = 10) -> DataFrame:

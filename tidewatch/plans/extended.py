@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
-from ..operators import learn, models, outliers, ranks, scan, state, synthetic, windows
+from ..operators import density, learn, models, outliers, ranks, scan, state, synthetic, windows
 from ..sources import telemetry as source
 from ..sources.steps import step
 from . import sql as Q
@@ -131,8 +131,10 @@ def _(spark, d):
 
 @query("a10_cluster_profile", f"WITH {Q.SCORES} SELECT reason, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share, round(quantile_cont(viewer, 0.75), 6) AS viewer_p75, round(quantile_cont(viewer, 0.95), 6) AS viewer_p95, round(avg(chat_count), 6) AS chat_mean, round(avg(zero_chat::INT), 6) AS zero_rate FROM scores GROUP BY 1")
 def _(spark, d):
-    p = lambda q: F.round(F.percentile("viewer", F.lit(q)), 6)
-    out = scored(spark, d).groupBy("reason").agg(F.count(F.lit(1)).alias("n"), p(0.75).alias("viewer_p75"), p(0.95).alias("viewer_p95"), F.round(F.avg("chat_count"), 6).alias("chat_mean"), F.round(F.avg(F.col("zero_chat").cast("double")), 6).alias("zero_rate"))
+    at = ranks.quantiles(scored(spark, d), ["viewer"], (0.75, 0.95), "reason")
+    of = spark.createDataFrame([(k, *[float(x) for x in v]) for (k, _), v in at.items()], "_r string, _75 double, _95 double")  # a row per reason
+    out = scored(spark, d).groupBy("reason").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("chat_count"), 6).alias("chat_mean"), F.round(F.avg(F.col("zero_chat").cast("double")), 6).alias("zero_rate"))
+    out = out.join(F.broadcast(of), F.col("reason").eqNullSafe(F.col("_r")), "left").select("reason", "n", F.round("_75", 6).alias("viewer_p75"), F.round("_95", 6).alias("viewer_p95"), "chat_mean", "zero_rate")
     return out.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy()), 6))
 
 
@@ -196,9 +198,41 @@ def _(spark, d):
     return outliers.mixtures(_session_matrix(spark, d), list(_RS), (2, 3))[0]
 
 
-@query("m6_local_outlier_factor")
+def _scaled(spark, d):
+    """The session matrix in nine digits, so that both engines see the same ties."""
+    return _session_matrix(spark, d).select("session_key", *[F.round(c, 9).alias(c) for c in _RS])
+
+
+_MED = ", ".join(f"quantile_cont({c}, 0.5) AS m_{c}" for c in _RS)
+_FILLED = ", ".join(f"coalesce({c}::DOUBLE, m_{c}, 0) AS {c}" for c in _RS)
+_QUART = ", ".join(f"quantile_cont({c}, [0.25, 0.5, 0.75]) AS q_{c}" for c in _RS)
+_ROBUST = ", ".join(f"round(({c} - q_{c}[2]) / CASE WHEN q_{c}[3] = q_{c}[1] THEN 1 ELSE q_{c}[3] - q_{c}[1] END, 9) AS {c}" for c in _RS)
+_MATRIX = f"{Q.RULES}, mx0 AS (SELECT {_MED} FROM rules), mx1 AS (SELECT session_key, {_FILLED} FROM rules, mx0), mx2 AS (SELECT {_QUART} FROM mx1), mx AS MATERIALIZED (SELECT session_key, {_ROBUST} FROM mx1, mx2)"
+_NEAR = " + ".join(f"(a.{c} - b.{c}) * (a.{c} - b.{c})" for c in _RS)
+
+
+@query("m6_local_outlier_factor", f"WITH {_MATRIX}, f AS (SELECT *, min(session_key) OVER (PARTITION BY {', '.join(_RS)}) AS first FROM mx), nb AS MATERIALIZED (SELECT * FROM (SELECT a.session_key AS a, b.session_key AS b, sqrt({_NEAR}) AS d, row_number() OVER (PARTITION BY a.session_key ORDER BY sqrt({_NEAR}), b.first, b.session_key) AS k FROM f AS a JOIN f AS b ON a.session_key <> b.session_key) WHERE k <= 20), kd AS (SELECT a, max(d) AS reach FROM nb GROUP BY 1), de AS MATERIALIZED (SELECT nb.a, 1 / greatest(avg(greatest(kd.reach, nb.d)), 1e-10) AS density FROM nb JOIN kd ON kd.a = nb.b GROUP BY 1) SELECT nb.a AS session_key, round(avg(o.density) / max(s.density), 6) AS lof FROM nb JOIN de AS o ON o.a = nb.b JOIN de AS s ON s.a = nb.a GROUP BY 1")
+def _(spark, d):
+    """Neighbours among all sessions."""
+    return outliers.local_outlier_factor(_scaled(spark, d), list(_RS), "session_key").select("session_key", *r6("lof"))
+
+
+@step
+def density_sizes(spark, d):
+    return density.hdbscan_sizes(_scaled(spark, d), list(_RS), "session_key")
+
+
+@query("m4_hdbscan_selection")
+def _(spark, d):
+    out = density.size_selection(density_sizes(spark, d), list(_RS), "session_key")
+    return out.select("min_cluster_size", "min_samples", "n_clusters", "n_noise", *r6("noise_ratio", "coverage", "silhouette", "balanced_score"), "selected")
+
+
+@query("m4_hdbscan")
 def _(spark, d):
-    return outliers.local_outlier_factor(_session_matrix(spark, d).select("session_key", *_RS), list(_RS), "session_key").select("session_key", "lof")
+    """Every session's density cluster of the selected size, -1 for noise."""
+    best = density.size_selection(density_sizes(spark, d), list(_RS), "session_key").filter("selected").select("min_cluster_size")  # one row
+    return density_sizes(spark, d).join(F.broadcast(best), "min_cluster_size").select("session_key", "min_cluster_size", "hdbscan", (F.col("hdbscan") == -1).alias("noise"))
 
 
 @query("m7_one_class_svm")

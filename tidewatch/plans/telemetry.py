@@ -256,7 +256,7 @@ def _(spark, d):
 
 @query("f16_priority_level", f"WITH {Q.RULES} SELECT session_key, CASE WHEN p <= 1 THEN 'very_high' WHEN p <= 5 THEN 'high' WHEN p <= 10 THEN 'elevated' WHEN p <= 25 THEN 'watch' ELSE 'normal' END AS level, CASE WHEN review_order <= 20 THEN 'top20' WHEN review_order <= 50 THEN 'top50' WHEN review_order <= 100 THEN 'top100' WHEN review_order <= 200 THEN 'top200' ELSE 'rest' END AS bucket FROM (SELECT *, 100.0 * review_order / count(*) OVER () AS p FROM rules)")
 def _(spark, d):
-    p = 100.0 * F.col("review_order") / F.count(F.lit(1)).over(Window.partitionBy())
+    p = 100.0 * F.col("review_order") / F.lit(max(ruled(spark, d).count(), 1))
     return ruled(spark, d).withColumn("_p", p).select("session_key", S.level(F.col("_p")).alias("level"), S.order_bucket(F.col("review_order")).alias("bucket"))
 
 
