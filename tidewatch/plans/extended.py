@@ -6,9 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
-from ..operators import density, learn, models, outliers, ranks, scan, state, synthetic, windows
+from ..operators import boosting, density, learn, models, outliers, ranks, scan, state, synthetic, windows
 from ..sources import telemetry as source
-from ..sources.steps import step
+from ..sources.steps import state_of, step
 from . import sql as Q
 from .telemetry import _RS, GRID_D, GRID_Q, ID, query, r6, read, ruled, scored, sessions, stated, with_z, zed
 
@@ -156,10 +156,49 @@ def _session_matrix(spark, d):
     return s.withColumn("y", (F.col("rule_score") >= F.lit(ranks.quantile_row(s, ["rule_score"], (0.9,))["rule_score"][0])).cast("int"))
 
 
+_TICK = ["run_id", "broad_no", "minute_idx"]
+_responses: dict[tuple, boosting.Response] = {}
+
+
+def _response(spark, d):
+    """Five folds by run and all five feature groups; ROUNDS trees of depth 3."""
+    key = (spark.sparkContext.applicationId, d, state_of(spark, d))
+    if key not in _responses:
+        _responses[key] = boosting.expected_response(stated(spark, d).filter("not all_zero"), _TICK, rounds=ROUNDS, depth=3, rate=0.3)
+    return _responses[key]
+
+
+#: Rounds of the expected response in the queries; the operator's own default is 100.
+ROUNDS = 8
+
+
 @query("r6_expected_response")
 def _(spark, d):
-    s = stated(spark, d).select("run_id", "broad_no", "minute_idx", "log_viewer", "log_chat", F.col("viewer_bin").cast("double").alias("viewer_bin"), F.hour("minute_ts").cast("double").alias("hour")).na.drop()
-    return learn.expected_response(s, "log_chat", ["log_viewer", "viewer_bin", "hour"], "run_id").select("run_id", "broad_no", "minute_idx", "expected", "deficit")
+    """Out-of-fold conditional medians of chat and unique chatters, the deficits as the expected family takes them."""
+    return boosting.deficits(_response(spark, d), _TICK)
+
+
+@query("r6_categories", f"WITH {Q.STATE}, c AS (SELECT coalesce(category_id::VARCHAR, 'UNKNOWN_CAT') AS category, count(*) AS n FROM state WHERE NOT all_zero GROUP BY 1), k AS (SELECT *, row_number() OVER (ORDER BY n DESC, category) <= 50 AS own FROM c) SELECT CASE WHEN own THEN category ELSE 'OTHER_CAT' END AS category, sum(n)::BIGINT AS n FROM k GROUP BY 1")
+def _(spark, d):
+    s = stated(spark, d).filter("not all_zero")
+    cat, _ = boosting.category_encoder(s, "category_id")
+    return s.groupBy(cat.alias("category")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("r7_model_fit")
+def _(spark, d):
+    """Held-out error of the expected response against that of the global median, for both targets."""
+    rows, out = _response(spark, d).rows, None
+    for i, t in enumerate(("log_chat", "log_unique")):
+        m = learn.fit_metrics(rows.select(F.col("targets")[i].alias(t), F.col("predicted")[i].alias("expected")).filter(F.col(t).isNotNull()), t).select(F.lit(t).alias("target"), *r6("mae", "pinball", "base_mae", "skill"))
+        out = m if out is None else out.unionByName(m)
+    return out
+
+
+@query("r8_expected_importance")
+def _(spark, d):
+    """Rise of the held-out error when a feature group is dealt anew inside its fold; the one-hot columns go together."""
+    return boosting.importance(_response(spark, d), _TICK, 1).select("target", "feature", *r6("importance_mae_increase", "importance_std"), "fold_count")
 
 
 @query("m5_isolation_forest")

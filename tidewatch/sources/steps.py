@@ -44,7 +44,7 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _state_of(spark: SparkSession, folder: str) -> tuple:
+def state_of(spark: SparkSession, folder: str) -> tuple:
     """Files of the folder's tables with sizes and times of change."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -59,7 +59,7 @@ def step(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession,
 
     @wraps(f)
     def read(spark: SparkSession, sf_dir: str) -> DataFrame:
-        key = (spark.sparkContext.applicationId, sf_dir, _state_of(spark, sf_dir), f.__name__)
+        key = (spark.sparkContext.applicationId, sf_dir, state_of(spark, sf_dir), f.__name__)
         if key not in _written:
             path = new_path(spark, f.__name__)
             df = f(spark, sf_dir)
