@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -16,11 +17,12 @@ _roots: set[str] = set()
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir, which driver and executors share. Where it is unset, a temporary folder for
-    a session in one process, the warehouse on a cluster."""
+    a session in one process; a cluster has no folder of its own to fall back on."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        local = spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")
-        found = f"file://{tempfile.mkdtemp(prefix='tidewatch-')}" if local else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        found = f"file://{tempfile.mkdtemp(prefix='tidewatch-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
