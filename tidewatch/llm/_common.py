@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import tempfile
-import uuid
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.steps import new_path, shared_dir  # noqa: F401  for the operators here
+from ..sources.steps import written as materialize
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: A group counts as hot when it holds more than 1 in HOT_PARTS of the rows, so there are at most HOT_PARTS hot groups.
 HOT_PARTS = 1024
@@ -20,40 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a temporary folder for a
-    session in one process, the warehouse on a cluster."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        local = spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local"
-        found = f"file://{tempfile.mkdtemp(prefix='tidewatch-')}" if local else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-_roots: set[str] = set()
-
-
-def new_path(spark: SparkSession, tag: str) -> str:
-    """A new folder below the application's own, which goes when the application ends."""
-    root = f"{shared_dir(spark)}/tidewatch/{spark.sparkContext.applicationId}"
-    if root not in _roots:
-        path = spark._jvm.org.apache.hadoop.fs.Path(root)
-        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-        fs.mkdirs(path)
-        fs.deleteOnExit(path)
-        _roots.add(root)
-    return f"{root}/{tag}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Writes a step to the shared folder and reads it back: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = new_path(spark, tag)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
