@@ -27,8 +27,8 @@ WINDOW, WIDTHS, FILTERS, EMBED = 256, (2, 3, 4), 16, 8
 STRIDE = WINDOW - max(WIDTHS) + 1
 #: Training takes about this many labelled rows, in equal parts per language, and WINDOWS windows of each.
 SAMPLE_ROWS, WINDOWS = 2400, 3
-#: Languages learned at most, those with most labelled rows: a bound of the fit, as is SAMPLE_ROWS.
-LANGUAGES = 1000
+#: Training rows of a language at least: with more languages than SAMPLE_ROWS / LEAST_ROWS the sample grows with them.
+LEAST_ROWS = 4
 HELD_OUT = 2
 
 
@@ -163,15 +163,15 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """The trained network, pickled; None without labelled rows. Reads the text and label of rows not held out."""
     rows = docs.filter((fold(id_col) != HELD_OUT) & F.col(lang_col).isNotNull() & has_letter(text_col))
     per = rows.groupBy(F.col(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("n"))
-    counts = {r["lang"]: r["n"] for r in per.orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
+    counts = {r["lang"]: r["n"] for r in per.collect()}  # a row per language, as the network's last layer has
     if not counts:
         return None
-    langs, scale = sorted(counts), 1_000_000
-    share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(scale, int(scale * sample_rows / len(counts) / n) + 1))])
-    chosen = rows.filter(F.pmod(F.xxhash64(F.col(id_col), F.lit(11)), F.lit(scale)) < share[F.col(lang_col)])
+    langs, scale, each = sorted(counts), 1_000_000, max(LEAST_ROWS, sample_rows / len(counts))
+    share = docs.sparkSession.createDataFrame([(lang, min(scale, int(scale * each / n) + 1)) for lang, n in counts.items()], "_lang string, _share long")
+    chosen = rows.join(F.broadcast(share), F.col(lang_col) == F.col("_lang")).filter(F.pmod(F.xxhash64(F.col(id_col), F.lit(11)), F.lit(scale)) < F.col("_share"))
     # windows at places drawn by hash over the whole text, at most WINDOW characters each
     cut = F.array(*[F.substr(F.col(text_col), (F.pmod(F.xxhash64(F.col(id_col), F.lit(k)), F.greatest(F.length(text_col) - WINDOW + 1, F.lit(1))) + 1).cast("int"), F.lit(WINDOW)) for k in range(WINDOWS)])
-    sample = chosen.select(F.col(lang_col).alias("lang"), F.xxhash64(id_col).alias("h"), F.array_distinct(cut).alias("cut")).orderBy("h", "lang").limit(3 * sample_rows).collect()
+    sample = chosen.select(F.col(lang_col).alias("lang"), F.xxhash64(id_col).alias("h"), F.array_distinct(cut).alias("cut")).orderBy("h", "lang").limit(3 * max(sample_rows, LEAST_ROWS * len(langs))).collect()
     r, x, y = np.random.Generator(np.random.PCG64(2)), [], []
     for row in sorted(sample, key=lambda s: (s["h"], s["lang"], s["cut"])):
         for k, text in enumerate(row["cut"]):
