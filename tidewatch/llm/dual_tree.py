@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import materialize, shuffle_parts, small_batches
+from ._common import BROADCAST_KEYS, materialize, shuffle_parts, small_batches
 
 SHARD_ROWS, BLOCK_ROWS = 4096, 4096
 #: Vectors in the sample that gives starting scores, and how many of them are pivots at most.
@@ -299,7 +299,7 @@ def _deal(batches: Iterator[pa.RecordBatch], sample: Sample, k: int) -> Iterator
 
 
 def _open(batches: Iterator[pa.RecordBatch], sample: Sample, radius: dict[int, float], shards: dict[int, list[int]]) -> Iterator[pa.RecordBatch]:
-    """(id, vec, start) of queries -> with the shards that bounds leave open."""
+    """(id, vec, start, pivot) of queries -> with the shards that bounds leave open."""
     for batch in batches:
         x, _ = matrix(batch.column(1))
         x, giant = scaled(x)
@@ -313,7 +313,7 @@ def _open(batches: Iterator[pa.RecordBatch], sample: Sample, radius: dict[int, f
                 left = giant | ~(limit(x @ p[pivot], xn, 0, sample.norm[pivot], far) < start)
             for i in np.flatnonzero(left).tolist():
                 out[i] += shards[pivot]
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.list_(pa.int32()))], ["id", "vec", "start", "shards"])
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.list_(pa.int32()))], ["id", "vec", "start", "pivot", "shards"])
 
 
 def _groups(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
@@ -344,6 +344,11 @@ def _groups(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatc
         yield solve()
 
 
+def _small(table: DataFrame) -> DataFrame:
+    """A written table with a row per shard, or per shard and pivot: broadcast up to BROADCAST_KEYS rows."""
+    return F.broadcast(table) if table.count() <= BROADCAST_KEYS else table
+
+
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k best of the other rows."""
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vec"), F.coalesce(is_query, F.lit(False)).alias("q")).filter("id is not null and vec is not null")
@@ -358,17 +363,26 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
     for r in stats:
         shards[r["pivot"]] = list(range(n, n + -(-r["n"] // shard_rows)))
         radius[r["pivot"]], n = r["far"], n + len(shards[r["pivot"]])
-    blocks = max(1, -(-sum(r["asked"] for r in stats) // block_rows))
     # a pivot's rows go to its shards in turn, whatever ids they have
     first = F.create_map(*[F.lit(x) for p, s in shards.items() for x in (p, s[0])])[F.col("pivot")]
     several = F.create_map(*[F.lit(x) for p, s in shards.items() for x in (p, len(s))])[F.col("pivot")]
     shard = (first + F.pmod(F.monotonically_increasing_id(), several)).cast("int")
-    cell = lambda block: (F.col("shard").cast("long") * blocks + block).alias("cell")
-    points = dealt.select("id", "vec", shard.alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")).select(cell(F.col("block")), "id", "vec", F.lit(None).cast("long").alias("start"))
-    asked = small_batches(dealt.filter("q").select("id", "vec", "start")).mapInArrow(partial(_open, sample=sample, radius=radius, shards=shards), f"id long, vec {kind}, start long, shards array<int>")
-    queries = asked.select("id", "vec", "start", F.explode("shards").alias("shard")).select(cell(F.pmod(F.xxhash64("id"), F.lit(blocks))), "id", "vec", "start")
-    parts = min(n * blocks, shuffle_parts(vectors.sparkSession))
-    groups = points.unionByName(queries).repartitionById(parts, F.pmod("cell", F.lit(parts)).cast("int")).sortWithinPartitions("cell")
+    opened = small_batches(dealt.filter("q").select("id", "vec", "start", "pivot")).mapInArrow(partial(_open, sample=sample, radius=radius, shards=shards), f"id long, vec {kind}, start long, pivot int, shards array<int>")
+    asked = materialize(opened, "top-asked").withColumn("shard", F.explode("shards")).drop("shards")
+    # a shard's askers go to blocks of block_rows in the order of their pivots, and the shard to as many blocks
+    near = asked.groupBy("shard", "pivot").agg(F.count(F.lit(1)).alias("n"))
+    order = Window.partitionBy("shard").orderBy("pivot")  # PIVOTS rows at most
+    near = near.withColumns({"before": F.sum("n").over(order) - F.col("n"), "every": F.sum("n").over(Window.partitionBy("shard"))})
+    near = materialize(near.withColumn("blocks", F.ceil(F.col("every") / block_rows).cast("long")), "top-blocks")
+    blocks = near.select("shard", "blocks").distinct()
+    cell = lambda block: (F.col("shard").cast("long") * (1 << 24) + block).alias("cell")
+    copies = dealt.select("id", "vec", shard.alias("shard")).join(_small(blocks), "shard").select("id", "vec", "shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
+    points = copies.select(cell(F.col("block")), "id", "vec", F.lit(None).cast("long").alias("start"))
+    at = F.floor((F.col("before") + F.pmod(F.xxhash64("id"), F.col("n"))) * F.col("blocks") / F.col("every")).cast("long")
+    queries = asked.join(_small(near), ["shard", "pivot"]).select(cell(at), "id", "vec", "start")
+    parts = max(1, min(blocks.agg(F.sum("blocks")).first()[0] or 1, shuffle_parts(vectors.sparkSession)))
+    part = F.pmod(F.shiftright("cell", 24) + F.col("cell").bitwiseAND((1 << 24) - 1), F.lit(parts)).cast("int")
+    groups = points.unionByName(queries).repartitionById(parts, part).sortWithinPartitions("cell")
     found = small_batches(groups).mapInArrow(partial(_groups, k=k), "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(f"rank <= {k}").select("query_id", "rank", "vec_id", "score")
