@@ -92,4 +92,5 @@ def test_no_label_is_left_out(spark):
     rows = [(i, f"{chr(97 + i % 26)}{chr(97 + i % 26)} " * 20, f"l{i % 26:02}", "s", 1) for i in range(780)]
     docs = spark.createDataFrame(rows, DOCS)
     assert len(_loaded(train(docs, sample_rows=20))[0].langs) == 26
-    assert len({r["lang_pred"] for r in predict_languages(docs, sample_rows=20).collect()}) > 15
+    got = {r["lang_pred"] for r in predict_languages(docs, sample_rows=20).collect()}
+    assert got <= {f"l{i:02}" for i in range(26)} and len({r["lang_pred"] for r in predict_languages(docs, sample_rows=2400).collect()}) > 20, got
