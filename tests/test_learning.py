@@ -137,3 +137,19 @@ def test_sources(spark, tmp_path):
     t0 = dt.datetime(2026, 1, 1)
     raw = spark.createDataFrame([(" 1.0", "2", str(t0), "5", "-3"), ("1", "2.0", str(t0), "5", "-3"), ("", "2", str(t0), "5", "1")], "run_id string, broad_no string, minute_ts string, viewer_count_last string, chat_count string")
     assert [(r["run_id"], r["broad_no"], r["minute_ts"], r["viewer_count_last"], r["chat_count"], r["session_key"]) for r in telemetry.normalise_minute(raw).collect()] == [(1, 2, t0, 5.0, None, "1_2")]
+
+
+def test_mixture_scores(spark, points):
+    """Densities and responsibilities equal numpy's, and the least dense row ranks first."""
+    x = points.filter("k like 'k%'").select("k", *COLS)
+    _, fitted = outliers.mixtures(x, COLS, (2,))
+    m = fitted[2]
+    got = {r["k"]: r for r in outliers.mixture_scores(x, COLS, "k", m).collect()}
+    gauss = [(w, np.array(g.mean.toArray()), np.array(g.cov.toArray())) for w, g in zip(m.weights, m.gaussiansDF.collect(), strict=True)]
+    for r in x.collect():
+        v = np.array([r["a"], r["b"]])
+        p = [w * np.exp(-0.5 * (v - mu) @ np.linalg.inv(c) @ (v - mu)) / (2 * np.pi * np.sqrt(np.linalg.det(c))) for w, mu, c in gauss]
+        assert abs(got[r["k"]]["log_density"] - np.log(sum(p))) < 1e-6 and abs(got[r["k"]]["responsibility"] - max(p) / sum(p)) < 1e-6
+        assert got[r["k"]]["component"] == int(np.argmax(p))
+    ranks_ = sorted(got.values(), key=lambda r: r["low_density_rank"])
+    assert ranks_[-1]["log_density"] == min(r["log_density"] for r in got.values()) and ranks_[-1]["low_density_rank"] == 1.0

@@ -84,3 +84,28 @@ def mixtures(df: DataFrame, columns: list[str], ks: tuple[int, ...] = (2, 3, 4,
         rows.append((k, ll, float(-2 * ll + free * np.log(n)), float(-2 * ll + 2 * free)))
     best = min(rows, key=lambda r: (r[2], r[0]))[0]
     return df.sparkSession.createDataFrame([(*r, r[0] == best) for r in rows], "k int, log_likelihood double, bic double, aic double, selected boolean"), fitted
+
+
+def mixture_scores(df: DataFrame, columns: list[str], key: str, model) -> DataFrame:
+    """Of a fitted mixture, for every row: component (the likeliest), responsibility (its probability), log_density, and
+    low_density_rank: the percentile rank of the density turned round, 1 for the least dense row."""
+    parts = [(float(w), np.array(g.mean.toArray()), np.array(g.cov.toArray())) for w, g in zip(model.weights, model.gaussiansDF.collect(), strict=True)]  # a row per component
+    whiten = []
+    for w, mean, cov in parts:
+        values, vectors = np.linalg.eigh(cov)
+        some = values > 1e-9 * max(float(values.max()), 1e-300)  # a flat direction has no density of its own
+        whiten.append((np.log(max(w, 1e-300)) - 0.5 * (np.log(values[some]).sum() + some.sum() * np.log(2 * np.pi)), mean, vectors[:, some] / np.sqrt(values[some])))
+
+    def each(x: np.ndarray) -> np.ndarray:
+        return np.stack([c - 0.5 * (((x - mean) @ turn) ** 2).sum(axis=1) for c, mean, turn in whiten], axis=1)
+
+    def density(x: np.ndarray, _: list) -> np.ndarray:
+        z = each(x)
+        most = z.max(axis=1)
+        return most + np.log(np.exp(z - most[:, None]).sum(axis=1))
+
+    out = scored_by(df, columns, key, "component", lambda x, _: each(x).argmax(axis=1).astype(float))
+    out = scored_by(out, columns, key, "log_density", density)
+    out = scored_by(out, columns, key, "responsibility", lambda x, k: np.exp(each(x).max(axis=1) - density(x, k)))
+    out = written(out.withColumns({"component": F.col("component").cast("int"), "_low": F.round(-F.col("log_density"), 9)}), "mixture")
+    return pct_ranks(out, {"low_density_rank": "_low"}).drop("_low")

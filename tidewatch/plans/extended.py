@@ -237,6 +237,15 @@ def _(spark, d):
     return outliers.mixtures(_session_matrix(spark, d), list(_RS), (2, 3))[0]
 
 
+@query("m3_low_density")
+def _(spark, d):
+    """Every session under the mixture that BIC selects: component, its probability, density and low-density rank."""
+    x = _session_matrix(spark, d).select("session_key", *_RS)
+    table, fitted = outliers.mixtures(x, list(_RS), (2, 3))
+    best = fitted[table.filter("selected").first()["k"]]
+    return outliers.mixture_scores(x, list(_RS), "session_key", best).select("session_key", "component", *r6("responsibility", "log_density", "low_density_rank"))
+
+
 def _scaled(spark, d):
     """The session matrix in nine digits, so that both engines see the same ties."""
     return _session_matrix(spark, d).select("session_key", *[F.round(c, 9).alias(c) for c in _RS])
