@@ -251,14 +251,15 @@ def test_stream_converges_to_batch(spark, events):
     df, path, tmp = events
     stream = M.chat_ticks(M.event_stream(spark, path, df.schema))
     table = M.UpsertTable(spark, f"{tmp}/table", stream.schema, ["broad_no", "minute_ts"])
-    M.start(stream, table.apply, f"{tmp}/checkpoint").awaitTermination(120)
+    run = M.start(stream, table.apply, f"{tmp}/checkpoint")
+    run.awaitTermination(120)
     rows = lambda t: sorted(map(tuple, t.read().select("broad_no", "minute_ts", "chat_count", "users").collect()))
     assert rows(table) == batch_counts(df)
     again = M.UpsertTable(spark, f"{tmp}/table", stream.schema, ["broad_no", "minute_ts"])  # after a restart
     assert rows(again) == rows(table)
     before = rows(again)
     later = spark.createDataFrame([(1, T0.replace(tzinfo=dt.UTC), 7, 1), (1, T0.replace(tzinfo=dt.UTC), 9, 2)], stream.schema)
-    again.apply(later, 0)  # a batch that ran already
+    again.apply(later, 0, str(run.id))  # a batch that ran already
     assert rows(again) == before
     again.apply(later, 99)  # of two rows of a key, the last in order stays
     assert [r for r in rows(again) if r not in before] == [(1, T0, 9, 2)] and len(rows(again)) in (len(before), len(before) + 1)

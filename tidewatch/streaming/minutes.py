@@ -62,26 +62,38 @@ def activity_sessions(stream: DataFrame, gap: str = "90 minutes", late: str = "2
 class UpsertTable:
     """A keyed table in a shared folder, parted by a column's value (the day of a time, if none is given).
 
-    A batch rewrites only the parts that it touches, under its own number, and is committed by its entry in the log,
-    which is written last. A batch that is run again, also after a restart, changes nothing; one that was lost before
-    its entry is written anew. Of rows with equal keys in a batch, the last in ``order`` stays.
+    A batch rewrites only the parts that it touches, under a version of its own, and is committed by its entry in the
+    log, which is written last. The log knows a batch by its stream and number, so that a stream with a new checkpoint,
+    or a second one, starts anew at 0. A batch that is run again, also after a restart, changes nothing; one that was
+    lost before its entry is written anew; a number below the stream's last that the log doesn't know is an error, as
+    its rows would overwrite later ones. Of rows with equal keys in a batch, the last in ``order`` stays. One batch is
+    applied at a time.
     """
 
+    LOG = "part string, version long, stream string, batch long"
+
     def __init__(self, spark: SparkSession, root: str, schema: T.StructType, keys: list[str], part: Column | None = None, order: list[Column] | None = None):
         self.spark, self.root, self.schema, self.keys = spark, root.rstrip("/"), schema, keys
         self.part = F.date_format(keys[-1], "yyyy-MM-dd") if part is None else part
         self.order = order or [F.desc(c) for c in schema.names if c not in keys]
 
+    def _folder(self, name: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _entries(self) -> list[str]:
+        """The log's whole entries."""
+        path, fs = self._folder("log")
+        found = [s.getPath() for s in fs.listStatus(path)] if fs.exists(path) else []
+        return [p.toString() for p in found if fs.exists(p.suffix("/_SUCCESS"))]
+
+    def _log(self) -> DataFrame:
+        done = self._entries()
+        return self.spark.read.schema(self.LOG).parquet(*done) if done else self.spark.createDataFrame([], self.LOG)
+
     def _versions(self) -> dict[str, int]:
         """The committed version of each part."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/log")
-        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        done = [s.getPath() for s in fs.listStatus(path)] if fs.exists(path) else []
-        done = [p.toString() for p in done if fs.exists(p.suffix("/_SUCCESS"))]
-        if not done:
-            return {}
-        log = self.spark.read.schema("part string, version long").parquet(*done)
-        return {r["part"]: r["version"] for r in log.groupBy("part").agg(F.max("version").alias("version")).collect()}
+        return {r["part"]: r["version"] for r in self._log().groupBy("part").agg(F.max("version").alias("version")).collect()}
 
     def _rows(self, versions: dict[str, int]) -> DataFrame:
         paths = [f"{self.root}/data/version={v}/_part={p}" for p, v in sorted(versions.items())]
@@ -90,20 +102,50 @@ class UpsertTable:
     def read(self) -> DataFrame:
         return self._rows(self._versions())
 
-    def apply(self, rows: DataFrame, batch: int) -> None:
-        versions = self._versions()
-        if batch <= max(versions.values(), default=-1):
+    def apply(self, rows: DataFrame, batch: int, stream: str | None = None) -> None:
+        """stream: who numbers the batches; the running query, if none is given."""
+        stream = stream or self.spark.sparkContext.getLocalProperty("sql.streaming.queryId") or "batches"
+        of = self._log().filter(F.col("stream") == stream).agg(F.max("batch").alias("last"), F.count_if(F.col("batch") == batch).alias("known")).first()
+        if of["known"]:
             return
+        if of["last"] is not None and batch < of["last"]:
+            raise ValueError(f"batch {batch} of {stream} is not in the log, which has batch {of['last']}")
         last = Window.partitionBy(*self.keys).orderBy(*self.order)
         new = rows.select(self.schema.names).na.drop(subset=self.keys).withColumn("_k", F.row_number().over(last)).filter("_k = 1").drop("_k")
         new = written(new.withColumn("_part", self.part), "upsert-batch")
         touched = [r["_part"] for r in new.select("_part").distinct().collect()]  # the days of one batch
         if not touched:
             return
+        versions = self._versions()
+        version = max(versions.values(), default=-1) + 1
         old = self._rows({p: versions[p] for p in touched if p in versions})
         out = upsert(old, new.drop("_part"), self.keys).withColumn("_part", self.part)
-        out.write.mode("overwrite").partitionBy("_part").parquet(f"{self.root}/data/version={batch}")
-        self.spark.createDataFrame([(p, batch) for p in touched], "part string, version long").coalesce(1).write.mode("overwrite").parquet(f"{self.root}/log/batch={batch}")
+        out.write.mode("overwrite").partitionBy("_part").parquet(f"{self.root}/data/version={version}")
+        self._note([(p, version, stream, batch) for p in touched], version)
+
+    def _note(self, rows: list[tuple], version: int, kind: str = "version") -> str:
+        path = f"{self.root}/log/{kind}={version}"
+        self.spark.createDataFrame(rows, self.LOG).coalesce(1).write.mode("overwrite").parquet(path)
+        return path
+
+    def compact(self) -> int:
+        """Deletes the parts that later versions replace, and joins the log's entries into one, which is written before
+        the others go; returns how many parts went. Readers that still hold an older version must be done."""
+        entries, versions = self._entries(), self._versions()
+        if not versions:
+            return 0
+        last = self._log().groupBy("stream").agg(F.max("batch").alias("batch")).collect()  # a row per stream
+        gone = [(r["part"], r["version"]) for r in self._log().select("part", "version").distinct().collect() if versions[r["part"]] != r["version"]]
+        some, top = next(iter(versions.items())), max(versions.values())
+        kept = self._note([(p, v, None, None) for p, v in versions.items()] + [(*some, r["stream"], r["batch"]) for r in last], top, "compacted")
+        for path in entries:
+            if path.rstrip("/").rsplit("/", 1)[-1] != kept.rsplit("/", 1)[-1]:
+                found, fs = self._folder(f"log/{path.rstrip('/').rsplit('/', 1)[-1]}")
+                fs.delete(found, True)
+        for p, v in gone:
+            found, fs = self._folder(f"data/version={v}/_part={p}")
+            fs.delete(found, True)
+        return len(gone)
 
 
 def append_batches(root: str) -> Callable[[DataFrame, int], None]:
