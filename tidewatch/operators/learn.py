@@ -31,14 +31,19 @@ def fold(df: DataFrame, key: str, folds: int, name: str = "fold") -> DataFrame:
     return df.withColumn(name, F.pmod(F.xxhash64(F.col(key), F.lit(42)), F.lit(folds)).cast("int"))
 
 
+def scored_by(fitted: DataFrame, columns: list[str], score: str) -> DataFrame:
+    """A fitted estimator's output as one score: the probability, else the margin squashed, else the prediction."""
+    margin = F.get(vector_to_array("rawPrediction"), F.lit(1)) if "rawPrediction" in fitted.columns else None
+    value = F.get(vector_to_array("probability"), F.lit(1)) if "probability" in fitted.columns else F.col("prediction") if margin is None else 1 / (1 + F.exp(-margin))
+    return fitted.select(*columns, value.alias(score))
+
+
 def out_of_fold(df: DataFrame, estimator: Estimator, folds: int, score: str) -> DataFrame:
     """Each row scored by a model that saw only other folds. df: features, fold, and the estimator's label."""
     out = None
     for k in range(folds):
         fitted = estimator.fit(df.filter(F.col("fold") != k)).transform(df.filter(F.col("fold") == k))
-        margin = F.get(vector_to_array("rawPrediction"), F.lit(1)) if "rawPrediction" in fitted.columns else None
-        value = F.get(vector_to_array("probability"), F.lit(1)) if "probability" in fitted.columns else F.col("prediction") if margin is None else 1 / (1 + F.exp(-margin))
-        part = fitted.select(*df.columns, value.alias(score))
+        part = scored_by(fitted, df.columns, score)
         out = part if out is None else out.unionByName(part)
     return out
 

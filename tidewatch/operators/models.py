@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.ml.clustering import KMeans
@@ -182,12 +183,12 @@ def selection_score(df: DataFrame, metrics: dict[str, bool], key: str) -> DataFr
     return out.withColumn("selected", F.row_number().over(Window.orderBy(F.desc_nulls_last("selection_score"), key)) == 1)
 
 
-def choose_k(df: DataFrame, columns: list[str], key: str, order: str, ks: tuple[int, ...] = (2, 3, 4, 5, 6, 7, 8), seeds: tuple[int, ...] = (42, 43, 44)) -> tuple[DataFrame, DataFrame]:
+def choose_k(df: DataFrame, columns: list[str], key: str, order: str, ks: tuple[int, ...] = (2, 3, 4, 5, 6, 7, 8), seeds: tuple[int, ...] = (42, 43, 44), labels: Callable = kmeans_labels) -> tuple[DataFrame, DataFrame]:
     """KMeans over several K, judged by silhouette, Calinski-Harabasz, Davies-Bouldin, size balance and separation:
     the table of candidates with one selected, and df with the labels of the selected K."""
     rows, labelled = [], {}
     for k in ks:
-        out = labelled[k] = kmeans_labels(df, columns, k, order, seeds)
+        out = labelled[k] = labels(df, columns, k, order, seeds)
         m = calinski_davies(out, "cluster", columns).first()
         rows.append((k, silhouette(out, "cluster", columns, key), m["calinski_harabasz"], m["davies_bouldin"], m["size_balance"], median_separation(out, "cluster", columns)))
     table = df.sparkSession.createDataFrame(rows, "k int, silhouette double, calinski_harabasz double, davies_bouldin double, size_balance double, separation double")

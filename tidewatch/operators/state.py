@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import arg_max, row_mean
 from ..sources.steps import written
-from .ranks import average_percentiles, pct_rank, pct_ranks, places, qcut, qcut_edges, quantiles
+from .ranks import average_percentiles, cut_or_nearest, pct_rank, pct_ranks, places, qcut, qcut_edges, quantiles
 from .windows import gap_minutes, interpolate, rolling, run_length, session_window
 
 SIGNALS = ("chat_deficit", "unique_deficit", "rolling_chat_deficit_5m", "rolling_unique_deficit_5m", "rolling_zero_rate_5m", "zero_run_len")
@@ -70,10 +70,11 @@ def mismatch_scores(state: DataFrame, signals: tuple[str, ...] = SIGNALS) -> Dat
 
 
 def injected_state(injected: DataFrame, real: DataFrame, gap_minutes: float, bins: int = 10) -> DataFrame:
-    """State columns of changed rows, anew from their counts; bins and medians are those of the real rows' state."""
+    """State columns of changed rows, anew from their counts; bins and medians are those of the real rows' state. An
+    audience beyond the real edges takes its session's bin before it, else the one after it."""
     model = real.filter("not all_zero")
     out = _logs(injected.select("run_id", "broad_no", "session_key", "minute_ts", "minute_idx", "viewer", "chat_count", "unique_chatters"), gap_minutes)
-    return _deficits(out.withColumn("viewer_bin", qcut(F.col("viewer"), qcut_edges(model, "viewer", bins))), model)
+    return _deficits(out.withColumn("viewer_bin", cut_or_nearest(F.col("viewer"), qcut_edges(model, "viewer", bins), session_window())), model)
 
 
 def injected_scores(state: DataFrame, real: DataFrame, signals: tuple[str, ...] = SIGNALS) -> DataFrame:

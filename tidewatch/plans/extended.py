@@ -6,11 +6,12 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
-from ..operators import boosting, density, learn, models, outliers, ranks, scan, state, synthetic, windows
+from ..operators import boosting, classify, clusters, compare, density, evidence, learn, models, outliers, ranks, scan, state, synthetic, windows
+from ..sources import sinks
 from ..sources import telemetry as source
-from ..sources.steps import state_of, step
+from ..sources.steps import new_path, state_of, step
 from . import sql as Q
-from .telemetry import _RS, GRID_D, GRID_Q, ID, query, r6, read, ruled, scored, sessions, stated, with_z, zed
+from .telemetry import _RS, GRID_D, GRID_Q, ID, marked, query, r6, read, ruled, scored, sessions, stated, with_z, zed
 
 _GRID = f"{Q.SCORES}, cut AS (SELECT unnest([0.90, 0.95, 0.97, 0.99])::DOUBLE AS q, unnest(quantile_cont(minute_mismatch_rank, [0.90, 0.95, 0.97, 0.99])) AS cutoff FROM scores), h AS (SELECT run_id, broad_no, q, minute_idx, lag(minute_idx) OVER (PARTITION BY run_id, broad_no, q ORDER BY minute_idx) AS p FROM scores JOIN cut ON minute_mismatch_rank >= cutoff), g AS (SELECT *, sum(CASE WHEN coalesce(minute_idx - p > 2, true) THEN 1 ELSE 0 END) OVER (PARTITION BY run_id, broad_no, q ORDER BY minute_idx) AS e FROM h), ep AS (SELECT run_id, broad_no, q, e, max(minute_idx) - min(minute_idx) + 1 AS duration FROM g GROUP BY ALL), d(d) AS (VALUES (1), (2), (3), (5), (10)), k AS (SELECT q, d.d FROM cut, d), epd AS (SELECT ep.*, d.d FROM ep, d WHERE duration >= d.d)"
 
@@ -325,3 +326,91 @@ def _(spark, d):
     p = [F.col(f"p_{c}") for c in ("zero_rate", "gap_med", "zrun_max", "nc", "nu")]
     s = ruled(spark, d).select(S.order_bucket(F.col("review_order")).alias("bucket"), S.row_std(p).alias("sd"), F.greatest(*p).alias("top"), S.row_count_at_least(p, 0.8).alias("k"))
     return s.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("sd"), 6).alias("spread"), F.round(F.avg("top"), 6).alias("top"), F.round(F.avg("k"), 6).alias("strong"))
+
+
+#: What minute clusters are fitted on.
+_MINUTE = ["log_viewer", "log_chat", "log_unique", "rolling_chat_deficit_5m", "rolling_zero_rate_5m", "zero_run_len"]
+_kept: dict[tuple, str] = {}
+
+
+def _minute_clusters(spark, d):
+    """K from 2 to 8 over all minute rows with one seed (fit's own default is three), kept in the shared folder."""
+    key = (spark.sparkContext.applicationId, d, state_of(spark, d))
+    if key not in _kept:
+        rows = zed(spark, d).withColumn("_key", F.concat_ws("-", *_TICK))
+        table, fitted = clusters.fit(rows, _MINUTE, "_key", "rolling_zero_rate_5m", seeds=(42,))
+        root = new_path(spark, "minute-clusters")
+        fitted.save(spark, f"{root}/clusters")
+        table.write.parquet(f"{root}/candidates")
+        _kept[key] = root
+    return _kept[key]
+
+
+@step
+def minute_labelled(spark, d):
+    """Minute rows with their fitted cluster, that cluster's mismatch rank, and the state it gives."""
+    kept = clusters.load(spark, f"{_minute_clusters(spark, d)}/clusters")
+    s = kept.apply(marked(spark, d).drop("minute_cluster", "cluster_mismatch_rank", "mismatch_state"), "minute_cluster")
+    return evidence.mark_mismatch(s, evidence.cluster_profiles(s))
+
+
+@query("m2_minute_k_selection")
+def _(spark, d):
+    """The candidates for K over all minute rows; the silhouette is the only figure of a sample."""
+    return spark.read.parquet(f"{_minute_clusters(spark, d)}/candidates").select("k", *r6("silhouette", "calinski_harabasz", "davies_bouldin", "size_balance", "separation", "selection_score"), "selected")
+
+
+@query("m2_minute_clusters")
+def _(spark, d):
+    return minute_labelled(spark, d).select(*_TICK, "minute_cluster", *r6("cluster_mismatch_rank"), "mismatch_state")
+
+
+@query("r21_fitted_profiles")
+def _(spark, d):
+    """Profiles, mismatch ranks and interpretations of the fitted minute clusters."""
+    return evidence.cluster_profiles(minute_labelled(spark, d).drop("cluster_mismatch_rank")).select("cluster_id", "n", *r6("share", "zero_rate", "rolling_zero_mean", *evidence.PROFILE, "cluster_mismatch_rank"), "interpretation")
+
+
+@query("r27_injected_clusters")
+def _(spark, d):
+    """Injected rows and the others of their sessions under the kept clusters: how many stay in their row's cluster."""
+    kept = clusters.load(spark, f"{_minute_clusters(spark, d)}/clusters")
+    flags = _injected(spark, d).select(*_TICK, "injection_type", "injected")
+    new = kept.apply(_injected_state(spark, d), "new_cluster").select(*_TICK, "new_cluster").join(flags, _TICK)
+    both = new.join(minute_labelled(spark, d).select(*_TICK, "minute_cluster"), _TICK)
+    return both.groupBy("injection_type", "injected").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("new_cluster") != F.col("minute_cluster")).alias("moved"))
+
+
+@step
+def grid_table(spark, d):
+    """Two families, two settings each, 3 folds, 2 repetitions (grid_search's own default: three families, 5 by 3)."""
+    return classify.grid_search(_session_matrix(spark, d), list(_RS), "y", "session_key", {"logistic": {"regParam": [0.01, 0.1]}, "tree": {"maxDepth": [2, 4]}}, 3, 2)
+
+
+@query("m10_grid_search")
+def _(spark, d):
+    return grid_table(spark, d)
+
+
+@query("x17_fold_summary")
+def _(spark, d):
+    """The grid's folds and repetitions by model and parameters, with the selected ones."""
+    out = classify.search_summary(grid_table(spark, d))
+    return out.select("model", "params", "folds", *r6(*[f"{m}_{s}" for m in classify.METRICS for s in ("mean", "std")]), "selected")
+
+
+@query("m10_calibrated_scores")
+def _(spark, d):
+    """The linear SVM's out-of-fold scores through isotonic maps that are fitted inside each fold's training rows."""
+    return classify.calibrated_scores(_session_matrix(spark, d), list(_RS), "y", "session_key", folds=3).select("session_key", "y", "model", "fold", *r6("raw", "score"))
+
+
+_EXPORTED = ("viewer", "log_viewer", "log_chat", "log_unique")
+
+
+@query("v_rebuild_difference", f"WITH {Q.STATE}, u AS (" + " UNION ALL ".join(f"SELECT 'changed' AS kind, '{c}' AS column_name, {c}::DOUBLE AS a, round({c}::DOUBLE, 3) AS b FROM state" for c in _EXPORTED) + ") SELECT kind, column_name, count(*) AS n FROM u WHERE NOT abs(a - b) <= 1e-9 * greatest(abs(a), abs(b)) GROUP BY ALL")
+def _(spark, d):
+    """Which columns of the exported minute table don't give the stored one back at a tolerance of 1e-9, and in how
+    many rows."""
+    stored = stated(spark, d).select(*_TICK, *_EXPORTED)
+    return compare.difference(stored, sinks.export(stored), _TICK).groupBy("kind", "column_name").agg(F.count(F.lit(1)).alias("n"))
