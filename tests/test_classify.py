@@ -113,3 +113,31 @@ def test_kept_clusters(spark, tmp_path):
         clusters.load(spark, root, 7)
     with pytest.raises(ValueError):
         clusters.load(spark, f"{root}-none")
+
+
+def test_consensus_and_hidden_scores_by_hand(spark):
+    from tidewatch.operators import review
+
+    r = random.Random(4)
+    names = ["rule", "d1", "d2", "low", "amb"]
+    data = [(i, *[None if c == "d2" and i == 7 else float(r.randrange(30)) for c in names], i % 9 == 0, i % 5 == 0 if i else None, r.random(), r.random(), r.random()) for i in range(100)]
+    df = spark.createDataFrame(data, "id int, " + ", ".join(f"{c} double" for c in names) + ", noise boolean, flagged boolean, zero_rate double, gap_med double, chat_mean double")
+
+    def pct(j):
+        v = [row[j] for row in data if row[j] is not None]
+        return {row[0]: None if row[j] is None else (sum(x < row[j] for x in v) + (sum(x == row[j] for x in v) + 1) / 2) / len(v) for row in data}
+
+    p = {c: pct(1 + j) for j, c in enumerate(names)}
+    mean = lambda i, cols: np.mean([p[c][i] for c in cols if p[c][i] is not None])
+    got = {x["id"]: x for x in review.model_consensus(df, ["rule", "d1", "d2"]).collect()}
+    want = np.array([mean(i, ["rule", "d1", "d2"]) for i in range(100)])
+    assert all(abs(got[i]["consensus"] - want[i]) < 1e-8 for i in range(100))
+    assert sum(x["review_group"] == "high_review" for x in got.values()) == 5 and sum(x["review_group"] == "medium_review" for x in got.values()) == 5
+    out = {x["id"]: x for x in review.fitted_candidates(df, "rule", ["d1", "d2"], ["low", "amb"], "noise", "flagged").collect()}
+    hidden = np.array([0.35 * p["rule"][i] + 0.35 * mean(i, ["d1", "d2"]) + 0.2 * mean(i, ["low", "amb"]) + 0.1 * (i % 9 == 0) for i in range(100)])
+    cut, zero = np.quantile(hidden, 0.9), np.quantile([row[8] for row in data], 0.9)
+    for i, x in out.items():
+        assert abs(x["hidden"] - hidden[i]) < 1e-8
+        on = i % 5 == 0 and i > 0
+        assert x["discovery_group"] == {(True, True): "confirmed_suspicious", (False, True): "hidden_candidate", (True, False): "kmeans_only_candidate", (False, False): "normal_low_priority"}[on, hidden[i] >= cut]
+        assert ("very_high_zero_rate" in x["codes"]) == (data[i][8] >= zero) and ("hdbscan_noise" in x["codes"]) == (i % 9 == 0) and x["codes"]

@@ -153,12 +153,13 @@ def permutation_importance(df: DataFrame, columns: list[str], label: str, key: s
     return df.sparkSession.createDataFrame([(n, float(np.mean(v)), float(np.std(v))) for n, v in rows.items()], "feature string, drop_mean double, drop_std double")
 
 
-def pca_error(df: DataFrame, columns: list[str], k: int, name: str = "pca_error") -> DataFrame:
-    """Squared distance from the plane of the first k components; columns are centred first."""
-    mean = df.agg(*[F.avg(c).alias(f"_a_{c}") for c in columns])
-    c = df.join(F.broadcast(mean)).select(*df.columns, *[(F.col(x) - F.col(f"_a_{x}")).alias(f"_c_{x}") for x in columns])
-    x = VectorAssembler(inputCols=[f"_c_{y}" for y in columns], outputCol="_v").transform(c)
-    m = PCA(k=k, inputCol="_v", outputCol="_p").fit(x)
+def pca_error(df: DataFrame, columns: list[str], k: int, name: str = "pca_error", fit_on: DataFrame | None = None) -> DataFrame:
+    """Squared distance from the plane of the first k components of fit_on (df, if none is given); columns are centred
+    by its means first."""
+    base = df if fit_on is None else fit_on
+    mean = base.agg(*[F.avg(c).alias(f"_a_{c}") for c in columns])
+    centred = lambda t: VectorAssembler(inputCols=[f"_c_{y}" for y in columns], outputCol="_v").transform(t.join(F.broadcast(mean)).select(*t.columns, *[(F.col(x) - F.col(f"_a_{x}")).alias(f"_c_{x}") for x in columns]))
+    m, x = PCA(k=k, inputCol="_v", outputCol="_p").fit(centred(base)), centred(df)
     total = sum((F.col(f"_c_{y}") * F.col(f"_c_{y}") for y in columns), F.lit(0.0))
     kept = F.aggregate(vector_to_array("_p"), F.lit(0.0), lambda a, z: a + z * z)
     return m.transform(x).select(*df.columns, F.greatest(total - kept, F.lit(0.0)).alias(name))
@@ -195,9 +196,10 @@ def _score(frames: Iterator[pd.DataFrame], trees: list, columns: list[str], size
         yield pdf.assign(**{name: 2.0 ** (-out / len(trees) / max(_path(size), 1e-9))})
 
 
-def isolation_forest(df: DataFrame, columns: list[str], key: str, name: str = "iforest") -> DataFrame:
-    """Isolation-forest score of every row; the trees grow on a bounded sample drawn by hash of the key."""
-    sample = df.orderBy(F.xxhash64(F.col(key)), key).limit(FOREST_SAMPLE).select(columns).toPandas().to_numpy(float)
+def isolation_forest(df: DataFrame, columns: list[str], key: str, name: str = "iforest", fit_on: DataFrame | None = None) -> DataFrame:
+    """Isolation-forest score of every row; the trees grow on a bounded sample of fit_on (df, if none is given) drawn by
+    hash of the key."""
+    sample = (df if fit_on is None else fit_on).orderBy(F.xxhash64(F.col(key)), key).limit(FOREST_SAMPLE).select(columns).toPandas().to_numpy(float)
     rng = np.random.Generator(np.random.PCG64(42))
     size = min(TREE_ROWS, len(sample))
     trees = [_grow(sample[rng.choice(len(sample), size, replace=False)], rng, int(np.ceil(np.log2(max(2, size))))) for _ in range(TREES)] if size else []

@@ -44,10 +44,10 @@ def scored_by(df: DataFrame, columns: list[str], key: str, name: str, score: Cal
     return df.mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in df.dtypes) + f", {name} double")
 
 
-def one_class_svm(df: DataFrame, columns: list[str], key: str, name: str = "ocsvm") -> DataFrame:
+def one_class_svm(df: DataFrame, columns: list[str], key: str, name: str = "ocsvm", fit_on: DataFrame | None = None) -> DataFrame:
     """How far a row lies outside the one-class SVM of an RBF kernel, which random cosine features stand for; the
-    width comes from the sample's variance."""
-    ref, _ = reference(df, columns, key)
+    width comes from the variance of the sample, which is drawn from fit_on (df, if none is given)."""
+    ref, _ = reference(df if fit_on is None else fit_on, columns, key)
     if not len(ref):
         return df.withColumn(name, F.lit(None).cast("double"))
     r = np.random.Generator(np.random.PCG64(42))

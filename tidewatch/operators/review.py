@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import clip, order_bucket, row_count_at_least, row_mean, row_median, row_std, row_trimmed_mean
 from ..sources.steps import written
-from .ranks import group_pct_ranks, places, quantile_row
+from .ranks import group_pct_ranks, pct_ranks, places, quantile_row
 
 
 def strength(rank: Column, n: Column) -> Column:
@@ -125,6 +125,46 @@ def hidden_candidates(df: DataFrame, weights: dict[str, float], codes: dict[str,
     return out.withColumn("discovery_group", group).withColumn("codes", F.concat_ws("|", *[F.when(F.col(c) >= 0.9, n) for n, c in codes.items()]))
 
 
+def model_consensus(df: DataFrame, scores: list[str]) -> DataFrame:
+    """Adds consensus, the mean of the scores' percentile ranks (null ones left out), and review_group: high_review from
+    its 95 % quantile on, medium_review from the 90 % quantile on."""
+    out = pct_ranks(df, {f"_p_{c}": c for c in scores}, 9)
+    out = out.withColumn("consensus", F.round(row_mean([F.col(f"_p_{c}") for c in scores]), 9)).drop(*[f"_p_{c}" for c in scores])
+    q90, q95 = quantile_row(out, ["consensus"], (0.9, 0.95))["consensus"]
+    return out.withColumn("review_group", F.when(F.col("consensus") >= F.lit(q95), "high_review").when(F.col("consensus") >= F.lit(q90), "medium_review").otherwise("low_priority"))
+
+
+#: Weights of the hidden score's parts: fixed values.
+HIDDEN = {"rule_pct": 0.35, "normal_anomaly_pct": 0.35, "density_anomaly_pct": 0.2, "noise": 0.1}
+
+
+def fitted_candidates(df: DataFrame, rule: str, detectors: list[str], density: list[str], noise: str, flagged: str) -> DataFrame:
+    """Adds the hidden score of fitted models, the discovery group, the priority and the codes.
+
+    The score weighs the rule's percentile rank, the mean rank of the detectors fitted on normal rows, the mean rank of
+    the density scores, and noise (boolean). Groups hold its best tenth against flagged (boolean, the suspicious
+    cluster); a null flag counts as not flagged. Codes: ranks from 0.9 on, noise, and zero_rate, gap_med and chat_mean
+    beyond their own 90 % (10 %) quantile.
+    """
+    out = pct_ranks(df, {"rule_pct": rule} | {f"_p_{c}": c for c in [*detectors, *density]}, 9)
+    mean = lambda cols: F.round(row_mean([F.col(f"_p_{c}") for c in cols]), 9)
+    out = out.withColumns({"normal_anomaly_pct": mean(detectors), "density_anomaly_pct": mean(density)}).drop(*[f"_p_{c}" for c in [*detectors, *density]])
+    is_noise, on = F.coalesce(F.col(noise), F.lit(False)), F.coalesce(F.col(flagged), F.lit(False))
+    parts = [F.lit(w) * (is_noise.cast("double") if c == "noise" else F.coalesce(F.col(c), F.lit(0.0))) for c, w in HIDDEN.items()]
+    out = written(out.withColumn("hidden", F.round(sum(parts[1:], parts[0]), 9)), "hidden-scores")
+    q90, q95 = quantile_row(out, ["hidden"], (0.9, 0.95))["hidden"]
+    q = quantile_row(out, ["zero_rate", "gap_med", "chat_mean"], (0.1, 0.9))
+    high = F.col("hidden") >= F.lit(q90)
+    group = F.when(on & high, "confirmed_suspicious").when(high, "hidden_candidate").when(on, "kmeans_only_candidate").otherwise("normal_low_priority")
+    codes = {
+        "high_rule_mismatch": F.col("rule_pct") >= 0.9, "normal_manifold_outlier": F.col("normal_anomaly_pct") >= 0.9, "low_density_or_ambiguous_cluster": F.col("density_anomaly_pct") >= 0.9, "hdbscan_noise": is_noise,
+        "very_high_zero_rate": F.col("zero_rate") >= F.lit(q["zero_rate"][1]), "very_high_gap": F.col("gap_med") >= F.lit(q["gap_med"][1]), "very_low_chat": F.col("chat_mean") <= F.lit(q["chat_mean"][0]),
+    }
+    text = F.concat_ws("|", *[F.when(test, name) for name, test in codes.items()])
+    priority = F.when(F.col("hidden") >= F.lit(q95), "high").when(high, "medium").otherwise("low")
+    return out.withColumns({"discovery_group": group, "priority": priority, "codes": F.when(text == "", "none").otherwise(text)})
+
+
 def flagged_precision(flagged: DataFrame, order: DataFrame) -> DataFrame:
     """Of as many first sessions as are flagged, how many are flagged."""
     n = flagged.count()

@@ -6,12 +6,12 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
-from ..operators import boosting, classify, clusters, compare, density, evidence, learn, models, outliers, ranks, scan, state, synthetic, windows
+from ..operators import boosting, classify, clusters, compare, density, evidence, learn, models, outliers, ranks, review, scan, state, synthetic, windows
 from ..sources import sinks
 from ..sources import telemetry as source
 from ..sources.steps import new_path, state_of, step
 from . import sql as Q
-from .telemetry import _RS, GRID_D, GRID_Q, ID, marked, query, r6, read, ruled, scored, sessions, stated, with_z, zed
+from .telemetry import _RS, GRID_D, GRID_Q, ID, QUERIES, marked, query, r6, read, ruled, scored, sessions, stated, with_z, zed
 
 _GRID = f"{Q.SCORES}, cut AS (SELECT unnest([0.90, 0.95, 0.97, 0.99])::DOUBLE AS q, unnest(quantile_cont(minute_mismatch_rank, [0.90, 0.95, 0.97, 0.99])) AS cutoff FROM scores), h AS (SELECT run_id, broad_no, q, minute_idx, lag(minute_idx) OVER (PARTITION BY run_id, broad_no, q ORDER BY minute_idx) AS p FROM scores JOIN cut ON minute_mismatch_rank >= cutoff), g AS (SELECT *, sum(CASE WHEN coalesce(minute_idx - p > 2, true) THEN 1 ELSE 0 END) OVER (PARTITION BY run_id, broad_no, q ORDER BY minute_idx) AS e FROM h), ep AS (SELECT run_id, broad_no, q, e, max(minute_idx) - min(minute_idx) + 1 AS duration FROM g GROUP BY ALL), d(d) AS (VALUES (1), (2), (3), (5), (10)), k AS (SELECT q, d.d FROM cut, d), epd AS (SELECT ep.*, d.d FROM ep, d WHERE duration >= d.d)"
 
@@ -414,3 +414,60 @@ def _(spark, d):
     many rows."""
     stored = stated(spark, d).select(*_TICK, *_EXPORTED)
     return compare.difference(stored, sinks.export(stored), _TICK).groupBy("kind", "column_name").agg(F.count(F.lit(1)).alias("n"))
+
+
+_DETECTORS, _DENSITY = ["iforest", "lof", "ocsvm", "pca_error"], ["low_density_rank", "ambiguity"]
+
+
+@step
+def fitted_scores(spark, d):
+    """Every session with the scores of the fitted models. Forest, one-class SVM and PCA are fitted on the normal seed
+    (at most median silence, gap and silent run, at least median chat); the outlier factor takes its neighbours among
+    all sessions. flagged: the more silent of two KMeans clusters."""
+    key, cols = "session_key", list(_RS)
+    x = _session_matrix(spark, d).select(key, *cols)
+    s = ruled(spark, d)
+    mid = {c: F.lit(q[0]) for c, q in ranks.quantile_row(s, ["zero_rate", "gap_med", "zrun_max", "chat_mean"], (0.5,)).items()}
+    seed = s.filter((F.col("zero_rate") <= mid["zero_rate"]) & (F.col("gap_med") <= mid["gap_med"]) & (F.col("zrun_max") <= mid["zrun_max"]) & (F.col("chat_mean") >= mid["chat_mean"])).select(key)
+    normal = x.join(seed, key, "left_semi")
+    table, fitted = outliers.mixtures(x, cols, (2, 3))
+    mixed = outliers.mixture_scores(x, cols, key, fitted[table.filter("selected").first()["k"]])
+    parts = [
+        learn.isolation_forest(x, cols, key, "iforest", normal).select(key, "iforest"),
+        outliers.local_outlier_factor(_scaled(spark, d), cols, key).select(key, "lof"),
+        outliers.one_class_svm(x, cols, key, "ocsvm", normal).select(key, "ocsvm"),
+        learn.pca_error(x, cols, 2, "pca_error", normal).select(key, "pca_error"),
+        mixed.select(key, "low_density_rank", (1 - F.col("responsibility")).alias("ambiguity")),
+        QUERIES["m4_hdbscan"](spark, d).select(key, "noise"),
+        models.kmeans_labels(x, cols, 2, "zero_rate", (42,)).select(key, (F.col("cluster") == 1).alias("flagged")),
+    ]
+    y = learn.supervised(_session_matrix(spark, d), cols, "y", key, models=("weighted_logistic", "boosted"))
+    parts.append(y.groupBy(key).agg(*[F.max(F.when(F.col("model") == m, F.col("score"))).alias(m) for m in ("weighted_logistic", "boosted")]))
+    out = s.select(key, "rule_score", "zero_rate", "gap_med", "chat_mean")
+    for part in parts:
+        out = out.join(part, key, "left")
+    return out
+
+
+@query("r31_fitted_consensus")
+def _(spark, d):
+    """Mean rank of the rule and six fitted models: two supervised ones out of fold, four detectors."""
+    out = review.model_consensus(fitted_scores(spark, d), ["rule_score", "weighted_logistic", "boosted", *_DETECTORS])
+    return out.select("session_key", *r6("consensus"), "review_group")
+
+
+@step
+def fitted_hidden(spark, d):
+    return review.fitted_candidates(fitted_scores(spark, d), "rule_score", _DETECTORS, _DENSITY, "noise", "flagged")
+
+
+@query("r32_fitted_candidates")
+def _(spark, d):
+    return fitted_hidden(spark, d).select("session_key", *r6("rule_pct", "normal_anomaly_pct", "density_anomaly_pct"), "noise", "flagged", *r6("hidden"), "discovery_group", "priority", "codes")
+
+
+@query("a32_fitted_groups")
+def _(spark, d):
+    """The discovery groups of the fitted hidden score."""
+    out = fitted_hidden(spark, d).groupBy("discovery_group").agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(f"{c}_mean") for c in ("hidden", "zero_rate", "gap_med", "chat_mean")])
+    return out.select("discovery_group", "n", *r6("hidden_mean", "zero_rate_mean", "gap_med_mean", "chat_mean_mean"))
