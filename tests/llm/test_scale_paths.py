@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -94,3 +95,44 @@ def test_no_label_is_left_out(spark):
     assert len(_loaded(train(docs, sample_rows=20))[0].langs) == 26
     got = {r["lang_pred"] for r in predict_languages(docs, sample_rows=20).collect()}
     assert got <= {f"l{i:02}" for i in range(26)} and len({r["lang_pred"] for r in predict_languages(docs, sample_rows=2400).collect()}) > 20, got
+
+
+def test_near_links_of_one_large_bucket(spark):
+    """A bucket of mostly unlike rows, in blocks of any size: signatures tell the few rows with a partner, and the links
+    among these connect what all pairs connect."""
+    from functools import partial
+
+    from tidewatch.llm import minhash_dedup as m
+
+    r = random.Random(8)
+    texts = []
+    for g in range(330):
+        words = [f"w{r.randrange(4000)}" for _ in range(80)]
+        for k in range(6 if g < 12 else 1):
+            texts.append(" ".join(words[:40] + [f"x{r.randrange(4000)}" for _ in range(k and 1)] + words[40 + (k and 1) :]))
+    sets = list(m.shingle_sets(pa.array(texts), 5))
+    link = lambda x, y: 100 * len(np.intersect1d(x, y)) >= 85 * len(np.union1d(x, y))
+    label = list(range(len(sets)))
+    for j in range(72):  # later texts are unlike all others
+        for i in range(j):
+            if link(sets[i], sets[j]):
+                low, high = sorted((label[i], label[j]))
+                label = [low if x == high else x for x in label]
+    assert len(set(label[:72])) < 40
+    sigs = [m.signature(u) for u in sets]
+    bands = (m.band_keys(np.array(sigs)) | 1).tolist()
+    rows = spark.createDataFrame([(7, 0, i, i, len(u)) for i, u in enumerate(sets)], "h long, band int, id long, label long, n long")
+    told = spark.createDataFrame([(i, bytearray(s.astype(np.uint8).tobytes()), b) for i, (s, b) in enumerate(zip(sigs, bands, strict=True))], "id long, sig binary, keys array<long>")
+    whole = spark.createDataFrame([(i, bytearray(u.tobytes())) for i, u in enumerate(sets)], "id long, payload binary")
+    bayes = {"least": m.least_matches(0.85, 1e-7), "num": 85, "den": 100}
+    for signatures, block in ((4096, 1024), (64, 16)):
+        at = lambda k: F.ceil(F.count(F.lit(1)) / k)
+        some = m.materialize(m._in_blocks(rows, at(signatures), lambda x: x.join(told, "id"), partial(m._open_rows, **bayes), rows.schema.simpleString()[7:-1].replace(":", " "), len(sets)).distinct(), "t")
+        assert {x["id"] for x in some.collect()} == set(range(72))
+        links = m._in_blocks(some, at(block), lambda x: x.join(told, "id").join(whole, "id"), partial(m._link_block, **bayes), "a long, b long", len(sets)).distinct()
+        got = list(range(len(sets)))
+        for x in links.collect():
+            assert link(sets[x["a"]], sets[x["b"]])
+            low, high = sorted((got[x["a"]], got[x["b"]]))
+            got = [low if y == high else y for y in got]
+        assert got == label

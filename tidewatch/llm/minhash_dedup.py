@@ -8,8 +8,9 @@
    ``miss``. Survivors are confirmed on their full sets.
 3. A bucket's members are not paired with each other. Star rounds compare each with one member drawn by hash and
    contract what is linked; only pairs of different components are still open, and a last pass compares those in
-   blocks of bounded size inside the tasks, where each link merges two labels, so that no link between components
-   is lost and no task emits more links than rows.
+   blocks of bounded size inside the tasks: signatures first, which tell the rows that have a partner to look at, then
+   the sets of these rows alone, where each link merges two labels. So no link between components is lost, no task
+   emits more rows or links than it reads, and sets are copied for rows with open partners only.
 4. Components come from repeated contraction over the links, on Spark, each step in a written table.
 
 Defined cases: null or blank text has an empty set, which links with nothing; texts of fewer words than a shingle
@@ -27,7 +28,7 @@ from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _bytes as tb
@@ -36,8 +37,8 @@ from ._common import attach_groups, drop_rows, materialize, release, shuffle_par
 PERMS, ROWS, BANDS, STEP = 128, 5, 25, 32
 #: Where the star rounds' bands begin; later rounds pair only what earlier ones left unlinked.
 ROUNDS = (0, 2, 8)
-#: A block of a bucket holds about this many rows and set members at most.
-BLOCK_ROWS, BLOCK_HASHES = 1024, 1 << 20
+#: A block of a bucket holds about this many signatures, or this many rows with their sets and set members, at most.
+SIGNATURE_ROWS, BLOCK_ROWS, BLOCK_HASHES = 4096, 1024, 1 << 20
 PIVOT_ROWS = 4096
 
 _rng = np.random.Generator(np.random.PCG64(8))
@@ -185,17 +186,13 @@ def _both(u: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
     return np.add.reduceat(hit, np.cumsum([0, *map(len, sets[:-1])]), dtype=np.int64)
 
 
-def _link_block(t: pa.Table, least: tuple[int, ...], num: int, den: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links that one block pair adds to the labels its rows come with."""
-    i, j, band, own, ids, label, n = (t.column(c).to_numpy() for c in ("i", "j", "band", "own", "id", "label", "n"))
-    label, out = label.copy(), []
-    if (label == label[0]).all():
-        return out
+def _candidates(t: pa.Table, label: np.ndarray, least: tuple[int, ...], num: int, den: int) -> Iterator[tuple[int, np.ndarray]]:
+    """For each row of a block pair the later rows whose label is another, now, and which neither sizes nor signatures rule out."""
+    i, j, band, own, n = (t.column(c).to_numpy() for c in ("i", "j", "band", "own", "n"))
     m = _matrix(t.column("sig").combine_chunks())
-    keys = np.array(t.column("keys").to_pylist(), np.int64)[:, : band[0]]
-    sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("payload")]
-    for r in range(len(ids) - 1):
-        q = np.arange(r + 1, len(ids))
+    keys = t.column("keys").combine_chunks().flatten().to_numpy().reshape(len(t), -1)[:, : band[0]]
+    for r in range(len(t) - 1):
+        q = np.arange(r + 1, len(t))
         q = q[(label[q] != label[r]) & (den * np.minimum(n[q], n[r]) >= num * np.maximum(n[q], n[r]))]
         if i[0] != j[0]:
             q = q[own[q] != own[r]]
@@ -204,16 +201,35 @@ def _link_block(t: pa.Table, least: tuple[int, ...], num: int, den: int) -> list
         if len(q):
             q = q[~(keys[q] == keys[r]).any(axis=1)]  # a pair is compared in the first band that it shares
         if len(q):
+            yield r, q
+
+
+def _open_rows(t: pa.Table, least: tuple[int, ...], num: int, den: int) -> pa.Table:
+    """Rows of a block pair that have a partner whose set is worth a look."""
+    label, found = t.column("label").to_numpy(), np.zeros(len(t), bool)
+    if not (label == label[0]).all():
+        for r, q in _candidates(t, label, least, num, den):
+            found[r] = True
+            found[q] = True
+    return t.select(["h", "band", "id", "label", "n"]).filter(pa.array(found))
+
+
+def _link_block(t: pa.Table, least: tuple[int, ...], num: int, den: int) -> pa.Table:
+    """A spanning forest of the links that one block pair adds to the labels its rows come with."""
+    ids, n, label, out = t.column("id").to_numpy(), t.column("n").to_numpy(), t.column("label").to_numpy().copy(), []
+    if not (label == label[0]).all():
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("payload")]
+        for r, q in _candidates(t, label, least, num, den):
             both = _both(sets[r], [sets[k] for k in q.tolist()])
             for k in q[den * both >= num * (n[q] + n[r] - both)].tolist():
                 if label[k] != label[r]:
                     label[label == label[k]] = label[r]
                     out.append((min(ids[r], ids[k]), max(ids[r], ids[k])))
-    return out
+    return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], least: tuple[int, ...], num: int, den: int) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (h, i, j), a block pair of bounded size each -> its links."""
+def _blocks(batches: Iterator[pa.RecordBatch], fn: Callable[[pa.Table], pa.Table]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (h, i, j), a block pair of bounded size each -> what fn makes of each."""
     carry: pa.Table | None = None
     for last in (False, True):
         for batch in batches if not last else [None]:
@@ -225,16 +241,29 @@ def _blocks(batches: Iterator[pa.RecordBatch], least: tuple[int, ...], num: int,
             h, i, j = (t.column(c).to_numpy() for c in ("h", "i", "j"))
             new = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])).tolist()
             ends = [*new[1:], len(t)]
-            out = [x for s, e in list(zip(new, ends, strict=True))[: None if last else -1] for x in _link_block(t.slice(s, e - s), least, num, den)]
+            for s, e in list(zip(new, ends, strict=True))[: None if last else -1]:
+                yield from fn(t.slice(s, e - s)).to_batches()
             carry = t.slice(new[-1])
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["a", "b"])
+
+
+def _in_blocks(rows: DataFrame, blocks: Column, payload: Callable[[DataFrame], DataFrame], fn: Callable, schema: str, total: int) -> DataFrame:
+    """Runs fn over all pairs of blocks of each bucket of rows (h, band, id, label, n) that has two labels or more;
+    payload adds columns by id."""
+    span = rows.groupBy("h").agg(F.min("label").alias("fewest"), F.max("label").alias("most"), F.count(F.lit(1)).alias("size"), blocks.cast("int").alias("blocks"))
+    span = materialize(span.filter("most <> fewest").select("h", "size", "blocks"), "near-span")
+    rows = attach_groups(rows, span, "h", "size", total).withColumn("own", F.expr("cast(pmod(xxhash64(id), blocks) as int)"))
+    rows = rows.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select("h", "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "label", "n")
+    rows = payload(rows).repartition(shuffle_parts(rows.sparkSession), "h", "i", "j").sortWithinPartitions("h", "i", "j", "id")
+    return small_batches(rows).mapInArrow(partial(_blocks, fn=fn), schema)
 
 
 def _with_pivot(pairs: DataFrame, payload: DataFrame, fn: Callable) -> DataFrame:
-    """Runs fn over each pivot's row and its partners' rows. A pivot with many partners is dealt to many tasks."""
+    """Runs fn over each pivot's row and its partners' rows. A pivot with many partners is dealt to many tasks.
+    pairs must be cheap to read twice (materialised)."""
     parts = shuffle_parts(pairs.sparkSession)
-    salts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PIVOT_ROWS).cast("int").alias("salts"))
-    rows = pairs.join(salts, "a").join(payload.withColumnRenamed("id", "b"), "b").select("a", F.expr("pmod(xxhash64(b), salts)").cast("int").alias("salt"), "b", "payload")
+    salts = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("partners")).withColumn("salts", F.ceil(F.col("partners") / PIVOT_ROWS).cast("int"))
+    salts = materialize(salts, "near-salts")
+    rows = attach_groups(pairs, salts, "a", "partners", pairs.count()).join(payload.withColumnRenamed("id", "b"), "b").select("a", F.expr("pmod(xxhash64(b), salts)").cast("int").alias("salt"), "b", "payload")
     own = salts.join(payload.withColumnRenamed("id", "a"), "a").select("a", F.explode(F.expr("sequence(0, salts - 1)")).alias("salt"), F.lit(None).cast("long").alias("b"), "payload")
     both = own.unionByName(rows).repartition(parts, "a", "salt").sortWithinPartitions(F.col("a"), F.col("salt"), F.col("b").asc_nulls_first())
     return small_batches(both).mapInArrow(fn, "a long, b long")
@@ -281,8 +310,8 @@ def _decisions(docs: DataFrame, id_col: str, text_col: str, words: int, percent:
     reps = sketch.withColumnRenamed("id", "rep").join(classes.select(F.col("node").alias("r")), "r", "left_semi").withColumnRenamed("r", "id")
 
     keys = reps.select("id", "n", F.posexplode("bands").alias("band", "h"))
-    shared = keys.groupBy("h").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    buckets = materialize(keys.join(shared, "h"), "near-buckets")
+    shared = materialize(keys.groupBy("h").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "near-shared")
+    buckets = materialize(attach_groups(keys, shared, "h", "size", total * bands).drop("size"), "near-buckets")
     wanted = buckets.select("id").distinct()
     sigs = materialize(reps.join(wanted, "id", "left_semi").select("id", F.col("sig").alias("payload"), "bands", "rep", "th", "fp"), "near-sigs")
     of = sigs.select(F.col("id").alias("node"), F.col("rep").alias("id"), "th", "fp")
@@ -301,25 +330,24 @@ def _decisions(docs: DataFrame, id_col: str, text_col: str, words: int, percent:
 
     for low, high in zip(ROUNDS, (*ROUNDS[1:], bands), strict=True):
         rows = labelled(buckets.filter((F.col("band") >= low) & (F.col("band") < high)))
-        pivots = rows.groupBy("h").agg(F.min_by(F.struct("id", "label", "n"), F.xxhash64("id", "h")).alias("p"), F.max("label").alias("most"), F.min("label").alias("fewest"))
-        pivots = pivots.filter("most <> fewest").select("h", F.col("p.id").alias("a"), F.col("p.label").alias("pl"), F.col("p.n").alias("pn"))
-        pairs = rows.join(pivots, "h").filter(fits & (F.col("label") != F.col("pl"))).select("a", F.col("id").alias("b")).distinct()
+        pivots = rows.groupBy("h").agg(F.min_by(F.struct("id", "label", "n"), F.xxhash64("id", "h")).alias("p"), F.max("label").alias("most"), F.min("label").alias("fewest"), F.count(F.lit(1)).alias("size"))
+        pivots = materialize(pivots.filter("most <> fewest").select("h", "size", F.col("p.id").alias("a"), F.col("p.label").alias("pl"), F.col("p.n").alias("pn")), "near-pivots")
+        pairs = attach_groups(rows, pivots, "h", "size", total * bands).filter(fits & (F.col("label") != F.col("pl"))).select("a", F.col("id").alias("b")).distinct()
         pairs = _with_pivot(materialize(pairs, "near-pairs"), sigs.drop("bands"), partial(_stream_bayes, least=least))
         found = materialize(_with_pivot(materialize(pairs, "near-pairs"), sets, exact), "near-links")
         links = found if links is None else links.unionByName(found)
         if not links.isEmpty():
             labels = components(links, rounds=2)
 
-    # what is still open: pairs of different labels in a bucket, compared in blocks of bounded rows and bytes
-    rows = labelled(buckets)
-    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum("n") / BLOCK_HASHES)).cast("int")
-    span = rows.groupBy("h").agg(F.min("label").alias("fewest"), F.max("label").alias("most"), blocks.alias("blocks")).filter("most <> fewest")
-    rows = rows.join(span.select("h", "blocks"), "h").withColumn("own", F.expr("cast(pmod(xxhash64(id), blocks) as int)"))
-    rows = rows.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select("h", "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "label", "n")
-    rows = rows.join(sigs.select("id", F.col("payload").alias("sig"), F.col("bands").alias("keys")), "id").join(sets, "id")
-    rows = rows.repartition(shuffle_parts(docs.sparkSession), "h", "i", "j").sortWithinPartitions("h", "i", "j", "id")
-    rows = rows.select("h", "band", "i", "j", "own", "id", "label", "n", "sig", "keys", "payload")
-    links = links.unionByName(materialize(small_batches(rows).mapInArrow(partial(_blocks, least=least, num=percent, den=100), "a long, b long").distinct(), "near-links"))
+    # what is still open: pairs of different labels in a bucket. Signatures go to all blocks and say which rows have a
+    # partner to look at; sets go to those rows' blocks only, which are bounded in rows and set members
+    told = sigs.select("id", F.col("payload").alias("sig"), F.col("bands").alias("keys"))
+    bayes = {"least": least, "num": percent, "den": 100}
+    rows = _in_blocks(labelled(buckets), F.ceil(F.count(F.lit(1)) / SIGNATURE_ROWS), lambda r: r.join(told, "id"), partial(_open_rows, **bayes), "h long, band int, id long, label long, n long", total * bands)
+    rows = materialize(rows.distinct(), "near-open")
+    sized = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum("n") / BLOCK_HASHES))
+    found = _in_blocks(rows, sized, lambda r: r.join(told, "id").join(sets, "id"), partial(_link_block, **bayes), "a long, b long", total * bands)
+    links = links.unionByName(materialize(found.distinct(), "near-links"))
 
     out = classes.withColumn("component", F.col("rep"))
     if not links.isEmpty():
