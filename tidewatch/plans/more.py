@@ -6,11 +6,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
-from ..operators import evidence, models, ranks, review, scan, state, synthetic, windows
-from ..sources import sinks, telemetry
+from ..operators import evidence, live, models, ranks, review, scan, state, synthetic, windows
+from ..sources import paged, sinks, telemetry
 from ..sources.steps import new_path
 from . import sql as Q
-from .telemetry import GRID_D, GRID_Q, ID, dwelt, found, marked, metrics, minute, query, r6, r6s, ranked, read, reviewed, reviewed_all, ruled, scored, sessions, stated, supported, text
+from .telemetry import GRID_D, GRID_Q, ID, WINDOWS, _in_sql, dwelt, found, marked, metrics, minute, query, r6, r6s, ranked, read, reviewed, reviewed_all, ruled, scored, sessions, stated, supported, text
 
 i8 = lambda *names: [F.col(c).cast("long").alias(c) for c in names]
 
@@ -42,6 +42,46 @@ def _(spark, d):
     return telemetry.read_csv(spark, path, n.schema)
 
 
+_TARGETS = "SELECT c_custkey FROM customer WHERE c_nationkey = 3"
+
+
+@query("src7_paged_items", f"SELECT broad_no, user_id, priority, viewers, page FROM (SELECT o_orderkey AS broad_no, o_custkey::VARCHAR AS user_id, o_custkey, o_orderpriority AS priority, coalesce(floor(o_totalprice)::BIGINT, 0) AS viewers, (row_number() OVER (ORDER BY o_orderkey) - 1) // 20 AS page FROM orders) WHERE o_custkey IN ({_TARGETS})")
+def _(spark, d):
+    """All orders as pages of 20 items behind cursors, walked for the items of one nation's customers."""
+    orders = ranks.places(read(spark, d, "orders"), [F.col("o_orderkey")], "place")
+    items = orders.select(F.col("o_orderkey").cast("long").alias("broad_no"), F.col("o_custkey").cast("string").alias("user_id"), F.col("o_orderpriority").alias("priority"), F.floor("o_totalprice").cast("long").alias("viewers"), F.floor((F.col("place") - 1) / 20).cast("long").alias("page"))
+    path = new_path(spark, "pages")
+    paged.write_pages(items, [F.col("broad_no")], path)
+    targets = read(spark, d, "customer").filter("c_nationkey = 3").select(F.col("c_custkey").cast("string").alias("user_id"))
+    return paged.of_targets(paged.read_pages(spark, path, "broad_no long, user_id string, priority string, viewers long, page long", "user_id"), targets, "user_id")
+
+
+def _rates(rows: str, keys: str) -> str:
+    m = "(hour(ts) * 60 + minute(ts))"
+    rates = " UNION ALL ".join(f"SELECT {keys}, {i} AS w, avg({_in_sql(m, *w)}::INT) AS rate FROM {rows} GROUP BY {keys}" for i, w in enumerate(WINDOWS))
+    return f"best AS (SELECT {keys}, w AS matched, 1 - rate AS off_rate FROM (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY rate DESC, w) AS k FROM ({rates})) WHERE k = 1), ends AS (SELECT {keys}, date_trunc('hour', min(ts)) AS a, max(ts) + INTERVAL 1 MINUTE AS z FROM {rows} GROUP BY {keys}), spans AS (SELECT {keys}, strftime(a, '%H:%M') || '-' || strftime(CASE WHEN date_trunc('hour', z) = z AND z > a THEN z ELSE date_trunc('hour', z) + INTERVAL 1 HOUR END, '%H:%M') AS live_window FROM ends)"
+
+
+_LIVE = f"{Q.MINUTE}, m AS (SELECT run_id, broad_no, minute_ts, max(minute_ts) OVER (PARTITION BY run_id) + CASE WHEN run_id % 2 = 1 THEN INTERVAL 9 HOUR ELSE INTERVAL 0 HOUR END AS now FROM minute), g AS (SELECT run_id, broad_no, quantile_cont(epoch(minute_ts), 0.5) AS md, epoch(max(now)) AS now FROM m GROUP BY ALL), l AS (SELECT run_id, broad_no, abs(md - now) < abs(md + 32400 - now) AS already_local FROM g), t AS (SELECT run_id, broad_no, already_local, minute_ts + CASE WHEN already_local THEN INTERVAL 0 HOUR ELSE INTERVAL 9 HOUR END AS ts FROM minute JOIN l USING (run_id, broad_no))"
+
+
+@query("f15_live_stamps", f"WITH {_LIVE}, {_rates('t', 'run_id, broad_no')} SELECT run_id, broad_no, already_local, live_window, matched, round(off_rate, 6) AS off_rate, off_rate <= 0.85 AS in_window FROM l JOIN best USING (run_id, broad_no) JOIN spans USING (run_id, broad_no)")
+def _(spark, d):
+    """Sessions of odd runs as if collected nine hours later: their stamps read as UTC, the others' as local time."""
+    m = minute(spark, d).select(*ID, "minute_ts")
+    late = m.groupBy("run_id").agg(F.max("minute_ts").alias("now"))
+    late = late.withColumn("now", F.timestamp_add("HOUR", F.when(F.col("run_id") % 2 == 1, 9).otherwise(0), F.col("now")))
+    settled = live.settle_stamps(m.join(late, "run_id"), ID, "minute_ts", "now", 9).withColumn("ts", F.timestamp_add("HOUR", F.lit(9), F.col("minute_ts")))
+    return live.live_windows(settled, [*ID, "already_local"], "ts", WINDOWS, 0.85).select(*ID, "already_local", "live_window", "matched", *r6("off_rate"), "in_window")
+
+
+@query("f15_planned_window", f"WITH ev AS (SELECT event_id, unnest(generate_series(date_trunc('minute', ts), date_trunc('minute', ts) + to_minutes(ceil(greatest(event_id % 7200, 60) / 60)::INT), INTERVAL 1 MINUTE)) AS ts FROM events), {_rates('ev', 'event_id')} SELECT event_id, live_window, matched, round(off_rate, 6) AS off_rate, off_rate <= 0 AS in_window FROM best JOIN spans USING (event_id)")
+def _(spark, d):
+    """Each event as the moment before a collection of up to two hours."""
+    e = read(spark, d, "events").select("event_id", "ts", (F.col("event_id") % 7200).alias("seconds"))
+    return live.planned_windows(e, ["event_id"], "ts", "seconds", WINDOWS).select("event_id", "live_window", "matched", *r6("off_rate"), "in_window")
+
+
 _LINES = "SELECT CASE WHEN c_custkey % 10 = 0 THEN c_custkey || ',' || c_name ELSE c_custkey || ', ' || c_name || ' ,' || c_mktsegment || ',x' END AS value FROM customer"
 
 
