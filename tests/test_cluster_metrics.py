@@ -18,3 +18,27 @@ def test_labels_that_separate_late(spark, tmp_path):
     got = telemetry.QUERIES["m15_cluster_metrics_whole"](spark, str(tmp_path)).first()
     assert abs(got["calinski_harabasz"] - b / (w / 58)) < 1e-5 and abs(got["davies_bouldin"] - sum(s) / np.linalg.norm(c[0] - c[1])) < 1e-5
     assert got["calinski_harabasz"] > 100 > telemetry.QUERIES["m15_cluster_metrics"](spark, str(tmp_path)).first()["calinski_harabasz"]
+
+
+def few_events(spark, path, hours, quiet=()):
+    """One broadcast's hours, each with a snapshot and, unless quiet, a chat message."""
+    import datetime as dt
+
+    rows = []
+    for h in range(hours):
+        at = dt.datetime(2026, 1, 1, h)
+        rows += [(2 * h, at, 3, "view", 5.0 + h, "{}")] + ([] if h in quiet else [(2 * h + 1, at, 23, "click", 1.0, "{}")])
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(f"{path}/events.parquet")
+
+
+def test_best_k_where_no_cut_separates(spark, tmp_path):
+    """Without silent ticks every cut has one cluster: no candidate, as by the SQL, instead of a division by zero."""
+    import duckdb
+
+    from tidewatch.plans import reviews, telemetry  # noqa: F401  reviews adds the query
+
+    few_events(spark, tmp_path, 12)
+    got = telemetry.QUERIES["t5_best_k"](spark, str(tmp_path))
+    duckdb.sql(f"CREATE OR REPLACE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    assert got.columns == ["k", "ch", "bal", "sep", "score", "selected"]
+    assert got.collect() == [] == duckdb.sql(telemetry.SQL["t5_best_k"]).fetchall()

@@ -21,6 +21,11 @@ def safe_div(num: Column, den: Column) -> Column:
     return F.when(den > 0, num / den)
 
 
+def ieee_div(num: Column, den: Column) -> Column:
+    """num / den over doubles as SQL engines without ANSI errors have it: x / 0 is infinite, 0 / 0 is NaN."""
+    return F.when(den != 0, num / den).when(den == 0, num.cast("double") * F.lit(float("inf")))
+
+
 def clip(value: Column, low: float | None = None, high: float | None = None) -> Column:
     out = value if low is None else F.greatest(value, F.lit(low))
     out = out if high is None else F.least(out, F.lit(high))

@@ -11,7 +11,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import finite, row_mean
+from ..functions.scalar import finite, ieee_div, row_mean
 from .ranks import by_value, cumulative, group_pct_ranks, quantile_row, quantiles, value_bounds
 
 
@@ -61,7 +61,8 @@ def centroids(df: DataFrame, label: str, columns: list[str]) -> DataFrame:
 
 
 def calinski_davies(df: DataFrame, label: str, columns: list[str]) -> DataFrame:
-    """One row: k, n, Calinski-Harabasz, Davies-Bouldin, size balance. Centroids are k rows."""
+    """One row: k, n, Calinski-Harabasz, Davies-Bouldin, size balance. Centroids are k rows.
+    Divisions by zero (one cluster, no spread, equal centroids) are infinite or NaN."""
     cent = centroids(df, label, columns)
     near = df.join(F.broadcast(cent), label)
     d2 = sum(((F.col(c) - F.col(f"c_{c}")) * (F.col(c) - F.col(f"c_{c}")) for c in columns), F.lit(0.0))
@@ -71,9 +72,9 @@ def calinski_davies(df: DataFrame, label: str, columns: list[str]) -> DataFrame:
     ch = per.join(F.broadcast(mean)).agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"), F.sum("w").alias("w"), F.sum(F.col("n") * b2).alias("b"), F.min("n").alias("least"), F.max("n").alias("most"))
     a, b = per.alias("a"), per.alias("b")  # k by k rows
     between = _dist("a", "b", [f"c_{c}" for c in columns])
-    db = a.join(b, F.col(f"a.{label}") != F.col(f"b.{label}")).groupBy(F.col(f"a.{label}").alias("l")).agg(F.max((F.col("a.s") + F.col("b.s")) / between).alias("r")).agg(F.avg("r").alias("db"))
+    db = a.join(b, F.col(f"a.{label}") != F.col(f"b.{label}")).groupBy(F.col(f"a.{label}").alias("l")).agg(F.max(ieee_div(F.col("a.s") + F.col("b.s"), between)).alias("r")).agg(F.avg("r").alias("db"))
     return ch.join(F.broadcast(db)).select(
-        "k", "n", F.round((F.col("b") / (F.col("k") - 1)) / (F.col("w") / (F.col("n") - F.col("k"))), 6).alias("calinski_harabasz"), F.round("db", 6).alias("davies_bouldin"),
+        "k", "n", F.round(ieee_div(ieee_div(F.col("b"), F.col("k") - 1), ieee_div(F.col("w"), F.col("n") - F.col("k"))), 6).alias("calinski_harabasz"), F.round("db", 6).alias("davies_bouldin"),
         F.round(F.col("least") / F.col("most"), 6).alias("size_balance"),
     )
 
@@ -190,7 +191,8 @@ def choose_k(df: DataFrame, columns: list[str], key: str, order: str, ks: tuple[
     for k in ks:
         out = labelled[k] = labels(df, columns, k, order, seeds)
         m = calinski_davies(out, "cluster", columns).first()
-        rows.append((k, silhouette(out, "cluster", columns, key), m["calinski_harabasz"], m["davies_bouldin"], m["size_balance"], median_separation(out, "cluster", columns)))
+        ch = m["calinski_harabasz"] if m["k"] > 1 and m["n"] > m["k"] else None  # else undefined, and no candidate's best
+        rows.append((k, silhouette(out, "cluster", columns, key), ch, m["davies_bouldin"], m["size_balance"], median_separation(out, "cluster", columns)))
     table = df.sparkSession.createDataFrame(rows, "k int, silhouette double, calinski_harabasz double, davies_bouldin double, size_balance double, separation double")
     table = selection_score(table, {"silhouette": True, "calinski_harabasz": True, "davies_bouldin": False, "size_balance": True, "separation": True}, "k")
     return table, labelled[table.filter("selected").first()["k"]]

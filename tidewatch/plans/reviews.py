@@ -354,12 +354,13 @@ def _(spark, d):
 
 @query("t5_best_k", f"WITH {Q.SESSIONS}, k(k) AS (VALUES (2), (3), (4)), l AS (SELECT k, least(floor(zero_rate * k), k - 1)::INT AS label, zero_rate AS x FROM sess, k WHERE eligible), c AS (SELECT k, label, count(*) AS n, avg(x) AS m, quantile_cont(x, 0.5) AS md FROM l GROUP BY ALL), w AS (SELECT l.k, sum(pow(x - m, 2)) AS w, any_value(1) FROM l JOIN c USING (k, label) GROUP BY 1), b AS (SELECT k, sum(n * pow(m - (SELECT avg(zero_rate) FROM sess WHERE eligible), 2)) AS b, sum(n) AS n, count(*) AS g, min(n) / max(n) AS bal FROM c GROUP BY 1), s AS (SELECT a.k, avg(abs(a.md - b.md)) AS sep FROM c a JOIN c b ON a.k = b.k AND a.label < b.label GROUP BY 1), t AS (SELECT k, round((b / (g - 1)) / (w / (n - g)), 6) AS ch, round(bal, 6) AS bal, round(sep, 6) AS sep FROM w JOIN b USING (k) JOIN s USING (k)), r AS (SELECT *, round(({Q.pct('ch')} + {Q.pct('bal')} + {Q.pct('sep')}) / 3, 6) AS score FROM t) SELECT k::BIGINT AS k, ch, bal, sep, score, row_number() OVER (ORDER BY score DESC, k) = 1 AS selected FROM r")
 def _(spark, d):
-    """Three ways to cut the zero rate, judged by the composite score; the best is selected."""
+    """Three ways to cut the zero rate, judged by the composite score; the best is selected. A cut that leaves one
+    cluster has nothing to separate and is no candidate."""
     s = sessions(spark, d).filter("eligible").select(F.col("zero_rate").alias("x"))
     out = None
     for k in (2, 3, 4):
         l = s.withColumn("label", F.least(F.floor(F.col("x") * k), F.lit(k - 1)).cast("int"))
-        row = models.calinski_davies(l, "label", ["x"]).select(F.lit(k).cast("long").alias("k"), F.col("calinski_harabasz").alias("ch"), F.col("size_balance").alias("bal")).withColumn("sep", F.lit(models.median_separation(l, "label", ["x"])))
+        row = models.calinski_davies(l, "label", ["x"]).select(F.lit(k).cast("long").alias("k"), F.col("calinski_harabasz").alias("ch"), F.col("size_balance").alias("bal")).withColumn("sep", F.lit(models.median_separation(l, "label", ["x"])).cast("double"))
         out = row if out is None else out.unionByName(row)
-    scored_k = models.selection_score(out.withColumn("sep", F.round("sep", 6)), {"ch": True, "bal": True, "sep": True}, "k")
+    scored_k = models.selection_score(out.filter("sep is not null").withColumn("sep", F.round("sep", 6)), {"ch": True, "bal": True, "sep": True}, "k")
     return scored_k.select("k", "ch", "bal", "sep", F.round("selection_score", 6).alias("score"), "selected")
