@@ -42,3 +42,16 @@ def test_best_k_where_no_cut_separates(spark, tmp_path):
     duckdb.sql(f"CREATE OR REPLACE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
     assert got.columns == ["k", "ch", "bal", "sep", "score", "selected"]
     assert got.collect() == [] == duckdb.sql(telemetry.SQL["t5_best_k"]).fetchall()
+
+
+def test_transitions_of_a_state_that_never_is(spark, tmp_path):
+    """No silent tick: its moves are 0 of 0, NaN as by the SQL, instead of a division by zero."""
+    import duckdb
+
+    from tidewatch.plans import telemetry
+
+    few_events(spark, tmp_path, 4)
+    got = telemetry.QUERIES["a12_transitions"](spark, str(tmp_path)).collect()
+    duckdb.sql(f"CREATE OR REPLACE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = duckdb.sql(telemetry.SQL["a12_transitions"]).fetchall()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want)) and sum(np.isnan(r["share"]) for r in got) == 2

@@ -316,7 +316,7 @@ def _(spark, d):
     c = m.groupBy("f", "t").agg(F.count(F.lit(1)).alias("n"))
     grid = spark.range(4).select((F.col("id") % 2 == 0).alias("f"), (F.col("id") < 2).alias("t"))
     out = grid.join(c, ["f", "t"], "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
-    return out.select(F.col("f").alias("from_zero"), F.col("t").alias("to_zero"), "n", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("f")), 6).alias("share"))
+    return out.select(F.col("f").alias("from_zero"), F.col("t").alias("to_zero"), "n", F.round(S.ieee_div(F.col("n"), F.sum("n").over(Window.partitionBy("f"))), 6).alias("share"))  # an origin never left: 0 / 0, NaN
 
 
 @query("a18_trajectory", f"WITH {Q.STATE} SELECT minute_idx, count(DISTINCT session_key) AS sessions, round(quantile_cont(viewer, 0.5), 6) AS med, round(quantile_cont(viewer, 0.75) - quantile_cont(viewer, 0.25), 6) AS iqr FROM state GROUP BY 1")
