@@ -307,3 +307,15 @@ def test_registered_queries(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
     first = entry.entry(spark)
     assert first.columns == ["session_key", "n", "zero_rate", "gap_med", "zrun_max", "rule_score", "review_order"] and first.count() > 0
+
+
+def test_row_statistics_are_compiled(spark):
+    """No function over a lambda, which Spark interprets value by value; rows of no, one and two values hold."""
+    rows = [(0, None, None, None), (1, None, 2.0, None), (2, 4.0, None, 1.0), (3, 9.0, 2.0, 4.0), (4, float("nan"), 1.0, 3.0)]
+    cols = [F.col(c) for c in "abc"]
+    named = {"med": S.row_median(cols), "trim": S.row_trimmed_mean(cols), "std": S.row_std(cols), "k": S.row_count_at_least(cols, 2.0), "v": S.row_values(cols)}
+    df = spark.createDataFrame(rows, "i int, a double, b double, c double").select("i", *[c.alias(n) for n, c in named.items()])
+    assert "lambda" not in df._jdf.queryExecution().optimizedPlan().toString()
+    got = [tuple(r) for r in df.orderBy("i").collect()]
+    assert got[:4] == [(0, None, None, None, 0, []), (1, 2.0, 2.0, 0.0, 1, [2.0]), (2, 2.5, 2.5, 1.5, 1, [1.0, 4.0]), (3, 4.0, 4.0, pytest.approx(math.sqrt(26 / 3)), 3, [2.0, 4.0, 9.0])]
+    assert got[4][1:3] == (3.0, 3.0) and math.isnan(got[4][3]) and got[4][4] == 2

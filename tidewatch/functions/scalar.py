@@ -69,38 +69,48 @@ def arg_max(named: dict[str, Column], default: str = "insufficient_signal") -> C
     return out.otherwise(default)
 
 
+def _known(columns: list[Column]) -> Column:
+    return sum((c.isNotNull().cast("int") for c in columns[1:]), columns[0].isNotNull().cast("int"))
+
+
 def row_values(columns: list[Column]) -> Column:
-    """The non-null values of several columns, ascending."""
-    return F.array_sort(F.filter(F.array(*columns), lambda x: x.isNotNull()))
+    """The non-null values of several columns, ascending. No lambda: those are interpreted value by value."""
+    return F.slice(F.sort_array(F.array(*columns)), len(columns) - _known(columns) + 1, _known(columns))  # nulls come first
 
 
 def row_mean(columns: list[Column]) -> Column:
     """Mean of the non-null values, added in the columns' order."""
     total = sum((F.coalesce(c, F.lit(0.0)) for c in columns[1:]), F.coalesce(columns[0], F.lit(0.0)))
-    n = sum((c.isNotNull().cast("int") for c in columns[1:]), columns[0].isNotNull().cast("int"))
+    n = _known(columns)
     return F.when(n > 0, total / n)
 
 
-def _mean(values: Column) -> Column:
-    return F.when(F.size(values) > 0, F.aggregate(values, F.lit(0.0), lambda a, x: a + x) / F.size(values))
+def _total(values: list[Column]) -> Column:
+    """Sum of the values in order, null as nothing."""
+    return sum((F.coalesce(x, F.lit(0.0)) for x in values), F.lit(0.0))
+
+
+def _positive(n: Column) -> Column:
+    return F.when(n > 0, n)
 
 
 def row_median(columns: list[Column]) -> Column:
-    v = row_values(columns)
-    n = F.size(v)
-    return F.when(n > 0, (F.get(v, ((n - 1) / 2).cast("int")) + F.get(v, (n / 2).cast("int"))) / 2)
+    v, n = row_values(columns), _known(columns)
+    return (F.get(v, F.greatest(F.floor((n - 1) / 2), F.lit(0)).cast("int")) + F.get(v, F.floor(n / 2).cast("int"))) / 2
 
 
 def row_trimmed_mean(columns: list[Column]) -> Column:
     """Mean without the smallest and the largest value where there are more than two."""
-    v = row_values(columns)
-    return _mean(F.when(F.size(v) > 2, F.slice(v, F.lit(2), F.greatest(F.size(v) - 2, F.lit(0)))).otherwise(v))
+    v, n = row_values(columns), _known(columns)
+    off = (n > 2).cast("int")
+    return _total([F.when(off <= i, F.when(n - off > i, F.get(v, F.lit(i)))) for i in range(len(columns))]) / _positive(n - 2 * off)
 
 
 def row_std(columns: list[Column]) -> Column:
-    v = row_values(columns)
-    m = _mean(v)
-    return F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + (x - m) * (x - m)) / F.when(F.size(v) > 0, F.size(v)))
+    v, n = row_values(columns), _known(columns)
+    at = [F.get(v, F.lit(i)) for i in range(len(columns))]
+    mean = _total(at) / _positive(n)
+    return F.sqrt(_total([(x - mean) * (x - mean) for x in at]) / _positive(n))
 
 
 def row_entropy(columns: list[Column]) -> Column:
@@ -112,7 +122,7 @@ def row_entropy(columns: list[Column]) -> Column:
 
 
 def row_count_at_least(columns: list[Column], threshold: float) -> Column:
-    return F.size(F.filter(F.array(*columns), lambda x: x >= threshold)).cast("long")
+    return sum((F.coalesce((c >= threshold).cast("long"), F.lit(0)) for c in columns), F.lit(0)).cast("long")
 
 
 #: Coefficients of a published rational approximation of the normal quantile (relative error 1.15e-9).
