@@ -319,3 +319,14 @@ def test_row_statistics_are_compiled(spark):
     got = [tuple(r) for r in df.orderBy("i").collect()]
     assert got[:4] == [(0, None, None, None, 0, []), (1, 2.0, 2.0, 0.0, 1, [2.0]), (2, 2.5, 2.5, 1.5, 1, [1.0, 4.0]), (3, 4.0, 4.0, pytest.approx(math.sqrt(26 / 3)), 3, [2.0, 4.0, 9.0])]
     assert got[4][1:3] == (3.0, 3.0) and math.isnan(got[4][3]) and got[4][4] == 2
+
+
+def test_ablation_scans_all_signals_once(spark, tmp_path):
+    """The scan of all signals is a written step: six branches read it, so that seven scans are planned, not twelve."""
+    from tidewatch.plans import reviews, telemetry
+
+    rows = [(i, T0 + dt.timedelta(minutes=7 * i), i % 3, ("click", "view", "error")[i % 5 % 3], float(i % 11 + 1), "{}") for i in range(400)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    out = telemetry.QUERIES["r26_signal_ablation"](spark, str(tmp_path))
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("FlatMapGroupsInArrow") == 6
+    assert {r["left_out"] for r in out.collect()} == set(reviews.state.SIGNALS)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scalar as S
 from ..operators import evidence, models, ranks, review, state, synthetic, windows
 from ..sources import telemetry
+from ..sources.steps import written
 from . import sql as Q
 from .telemetry import _RS, ID, dwelt, marked, metrics, query, r6, r6s, ranked, read, reviewed, reviewed_all, ruled, scored, sessions, stated, supported
 
@@ -119,7 +120,7 @@ def _(spark, d):
     from ..operators import scan
     from .telemetry import with_z, zed
 
-    base = scan.best_intervals(zed(spark, d), telemetry.GAP_MINUTES)
+    base = written(scan.best_intervals(zed(spark, d), telemetry.GAP_MINUTES), "base")  # read once a signal
     rows, n = stated(spark, d), scored(spark, d).count()
     out = None
     for left in state.SIGNALS:
