@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import finite, ieee_div, row_mean
-from .ranks import by_value, cumulative, group_pct_ranks, quantile_row, quantiles, value_bounds
+from .ranks import by_value, cumulative, group_pct_ranks, histograms, quantile_row, quantiles, value_bounds
 
 
 def median_impute(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -42,9 +42,9 @@ def ecod(df: DataFrame, columns: list[str], name: str = "ecod") -> DataFrame:
     feature's skewness; the largest of the three sums. Tails come from one histogram per feature."""
     skew = df.agg(F.count(F.lit(1)), *[F.skewness(c) for c in columns]).first()
     n, bounds, out = skew[0], value_bounds(df, columns), df
-    for c in columns:
-        hist = cumulative(df.groupBy(F.col(c).alias("_x")).agg(F.count(F.lit(1)).alias("_c")), "_x", {"_upto": "_c"}, bounds[c])
-        out = by_value(out, c, hist.select("_x", "_c", F.col("_c").alias(f"_c_{c}"), F.col("_upto").alias(f"_u_{c}")), "_x", "_c", n, [f"_c_{c}", f"_u_{c}"])
+    for c, (hist, values) in histograms(df, columns, bounds, nulls=True).items():
+        hist = hist.select("_hist_x", "_hist_c", F.col("_hist_c").alias(f"_c_{c}"), F.col("_hist_u").alias(f"_u_{c}"))
+        out = by_value(out, c, hist, "_hist_x", "_hist_c", n, [f"_c_{c}", f"_u_{c}"], values)
     left = {c: -F.log(F.col(f"_u_{c}") / n) for c in columns}
     right = {c: -F.log((n - F.col(f"_u_{c}") + F.col(f"_c_{c}")) / n) for c in columns}
     auto = [left[c] if (s or 0) < 0 else right[c] for c, s in zip(columns, skew[1:], strict=True)]

@@ -115,10 +115,42 @@ def quantile_row(df: DataFrame, columns: list[str], at: tuple[float, ...], most:
 HOT_PARTS = 1024
 
 
-def by_value(df: DataFrame, key: str, hist: DataFrame, value: str, count: str, total: int, names: list[str]) -> DataFrame:
+#: A histogram of at most this many values is broadcast whole.
+FEW_VALUES = 50_000
+
+
+def histograms(df: DataFrame, columns: list[str], bounds: dict[str, list[float]], nulls: bool = False) -> dict[str, tuple[DataFrame, int]]:
+    """Of each column, (_hist_x, _hist_c, _hist_u): its values, their counts, and the counts up to and with them; and how
+    many values it has. Columns of one type are counted, dealt to ranges and written together, so that the number of
+    jobs doesn't grow with the columns; only a total per range and column meets on the driver. nulls: count them as the
+    smallest value."""
+    out: dict[str, tuple[DataFrame, int]] = {}
+    kinds: dict[str, list[str]] = {}
+    for c in dict.fromkeys(columns):
+        kinds.setdefault(df.schema[c].dataType.simpleString(), []).append(c)
+    for kind, names in kinds.items():
+        pairs = F.array(*[F.struct(F.lit(i).alias("_hist_i"), F.col(c).alias("_hist_x")) for i, c in enumerate(names)])
+        long = df.select(F.explode(pairs).alias("_p")).select("_p.*")
+        hist = (long if nulls else long.filter("_hist_x is not null")).groupBy("_hist_i", "_hist_x").agg(F.count(F.lit(1)).alias("_hist_c"))
+        cuts = F.array(*[(F.lit(bounds[c]) if bounds[c] else F.array()).cast(f"array<{kind}>") for c in names])
+        hist = hist.withColumn("_range", F.size(F.filter(F.get(cuts, F.col("_hist_i")), lambda b: b < F.col("_hist_x"))))
+        run = Window.partitionBy("_hist_i", "_range").orderBy("_hist_x")
+        hist = written(hist.withColumn("_in", F.sum("_hist_c").over(run)), "histograms")
+        ranges = {(r["_hist_i"], r["_range"]): r for r in hist.groupBy("_hist_i", "_range").agg(F.sum("_hist_c").alias("rows"), F.count(F.lit(1)).alias("values")).collect()}
+        before = [[sum(r["rows"] for (j, q), r in ranges.items() if j == i and q < p) for p in range(len(bounds[c]) + 1)] for i, c in enumerate(names)]
+        offset = F.get(F.get(F.array(*[F.array(*[F.lit(b).cast("long") for b in row]) for row in before]), F.col("_hist_i")), F.col("_range"))
+        hist = hist.withColumn("_hist_u", F.col("_in") + offset)
+        for i, c in enumerate(names):
+            out[c] = hist.filter(F.col("_hist_i") == i).select("_hist_x", "_hist_c", "_hist_u"), sum(r["values"] for (j, _), r in ranges.items() if j == i)
+    return out
+
+
+def by_value(df: DataFrame, key: str, hist: DataFrame, value: str, count: str, total: int, names: list[str], values: int | None = None) -> DataFrame:
     """Left join of rows with their value's row of a histogram. Hot values are broadcast, and neither their rows nor
-    those without a value meet in one task."""
-    hot = hist.filter(F.col(count) > max(1000, total // HOT_PARTS)).select(F.col(value).alias("_hot"), *[F.col(n).alias(f"_h_{n}") for n in names])
+    those without a value meet in one task. values: how many the histogram has; a few are all broadcast."""
+    if values is not None and values <= FEW_VALUES:
+        return df.join(F.broadcast(hist.select(F.col(value).alias("_few"), *names)), F.col(key) == F.col("_few"), "left").drop("_few")
+    hot =hist.filter(F.col(count) > max(1000, total // HOT_PARTS)).select(F.col(value).alias("_hot"), *[F.col(n).alias(f"_h_{n}") for n in names])
     cold = hist.filter(F.col(count) <= max(1000, total // HOT_PARTS)).select(F.col(value).alias("_cold"), *names, F.lit(0).alias("_cs"))
     out = df.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left")
     out = out.withColumn("_s", F.when(F.col("_hot").isNull() & F.col(key).isNotNull(), 0).otherwise(1 + F.pmod(F.monotonically_increasing_id(), F.lit(HOT_PARTS))).cast("int"))
@@ -130,22 +162,22 @@ def pct_ranks(df: DataFrame, columns: dict[str, str], digits: int | None = None)
     """Average percentile ranks over the whole table: (smallest + largest place of the value) / 2 / non-null count;
     new name -> column. Null stays null. With digits, values are compared after rounding.
 
-    One action reads the bounds and counts of all columns: persist what is costly to compute twice.
+    One action reads the bounds and counts of all columns, another their histograms: write what is costly to compute
+    three times.
     """
     keys = {name: f"_v_{name}" for name in columns}
     out = df.select("*", *[(F.col(c) if digits is None else F.round(F.col(c).cast("double"), digits)).alias(keys[name]) for name, c in columns.items()])
     at = [i / RANGES for i in range(1, RANGES)]
     row = out.agg(*[f(k) for k in keys.values() for f in (F.count, lambda c: F.percentile_approx(c, at, 2000))]).first()
-    base = out
-    for i, (name, k) in enumerate(keys.items()):
-        total, bounds = row[2 * i], sorted(set(row[2 * i + 1] or []))
-        if not total:
+    totals = {k: row[2 * i] for i, k in enumerate(keys.values())}
+    hists = histograms(out, [k for k in totals if totals[k]], {k: sorted(set(row[2 * i + 1] or [])) for i, k in enumerate(totals)})
+    for name, k in keys.items():
+        if not totals[k]:
             out = out.withColumn(name, F.lit(None).cast("double"))
             continue
-        hist = base.filter(F.col(k).isNotNull()).groupBy(F.col(k).alias("_hist_x")).agg(F.count(F.lit(1)).alias("_hist_c"))
-        hist = cumulative(hist, "_hist_x", {"_hist_u": "_hist_c"}, bounds)
-        hist = hist.select("_hist_x", "_hist_c", ((2 * F.col("_hist_u") - F.col("_hist_c") + 1) / 2 / F.lit(total)).alias(name))
-        out = by_value(out, k, hist, "_hist_x", "_hist_c", total, [name])
+        hist, values = hists[k]
+        hist = hist.select("_hist_x", "_hist_c", ((2 * F.col("_hist_u") - F.col("_hist_c") + 1) / 2 / F.lit(totals[k])).alias(name))
+        out = by_value(out, k, hist, "_hist_x", "_hist_c", totals[k], [name], values)
     return out.drop(*keys.values())
 
 
@@ -184,10 +216,10 @@ def group_pct_ranks(df: DataFrame, keys: list[str], column: str, name: str, coun
     return df.join(ranks, cond, "left").drop("_x", *[f"_k_{k}" for k in keys])
 
 
-def _ranged(df: DataFrame, order: list[Column]) -> tuple[DataFrame, list[int]]:
-    """df dealt to ranges of a total order and written, with _p, the range; and the ranges that have rows."""
+def _ranged(df: DataFrame, order: list[Column]) -> tuple[DataFrame, dict[int, int]]:
+    """df dealt to ranges of a total order and written, with _p, the range; and the rows of the ranges that have any."""
     out = written(df.repartitionByRange(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *order).withColumn("_p", F.spark_partition_id()), "ranged")
-    return out, sorted(r["_p"] for r in out.select("_p").distinct().collect())
+    return out, dict(sorted((r["_p"], r["n"]) for r in out.groupBy("_p").agg(F.count(F.lit(1)).alias("n")).collect()))
 
 
 def _by_range(values: dict[int, object]) -> Column:
@@ -197,11 +229,10 @@ def _by_range(values: dict[int, object]) -> Column:
 
 def places(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     """Adds places 1..n in a total order. Each range of the order is numbered by itself; only the ranges' counts meet."""
-    out, parts = _ranged(df, order)
-    if not parts:
+    out, counts = _ranged(df, order)
+    if not counts:
         return out.drop("_p").withColumn(name, F.lit(None).cast("long"))
-    counts = {r["_p"]: r["n"] for r in out.groupBy("_p").agg(F.count(F.lit(1)).alias("n")).collect()}
-    before = {p: sum(counts[q] for q in parts if q < p) for p in parts}
+    before = {p: sum(n for q, n in counts.items() if q < p) for p in counts}
     return out.withColumn(name, F.row_number().over(Window.partitionBy("_p").orderBy(*order)) + _by_range(before)).withColumn(name, F.col(name).cast("long")).drop("_p")
 
 
@@ -267,16 +298,15 @@ def average_percentiles(df: DataFrame, reference: DataFrame, columns: dict[str,
 def bh_q(df: DataFrame, p: str, name: str) -> DataFrame:
     """Benjamini-Hochberg step-up q values; null p stays null. Ranges of p are numbered and scanned each by itself;
     their counts and least values meet on the driver."""
-    out, parts = _ranged(df.filter(F.col(p).isNotNull()), [F.asc(p)])
-    if not parts:
+    out, counts = _ranged(df.filter(F.col(p).isNotNull()), [F.asc(p)])
+    if not counts:
         return df.withColumn(name, F.lit(None).cast("double"))
-    counts = {r["_p"]: r["n"] for r in out.groupBy("_p").agg(F.count(F.lit(1)).alias("n")).collect()}
-    n, before = sum(counts.values()), {q: sum(counts[x] for x in parts if x < q) for q in parts}
+    n, before = sum(counts.values()), {q: sum(k for x, k in counts.items() if x < q) for q in counts}
     w = Window.partitionBy("_p").orderBy(p)
     # equal p share the last of their places
     out = out.withColumn("_raw", F.col(p) * n / (F.count(F.lit(1)).over(w.rangeBetween(Window.unboundedPreceding, 0)) + _by_range(before)))
     least = {r["_p"]: r["m"] for r in out.groupBy("_p").agg(F.min("_raw").alias("m")).collect()}
-    after = {q: min([least[x] for x in parts if x > q], default=float("inf")) for q in parts}
+    after = {q: min([least[x] for x in counts if x > q], default=float("inf")) for q in counts}
     q = F.min("_raw").over(Window.partitionBy("_p").orderBy(F.desc(p)))
     out = out.withColumn(name, F.least(q, _by_range(after), F.lit(1.0))).drop("_p", "_raw")
     return out.unionByName(df.filter(F.col(p).isNull()).withColumn(name, F.lit(None).cast("double")))
