@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidewatch.operators import models, ranks
+from tidewatch.operators import evidence, models, ranks
 
 
 def jobs(spark, run) -> int:
@@ -42,3 +42,16 @@ def test_jobs_of_ranks_do_not_grow_with_columns(spark):
     assert jobs(spark, run(8)) - jobs(spark, run(2)) <= 2 * 6
     tails = lambda n: lambda: models.ecod(df.na.fill(0.0), [f"x{i}" for i in range(n)]).write.format("noop").mode("overwrite").save()
     assert jobs(spark, tails(8)) - jobs(spark, tails(2)) <= 2 * 6
+
+
+def test_raw_places_are_taken_in_one_order(spark):
+    names = {"empirical_p": "x0", "scan_z": "x1", "duration": "whole", "expected_metric": "x2", "mismatch_rate": "x3", "mismatch_max_run": "whole", "anomaly": "x4", "reason_rank_max": "x5", "reason_value_max": "none"}
+    df = rows(spark).select("session_key", *[F.col(c).alias(n) for n, c in names.items()])
+    found = {}
+    assert jobs(spark, lambda: found.update((r["session_key"], r) for r in evidence.raw_evidence(df, 400).collect())) <= 20
+    assert len(found) == 400
+    for name, metrics in evidence.RAW.items():
+        known = F.coalesce(*[F.col(m).cast("double") for m in metrics]).isNotNull()
+        w = Window.orderBy(F.when(known, 0).otherwise(1), *[(F.asc_nulls_last if up else F.desc_nulls_last)(F.round(m, 9)) for m, up in metrics.items()], "session_key")
+        for r in df.select("session_key", F.when(known, F.row_number().over(w)).alias("place")).collect():
+            assert found[r["session_key"]][name] == r["place"]

@@ -144,11 +144,22 @@ def reason_support(metrics: DataFrame) -> DataFrame:
     return long.withColumn("place", F.row_number().over(w))
 
 
-def _ranked(df: DataFrame, name: str, metrics: dict[str, bool]) -> DataFrame:
-    """Adds the place by metrics (column -> ascending), ties by session_key; none where all metrics are null."""
-    known = F.coalesce(*[F.col(m) for m in metrics]).isNotNull()
-    order = [F.when(known, 0).otherwise(1)] + [(F.asc_nulls_last if up else F.desc_nulls_last)(F.round(m, 9)) for m, up in metrics.items()] + [F.asc("session_key")]
-    return places(df, order, name).withColumn(name, F.when(known, F.col(name)))
+def _ranked(df: DataFrame, every: dict[str, dict[str, bool]]) -> DataFrame:
+    """Adds places: name -> metrics (column -> ascending), ties by session_key; none where all metrics are null. A row
+    per session and order is numbered in one total order, in which the orders follow each other."""
+    width = max(len(metrics) for metrics in every.values())
+
+    def keys(i: int, metrics: dict[str, bool]) -> Column:
+        known, at = F.coalesce(*[F.col(m).cast("double") for m in metrics]).isNotNull(), list(metrics.items())
+        value = lambda k, up: (F.round(F.col(at[k][0]).cast("double"), 9) if k < len(at) and at[k][1] == up else F.lit(None).cast("double")).alias(f"_{'up' if up else 'down'}{k}")
+        return F.struct(F.lit(i).alias("_o"), F.when(known, 0).otherwise(1).alias("_none"), *[value(k, up) for k in range(width) for up in (True, False)])
+
+    long = df.select("session_key", F.explode(F.array(*[keys(i, metrics) for i, metrics in enumerate(every.values())])).alias("_x")).select("session_key", "_x.*")
+    order = [F.asc("_o"), F.asc("_none"), *[f for k in range(width) for f in (F.asc_nulls_last(f"_up{k}"), F.desc_nulls_last(f"_down{k}"))], F.asc("session_key")]
+    at = places(long, order, "_place")
+    n = at.count() // len(every)  # each order has every session
+    found = at.filter("_none = 0").groupBy("session_key").agg(*[F.max(F.when(F.col("_o") == i, F.col("_place") - i * n)).alias(name) for i, name in enumerate(every)])
+    return df.join(found, "session_key", "left")
 
 
 def family_ranks(df: DataFrame) -> DataFrame:
@@ -160,10 +171,10 @@ def family_ranks(df: DataFrame) -> DataFrame:
         "persistence_metric": row_mean([F.col("_p0"), F.col("_p1"), F.col("_p2")]), "minute_state_metric": row_mean([F.col("_m0"), F.col("_m1")]),
         "expected_metric": F.greatest("model_chat_mean", "model_unique_mean"),
     }).drop("_p0", "_p1", "_p2", "_m0", "_m1")
-    out = _ranked(out, "scan_rank", {"empirical_p": True, "scan_z": False})
+    ranks = {"scan_rank": {"empirical_p": True, "scan_z": False}}
     for name, metric in (("persistence", "persistence_metric"), ("expected", "expected_metric"), ("minute_state", "minute_state_metric"), ("anomaly", "anomaly")):
-        out = _ranked(out, f"{name}_rank", {metric: False})
-    return _ranked(out, "reason_rank", {"reason_rank_max": False, "reason_value_max": False})
+        ranks[f"{name}_rank"] = {metric: False}
+    return _ranked(out, ranks | {"reason_rank": {"reason_rank_max": False, "reason_value_max": False}})
 
 
 #: Raw evidence: rank -> metrics and whether small ones come first.
@@ -175,9 +186,7 @@ RAW = {
 
 def raw_evidence(df: DataFrame, sessions: int) -> DataFrame:
     """The eight raw places, their RRA p, mean strength and number, beside family_ranks' columns."""
-    out = df
-    for name, metrics in RAW.items():
-        out = _ranked(out, name, metrics)
+    out = _ranked(df, RAW)
     known = [F.col(n) for n in RAW]
     return out.withColumns({
         "raw_rra_p": F.round(rra_p([clip(r / (sessions + 1), None, 1.0) for r in known]), 12), "raw_strength": row_mean([strength(r, F.lit(sessions)) for r in known]),
