@@ -9,6 +9,7 @@
    need nothing of each other. Each is merged by union-find in one bounded group.
 4. Merges with two sides of at least the least size start clusters; everything else is a row's link upwards, followed by
    doubling. Stabilities are sums over merges; clusters are chosen from the leaves of their tree up, a level per round.
+   Where links or clusters are no more than a segment, one bounded group follows or chooses them, without rounds.
 
 Defined cases: columns are finite; equal weights go by ids, so a result doesn't depend on partitions; fewer rows than the
 least size are all noise; the root is never chosen, as is usual; an empty table gives an empty result.
@@ -29,19 +30,22 @@ from .models import silhouette
 from .neighbours import COLUMNS, SHARD_ROWS, Boxes, asking, compared, deal, distances, distinct_points, nearest
 from .ranks import places
 
-#: Edges that one group merges at most.
+#: Edges that one group merges, and links and clusters that it follows, at most.
 SEGMENT = 200_000
 #: The density of what lies nearer than this counts as infinite no more than this distance's.
 LEAST_DISTANCE = 1e-10
 
 
-def core_distances(points: DataFrame, width: int, min_samples: int, shard_rows: int = SHARD_ROWS) -> tuple[DataFrame, Boxes]:
-    """points as dealt, with core: the distance of the min_samples-th nearest row, the row itself included."""
+def dealt_points(points: DataFrame, width: int, shard_rows: int = SHARD_ROWS) -> tuple[DataFrame, Boxes]:
     dealt, boxes = deal(points.select("id", "n", "x"), width, shard_rows)
-    dealt = written(dealt, "density-dealt")
+    return written(dealt, "density-dealt"), boxes
+
+
+def core_distances(dealt: DataFrame, boxes: Boxes, min_samples: int) -> DataFrame:
+    """Adds core: the distance of the min_samples-th nearest row, the row itself included."""
     far = nearest(dealt, boxes, min_samples - 1).groupBy("id").agg(F.max("distance").alias("core"), F.sum("n").alias("got"))
     # fewer rows than asked for: the farthest of them
-    return written(dealt.join(far.select("id", "core"), "id", "left").withColumn("core", F.coalesce("core", F.lit(0.0))), "density-core"), boxes
+    return written(dealt.join(far.select("id", "core"), "id", "left").withColumn("core", F.coalesce("core", F.lit(0.0))), "density-core")
 
 
 def reachability(a: dict, b: dict) -> np.ndarray:
@@ -120,8 +124,29 @@ def _outward(points: dict, askers: dict) -> list[np.ndarray]:
     return [askers["comp"][ok], np.minimum(a, b), np.maximum(a, b), weight[ok], points["comp"][best[ok]]]
 
 
-def doubled(links: DataFrame, node: str, up: str, tag: str) -> DataFrame:
-    """Follows up to the node that links to itself, by doubling; a row per node."""
+def _followed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, up) of one bounded group -> each node and the one at the end of its links; none where a link leads to no
+    node."""
+    t = pa.Table.from_batches(list(batches), pa.schema([("node", pa.int64()), ("up", pa.int64())]))
+    node, up = (t.column(c).to_numpy() for c in ("node", "up"))
+    order = np.argsort(node, kind="stable")
+    node, up = node[order], up[order]
+    at = np.searchsorted(node, up)
+    known = at < len(node)
+    known[known] = node[at[known]] == up[known]
+    at = np.append(np.where(known, at, len(node)), len(node))  # the last place stands for no node
+    while not np.array_equal(at, at[at]):
+        at = at[at]
+    at = at[:-1]
+    yield pa.RecordBatch.from_arrays([pa.array(node[at < len(node)]), pa.array(node[at[at < len(node)]])], ["node", "up"])
+
+
+def doubled(links: DataFrame, node: str, up: str, tag: str, segment: int = SEGMENT) -> DataFrame:
+    """Follows up to the node that links to itself, a row per node: at most ``segment`` links in one bounded group, more
+    by doubling."""
+    if links.count() <= segment:
+        one = links.select(F.col(node).alias("node"), F.col(up).alias("up")).coalesce(1)
+        return one.mapInArrow(_followed, "node long, up long").select(F.col("node").alias(node), F.col("up").alias(up))
     while True:
         at = links.select(F.col(node).alias("_n"), F.col(up).alias("_u"))
         after = written(links.join(at, F.col(up) == F.col("_n")).select(node, F.col("_u").alias("_next"), up), tag)
@@ -131,7 +156,7 @@ def doubled(links: DataFrame, node: str, up: str, tag: str) -> DataFrame:
             return links
 
 
-def spanning_tree(dealt: DataFrame, boxes: Boxes) -> DataFrame:
+def spanning_tree(dealt: DataFrame, boxes: Boxes, segment: int = SEGMENT) -> DataFrame:
     """(lo, hi, w): the minimum spanning tree of mutual reachability. dealt: id, n, x, core, shard, leaf."""
     form = "comp long, lo long, hi long, w double, to long"
     rows = dealt.withColumns({"need": F.lit(0), "comp": F.col("id")}).select("shard", "leaf", *COLUMNS)
@@ -150,7 +175,7 @@ def spanning_tree(dealt: DataFrame, boxes: Boxes) -> DataFrame:
         # of two components that choose each other the smaller is the root
         back = chosen.select(F.col("comp").alias("to"), F.col("to").alias("_back"))
         links = chosen.join(back, "to").select("comp", F.when((F.col("_back") == F.col("comp")) & (F.col("comp") < F.col("to")), F.col("comp")).otherwise(F.col("to")).alias("up"))
-        roots = doubled(written(links, "tree-links"), "comp", "up", "tree-roots")
+        roots = doubled(written(links, "tree-links"), "comp", "up", "tree-roots", segment)
         comp = written(comp.join(roots, "comp").select("id", F.col("up").alias("comp")), "tree-comp")
     out = edges[0]
     for e in edges[1:]:
@@ -230,7 +255,7 @@ def _density(w: str) -> Column:
     return 1 / F.greatest(F.col(w), F.lit(LEAST_DISTANCE))
 
 
-def condensed(points: DataFrame, tree: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
+def condensed(points: DataFrame, tree: DataFrame, least: int, segment: int = SEGMENT) -> tuple[DataFrame, DataFrame]:
     """(point id, cluster it leaves from) and (cluster, parent, stability). A cluster is the node it begins with; the
     root's parent is null. points: id, n, core."""
     leaf = points.select((-F.col("id")).alias("node"), F.col("n").alias("size"), "core")
@@ -246,7 +271,7 @@ def condensed(points: DataFrame, tree: DataFrame, least: int) -> tuple[DataFrame
     root = top.select("node") if top.limit(1).count() else leaf.select("node")
     starts = child.filter("begins").select("node", F.col("up"), F.col("up_w")).unionByName(root.select("node", F.lit(None).cast("long").alias("up"), F.lit(None).cast("double").alias("up_w")))
     big = child.filter((F.col("size") >= least) & ~F.col("begins")).select("node", "up").unionByName(starts.select("node", F.col("node").alias("up")))
-    cluster_of = doubled(written(big, "condense-big"), "node", "up", "condense-cluster").withColumnRenamed("up", "cluster")
+    cluster_of = doubled(written(big, "condense-big"), "node", "up", "condense-cluster", segment).withColumnRenamed("up", "cluster")
     cluster_of = written(cluster_of, "condense-of")
     small = (F.col("sl") < least) & (F.col("sr") < least)
     leaves = F.when(split | small, F.col("sl") + F.col("sr")).otherwise(F.least("sl", "sr"))
@@ -258,14 +283,34 @@ def condensed(points: DataFrame, tree: DataFrame, least: int) -> tuple[DataFrame
     clusters = written(over.join(stable, "cluster", "left").withColumn("stability", F.coalesce("stability", F.lit(0.0))), "condense-clusters")
     # small nodes climb to the first merge that is large; at most ``least`` of them lie on a way
     lift = child.filter(F.col("size") < least).select("node", "up").unionByName(cluster_of.select("node", F.col("node").alias("up")))
-    lift = doubled(written(lift, "condense-lift"), "node", "up", "condense-climb").withColumnRenamed("up", "_big")
+    lift = doubled(written(lift, "condense-lift"), "node", "up", "condense-climb", segment).withColumnRenamed("up", "_big")
     left = points.select("id", (-F.col("id")).alias("node")).join(lift, "node").join(cluster_of.select(F.col("node").alias("_big"), "cluster"), "_big").select("id", "cluster")
     return left, clusters
 
 
-def chosen(clusters: DataFrame) -> DataFrame:
+def _chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(cluster, parent, stability) of one bounded group -> (cluster, chosen). A cluster begins below its parent, so that
+    its number is smaller."""
+    rows = sorted((r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True)), key=lambda r: r[0])
+    below: dict[int, float] = {}
+    own: set[int] = set()
+    for cluster, parent, stability in rows:
+        under = below.get(cluster)
+        if parent is not None and (under is None or stability >= under):
+            own.add(cluster)
+        below[parent] = below.get(parent, 0.0) + (stability if cluster in own else under or 0.0)
+    best: dict[int, int | None] = {}
+    for cluster, parent, _ in reversed(rows):
+        best[cluster] = best.get(parent) if best.get(parent) is not None else cluster if cluster in own else None
+    yield pa.RecordBatch.from_arrays([pa.array(list(best), pa.int64()), pa.array(list(best.values()), pa.int64())], ["cluster", "chosen"])
+
+
+def chosen(clusters: DataFrame, segment: int = SEGMENT) -> DataFrame:
     """(cluster, chosen): for every cluster the one it belongs to, null outside all. From the leaves up, a cluster is
-    worth its stability or what the clusters below are worth, whichever is more; the root isn't chosen."""
+    worth its stability or what the clusters below are worth, whichever is more; the root isn't chosen. At most
+    ``segment`` clusters are chosen in one bounded group, more a level per round."""
+    if clusters.count() <= segment:
+        return clusters.select("cluster", "parent", "stability").coalesce(1).mapInArrow(_chosen, "cluster long, chosen long")
     open_ = clusters
     done = None
     while open_.limit(1).count():
@@ -293,16 +338,18 @@ def chosen(clusters: DataFrame) -> DataFrame:
             return ways.select("cluster", F.col("best").alias("chosen"))
 
 
-def hdbscan(df: DataFrame, columns: list[str], key: str, least: int = 5, min_samples: int | None = None, name: str = "hdbscan", shard_rows: int = SHARD_ROWS, segment: int = SEGMENT) -> DataFrame:
-    """df with a cluster's number, from 0 in the order of the clusters' smallest keys, or -1 for noise."""
-    points = distinct_points(df, columns, key)
+def hdbscan(df: DataFrame, columns: list[str], key: str, least: int = 5, min_samples: int | None = None, name: str = "hdbscan", shard_rows: int = SHARD_ROWS, segment: int = SEGMENT, points: DataFrame | None = None, dealt: tuple[DataFrame, Boxes] | None = None) -> DataFrame:
+    """df with a cluster's number, from 0 in the order of the clusters' smallest keys, or -1 for noise. points, dealt:
+    df's distinct_points and dealt_points, where they are known."""
+    points = distinct_points(df, columns, key) if points is None else points
     if not points.limit(1).count():
         return df.withColumn(name, F.lit(-1))
-    dealt, boxes = core_distances(points, len(columns), min_samples or max(2, least // 2), shard_rows)
+    dealt, boxes = dealt_points(points, len(columns), shard_rows) if dealt is None else dealt
+    dealt = core_distances(dealt, boxes, min_samples or max(2, least // 2))
     weighed = written(dealt.select("id", "n", "core"), "density-points")
-    tree = merges(weighed, spanning_tree(dealt, boxes), segment)
-    left, clusters = condensed(weighed, tree, least)
-    label = written(left.join(chosen(clusters), "cluster", "left").select("id", "chosen"), "density-labels")
+    tree = merges(weighed, spanning_tree(dealt, boxes, segment), segment)
+    left, clusters = condensed(weighed, tree, least, segment)
+    label = written(left.join(chosen(clusters, segment), "cluster", "left").select("id", "chosen"), "density-labels")
     names = places(label.filter("chosen is not null").groupBy("chosen").agg(F.min("id").alias("_first")), [F.asc("_first")], "_place")
     label = label.join(names, "chosen", "left").select("id", (F.coalesce("_place", F.lit(0)) - 1).cast("int").alias(name))
     x = F.array(*[F.col(c).cast("double") + F.lit(0.0) for c in columns])
@@ -312,9 +359,10 @@ def hdbscan(df: DataFrame, columns: list[str], key: str, least: int = 5, min_sam
 
 def hdbscan_sizes(df: DataFrame, columns: list[str], key: str, sizes: tuple[int, ...] = (5, 8, 10)) -> DataFrame:
     """df once per least size of a cluster: adds min_cluster_size and hdbscan."""
-    out = None
+    out, points = None, distinct_points(df, columns, key)
+    dealt = dealt_points(points, len(columns)) if points.limit(1).count() else None
     for least in sizes:
-        part = written(hdbscan(df, columns, key, least), "hdbscan").withColumn("min_cluster_size", F.lit(least))
+        part = written(hdbscan(df, columns, key, least, points=points, dealt=dealt), "hdbscan").withColumn("min_cluster_size", F.lit(least))
         out = part if out is None else out.unionByName(part)
     return out
 
