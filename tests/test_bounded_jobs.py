@@ -3,8 +3,9 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from tidewatch.operators import density
+from tidewatch.operators import density, learn
 
 
 def jobs(spark, run) -> int:
@@ -38,3 +39,20 @@ def test_few_points_need_few_jobs(spark):
     r = random.Random(3)
     df = spark.createDataFrame([(f"k{i:03}", r.gauss(6.0 * (i % 3), 1), r.gauss(0, 1)) for i in range(200)], "k string, a double, b double")
     assert jobs(spark, lambda: density.hdbscan_sizes(df, ["a", "b"], "k").count()) <= 330
+
+
+def watched(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def mark(i):
+        seen.add(1)
+        return float(i)
+
+    df = spark.range(60).select(F.format_string("k%02d", "id").alias("k"), F.udf(mark, "double")("id").alias("a"), F.sin("id").alias("b"), (F.col("id") % 3 == 0).cast("int").alias("y"))
+    return df, seen
+
+
+def test_permutations_read_their_input_a_few_times(spark):
+    df, seen = watched(spark)
+    assert learn.permutation_importance(df, ["a", "b"], "y", "k", folds=2).count() == 2
+    assert 60 <= seen.value <= 6 * 60

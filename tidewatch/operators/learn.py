@@ -15,6 +15,7 @@ from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.steps import written
 from .models import binary_metrics
 from .ranks import group_pct_ranks, places, quantile_row
 
@@ -95,7 +96,7 @@ def supervised(df: DataFrame, columns: list[str], label: str, key: str, folds: i
     """Out-of-fold scores of the model families in stratified folds, long: key, label, model, score. The weighted
     logistic model gives both classes the same weight in all; the linear SVM's score is its margin, squashed."""
     pos, n = df.agg(F.count_if(F.col(label) == 1), F.count(F.lit(1))).first()
-    x = stratified_fold(features(df, columns), label, key, folds)
+    x = features(written(stratified_fold(df, label, key, folds), "folds"), columns)  # every fit reads it
     x = x.withColumn("_w", F.when(F.col(label) == 1, n / max(1, 2 * pos)).otherwise(n / max(1, 2 * (n - pos))))
     out = None
     for name, m in families(label, len(columns), "_w").items():
@@ -137,7 +138,7 @@ def permuted(df: DataFrame, columns: list[str], key: str, seed: int = 0) -> Data
 def permutation_importance(df: DataFrame, columns: list[str], label: str, key: str, model: str = "logistic", folds: int = 3, groups: dict[str, list[str]] | None = None) -> DataFrame:
     """(feature, drop_mean, drop_std): how much average precision out of fold falls when a feature, or a group of them,
     is permuted in the rows that are scored; deviation over folds."""
-    x = stratified_fold(df, label, key, folds)
+    x = written(stratified_fold(df, label, key, folds), "folds")  # every fit and permutation reads it
     rows: dict[str, list[float]] = {}
     for k in range(folds):
         test = x.filter(F.col("fold") == k).drop("fold")
@@ -145,7 +146,7 @@ def permutation_importance(df: DataFrame, columns: list[str], label: str, key: s
 
         def quality(rows_: DataFrame, fitted=fitted) -> float:
             s = fitted.transform(features(rows_, columns)).select(label, F.get(vector_to_array("probability"), F.lit(1)).alias("score"))
-            return binary_metrics(s, "score", label).first()["average_precision"] or 0.0
+            return binary_metrics(written(s, "permuted-scores"), "score", label).first()["average_precision"] or 0.0
 
         base = quality(test)
         for name, cols in (groups or {c: [c] for c in columns}).items():
