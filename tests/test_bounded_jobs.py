@@ -56,3 +56,9 @@ def test_permutations_read_their_input_a_few_times(spark):
     df, seen = watched(spark)
     assert learn.permutation_importance(df, ["a", "b"], "y", "k", folds=2).count() == 2
     assert 60 <= seen.value <= 6 * 60
+
+
+def test_supervised_models_read_their_input_a_few_times(spark):
+    df, seen = watched(spark)
+    assert learn.supervised(df, ["a", "b"], "y", "k", models=("weighted_logistic", "boosted")).count() == 120
+    assert 60 <= seen.value <= 6 * 60

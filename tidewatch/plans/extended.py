@@ -152,6 +152,7 @@ def _(spark, d):
     return out.agg(F.count(F.lit(1)).alias("minutes"), F.round(F.avg("minute_mismatch_rank"), 6).alias("rank_mean"), F.round(F.avg((F.col("minute_mismatch_rank") >= 0.95).cast("double")), 6).alias("hot_rate"))
 
 
+@step
 def _session_matrix(spark, d):
     s = models.robust_scale(models.median_impute(ruled(spark, d).select("session_key", "rule_score", *_RS), list(_RS)), list(_RS))
     return s.withColumn("y", (F.col("rule_score") >= F.lit(ranks.quantile_row(s, ["rule_score"], (0.9,))["rule_score"][0])).cast("int"))
