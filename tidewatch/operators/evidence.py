@@ -112,19 +112,24 @@ def state_transitions(rows: DataFrame) -> DataFrame:
     return out.withColumn("share", F.coalesce(F.try_divide(F.col("n"), F.sum("n").over(Window.partitionBy("from_state"))), F.lit(0.0)))
 
 
-def interval_anomaly(metrics: DataFrame, scores: dict[str, str] | None = None) -> DataFrame:
-    """Adds weight (mean percentile rank of four directional metrics) and, per detector, its score's percentile rank
-    times the weight; ``anomaly`` is the largest. scores: name -> column of a detector's score beside ECOD's."""
+def interval_anomaly(metrics: DataFrame) -> DataFrame:
+    """Adds ecod, weight (mean percentile rank of four directional metrics) and ecod_dir, the score's percentile rank
+    times the weight, which is the ``anomaly``."""
     metrics = written(metrics, "metrics")
     direction = {f"_d{i}": c for i, c in enumerate(("chat_deficit_mean", "unique_deficit_mean", "zero_rate", "state_rate"))}
     x = metrics.select("session_key", *[F.round(F.col(c).cast("double"), 9).alias(c) for c in ANOMALY])  # means that are equal but for the order of their sums tie
     x = written(ecod(written(median_impute(x, ANOMALY), "imputed"), ANOMALY, "ecod").select("session_key", "ecod"), "ecod")
     out = written(metrics.join(x, "session_key", "left"), "metrics")
-    every = {"ecod": "ecod"} | (scores or {})
-    out = pct_ranks(out, direction | {f"_r_{n}": c for n, c in every.items()}, 9).withColumn("weight", row_mean([F.col(d) for d in direction]))
-    out = out.withColumns({f"{n}_dir": F.col(f"_r_{n}") * F.col("weight") for n in every})
-    top = F.greatest(*[F.col(f"{n}_dir") for n in every]) if len(every) > 1 else F.col("ecod_dir")
-    return out.withColumn("anomaly", top).drop(*direction, *[f"_r_{n}" for n in every])
+    out = pct_ranks(out, direction | {"_r": "ecod"}, 9).withColumn("weight", row_mean([F.col(d) for d in direction])).drop(*direction)
+    return out.withColumn("ecod_dir", F.col("_r") * F.col("weight")).withColumn("anomaly", F.col("ecod_dir")).drop("_r")
+
+
+def more_detectors(anomalies: DataFrame, scores: dict[str, str]) -> DataFrame:
+    """interval_anomaly's rows with more detectors beside ECOD: each score's percentile rank times the weight that the
+    rows have, and ``anomaly``, the largest of all. scores: name -> column."""
+    out = pct_ranks(written(anomalies, "detectors"), {f"_r_{n}": c for n, c in scores.items()}, 9)
+    out = out.withColumns({f"{n}_dir": F.col(f"_r_{n}") * F.col("weight") for n in scores}).drop(*[f"_r_{n}" for n in scores])
+    return out.withColumn("anomaly", F.greatest("ecod_dir", *[f"{n}_dir" for n in scores]))
 
 
 def interval_reason(metrics: DataFrame) -> DataFrame:

@@ -189,9 +189,11 @@ def nearest(dealt: DataFrame, boxes: Boxes, k: int) -> DataFrame:
     pts = written(pts.select("shard", *COLUMNS), "near-points")
     form = "id long, other long, distance double, n long"
     first = written(compared(pts, pts.filter("need > 0").withColumn("shards", F.array("shard")), partial(_nearest, k=k), form), "near-own")
-    bound = first.groupBy("id").agg(F.sum("n").alias("_s"), F.max("distance").alias("_d"))
-    wide = pts.filter("need > 0").join(bound, "id", "left").withColumn("most", F.when(F.col("_s") >= F.col("need"), F.col("_d")).otherwise(F.lit(float("inf"))))
-    found = first.unionByName(compared(pts, asking(wide, "most", boxes), partial(_nearest, k=k), form))
+    found = first
+    if boxes.several.sum() > 1:  # else there is no other shard to ask
+        bound = first.groupBy("id").agg(F.sum("n").alias("_s"), F.max("distance").alias("_d"))
+        wide = pts.filter("need > 0").join(bound, "id", "left").withColumn("most", F.when(F.col("_s") >= F.col("need"), F.col("_d")).otherwise(F.lit(float("inf"))))
+        found = first.unionByName(compared(pts, asking(wide, "most", boxes), partial(_nearest, k=k), form))
     # at most k rows per point and shard it asked
     rows = found.join(pts.select("id", "need"), "id").groupBy("id", "need").agg(F.sort_array(F.collect_list(F.struct("distance", "other", "n"))).alias("all"))
     start = F.struct(F.lit(0).cast("long").alias("got"), F.array().cast("array<struct<distance:double,other:long,n:long>>").alias("kept"))

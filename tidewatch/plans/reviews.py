@@ -49,11 +49,11 @@ def _(spark, d):
     """ECOD, isolation forest and local outlier factor together."""
     from ..operators import learn, outliers
 
-    m = metrics(spark, d).drop("ecod", "ecod_dir", "weight", "anomaly")
+    m = metrics(spark, d)
     x = models.robust_scale(models.median_impute(m.select("session_key", *evidence.ANOMALY), evidence.ANOMALY), evidence.ANOMALY)
     forest = learn.isolation_forest(x, evidence.ANOMALY, "session_key", "forest").select("session_key", "forest")
     lof = outliers.local_outlier_factor(x, evidence.ANOMALY, "session_key", 20).select("session_key", "lof")
-    out = evidence.interval_anomaly(m.join(forest, "session_key").join(lof, "session_key"), {"forest": "forest", "lof": "lof"})
+    out = evidence.more_detectors(m.join(forest, "session_key").join(lof, "session_key"), {"forest": "forest", "lof": "lof"})
     return out.select("session_key", *r6("weight", "ecod_dir", "forest_dir", "lof_dir", "anomaly"))
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalar import id_str
+from .steps import written
 
 TICK_MINUTES = 60
 #: A clock gap over 1.1 ticks breaks a run or a block.
@@ -107,24 +108,32 @@ def join_by_ids(left: DataFrame, right: DataFrame, ids: list[str], keys: list[st
 
 def chat_minutes(chat: DataFrame) -> DataFrame:
     """Per broadcast and tick: messages, distinct users, mean length, share of repeated messages, and share of users
-    who are new to the broadcast. First events per user come from one aggregation, not from a scan per row."""
-    base = chat.groupBy(*KEY).agg(
-        F.count("message").alias("chat_count"), F.count_distinct("user_id").alias("unique_chatters"), F.avg(F.length(F.coalesce("message", F.lit("")))).alias("avg_msg_len"), F.min("ts").alias("first_ts")
+    who are new to the broadcast. One row per user and tick serves all but the repeats; as ticks are cut from ts, a user
+    is new in the tick that has the user's first message, and no row meets the tick's own first message for that."""
+    spoke = chat.groupBy(*KEY, "user_id").agg(
+        F.count("message").alias("said"), F.count(F.lit(1)).alias("rows"), F.sum(F.length(F.coalesce("message", F.lit("")))).alias("length"), F.min("ts").alias("here")
+    )
+    entry = F.min("here").over(Window.partitionBy("run_id", "broad_no", "user_id"))  # a row per tick
+    new = F.when(F.col("user_id").isNotNull(), F.when(F.col("here") == F.col("entry"), 1.0).otherwise(0.0))
+    base = spoke.withColumn("entry", entry).groupBy(*KEY).agg(
+        F.sum("said").alias("chat_count"), F.count("user_id").alias("unique_chatters"), (F.sum("length") / F.sum("rows")).alias("avg_msg_len"), F.coalesce(F.avg(new), F.lit(0.0)).alias("new_chatter_ratio")
     )
     said = chat.groupBy(*KEY, F.coalesce("message", F.lit("__NULL__")).alias("m")).agg(F.count(F.lit(1)).alias("c"))
     repeats = said.groupBy(*KEY).agg((F.sum(F.when(F.col("c") > 1, F.col("c")).otherwise(0)) / F.sum("c")).alias("repeat_msg_ratio"))
-    users = chat.filter("user_id is not null").groupBy(*KEY, "user_id").agg(F.min("ts").alias("here"))
-    entry = users.groupBy("run_id", "broad_no", "user_id").agg(F.min("here").alias("entry"))
-    new = users.join(entry, ["run_id", "broad_no", "user_id"]).join(base.select(*KEY, "first_ts"), KEY)
-    new = new.groupBy(*KEY).agg(F.avg(F.when(F.col("entry") >= F.col("first_ts"), 1.0).otherwise(0.0)).alias("new_chatter_ratio"))
-    return base.join(repeats, KEY, "left").join(new, KEY, "left").withColumn("new_chatter_ratio", F.coalesce("new_chatter_ratio", F.lit(0.0))).drop("first_ts")
+    return base.join(repeats, KEY, "left")
 
 
 def snapshot_minutes(shots: DataFrame) -> DataFrame:
-    """The last known value of each column per broadcast and tick."""
+    """The last known value of each column per broadcast and tick. The times of the last rows come first, from an
+    aggregation of numbers alone; only rows of these times are ordered by (ts, event_id)."""
+    known = {"value": "viewer_count_last", "event_type": "category_id"}
+    times = shots.groupBy(*KEY).agg(F.max("ts").alias("_t"), *[F.max(F.when(F.col(c).isNotNull(), F.col("ts"))).alias(f"_t_{c}") for c in known])
+    times = written(times.select(*[F.col(k).alias(f"_{k}") for k in KEY], F.explode(F.array_distinct(F.array("_t", *[f"_t_{c}" for c in known]))).alias("_t")), "snapshot-times")
+    same = F.col("ts").eqNullSafe(F.col("_t"))
+    for k in KEY:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
     at = F.struct("ts", "event_id")
-    last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), at))
-    return shots.groupBy(*KEY).agg(last("value").alias("viewer_count_last"), last("event_type").alias("category_id"))
+    return shots.join(times, same, "left_semi").groupBy(*KEY).agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), at)).alias(name) for c, name in known.items()])
 
 
 def minute_table(events: DataFrame) -> DataFrame:
