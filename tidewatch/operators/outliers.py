@@ -1,12 +1,13 @@
 """Outlier detectors and mixtures over rows of features: local outlier factor, one-class SVM, Gaussian mixtures.
 
-The outlier factor is taken among all rows (``neighbours``). What the SVM is fitted on is a sample drawn by hash of the
-key and bounded by REFERENCE rows; every row is scored, in Arrow batches.
+The outlier factor is taken among all rows (``neighbours``). The SVM is fitted on all rows, a few sums per task at a time;
+every row is scored, in Arrow batches.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -19,17 +20,17 @@ from ..sources.steps import written
 from .learn import isolation_forest
 from .models import median_impute, robust_scale
 from .neighbours import local_outlier_factor
-from .ranks import pct_ranks
+from .ranks import pct_ranks, quantile_row
 
-#: Rows that a detector is fitted on at most.
-REFERENCE = 4096
-#: Random features of the one-class SVM, its share of outliers and its steps.
+#: Random features of the one-class SVM, its share of outliers and its steps at most.
 FEATURES, NU, STEPS = 1500, 0.05, 300
-
-
-def reference(df: DataFrame, columns: list[str], key: str, most: int = REFERENCE) -> tuple[np.ndarray, list]:
-    rows = df.select(key, *columns).orderBy(F.xxhash64(key), key).limit(most).collect()
-    return np.array([[float(r[c]) for c in columns] for r in rows]).reshape(-1, len(columns)), [r[key] for r in rows]
+#: The SVM's steps end when its duality gap is at most this share of the squared norm.
+GAP = 1e-5
+#: Bins that the scores around the SVM's threshold are counted in, and rows that are lifted at a time.
+BINS, LIFTED = 4096, 128
+#: Up to so many different rows are lifted once, in one place; more lie in files of about FILE_ROWS, in FILES at most, as
+#: a partial sum of each meets on the driver.
+FEW_POINTS, FILE_ROWS, FILES = 4096, 2048, 512
 
 
 def scored_by(df: DataFrame, columns: list[str], key: str, name: str, score: Callable[[np.ndarray, list], np.ndarray]) -> DataFrame:
@@ -44,23 +45,99 @@ def scored_by(df: DataFrame, columns: list[str], key: str, name: str, score: Cal
     return df.mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in df.dtypes) + f", {name} double")
 
 
+def _sums(points: DataFrame, columns: list[str], lift: Callable[[np.ndarray], np.ndarray]) -> Callable:
+    """A function that sums over all points an array that each gives for some of their lifted rows and counts."""
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for b in batches:
+            x = np.array([b.column(i).to_numpy(zero_copy_only=False).astype(float) for i in range(len(columns) + 1)])
+            for i in range(0, b.num_rows, LIFTED):
+                yield lift(x[:-1, i : i + LIFTED].T), x[-1, i : i + LIFTED]
+
+    def sums(each: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = None
+            for z, n in parts(batches):
+                total = each(z, n) if total is None else total + each(z, n)
+            if total is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([total.astype(float).tobytes()], pa.binary())], ["part"])
+
+        return sum(np.frombuffer(r["part"]) for r in points.mapInArrow(run, "part binary").collect())
+
+    points = points.select(*columns, "_n")
+    if len(points.limit(FEW_POINTS + 1).collect()) > FEW_POINTS:
+        return sums
+    whole = [np.concatenate(part) for part in zip(*parts(points.toArrow().to_batches()), strict=True)]
+    return lambda each: each(*whole)
+
+
+def _nearest(atoms: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Minor cycles of Wolfe's algorithm: those atoms, with their weights, whose mean is the hull's nearest point to the
+    origin. All but the last atom have positive weights."""
+    while True:
+        n = len(weights)
+        lines = np.block([[atoms @ atoms.T, np.ones((n, 1))], [np.ones((1, n)), np.zeros((1, 1))]])
+        best = np.linalg.lstsq(lines, np.append(np.zeros(n), 1.0), rcond=1e-13)[0][:n]
+        out = best <= 1e-12
+        if not out.any():
+            return atoms, best / best.sum()
+        step = weights[out] / np.maximum(weights[out] - best[out], 1e-300)
+        weights = weights + step.min() * (best - weights)
+        weights[np.flatnonzero(out)[step.argmin()]] = 0.0
+        keep = weights > 1e-12
+        atoms, weights = atoms[keep], weights[keep] / weights[keep].sum()
+
+
 def one_class_svm(df: DataFrame, columns: list[str], key: str, name: str = "ocsvm", fit_on: DataFrame | None = None) -> DataFrame:
-    """How far a row lies outside the one-class SVM of an RBF kernel, which random cosine features stand for; the
-    width comes from the variance of the sample, which is drawn from fit_on (df, if none is given)."""
-    ref, _ = reference(df if fit_on is None else fit_on, columns, key)
-    if not len(ref):
+    """How far a row lies outside the one-class SVM of an RBF kernel, which random cosine features stand for. All rows of
+    fit_on (df, if none is given) give the kernel's width, the support and the threshold.
+
+    The SVM is the point nearest to the origin of all means of NU of the lifted rows (Wolfe's algorithm). A step counts
+    scores around the threshold and sums the rows that score least; what lies in the threshold's own bin, which narrows
+    as the steps do, shares the weight that is left."""
+    base = df if fit_on is None else fit_on
+    rows = base.count()
+    if not rows:
         return df.withColumn(name, F.lit(None).cast("double"))
+    points = base.groupBy(*columns).agg(F.count(F.lit(1)).alias("_n")).repartition(min(FILES, ceil(rows / FILE_ROWS)), *columns)
+    points = written(points.sortWithinPartitions(*columns), "svm-points")  # equal rows are one point; every step reads it
+    plain = _sums(points, columns, lambda x: x)
+    mean = plain(lambda x, n: np.array([(n @ x).sum()]))[0] / (rows * len(columns))
+    var = plain(lambda x, n: np.array([(n @ (x - mean) ** 2).sum()]))[0] / (rows * len(columns))
     r = np.random.Generator(np.random.PCG64(42))
-    gamma = 1 / (len(columns) * max(float(ref.var()), 1e-9))
-    w, b = r.normal(0, np.sqrt(2 * gamma), (len(columns), FEATURES)), r.uniform(0, 2 * np.pi, FEATURES)
-    lift = lambda x: np.sqrt(2 / FEATURES) * np.cos(x @ w + b)
-    z = lift(ref)
-    v, few = z.mean(axis=0), max(1, int(NU * len(z)))
-    for step in range(1, STEPS + 1):  # Frank-Wolfe on the dual: weight moves to the rows that score least
-        low = np.argpartition(z @ v, few - 1)[:few]
-        v = v + (z[low].mean(axis=0) - v) * 2 / (step + 2)
-    rho = float(np.quantile(z @ v, NU))
-    return scored_by(df, columns, key, name, lambda x, _: rho - lift(x) @ v)
+    gamma = 1 / (len(columns) * max(float(var), 1e-9))
+    w, b = r.normal(0, np.sqrt(2 * gamma), (len(columns), FEATURES)) / (2 * np.pi), r.uniform(0, 1, FEATURES)
+
+    def lift(x: np.ndarray) -> np.ndarray:
+        turns = x @ w + b
+        turns -= np.rint(turns)  # a part of a turn is safe in single precision, whose cosine is six times as fast
+        return np.sqrt(2 / FEATURES) * np.cos((2 * np.pi * turns).astype(np.float32)).astype(float)
+
+    sums, few = _sums(points, columns, lift), max(1, int(NU * rows))
+    v = sums(lambda z, n: n @ z) / rows
+    atoms, weights = v[None], np.ones(1)
+    far = lambda v: float(np.sqrt(2 * (v @ v))) + 1e-9  # a lifted row's norm is at most the root of 2
+    low, high = -far(v), far(v)  # the score of the row at few lies between
+    for _ in range(STEPS):
+        bins = lambda z, v=v, low=low, high=high: np.clip(np.floor((z @ v - low) / (high - low) * BINS), -1, BINS).astype(int) + 1
+        upto = sums(lambda z, n, bins=bins: np.bincount(bins(z), n, BINS + 2)).cumsum()
+        at = int(np.searchsorted(upto, few))
+        below = upto[at - 1] if at else 0.0
+        share = (few - below) / (upto[at] - below)
+        weigh = lambda k, at=at, share=share: (k < at) + share * (k == at)
+        atom, was = sums(lambda z, n, bins=bins, weigh=weigh: (n * weigh(bins(z))) @ z) / few, v
+        if v @ v - v @ atom <= GAP * (v @ v):
+            break
+        atoms, weights = _nearest(np.vstack([atoms, atom]), np.append(weights, 0.0))
+        v = weights @ atoms
+        if not v @ v < was @ was:
+            break
+        edge, width = low + (at - 1) * (high - low) / BINS, (high - low) / BINS
+        low, high = (edge if at else -far(was)) - far(v - was), (edge + width if at <= BINS else far(was)) + far(v - was)  # no score moves further
+    score = lambda x: np.concatenate([lift(x[i : i + LIFTED]) @ v for i in range(0, len(x), LIFTED)])
+    scores = written(scored_by(base.select(key, *columns), columns, key, "_s", lambda x, _: score(x)).select("_s"), "svm-scores")
+    rho = quantile_row(scores, ["_s"], (NU,))["_s"][0]
+    return scored_by(df, columns, key, name, lambda x, _: rho - score(x))
 
 
 def minute_detectors(minutes: DataFrame, columns: list[str]) -> DataFrame:
