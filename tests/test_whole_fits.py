@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidewatch.operators import outliers
+from tidewatch.operators import learn, outliers
 
 COLS = ["a", "b"]
 
@@ -35,13 +35,34 @@ def test_svm_is_the_plain_one(spark, monkeypatch, few):
     assert np.abs(np.quantile(got, 1 - outliers.NU)) < 1e-9  # rho is the quantile of all rows' scores
 
 
-def test_svm_is_fitted_on_all_rows(spark):
-    """Of 6,000 rows, those that a sample of 4,096 by hash left out are a cloud of their own: it lies inside as well."""
-    df = spark.range(6000).select(F.col("id").alias("k")).orderBy(F.xxhash64("k"), "k")
-    last = {s["k"] for s in df.collect()[4096:]}
+@pytest.fixture(scope="module")
+def apart(spark):
+    """6,000 rows; those that a sample of 4,096 by hash leaves out are a cloud of their own."""
+    last = {s["k"] for s in spark.range(6000).select(F.col("id").alias("k")).orderBy(F.xxhash64("k"), "k").collect()[4096:]}
     r = np.random.default_rng(5)
     x = r.normal(0, 1, (6000, 2)) + np.array([[8.0 if i in last else 0.0] for i in range(6000)])
-    df = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(x)], "k long, a double, b double")
+    return spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(x)], "k long, a double, b double").persist(), last
+
+
+def test_svm_is_fitted_on_all_rows(apart):
+    """The cloud lies inside as well."""
+    df, last = apart
     got = {s["k"]: s["ocsvm"] for s in outliers.one_class_svm(df, COLS, "k").collect()}
     assert len(got) == 6000 and np.mean([got[k] > 0 for k in last]) < 0.15
     assert np.mean([s > 0 for s in got.values()]) == pytest.approx(outliers.NU, abs=0.001)
+
+
+def test_trees_draw_among_all_rows(apart):
+    """The cloud has its share of every tree's rows, and its middle is no outlier."""
+    df, last = apart
+    trees = learn._drawn(df, COLS, "k")
+    assert len(trees) == learn.TREES and all(len(np.unique(t, axis=0)) == learn.TREE_ROWS for t in trees)
+    assert len(np.unique(np.concatenate(trees), axis=0)) > 5500
+    assert np.mean([np.mean(t[:, 0] > 4) for t in trees]) == pytest.approx(len(last) / 6000, abs=0.02)
+    assert all(0.15 < np.mean(t[:, 0] > 4) < 0.5 for t in trees)
+
+
+def test_forest_is_grown_on_all_rows(apart):
+    df, last = apart
+    got = {s["k"]: s["iforest"] for s in learn.isolation_forest(df, COLS, "k").collect()}
+    assert len(got) == 6000 and np.median([got[k] for k in last]) < 0.6

@@ -19,8 +19,9 @@ from ..sources.steps import written
 from .models import binary_metrics
 from .ranks import group_pct_ranks, places, quantile_row
 
-#: Rows that an isolation forest's trees are grown on, drawn by hash; every row is scored.
-FOREST_SAMPLE, TREES, TREE_ROWS = 4096, 100, 256
+#: An isolation forest's trees and the rows that each draws among all rows. Up to FOREST_ROWS rows meet in one place; of
+#: more, only what the trees draw.
+FOREST_ROWS, TREES, TREE_ROWS = 4096, 100, 256
 
 
 def features(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -197,13 +198,24 @@ def _score(frames: Iterator[pd.DataFrame], trees: list, columns: list[str], size
         yield pdf.assign(**{name: 2.0 ** (-out / len(trees) / max(_path(size), 1e-9))})
 
 
+def _drawn(df: DataFrame, columns: list[str], key: str) -> list[np.ndarray]:
+    """For each tree, TREE_ROWS of all rows: those with the smallest hashes of the key with the tree's number."""
+    share = 2 * TREE_ROWS / df.count()  # as many again come along, so that none is missing
+    tree = F.array(*[F.struct(F.lit(t).alias("_t"), F.xxhash64(F.col(key), F.lit(t)).alias("_h")) for t in range(TREES)])
+    drawn = F.explode(F.filter(tree, lambda s: s["_h"] < F.lit(int((share - 0.5) * 2**64))))
+    rows = df.select(drawn.alias("_s"), *columns).select("_s.*", *columns).toPandas().sort_values(["_t", "_h"])
+    return [g[columns].to_numpy(float)[:TREE_ROWS] for _, g in rows.groupby("_t")]
+
+
 def isolation_forest(df: DataFrame, columns: list[str], key: str, name: str = "iforest", fit_on: DataFrame | None = None) -> DataFrame:
-    """Isolation-forest score of every row; the trees grow on a bounded sample of fit_on (df, if none is given) drawn by
-    hash of the key."""
-    sample = (df if fit_on is None else fit_on).orderBy(F.xxhash64(F.col(key)), key).limit(FOREST_SAMPLE).select(columns).toPandas().to_numpy(float)
+    """Isolation-forest score of every row; each tree grows on TREE_ROWS rows that it draws among all rows of fit_on (df,
+    if none is given)."""
+    base = df if fit_on is None else fit_on
+    few = base.orderBy(F.xxhash64(F.col(key)), key).limit(FOREST_ROWS + 1).select(columns).toPandas().to_numpy(float)
     rng = np.random.Generator(np.random.PCG64(42))
-    size = min(TREE_ROWS, len(sample))
-    trees = [_grow(sample[rng.choice(len(sample), size, replace=False)], rng, int(np.ceil(np.log2(max(2, size))))) for _ in range(TREES)] if size else []
+    size = min(TREE_ROWS, len(few))
+    drawn = _drawn(base, columns, key) if len(few) > FOREST_ROWS else (few[rng.choice(len(few), size, replace=False)] for _ in range(TREES if size else 0))
+    trees = [_grow(x, rng, int(np.ceil(np.log2(max(2, size))))) for x in drawn]
     if not trees:
         return df.withColumn(name, F.lit(None).cast("double"))
     schema = ", ".join(f"`{c}` {t}" for c, t in df.dtypes) + f", {name} double"
